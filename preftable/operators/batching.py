@@ -75,12 +75,29 @@ def shard_to_ranks(df: DataFrame, n_ranks: int, order_cols: Sequence[str | Colum
     return out.repartition(n_ranks, "rank") if repartition else out
 
 
-def zip_streams(main: DataFrame, extra: DataFrame, batch_col: str = "batch_id", prefix: str = "extra_") -> DataFrame:
-    """i-th main batch with the i-th extra batch, cut to the shorter stream: an inner join on batch."""
+def zip_streams(
+    main: DataFrame,
+    extra: DataFrame,
+    batch_col: str = "batch_id",
+    idx_col: str = "idx_in_batch",
+    prefix: str = "extra_",
+) -> DataFrame:
+    """The i-th main batch with the i-th extra batch, cut to the shorter stream.
+
+    Rows pair up by position inside the batch (a full outer equi-join on (batch, index), one row
+    per position, never all pairs of a batch); batches beyond the shorter stream are dropped.
+    """
     renamed = extra.select(
-        F.col(batch_col), *[F.col(c).alias(prefix + c) for c in extra.columns if c != batch_col]
+        F.col(batch_col), F.col(idx_col), *[F.col(c).alias(prefix + c) for c in extra.columns if c not in (batch_col, idx_col)]
+    )
+    n_main = main.agg(F.max(batch_col)).first()[0]
+    n_extra = extra.agg(F.max(batch_col)).first()[0]
+    if n_main is None or n_extra is None:
+        return main.join(renamed, [batch_col, idx_col], "inner")
+    last = min(int(n_main), int(n_extra))
+    return main.filter(F.col(batch_col) <= last).join(
+        renamed.filter(F.col(batch_col) <= last), [batch_col, idx_col], "full_outer"
     )
-    return main.join(renamed, batch_col, "inner")
 
 
 def fill_buffer(df: DataFrame, n: int, batch_col: str = "batch_id") -> DataFrame:

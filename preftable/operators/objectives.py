@@ -71,7 +71,11 @@ def rm_pairwise_loss(
     if use_last_reward:
         loss = F.avg(O.neg_logsigmoid(F.col(accepts_end) - F.col(rejects_end)))
         return df.groupBy(batch_col).agg(loss.alias("rm_loss"))
-    diff = F.zip_with(F.col(accepts_values), F.col(rejects_values), lambda a, r: O.neg_logsigmoid(a - r))
+    diff = F.zip_with(
+        F.col(accepts_values),
+        F.col(rejects_values),
+        lambda a, r: O.neg_logsigmoid(F.coalesce(a, F.lit(0.0)) - F.coalesce(r, F.lit(0.0))),
+    )
     width = F.greatest(F.size(accepts_values), F.size(rejects_values))
     per_row = R.array_sum(diff)
     agg = df.groupBy(batch_col).agg(
