@@ -1,0 +1,521 @@
+"""Registered queries over logged scores: rollout arithmetic, objectives and metrics (§2.7-§2.9).
+
+Scores come from ``views.rollout_rows`` (events folded per user). Per-token results are exploded to
+``(seq, pos, value)`` rows; floats are rounded to 6 decimals on both sides.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from preftable.config import PairConfig, RolloutConfig
+from preftable.functions import objectives as O
+from preftable.functions import rollout as R
+from preftable.operators import metrics as M
+from preftable.operators import objectives as OB
+from preftable.operators.rollout import build_experience, gae_long
+from preftable.plans import oracle as Q
+from preftable.plans import views as V
+from preftable.plans.catalog import register
+
+BETA = 0.1
+GAMMA = 1.0
+LAM = 0.95
+CLIP = 0.2
+DPO_BETA = 0.1
+EXTRA_W = 0.5
+EXTRA_RATIO = 0.2
+MAX_STEPS = 100
+STEP_ACCUM = 4
+
+
+def _r(col):
+    return F.round(col.cast("double"), 6) + F.lit(0.0)
+
+
+def _rollout(spark: SparkSession, base: str) -> DataFrame:
+    return V.rollout_rows(spark, base)
+
+
+def _experience(spark: SparkSession, base: str, **kw) -> DataFrame:
+    cfg = RolloutConfig(
+        gamma=GAMMA,
+        lam=LAM,
+        kl_penalty_beta=kw.pop("beta", BETA),
+        kl_penalty_method=kw.pop("method", "abs"),
+        reward_score_clip=kw.pop("clip", None),
+        use_advantage_norm=kw.pop("norm", False),
+        compat=kw.pop("compat", False),
+    )
+    exp = build_experience(_rollout(spark, base), cfg, "batch_id", reward_col="reward")
+    return exp.withColumn("ms", R.shifted(F.col("response_mask")))
+
+
+def _long(df: DataFrame, cols: list[str], out: dict[str, str] | None = None) -> DataFrame:
+    out = out or {c: c for c in cols}
+    t = V.explode_tokens(df, ["seq"], cols)
+    return t.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), *[_r(F.col(c)).alias(n) for c, n in out.items()])
+
+
+_TOK = f"WITH RECURSIVE {Q.SCORES_CTE}"
+
+
+# ---------------------------------------------------------------------------------------------
+# KL penalty and rewards
+# ---------------------------------------------------------------------------------------------
+
+
+def _kl_query(method: str | None):
+    def q(spark: SparkSession, base: str) -> DataFrame:
+        r = _rollout(spark, base).withColumn("kl_penalty", R.kl_penalty(F.col("actor_logp"), F.col("ref_logp"), BETA, method))
+        return _long(r, ["kl_penalty"])
+
+    return q
+
+
+for _name, _method in (("kl_penalty_abs", "abs"), ("kl_penalty_mse", "mse"), ("kl_penalty_raw", None)):
+    register(_name, f"{_TOK} SELECT seq, pos, {Q.rnd(Q.penalty_expr(_method, BETA))} AS kl_penalty FROM tok")(
+        _kl_query(_method)
+    )
+
+
+@register("rewards_kl", f"{_TOK}, {Q.gae_ctes('abs', BETA, GAMMA, LAM)} SELECT seq, pos, {Q.rnd('rkl')} AS rewards_kl FROM rk")
+def rewards_kl(spark: SparkSession, base: str) -> DataFrame:
+    return _long(_experience(spark, base), ["rewards_kl"])
+
+
+@register(
+    "rewards_kl_clip",
+    f"{_TOK}, {Q.gae_ctes('abs', BETA, GAMMA, LAM, clip=1.0)} SELECT seq, pos, {Q.rnd('rkl')} AS rewards_kl FROM rk",
+)
+def rewards_kl_clip(spark: SparkSession, base: str) -> DataFrame:
+    return _long(_experience(spark, base, clip=1.0), ["rewards_kl"])
+
+
+@register(
+    "kl_penalty_compat",
+    f"{_TOK}, {Q.gae_ctes('abs', BETA, GAMMA, LAM)} SELECT seq, pos, {Q.rnd('rkl_raw')} AS kl_penalty FROM rk",
+)
+def kl_penalty_compat(spark: SparkSession, base: str) -> DataFrame:
+    return _long(_experience(spark, base, compat=True), ["kl_penalty"])
+
+
+@register(
+    "last_reward",
+    f"{_TOK} SELECT seq, {Q.rnd('value')} AS reward_score FROM ev WHERE pos = T - 1",
+)
+def last_reward(spark: SparkSession, base: str) -> DataFrame:
+    r = _rollout(spark, base)
+    return r.select(F.col("seq").cast("long").alias("seq"), _r(R.last_reward(F.col("critic_values"), F.col("response_mask"))).alias("reward_score"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Advantages, returns, whitening
+# ---------------------------------------------------------------------------------------------
+
+_GAE = f"WITH RECURSIVE {Q.SCORES_CTE}, {Q.gae_ctes('abs', BETA, GAMMA, LAM)}"
+
+
+@register("gae_array", f"{_GAE} SELECT seq, pos, {Q.rnd('a')} AS advantage, {Q.rnd('r')} AS return_value FROM ret")
+def gae_array(spark: SparkSession, base: str) -> DataFrame:
+    return _long(_experience(spark, base), ["advantages", "returns"], {"advantages": "advantage", "returns": "return_value"})
+
+
+@register("gae_long", f"{_GAE} SELECT seq, pos, {Q.rnd('a')} AS advantage FROM ret")
+def gae_long_q(spark: SparkSession, base: str) -> DataFrame:
+    exp = _experience(spark, base)
+    t = V.explode_tokens(exp, ["seq"], ["rewards_kl", "critic_values"])
+    g = gae_long(t, "seq", "pos", "rewards_kl", "critic_values", GAMMA, LAM, out_col="advantage")
+    return g.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), _r(F.col("advantage")).alias("advantage"))
+
+
+def _whiten_sql(compat: bool) -> str:
+    num = "sum(a)" if compat else "sum(a * ms)"
+    return f"""{_GAE},
+wm AS (SELECT batch_id, {num} / sum(ms) AS mean FROM ret GROUP BY batch_id),
+wv AS (SELECT ret.batch_id, sum(ms * (a - wm.mean) * (a - wm.mean)) / sum(ms) AS var
+       FROM ret JOIN wm ON ret.batch_id = wm.batch_id GROUP BY ret.batch_id)
+SELECT ret.seq, ret.pos, {Q.rnd('(ret.a - wm.mean) / sqrt(wv.var + 1e-6)')} AS advantage
+FROM ret JOIN wm ON ret.batch_id = wm.batch_id JOIN wv ON ret.batch_id = wv.batch_id"""
+
+
+@register("whiten", _whiten_sql(False))
+def whiten(spark: SparkSession, base: str) -> DataFrame:
+    return _long(_experience(spark, base, norm=True), ["advantages"], {"advantages": "advantage"})
+
+
+@register("whiten_compat", _whiten_sql(True))
+def whiten_compat(spark: SparkSession, base: str) -> DataFrame:
+    return _long(_experience(spark, base, norm=True, compat=True), ["advantages"], {"advantages": "advantage"})
+
+
+# ---------------------------------------------------------------------------------------------
+# Cross-entropy, perplexity, PPO losses
+# ---------------------------------------------------------------------------------------------
+
+
+@register(
+    "sequence_ce",
+    f"""{_TOK} SELECT seq, {Q.rnd('-sum(actor) / (count(*) + 1e-8)')} AS actor_ce,
+       {Q.rnd('-sum(ref) / (count(*) + 1e-8)')} AS ref_ce FROM tok GROUP BY seq""",
+)
+def sequence_ce(spark: SparkSession, base: str) -> DataFrame:
+    r = _rollout(spark, base)
+    return r.select(
+        F.col("seq").cast("long").alias("seq"),
+        _r(R.sequence_ce(F.col("actor_logp"), F.col("sequence_mask"))).alias("actor_ce"),
+        _r(R.sequence_ce(F.col("ref_logp"), F.col("sequence_mask"))).alias("ref_ce"),
+    )
+
+
+_CLM_SQL = "-sum(actor * ms) / sum(ms)"
+
+
+@register(
+    "clm_perplexity",
+    f"""{_TOK} SELECT batch_id, {Q.rnd(_CLM_SQL)} AS clm_loss, {Q.rnd(f'exp({_CLM_SQL})')} AS perplexity
+FROM tok GROUP BY batch_id""",
+)
+def clm_perplexity(spark: SparkSession, base: str) -> DataFrame:
+    r = _rollout(spark, base).withColumn("ms", R.shifted(F.col("response_mask")))
+    c = OB.clm_loss(r, "actor_logp", mask="ms", group_cols=("batch_id",))
+    return c.select("batch_id", _r(F.col("clm_loss")).alias("clm_loss"), _r(F.col("perplexity")).alias("perplexity"))
+
+
+_ACTOR_SQL = f"""{_GAE},
+pa AS (SELECT *, exp((new - actor) * ms) AS ratio FROM ret),
+pt AS (SELECT *, greatest(-a * ratio, -a * greatest({1 - CLIP}, least({1 + CLIP}, ratio))) AS term,
+              greatest(v - {CLIP}, least(v + {CLIP}, new_value)) AS clipped FROM pa),
+al AS (SELECT batch_id, sum(term * ms) / (sum(ms) + 1e-8) AS actor_loss,
+              0.5 * sum(greatest((new_value - r) * (new_value - r), (clipped - r) * (clipped - r)) * ms) / (sum(ms) + 1e-8) AS critic_loss,
+              sum((new_value - r) * (new_value - r) * ms) / (sum(ms) + 1e-8) AS values_error_mean,
+              {_CLM_SQL} AS clm_loss
+       FROM pt GROUP BY batch_id)"""
+
+
+def _losses(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    exp = _experience(spark, base)
+    actor = OB.ppo_actor_loss(exp, "batch_id", "advantages", "new_logp", "actor_logp", "ms", CLIP)
+    critic = OB.ppo_critic_loss(exp, "batch_id", "critic_values", "new_values", "returns", "ms", CLIP)
+    clm = OB.clm_loss(exp, "actor_logp", mask="ms", group_cols=("batch_id",))
+    return actor, critic, clm
+
+
+@register("ppo_actor_loss", f"{_ACTOR_SQL} SELECT batch_id, {Q.rnd('actor_loss')} AS actor_loss FROM al")
+def ppo_actor_loss(spark: SparkSession, base: str) -> DataFrame:
+    actor, _, _ = _losses(spark, base)
+    return actor.select("batch_id", _r(F.col("actor_loss")).alias("actor_loss"))
+
+
+@register(
+    "ppo_critic_loss",
+    f"{_ACTOR_SQL} SELECT batch_id, {Q.rnd('critic_loss')} AS critic_loss, {Q.rnd('values_error_mean')} AS values_error_mean FROM al",
+)
+def ppo_critic_loss(spark: SparkSession, base: str) -> DataFrame:
+    _, critic, _ = _losses(spark, base)
+    return critic.select("batch_id", _r(F.col("critic_loss")).alias("critic_loss"), _r(F.col("values_error_mean")).alias("values_error_mean"))
+
+
+_WARMUP = int(EXTRA_RATIO * MAX_STEPS)
+_EXTRA_W_SQL = f"(CASE WHEN batch_id + 1 < {_WARMUP} THEN (batch_id + 1) / {float(_WARMUP)} * {EXTRA_W} ELSE pow({EXTRA_W}, 1.001) END)"
+
+
+@register(
+    "ppo_total_loss",
+    f"{_ACTOR_SQL} SELECT batch_id, {Q.rnd(f'actor_loss + critic_loss + {_EXTRA_W_SQL} * clm_loss')} AS total_loss FROM al",
+)
+def ppo_total_loss(spark: SparkSession, base: str) -> DataFrame:
+    actor, critic, clm = _losses(spark, base)
+    j = actor.join(critic, "batch_id").join(clm, "batch_id")
+    w = O.extra_loss_weight(F.col("batch_id") + 1, EXTRA_W, EXTRA_RATIO, MAX_STEPS)
+    total = O.ppo_total_loss(F.col("actor_loss"), F.lit(0.0), F.col("critic_loss"), F.col("clm_loss"), w)
+    return j.select("batch_id", _r(total).alias("total_loss"))
+
+
+@register("extra_weight", f"{_TOK} SELECT DISTINCT batch_id + 1 AS step, {Q.rnd(_EXTRA_W_SQL)} AS weight FROM ev")
+def extra_weight(spark: SparkSession, base: str) -> DataFrame:
+    steps = _rollout(spark, base).select((F.col("batch_id") + 1).alias("step")).distinct()
+    return steps.select("step", _r(O.extra_loss_weight(F.col("step"), EXTRA_W, EXTRA_RATIO, MAX_STEPS)).alias("weight"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Pairs: DPO and reward-model losses (chosen = even user, rejected = user + 1)
+# ---------------------------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, base: str) -> DataFrame:
+    r = _rollout(spark, base).withColumn("ms", R.shifted(F.col("response_mask")))
+    side = ["actor_logp", "ref_logp", "ms", "critic_values", "response_mask", "sequence_mask"]
+    chosen = r.filter(F.pmod(F.col("seq"), F.lit(2)) == 0).select(
+        "seq", "batch_id", *[F.col(c).alias(f"a_{c}") for c in side]
+    )
+    rejected = r.select((F.col("seq") - 1).alias("seq"), *[F.col(c).alias(f"r_{c}") for c in side])
+    return chosen.join(rejected, "seq")
+
+
+def _dpo_scores(spark: SparkSession, base: str, cfg: PairConfig) -> DataFrame:
+    p = _pairs(spark, base)
+    avg = cfg.average_log_prob
+    s = p.select(
+        F.col("seq").alias("example_id"),
+        "batch_id",
+        O.sequence_logps_by_mask(F.col("a_actor_logp"), F.col("a_ms"), avg).alias("accepts_logps"),
+        O.sequence_logps_by_mask(F.col("r_actor_logp"), F.col("r_ms"), avg).alias("rejects_logps"),
+        O.sequence_logps_by_mask(F.col("a_ref_logp"), F.col("a_ms"), avg).alias("ref_accepts_logps"),
+        O.sequence_logps_by_mask(F.col("r_ref_logp"), F.col("r_ms"), avg).alias("ref_rejects_logps"),
+    )
+    return OB.dpo_outputs(s, cfg)
+
+
+_DPO_BASE = f"""{_TOK},
+sl AS (SELECT seq, any_value(batch_id) AS batch_id, sum(actor * ms) AS lp, sum(ref * ms) AS rlp FROM tok GROUP BY seq),
+dp AS (SELECT c.seq AS example_id, c.batch_id, c.lp AS a, r.lp AS rj, c.rlp AS ra, r.rlp AS rr
+       FROM sl c JOIN sl r ON r.seq = c.seq + 1 WHERE c.seq % 2 = 0)"""
+
+
+def _dpo_sql(beta: float, reference_free: bool = False) -> str:
+    ref = "0.0" if reference_free else f"{beta} * (ra - rr)"
+    x = f"({beta} * (a - rj) - {ref})"
+    return f"""{_DPO_BASE},
+dq AS (SELECT *, {beta} * (a - ra) AS ar, {beta} * (rj - rr) AS rw, {beta} * (a - rj) AS pi, {ref} AS rf,
+              greatest(-{x}, 0) + ln(1 + exp(-abs({x}))) AS loss FROM dp)"""
+
+
+@register(
+    "dpo_logps",
+    f"""{_DPO_BASE} SELECT example_id, {Q.rnd('a')} AS accepts_logps, {Q.rnd('rj')} AS rejects_logps,
+       {Q.rnd('ra')} AS ref_accepts_logps, {Q.rnd('rr')} AS ref_rejects_logps FROM dp""",
+)
+def dpo_logps(spark: SparkSession, base: str) -> DataFrame:
+    s = _dpo_scores(spark, base, PairConfig(dpo_beta=DPO_BETA))
+    return s.select("example_id", *[_r(F.col(c)).alias(c) for c in ("accepts_logps", "rejects_logps", "ref_accepts_logps", "ref_rejects_logps")])
+
+
+@register(
+    "dpo_rewards",
+    f"""{_dpo_sql(DPO_BETA)} SELECT example_id, {Q.rnd('ar')} AS accepts_reward, {Q.rnd('rw')} AS rejects_reward,
+       {Q.rnd('pi')} AS pi_ratio, {Q.rnd('rf')} AS ref_ratio, {Q.rnd('-a')} AS accepts_ce_loss, {Q.rnd('-rj')} AS rejects_ce_loss,
+       {Q.rnd('loss')} AS dpo_loss_row FROM dq""",
+)
+def dpo_rewards(spark: SparkSession, base: str) -> DataFrame:
+    s = _dpo_scores(spark, base, PairConfig(dpo_beta=DPO_BETA))
+    cols = ["accepts_reward", "rejects_reward", "pi_ratio", "ref_ratio", "accepts_ce_loss", "rejects_ce_loss", "dpo_loss_row"]
+    return s.select("example_id", *[_r(F.col(c)).alias(c) for c in cols])
+
+
+def _dpo_loss_sql(reference_free: bool) -> str:
+    return f"""{_dpo_sql(DPO_BETA, reference_free)}
+SELECT batch_id, {Q.rnd('avg(loss)')} AS dpo_loss, {Q.rnd('avg(CASE WHEN ar >= rw THEN 1.0 ELSE 0.0 END)')} AS accuracy,
+       count(*) AS n_pairs FROM dq GROUP BY batch_id"""
+
+
+def _dpo_loss(reference_free: bool):
+    def q(spark: SparkSession, base: str) -> DataFrame:
+        cfg = PairConfig(dpo_beta=DPO_BETA, reference_free=reference_free)
+        l = OB.dpo_loss(_dpo_scores(spark, base, cfg), "batch_id", cfg)
+        return l.select("batch_id", _r(F.col("dpo_loss")).alias("dpo_loss"), _r(F.col("accuracy")).alias("accuracy"), "n_pairs")
+
+    return q
+
+
+register("dpo_loss", _dpo_loss_sql(False))(_dpo_loss(False))
+register("dpo_reference_free", _dpo_loss_sql(True))(_dpo_loss(True))
+
+
+@register(
+    "pair_accuracy",
+    f"""{_dpo_sql(DPO_BETA)} SELECT {Q.rnd('avg(CASE WHEN ar >= rw THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM dq""",
+)
+def pair_accuracy(spark: SparkSession, base: str) -> DataFrame:
+    s = _dpo_scores(spark, base, PairConfig(dpo_beta=DPO_BETA))
+    return OB.pair_accuracy(s, "accepts_reward", "rejects_reward").select(_r(F.col("accuracy")).alias("accuracy"))
+
+
+_EVAL_COLS = ["accepts_reward", "rejects_reward", "pi_ratio", "ref_ratio", "accepts_ce_loss", "rejects_ce_loss"]
+_EVAL_SQL = {"accepts_reward": "ar", "rejects_reward": "rw", "pi_ratio": "pi", "ref_ratio": "rf", "accepts_ce_loss": "-a", "rejects_ce_loss": "-rj"}
+
+
+@register(
+    "dpo_eval_metrics",
+    f"{_dpo_sql(DPO_BETA)} SELECT " + ", ".join(f"{Q.rnd(f'avg({e})')} AS eval_{c}" for c, e in _EVAL_SQL.items()) + " FROM dq",
+)
+def dpo_eval_metrics(spark: SparkSession, base: str) -> DataFrame:
+    m = M.pair_eval_metrics(_dpo_scores(spark, base, PairConfig(dpo_beta=DPO_BETA)), _EVAL_COLS, "batch_id")
+    return m.select(*[_r(F.col(f"eval_{c}")).alias(f"eval_{c}") for c in _EVAL_COLS])
+
+
+@register(
+    "dpo_eval_metrics_compat",
+    f"{_dpo_sql(DPO_BETA)} SELECT "
+    + ", ".join(f"{Q.rnd(f'avg({e})')} AS eval_{c}" for c, e in _EVAL_SQL.items())
+    + " FROM dq WHERE batch_id = (SELECT max(batch_id) FROM dq)",
+)
+def dpo_eval_metrics_compat(spark: SparkSession, base: str) -> DataFrame:
+    m = M.pair_eval_metrics(_dpo_scores(spark, base, PairConfig(dpo_beta=DPO_BETA)), _EVAL_COLS, "batch_id", compat=True)
+    return m.select(*[_r(F.col(f"eval_{c}")).alias(f"eval_{c}") for c in _EVAL_COLS])
+
+
+def _rm(spark: SparkSession, base: str) -> DataFrame:
+    p = _pairs(spark, base)
+    labels = lambda mask: F.transform(mask, lambda m: F.when(m == 1, F.lit(1)).otherwise(F.lit(-100)))
+    out = p.withColumn("accepts_values", O.rm_mask_values(F.col("a_critic_values"), labels(F.col("a_response_mask"))))
+    out = out.withColumn("rejects_values", O.rm_mask_values(F.col("r_critic_values"), labels(F.col("r_response_mask"))))
+    out = out.withColumn("accepts_end_value", O.rm_end_value(F.col("accepts_values"), F.col("a_sequence_mask"), 0))
+    return out.withColumn("rejects_end_value", O.rm_end_value(F.col("rejects_values"), F.col("r_sequence_mask"), 0))
+
+
+_RM_BASE = f"""{_TOK},
+rv AS (SELECT seq, pos, T, batch_id, value * CASE WHEN pos < 8 THEN 0 ELSE 1 END AS mv FROM ev),
+pr AS (SELECT c.seq AS pair, c.batch_id FROM (SELECT DISTINCT seq, batch_id FROM ev) c
+       JOIN (SELECT DISTINCT seq FROM ev) r ON r.seq = c.seq + 1 WHERE c.seq % 2 = 0),
+ends AS (SELECT pr.pair, pr.batch_id, a.mv AS ae, r.mv AS re FROM pr
+         JOIN rv a ON a.seq = pr.pair AND a.pos = a.T - 1 JOIN rv r ON r.seq = pr.pair + 1 AND r.pos = r.T - 1),
+last AS (SELECT batch_id, avg(greatest(-(ae - re), 0) + ln(1 + exp(-abs(ae - re)))) AS rm_loss FROM ends GROUP BY batch_id)"""
+
+
+@register("rm_loss_last", f"{_RM_BASE} SELECT batch_id, {Q.rnd('rm_loss')} AS rm_loss FROM last")
+def rm_loss_last(spark: SparkSession, base: str) -> DataFrame:
+    l = OB.rm_pairwise_loss(_rm(spark, base), "batch_id", use_last_reward=True)
+    return l.select("batch_id", _r(F.col("rm_loss")).alias("rm_loss"))
+
+
+@register(
+    "rm_loss_all",
+    f"""{_RM_BASE},
+ca AS (SELECT pr.pair, pr.batch_id, rv.pos, rv.mv FROM pr JOIN rv ON rv.seq = pr.pair),
+cr AS (SELECT pr.pair, pr.batch_id, rv.pos, rv.mv FROM pr JOIN rv ON rv.seq = pr.pair + 1),
+pp AS (SELECT coalesce(ca.pair, cr.pair) AS pair, coalesce(ca.batch_id, cr.batch_id) AS batch_id,
+              coalesce(ca.mv, 0) - coalesce(cr.mv, 0) AS d
+       FROM ca FULL OUTER JOIN cr ON ca.pair = cr.pair AND ca.pos = cr.pos),
+w AS (SELECT pair, batch_id, count(*) AS width, sum(greatest(-d, 0) + ln(1 + exp(-abs(d)))) AS s FROM pp GROUP BY pair, batch_id)
+SELECT batch_id, {Q.rnd(f'(sum(s) + (max(width) * count(*) - sum(width)) * {math.log(2.0)}) / (max(width) * count(*))')} AS rm_loss
+FROM w GROUP BY batch_id""",
+)
+def rm_loss_all(spark: SparkSession, base: str) -> DataFrame:
+    l = OB.rm_pairwise_loss(_rm(spark, base), "batch_id", use_last_reward=False)
+    return l.select("batch_id", _r(F.col("rm_loss")).alias("rm_loss"))
+
+
+@register(
+    "rm_total",
+    f"""{_RM_BASE},
+clm AS (SELECT pr.batch_id, -sum(t.actor * t.ms) / sum(t.ms) AS clm FROM pr JOIN tok t ON t.seq = pr.pair GROUP BY pr.batch_id)
+SELECT last.batch_id, {Q.rnd('last.rm_loss + 1.0 * clm.clm')} AS rm_total FROM last JOIN clm ON last.batch_id = clm.batch_id""",
+)
+def rm_total(spark: SparkSession, base: str) -> DataFrame:
+    rm = _rm(spark, base)
+    last = OB.rm_pairwise_loss(rm, "batch_id", use_last_reward=True)
+    clm = OB.clm_loss(rm, "a_actor_logp", mask="a_ms", group_cols=("batch_id",))
+    return last.join(clm, "batch_id").select("batch_id", _r(F.col("rm_loss") + F.lit(1.0) * F.col("clm_loss")).alias("rm_total"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Metrics
+# ---------------------------------------------------------------------------------------------
+
+_METRIC_EXPR = {
+    "kl_penalty": "pen",
+    "rewards_kl": "rkl",
+    "advantages": "a",
+    "ratio": "exp((new - actor) * ms)",
+    "returns": "r",
+    "values_error": "(new_value - r) * (new_value - r)",
+}
+
+
+def _rollout_metrics_sql() -> str:
+    cols = ", ".join(f"{e} AS x_{c}" for c, e in _METRIC_EXPR.items())
+    means = ", ".join(f"sum(x_{c} * ms) / (sum(ms) + 1e-8) AS m_{c}" for c in _METRIC_EXPR)
+    vars_ = ", ".join(f"sum(ms * (x_{c} - mm.m_{c}) * (x_{c} - mm.m_{c})) / (sum(ms) + 1e-8) AS v_{c}" for c in _METRIC_EXPR)
+    out = ", ".join(f"{Q.rnd(f'mm.m_{c}')} AS {c}_mean, {Q.rnd(f'vv.v_{c}')} AS {c}_var" for c in _METRIC_EXPR)
+    return f"""{_GAE},
+x AS (SELECT batch_id, seq, ms, {cols} FROM ret),
+mm AS (SELECT batch_id, {means} FROM x GROUP BY batch_id),
+vv AS (SELECT x.batch_id, {vars_} FROM x JOIN mm ON x.batch_id = mm.batch_id GROUP BY x.batch_id),
+sq AS (SELECT seq, any_value(batch_id) AS batch_id, any_value(reward) AS reward,
+              -sum(actor) / (count(*) + 1e-8) AS actor_ce, -sum(ref) / (count(*) + 1e-8) AS ref_ce FROM tok GROUP BY seq),
+sc AS (SELECT batch_id, avg(reward) AS rsm, var_samp(reward) AS rsv, exp(avg(actor_ce)) AS ap, exp(avg(ref_ce)) AS rp
+       FROM sq GROUP BY batch_id)
+SELECT mm.batch_id, {out}, {Q.rnd('sc.rsm')} AS reward_score_mean, {Q.rnd('sc.rsv')} AS reward_score_var,
+       {Q.rnd('sc.ap')} AS actor_perplexity, {Q.rnd('sc.rp')} AS ref_perplexity
+FROM mm JOIN vv ON mm.batch_id = vv.batch_id JOIN sc ON mm.batch_id = sc.batch_id"""
+
+
+@register("rollout_metrics", _rollout_metrics_sql())
+def rollout_metrics(spark: SparkSession, base: str) -> DataFrame:
+    exp = _experience(spark, base)
+    exp = exp.withColumn("ratio", R.policy_ratio(F.col("new_logp"), F.col("actor_logp"), F.col("ms")))
+    exp = exp.withColumn("values_error", O.values_error(F.col("new_values"), F.col("returns")))
+    m = M.rollout_metrics(exp, ["batch_id"], mask="ms", array_cols=list(_METRIC_EXPR))
+    return m.select("batch_id", *[_r(F.col(c)).alias(c) for c in m.columns if c != "batch_id"])
+
+
+@register(
+    "length_metrics",
+    f"""{_TOK}, sq AS (SELECT seq, any_value(batch_id) AS batch_id, 8 AS pl, any_value(T) - 8 AS rl FROM ev GROUP BY seq)
+SELECT batch_id, {Q.rnd('avg(pl)')} AS prompts_length_mean, {Q.rnd('var_samp(pl)')} AS prompts_length_var,
+       {Q.rnd('avg(rl)')} AS responses_length_mean, {Q.rnd('var_samp(rl)')} AS responses_length_var FROM sq GROUP BY batch_id""",
+)
+def length_metrics(spark: SparkSession, base: str) -> DataFrame:
+    r = _rollout(spark, base)
+    n = F.size("sequence_mask")
+    r = r.select(
+        "batch_id",
+        F.slice("sequence_mask", 1, V.PROMPT_POSITIONS).alias("prompt_ids"),
+        F.slice(F.col("sequence_mask"), V.PROMPT_POSITIONS + 1, n - V.PROMPT_POSITIONS).alias("response_ids"),
+    )
+    m = M.length_metrics(r, ["batch_id"])
+    return m.select("batch_id", *[_r(F.col(c)).alias(c) for c in m.columns if c != "batch_id"])
+
+
+def _step_log(spark: SparkSession, base: str) -> DataFrame:
+    ev = V.table(spark, base, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return ev.select(F.col("user_id").alias("rank"), F.row_number().over(w).alias("step"), "value")
+
+
+_STEP_SQL = f"""sl AS (SELECT user_id AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, value FROM events),
+u AS (SELECT CAST(ceil(step / {float(STEP_ACCUM)}) AS BIGINT) AS update, rank, avg(value) AS value FROM sl
+      GROUP BY 1, 2 HAVING count(*) = {STEP_ACCUM}),
+um AS (SELECT update, avg(value) AS value FROM u GROUP BY update)"""
+
+
+@register("step_metrics", f"WITH {_STEP_SQL} SELECT update, {Q.rnd('value')} AS value FROM um")
+def step_metrics(spark: SparkSession, base: str) -> DataFrame:
+    s = M.step_metrics(_step_log(spark, base), STEP_ACCUM, ["value"])
+    return s.select("update", _r(F.col("value")).alias("value"))
+
+
+@register("log_cadence", f"WITH {_STEP_SQL} SELECT update, {Q.rnd('value')} AS value FROM um WHERE update > 0 AND update % 2 = 0")
+def log_cadence(spark: SparkSession, base: str) -> DataFrame:
+    s = M.log_cadence(M.step_metrics(_step_log(spark, base), STEP_ACCUM, ["value"]), 2)
+    return s.select("update", _r(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Token log-probabilities and entropies over logits (first 8 embedding values as one position)
+# ---------------------------------------------------------------------------------------------
+
+
+@register(
+    "token_logprobs",
+    f"""WITH u AS (SELECT e.vec_id, e.label % 8 AS y, CAST(x.v AS DOUBLE) AS v, x.k - 1 AS k
+           FROM embeddings e, unnest(e.embedding[1:8]) WITH ORDINALITY AS x(v, k)),
+m AS (SELECT vec_id, max(v) AS mx FROM u GROUP BY vec_id),
+l AS (SELECT u.vec_id, m.mx + ln(sum(exp(u.v - m.mx))) AS lse FROM u JOIN m ON u.vec_id = m.vec_id GROUP BY u.vec_id, m.mx)
+SELECT u.vec_id, {Q.rnd('max(CASE WHEN u.k = u.y THEN u.v END) - l.lse')} AS logp,
+       {Q.rnd('-sum(exp(u.v - l.lse) * (u.v - l.lse))')} AS entropy
+FROM u JOIN l ON u.vec_id = l.vec_id GROUP BY u.vec_id, l.lse""",
+)
+def token_logprobs(spark: SparkSession, base: str) -> DataFrame:
+    e = V.table(spark, base, "embeddings")
+    logits = F.slice(F.col("embedding"), 1, 8).cast("array<double>")
+    label = F.pmod(F.col("label"), F.lit(8))
+    return e.select(
+        "vec_id",
+        _r(R.log_softmax_at(logits, label)).alias("logp"),
+        _r(R.entropy(logits)).alias("entropy"),
+    )

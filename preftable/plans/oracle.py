@@ -132,7 +132,11 @@ def penalty_expr(method: str | None, beta: float) -> str:
 
 
 def gae_ctes(method: str | None = "abs", beta: float = 0.1, gamma: float = 1.0, lam: float = 0.95, clip: float | None = None) -> str:
-    """``rk``: penalised, masked rewards and masked values; ``adv``: advantages and returns."""
+    """``rk``: penalised, masked rewards and masked values; ``adv``: advantages and returns.
+
+    Advantages follow the backward recursion ``A_t = δ_t + γλ·A_{t+1}`` (a recursive CTE; the
+    enclosing ``WITH`` must be ``WITH RECURSIVE``).
+    """
     reward = "reward" if clip is None else f"greatest(-{clip}, least({clip}, reward))"
     c = gamma * lam
     return f"""rk AS (
@@ -143,9 +147,9 @@ def gae_ctes(method: str | None = "abs", beta: float = 0.1, gamma: float = 1.0,
   FROM tok),
 dl AS (
   SELECT *, rkl + {gamma} * coalesce(lead(v) OVER (PARTITION BY seq ORDER BY pos), 0) - v AS delta FROM rk),
-adv AS (
-  SELECT *,
-         sum(delta * pow({c}, pos)) OVER (PARTITION BY seq ORDER BY pos DESC
-                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / pow({c}, pos) AS a
-  FROM dl),
+rec(seq, pos, a) AS (
+  SELECT seq, pos, delta FROM dl WHERE pos = T - 2
+  UNION ALL
+  SELECT d.seq, d.pos, d.delta + {c} * rec.a FROM rec JOIN dl d ON d.seq = rec.seq AND d.pos = rec.pos - 1),
+adv AS (SELECT dl.*, rec.a FROM dl JOIN rec ON dl.seq = rec.seq AND dl.pos = rec.pos),
 ret AS (SELECT *, a + v AS r FROM adv)"""
