@@ -115,7 +115,7 @@ SELECT doc_id, len(ids) AS n_ids, {Q.ids_text('ids')} AS ids FROM enc""",
 def encode_docs(spark: SparkSession, base: str) -> DataFrame:
     docs = V.table(spark, base, "documents").select("doc_id", "text")
     enc = encode(docs, "text", V.document_vocab(spark, base), ["doc_id"], IDS)
-    return enc.select("doc_id", F.size("text_ids").alias("n_ids"), ids_text(F.col("text_ids")).alias("ids"))
+    return enc.select("doc_id", F.size("text_ids").cast("long").alias("n_ids"), ids_text(F.col("text_ids")).alias("ids"))
 
 
 @register(
@@ -157,7 +157,7 @@ def sft_sequences(spark: SparkSession, base: str) -> DataFrame:
         "example_id",
         ids_text(F.col("input_ids")).alias("input_ids"),
         ids_text(F.col("label_ids")).alias("label_ids"),
-        F.size("input_ids").alias("n_ids"),
+        F.size("input_ids").cast("long").alias("n_ids"),
     )
 
 
@@ -254,7 +254,7 @@ def pair_flat(spark: SparkSession, base: str) -> DataFrame:
         "example_id",
         ids_text(F.col("input_ids")).alias("input_ids"),
         ids_text(F.col("label_ids")).alias("label_ids"),
-        F.size("input_ids").alias("n_flat"),
+        F.size("input_ids").cast("long").alias("n_flat"),
         same.alias("round_trip"),
     )
 

@@ -65,7 +65,7 @@ def batches(spark: SparkSession, base: str) -> DataFrame:
 @register(
     "mini_batches",
     f"""WITH {_SFT_IDS}, {_BATCHES_CTE}
-SELECT example_id, batch_id, idx_in_batch // {MINI} AS mini_id FROM bb""",
+SELECT example_id, batch_id, CAST(idx_in_batch // {MINI} AS BIGINT) AS mini_id FROM bb""",
 )
 def mini_batches(spark: SparkSession, base: str) -> DataFrame:
     b = B.make_mini_batches(_batched(_sft_examples(spark, base), "example_id"), MINI)
@@ -296,7 +296,7 @@ def strip_join(spark: SparkSession, base: str) -> DataFrame:
     return sj.select(
         "example_id",
         "batch_id",
-        F.size("prompt_ids").alias("prompt_len"),
+        F.size("prompt_ids").cast("long").alias("prompt_len"),
         *[ids_text(F.col(c)).alias(c) for c in ("sequence_ids", "sequence_mask", "response_mask")],
     )
 
