@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from preftable.config import TOKEN_PATTERN, SpecialIds
 from preftable.operators.indexing import with_row_index
+from preftable.operators.partitioning import spread_small_input
 
 DEFAULT_BROADCAST_LIMIT = 2_000_000
 
@@ -44,7 +45,8 @@ def build_vocab(
     per task before the shuffle. Ranking uses range-partitioned numbering, not a global window.
     """
     counts = (
-        df.select(F.explode(tokens(F.col(text_col), pattern)).alias("token"))
+        spread_small_input(df.select(text_col))
+        .select(F.explode(tokens(F.col(text_col), pattern)).alias("token"))
         .filter(F.col("token") != "")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
@@ -94,7 +96,8 @@ def encode(
     keys = list(key_cols) + list(passthrough)
     fields = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("string").alias("t")) for i, c in enumerate(cols)])
     exploded = (
-        df.select(*keys, F.inline(fields))
+        spread_small_input(df.select(*keys, *cols))
+        .select(*keys, F.inline(fields))
         .select(*keys, "f", F.posexplode_outer(tokens(F.col("t"), pattern)).alias("pos", "token"))
     )
     joined = _lookup(exploded, vocab, broadcast_limit)

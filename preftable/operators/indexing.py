@@ -7,18 +7,27 @@ bits, local position in the lower 33 bits), and shifted by the row count of all
 partitions. The offsets table has one row per partition, so its size is bounded by the partition
 count and broadcasting it is safe.
 
+The range-partitioned, locally numbered rows are written once to a table in the shared checkpoint
+folder (``spark.checkpoint.dir``) and read back: the per-partition counts and the final index then
+come from the same stored rows, so the upstream plan runs once (Spark does not reuse the exchange
+across the two branches), and the lineage is cut, so a lost executor re-reads the table instead
+of recomputing the pipeline.
+
 The ordering key must be unique (append the row key as a tie breaker); then the numbering is
-deterministic and survives task retries and executor loss, because the range bounds are sampled
-with fixed seeds and every recomputation sorts the same rows the same way.
+deterministic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from preftable.session import scratch_table_path
+
 _PID = "__pt_pid"
 _MID = "__pt_mid"
 _CNT = "__pt_cnt"
@@ -44,8 +53,13 @@ def with_row_index(
     order_cols: Sequence[str | Column],
     name: str = "row_idx",
     partitions: int | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
-    """Add a 0-based global row index ``name`` in the order of ``order_cols`` (must be unique)."""
+    """Add a 0-based global row index ``name`` in the order of ``order_cols`` (must be unique).
+
+    ``materialize=False`` skips the stored table (the upstream plan then runs twice); use it only
+    for cheap inputs.
+    """
     n = _num_partitions(df, partitions)
     order = _as_cols(order_cols)
     ranged = (
@@ -54,6 +68,11 @@ def with_row_index(
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
     )
+    if materialize:
+        spark = df.sparkSession
+        path = scratch_table_path(spark, f"row-index-{uuid.uuid4().hex}")
+        ranged.write.mode("overwrite").parquet(path)
+        ranged = spark.read.parquet(path)
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
     # One row per range partition: a bounded table, so the frame without partitionBy is harmless.
     offsets = counts.select(
