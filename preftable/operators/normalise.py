@@ -71,13 +71,14 @@ def detect_layout(df: DataFrame, task: str = "sft", file_col: str = "file") -> D
     present = all(c in df.columns for c in key)
     if not present:
         return df.withColumn("layout", F.lit("instruction"))
-    has_instruction = "instruction" in df.columns
-    if not has_instruction or file_col not in df.columns:
-        return df.withColumn("layout", F.lit("preference" if pair_task else "prompt"))
-    flags = df.groupBy(file_col).agg(
-        F.max(F.when(F.coalesce(*[F.col(c).isNotNull() for c in key]), 1).otherwise(0)).alias("__pt_has")
-    )
     other = F.lit("preference" if pair_task else "prompt")
+    has_key = F.coalesce(*[F.col(c).isNotNull() for c in key])
+    if "instruction" not in df.columns:
+        return df.withColumn("layout", other)
+    if file_col not in df.columns:
+        # No file to group by: decide per row from the columns that hold values.
+        return df.withColumn("layout", F.when(has_key, other).otherwise(F.lit("instruction")))
+    flags = df.groupBy(file_col).agg(F.max(F.when(has_key, 1).otherwise(0)).alias("__pt_has"))
     return (
         df.join(flags, file_col, "left")
         .withColumn("layout", F.when(F.col("__pt_has") == 1, other).otherwise(F.lit("instruction")))

@@ -53,9 +53,9 @@ def read_split_files(
 ) -> DataFrame:
     """Explicit train and validation files → one DataFrame tagged by ``split``."""
     reader = spark.read.schema(schema).option("multiLine", str(multi_line).lower())
-    tr = reader.json(train).withColumn("split", F.lit("train"))
-    va = reader.json(valid).withColumn("split", F.lit("test"))
-    return tr.unionByName(va).withColumn("file", F.col("_metadata.file_path"))
+    tr = reader.json(train).withColumn("split", F.lit("train")).withColumn("file", F.col("_metadata.file_path"))
+    va = reader.json(valid).withColumn("split", F.lit("test")).withColumn("file", F.col("_metadata.file_path"))
+    return tr.unionByName(va)
 
 
 def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
