@@ -13,6 +13,7 @@ def _load() -> None:
     from preftable.plans import catalog_batches  # noqa: F401
     from preftable.plans import catalog_scores  # noqa: F401
     from preftable.plans import catalog_io  # noqa: F401
+    from preftable.plans import catalog_records  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
