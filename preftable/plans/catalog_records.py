@@ -96,7 +96,7 @@ def sft_text_compat(spark: SparkSession, base: str) -> DataFrame:
     "rollout_buffers",
     f"""{_TOK},
 per_seq AS (SELECT seq, any_value(batch_id) // 2 AS buffer_id, any_value(reward) AS reward, count(*) AS n_tok FROM tok GROUP BY seq)
-SELECT buffer_id, count(*) AS n_seqs, {Q.rnd('sum(reward)')} AS reward_sum, sum(n_tok) AS n_tokens FROM per_seq GROUP BY 1""",
+SELECT buffer_id, count(*) AS n_seqs, {Q.rnd('sum(reward)')} AS reward_sum, CAST(sum(n_tok) AS BIGINT) AS n_tokens FROM per_seq GROUP BY 1""",
 )
 def rollout_buffers(spark: SparkSession, base: str) -> DataFrame:
     exp = _experience(spark, base).withColumn("buffer_id", F.floor(F.col("batch_id") / 2).cast("long"))
