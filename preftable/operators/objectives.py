@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preftable.config import MASKED_MEAN_EPS, PairConfig
@@ -21,6 +21,28 @@ def _masked_batch_mean(x, mask):
     return (F.sum(R.masked_sum(x, mask)) / (F.sum(R.array_sum(mask)) + F.lit(MASKED_MEAN_EPS)))
 
 
+def actor_loss_agg(advantages: str, new_logp: str, old_logp: str, mask: str, ratio_clip: float = 0.2) -> Column:
+    """Aggregate: masked mean of ``max(-A·ratio, -A·clip(ratio, 1±c))`` over the group."""
+    ratio = R.policy_ratio(F.col(new_logp), F.col(old_logp), F.col(mask))
+    return _masked_batch_mean(O.actor_terms(F.col(advantages), ratio, ratio_clip), F.col(mask))
+
+
+def critic_loss_agg(old_values: str, new_values: str, returns: str, mask: str, value_clip: float = 0.2) -> Column:
+    """Aggregate: ``0.5·masked_mean(max(err², clipped_err²))``."""
+    terms = O.critic_terms(F.col(old_values), F.col(new_values), F.col(returns), value_clip)
+    return F.lit(0.5) * _masked_batch_mean(terms, F.col(mask))
+
+
+def values_error_agg(new_values: str, returns: str, mask: str) -> Column:
+    """Aggregate: masked mean of the unclipped ``(new - returns)²``."""
+    return _masked_batch_mean(O.values_error(F.col(new_values), F.col(returns)), F.col(mask))
+
+
+def clm_loss_agg(logp: str, mask: Column) -> Column:
+    """Aggregate: mean negative log-prob over the selected tokens."""
+    return -F.sum(R.masked_sum(F.col(logp), mask)) / F.sum(R.array_sum(mask))
+
+
 def ppo_actor_loss(
     df: DataFrame,
     batch_col: str = "batch_id",
@@ -31,9 +53,7 @@ def ppo_actor_loss(
     ratio_clip: float = 0.2,
 ) -> DataFrame:
     """Masked mean over the batch of ``max(-A·ratio, -A·clip(ratio, 1±c))``."""
-    ratio = R.policy_ratio(F.col(new_logp), F.col(old_logp), F.col(mask))
-    terms = O.actor_terms(F.col(advantages), ratio, ratio_clip)
-    return df.groupBy(batch_col).agg(_masked_batch_mean(terms, F.col(mask)).alias("actor_loss"))
+    return df.groupBy(batch_col).agg(actor_loss_agg(advantages, new_logp, old_logp, mask, ratio_clip).alias("actor_loss"))
 
 
 def ppo_critic_loss(
@@ -46,14 +66,17 @@ def ppo_critic_loss(
     value_clip: float = 0.2,
 ) -> DataFrame:
     """``0.5·masked_mean(max(err², clipped_err²))`` and the masked mean of the unclipped error."""
-    terms = O.critic_terms(F.col(old_values), F.col(new_values), F.col(returns), value_clip)
-    err = O.values_error(F.col(new_values), F.col(returns))
     return df.groupBy(batch_col).agg(
-        (F.lit(0.5) * _masked_batch_mean(terms, F.col(mask))).alias("critic_loss"),
-        _masked_batch_mean(err, F.col(mask)).alias("values_error_mean"),
+        critic_loss_agg(old_values, new_values, returns, mask, value_clip).alias("critic_loss"),
+        values_error_agg(new_values, returns, mask).alias("values_error_mean"),
     )
 
 
+def rm_last_loss_agg(accepts_end: str = "accepts_end_value", rejects_end: str = "rejects_end_value") -> Column:
+    """Aggregate: mean ``-logsigmoid(a_end - r_end)``."""
+    return F.avg(O.neg_logsigmoid(F.col(accepts_end) - F.col(rejects_end)))
+
+
 def rm_pairwise_loss(
     df: DataFrame,
     batch_col: str = "batch_id",
@@ -69,8 +92,7 @@ def rm_pairwise_loss(
     have difference 0 and add ``ln 2`` each, as in the reference.
     """
     if use_last_reward:
-        loss = F.avg(O.neg_logsigmoid(F.col(accepts_end) - F.col(rejects_end)))
-        return df.groupBy(batch_col).agg(loss.alias("rm_loss"))
+        return df.groupBy(batch_col).agg(rm_last_loss_agg(accepts_end, rejects_end).alias("rm_loss"))
     diff = F.zip_with(
         F.col(accepts_values),
         F.col(rejects_values),
@@ -138,6 +160,5 @@ def clm_loss(df: DataFrame, logp: str, labels: str | None = None, mask: str | No
         m = F.col(mask)
     else:
         m = F.transform(F.col(logp), lambda _: F.lit(1))
-    nll = -F.sum(R.masked_sum(F.col(logp), m)) / F.sum(R.array_sum(m))
     g = df.groupBy(*group_cols) if group_cols else df.groupBy()
-    return g.agg(nll.alias("clm_loss")).withColumn("perplexity", F.exp("clm_loss"))
+    return g.agg(clm_loss_agg(logp, m).alias("clm_loss")).withColumn("perplexity", F.exp("clm_loss"))

@@ -101,6 +101,7 @@ def unflatten_pairs(df: DataFrame, keep: Sequence[str] = ("example_id",)) -> Dat
     """Inverse of ``flatten_pairs`` (cut at ``len // 2``)."""
     a_ids, r_ids = unflatten_pair(F.col("input_ids"))
     a_lab, r_lab = unflatten_pair(F.col("label_ids"))
+    keep = [c for c in keep if c not in ("accepts_ids", "accepts_labels", "rejects_ids", "rejects_labels")]
     return df.select(
         *keep,
         a_ids.alias("accepts_ids"),

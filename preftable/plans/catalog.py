@@ -76,15 +76,15 @@ SELECT example_id, prompt, response FROM sft""",
     ),
 )
 def prompt_templates(spark: SparkSession, base: str) -> DataFrame:
+    from preftable.functions.text import merge_instruction_input, render_prompt
+
     inst = V.instruction_rows(spark, base)
-    parts = [
-        to_sft_text(inst, template=name).select("example_id", F.lit(name).alias("template"), "prompt")
-        for name in PROMPT_TEMPLATES
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    merged = merge_instruction_input(F.col("instruction"), F.col("input"))
+    # One pass over the records; the three renderings are stacked with explode (no union of scans).
+    rendered = F.array(
+        *[F.struct(F.lit(name).alias("template"), render_prompt(merged, name).alias("prompt")) for name in PROMPT_TEMPLATES]
+    )
+    return inst.select("example_id", F.inline(rendered))
 
 
 @register(
@@ -239,18 +239,21 @@ FROM padded""",
 )
 def pair_flat(spark: SparkSession, base: str) -> DataFrame:
     p = _pair_sequences(spark, base)
-    flat = S.flatten_pairs(p)
-    back = S.unflatten_pairs(flat).select(
-        "example_id", *[F.col(c).alias(f"b_{c}") for c in ("accepts_ids", "accepts_labels", "rejects_ids", "rejects_labels")]
-    )
-    same = (
-        (F.col("b_accepts_ids") == F.col("accepts_ids"))
-        & (F.col("b_accepts_labels") == F.col("accepts_labels"))
-        & (F.col("b_rejects_ids") == F.col("rejects_ids"))
-        & (F.col("b_rejects_labels") == F.col("rejects_labels"))
+    flat = S.flatten_pairs(p, keep=("example_id", "accepts_ids", "accepts_labels", "rejects_ids", "rejects_labels"))
+    back = S.unflatten_pairs(
+        flat.select(
+            "example_id",
+            "input_ids",
+            "label_ids",
+            *[F.col(c).alias(f"o_{c}") for c in ("accepts_ids", "accepts_labels", "rejects_ids", "rejects_labels")],
+        ),
+        keep=("example_id", "input_ids", "label_ids", "o_accepts_ids", "o_accepts_labels", "o_rejects_ids", "o_rejects_labels"),
     )
-    joined = flat.join(back, "example_id").join(p, "example_id")
-    return joined.select(
+    # Round trip checked inside each row: no self-join, the pair encoding runs once.
+    same = F.lit(True)
+    for c in ("accepts_ids", "accepts_labels", "rejects_ids", "rejects_labels"):
+        same = same & (F.col(c) == F.col(f"o_{c}"))
+    return back.select(
         "example_id",
         ids_text(F.col("input_ids")).alias("input_ids"),
         ids_text(F.col("label_ids")).alias("label_ids"),

@@ -212,10 +212,9 @@ lp AS (SELECT *, {Q.lpad('ids', 'max(len(ids)) OVER (PARTITION BY batch_id)', 0)
 
 def _left_batched(spark: SparkSession, base: str) -> DataFrame:
     enc = _sft_encoded(spark, base)
-    prompts = S.build_ppo_prompts(enc, "prompt_ids", "response_ids", IDS, MAX_PROMPT, MAX_RESPONSE)
-    prompts = prompts.join(
-        enc.select("example_id", truncate_ids(F.col("response_ids"), MAX_RESPONSE).alias("tgt")), "example_id"
-    )
+    prompts = S.build_ppo_prompts(
+        enc, "prompt_ids", "response_ids", IDS, MAX_PROMPT, MAX_RESPONSE, keep=("example_id", "response_ids")
+    ).withColumn("tgt", truncate_ids(F.col("response_ids"), MAX_RESPONSE))
     return C.collate_prompts_left(_batched(prompts, "example_id"), "batch_id", "input_ids", IDS)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from preftable.functions import rollout as R
 from preftable.operators import batching as B
-from preftable.operators.normalise import REASON, normalise_output, split_quarantine, to_pair_text, to_sft_text
+from preftable.operators.normalise import normalise_output, split_quarantine, to_pair_text, to_sft_text
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
 from preftable.plans.catalog import SEED, SPLIT_RATIO, TEMPLATE, register
@@ -58,10 +58,16 @@ UNION ALL
 SELECT 'pair' AS task, CASE WHEN len(outs) <= 1 THEN 'fewer than 2 responses' ELSE 'ok' END AS reason, count(*) AS n FROM fu GROUP BY 1, 2""",
 )
 def quarantine_reasons(spark: SparkSession, base: str) -> DataFrame:
+    from preftable.functions.text import pair_reason, response_reason
+
     rows = followup_rows(spark, base)
-    sft = to_sft_text(rows, template=TEMPLATE).select(F.lit("sft").alias("task"), REASON)
-    pair = to_pair_text(rows, template=TEMPLATE).select(F.lit("pair").alias("task"), REASON)
-    both = sft.unionByName(pair).withColumn("reason", F.coalesce(F.col(REASON), F.lit("ok")))
+    out, scalar = F.col("output"), F.col("output_is_scalar")
+    # Both tasks' reasons come from one pass over the records, stacked with explode.
+    reasons = F.array(
+        F.struct(F.lit("sft").alias("task"), response_reason(out, scalar).alias("r")),
+        F.struct(F.lit("pair").alias("task"), pair_reason(out, scalar).alias("r")),
+    )
+    both = rows.select(F.inline(reasons)).withColumn("reason", F.coalesce(F.col("r"), F.lit("ok")))
     return both.groupBy("task", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,14 +88,17 @@ SELECT example_id, CASE WHEN length(response) > 1 THEN substr(response, 1, 1) EL
        response AS response_default FROM inst""",
 )
 def sft_text_compat(spark: SparkSession, base: str) -> DataFrame:
+    from preftable.functions.text import pick_response
+
     # Scalar (string) outputs: the reference yields the first character of a longer string.
-    inst = V.instruction_rows(spark, base).select(
-        "example_id", "instruction", "input", F.get(F.col("output"), 0).alias("output")
-    )
+    inst = V.instruction_rows(spark, base).select("example_id", F.get(F.col("output"), 0).alias("output"))
     norm = normalise_output(inst)
-    compat = to_sft_text(norm, compat=True).select("example_id", F.col("response").alias("response_compat"))
-    default = to_sft_text(norm).select("example_id", F.col("response").alias("response_default"))
-    return compat.join(default, "example_id")
+    out, scalar = F.col("output"), F.col("output_is_scalar")
+    return norm.select(
+        "example_id",
+        pick_response(out, scalar, compat=True).alias("response_compat"),
+        pick_response(out, scalar).alias("response_default"),
+    )
 
 
 @register(

@@ -228,11 +228,16 @@ _EXTRA_W_SQL = f"(CASE WHEN batch_id + 1 < {_WARMUP} THEN (batch_id + 1) / {floa
     f"{_ACTOR_SQL} SELECT batch_id, {Q.rnd(f'actor_loss + critic_loss + {_EXTRA_W_SQL} * clm_loss')} AS total_loss FROM al",
 )
 def ppo_total_loss(spark: SparkSession, base: str) -> DataFrame:
-    actor, critic, clm = _losses(spark, base)
-    j = actor.join(critic, "batch_id").join(clm, "batch_id")
+    exp = _experience(spark, base)
+    # One aggregation computes all three losses: the experience table is read once.
+    losses = exp.groupBy("batch_id").agg(
+        OB.actor_loss_agg("advantages", "new_logp", "actor_logp", "ms", CLIP).alias("actor_loss"),
+        OB.critic_loss_agg("critic_values", "new_values", "returns", "ms", CLIP).alias("critic_loss"),
+        OB.clm_loss_agg("actor_logp", F.col("ms")).alias("clm_loss"),
+    )
     w = O.extra_loss_weight(F.col("batch_id") + 1, EXTRA_W, EXTRA_RATIO, MAX_STEPS)
     total = O.ppo_total_loss(F.col("actor_loss"), F.lit(0.0), F.col("critic_loss"), F.col("clm_loss"), w)
-    return j.select("batch_id", _r(total).alias("total_loss"))
+    return losses.select("batch_id", _r(total).alias("total_loss"))
 
 
 @register("extra_weight", f"{_TOK} SELECT DISTINCT batch_id + 1 AS step, {Q.rnd(_EXTRA_W_SQL)} AS weight FROM ev")
@@ -407,9 +412,10 @@ SELECT last.batch_id, {Q.rnd('last.rm_loss + 1.0 * clm.clm')} AS rm_total FROM l
 )
 def rm_total(spark: SparkSession, base: str) -> DataFrame:
     rm = _rm(spark, base)
-    last = OB.rm_pairwise_loss(rm, "batch_id", use_last_reward=True)
-    clm = OB.clm_loss(rm, "a_actor_logp", mask="a_ms", group_cols=("batch_id",))
-    return last.join(clm, "batch_id").select("batch_id", _r(F.col("rm_loss") + F.lit(1.0) * F.col("clm_loss")).alias("rm_total"))
+    agg = rm.groupBy("batch_id").agg(
+        OB.rm_last_loss_agg().alias("rm_loss"), OB.clm_loss_agg("a_actor_logp", F.col("a_ms")).alias("clm_loss")
+    )
+    return agg.select("batch_id", _r(F.col("rm_loss") + F.lit(1.0) * F.col("clm_loss")).alias("rm_total"))
 
 
 # ---------------------------------------------------------------------------------------------
