@@ -12,6 +12,9 @@ def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:
     uses one core. When the input has fewer splits than ``factor`` × the default parallelism it
     is small by construction (splits are at most ``spark.sql.files.maxPartitionBytes``), so the
     extra shuffle is cheap; large inputs already have many splits and are left alone.
+
+    Call it on a file scan (``spark.read...``): counting the splits of a scan is file listing
+    only, whereas on a plan with shuffles it would run those stages.
     """
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism * factor

@@ -113,7 +113,7 @@ def vocab(spark: SparkSession, base: str) -> DataFrame:
 SELECT doc_id, len(ids) AS n_ids, {Q.ids_text('ids')} AS ids FROM enc""",
 )
 def encode_docs(spark: SparkSession, base: str) -> DataFrame:
-    docs = V.table(spark, base, "documents").select("doc_id", "text")
+    docs = V.table(spark, base, "documents", spread=True).select("doc_id", "text")
     enc = encode(docs, "text", V.document_vocab(spark, base), ["doc_id"], IDS)
     return enc.select("doc_id", F.size("text_ids").cast("long").alias("n_ids"), ids_text(F.col("text_ids")).alias("ids"))
 
@@ -124,7 +124,7 @@ def encode_docs(spark: SparkSession, base: str) -> DataFrame:
 SELECT doc_id, {Q.ids_text('list_concat([1], ids)')} AS ids FROM enc""",
 )
 def encode_specials(spark: SparkSession, base: str) -> DataFrame:
-    docs = V.table(spark, base, "documents").select("doc_id", "text")
+    docs = V.table(spark, base, "documents", spread=True).select("doc_id", "text")
     enc = encode_with_specials(docs, "text", V.document_vocab(spark, base), ["doc_id"], IDS, out="ids")
     return enc.select("doc_id", ids_text(F.col("ids")).alias("ids"))
 
@@ -285,7 +285,7 @@ SELECT group_id, block_id, count(*) AS n_ids, array_to_string(list(id ORDER BY g
 FROM kept GROUP BY group_id, block_id""",
 )
 def pt_blocks(spark: SparkSession, base: str) -> DataFrame:
-    docs = V.table(spark, base, "documents").select("doc_id", "text")
+    docs = V.table(spark, base, "documents", spread=True).select("doc_id", "text")
     enc = encode_with_specials(docs, "text", V.document_vocab(spark, base), ["doc_id"], IDS, out="input_ids")
     enc = enc.withColumn("group_id", F.floor(F.col("doc_id") / PACK_GROUP).cast("long"))
     blocks = S.pack_blocks(enc, ["group_id"], "doc_id", "input_ids", BLOCK)

@@ -258,7 +258,7 @@ SELECT group_id, block_id, batch_id, min(n) OVER (PARTITION BY batch_id) = max(n
 def collate_blocks(spark: SparkSession, base: str) -> DataFrame:
     from preftable.operators.encode import encode_with_specials
 
-    docs = V.table(spark, base, "documents").select("doc_id", "text")
+    docs = V.table(spark, base, "documents", spread=True).select("doc_id", "text")
     enc = encode_with_specials(docs, "text", V.document_vocab(spark, base), ["doc_id"], IDS, out="input_ids")
     enc = enc.withColumn("group_id", F.floor(F.col("doc_id") / PACK_GROUP).cast("long"))
     blocks = S.pack_blocks(enc, ["group_id"], "doc_id", "input_ids", BLOCK)

@@ -19,8 +19,9 @@ PROMPT_POSITIONS = 8
 SCORE_BATCH = 8
 
 
-def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return read_parquet_table(spark, base, name)
+def table(spark: SparkSession, base: str, name: str, spread: bool = False) -> DataFrame:
+    """A fixture table; ``spread`` before heavy per-row work such as tokenisation."""
+    return read_parquet_table(spark, base, name, spread=spread)
 
 
 def instruction_rows(spark: SparkSession, base: str) -> DataFrame:
@@ -61,19 +62,30 @@ def preference_rows(spark: SparkSession, base: str) -> DataFrame:
 
     The rank is ``row_number() OVER (PARTITION BY lang, quality ORDER BY doc_id)``; there are only
     a few (lang, quality) groups, so it is computed with range-partitioned numbering instead of a
-    window that would put a whole language in one task.
+    window that would put a whole language in one task. Only keys are ranked and paired; the texts
+    are fetched afterwards with one join of the paired documents against ``documents`` and folded
+    back per pair, so document text crosses the network once (plus once per paired document).
     """
-    docs = table(spark, base, "documents").select("doc_id", "text", "lang")
+    keys = table(spark, base, "documents").select("doc_id", "lang")
     labels = table(spark, base, "labels").select("doc_id", "quality")
-    lab = docs.join(labels, "doc_id").filter(F.col("quality").isin(0, 1))
+    lab = keys.join(labels, "doc_id").filter(F.col("quality").isin(0, 1))
     ranked = with_group_row_number(lab, ["lang", "quality"], ["doc_id"], name="rn")
-    chosen = ranked.filter(F.col("quality") == 1).select(
-        "lang", "rn", F.col("doc_id").alias("example_id"), F.col("text").alias("chosen")
-    )
-    rejected = ranked.filter(F.col("quality") == 0).select(
-        "lang", "rn", F.col("doc_id").alias("rejected_doc_id"), F.col("text").alias("rejected")
+    chosen = ranked.filter(F.col("quality") == 1).select("lang", "rn", F.col("doc_id").alias("example_id"))
+    rejected = ranked.filter(F.col("quality") == 0).select("lang", "rn", F.col("doc_id").alias("rejected_doc_id"))
+    pairs = chosen.join(rejected, ["lang", "rn"]).select("example_id", "rejected_doc_id", "lang")
+    members = pairs.select(
+        "example_id",
+        "rejected_doc_id",
+        "lang",
+        F.explode(F.array(F.struct(F.col("example_id").alias("doc_id"), F.lit(True).alias("is_chosen")),
+                          F.struct(F.col("rejected_doc_id").alias("doc_id"), F.lit(False).alias("is_chosen")))).alias("m"),
+    ).select("example_id", "rejected_doc_id", "lang", "m.doc_id", "m.is_chosen")
+    texts = members.join(table(spark, base, "documents").select("doc_id", "text"), "doc_id")
+    folded = texts.groupBy("example_id", "rejected_doc_id", "lang").agg(
+        F.max(F.when(F.col("is_chosen"), F.col("text"))).alias("chosen"),
+        F.max(F.when(~F.col("is_chosen"), F.col("text"))).alias("rejected"),
     )
-    return chosen.join(rejected, ["lang", "rn"]).select(
+    return folded.select(
         "example_id",
         F.concat(F.lit("Write in "), F.col("lang")).alias("prompt"),
         "chosen",
@@ -85,7 +97,7 @@ def preference_rows(spark: SparkSession, base: str) -> DataFrame:
 
 def document_vocab(spark: SparkSession, base: str) -> DataFrame:
     """Vocabulary built from the whole ``documents`` table."""
-    return build_vocab(table(spark, base, "documents"), "text")
+    return build_vocab(table(spark, base, "documents", spread=True), "text")
 
 
 def _scores(events: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from preftable.operators.partitioning import spread_small_input
+
 # Superset of the three record layouts. ``output`` is VARIANT so a scalar string and a list of
 # strings can be told apart (see ``operators.normalise.normalise_output``).
 RAW_SCHEMA = (
@@ -74,9 +76,14 @@ def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_parquet_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """One driver fixture table (``{base}/{name}.parquet``)."""
-    return spark.read.parquet(os.path.join(base, f"{name}.parquet"))
+def read_parquet_table(spark: SparkSession, base: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver fixture table (``{base}/{name}.parquet``).
+
+    ``spread`` round-robins a table that has fewer splits than the cluster has cores (see
+    ``operators.partitioning.spread_small_input``); large tables are returned as scanned.
+    """
+    df = spark.read.parquet(os.path.join(base, f"{name}.parquet"))
+    return spread_small_input(df) if spread else df
 
 
 def union_datasets(*dfs: DataFrame) -> DataFrame:
