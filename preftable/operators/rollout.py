@@ -88,22 +88,28 @@ def gae_long(
 ) -> DataFrame:
     """GAE over a long ``(seq, pos, reward, value)`` table, O(T) per sequence.
 
-    ``A_t = Σ_{k≥t} c^{k-t} δ_k`` with ``c = γλ``. Positions are cut into chunks short enough
-    that ``c^{chunk}`` does not underflow; inside a chunk a suffix-sum window on
+    ``A_t = Σ_{k≥t} c^{k-t} δ_k`` with ``c = γλ``. ``V_{t+1}`` comes from an equi-join on the
+    unique key ``(seq, pos)``. Positions are cut into chunks short enough that ``c^{chunk}`` does
+    not underflow (at most 4,096 positions, so every window partition is bounded); inside a chunk
+    a suffix-sum window on
     ``δ_k·c^{k-start}`` (ordered by position descending, unbounded preceding: linear) gives the
     local part, and the chunk carry ``A_{next chunk start}`` comes from a recursion over the few
     chunk totals of each sequence. ``c = 0`` gives ``A = δ``; ``c = 1`` needs no scaling.
     """
     c = float(gamma) * float(lam)
-    seq, pos = F.col(seq_col), F.col(pos_col)
-    nxt = F.lead(value_col, 1, 0.0).over(Window.partitionBy(seq_col).orderBy(pos_col))
-    base = df.withColumn("__delta", F.col(reward_col) + F.lit(float(gamma)) * nxt - F.col(value_col))
+    pos = F.col(pos_col)
+    # V_{t+1} by an equi-join on the unique key (seq, pos): no window holds a whole sequence.
+    nxt = df.select(seq_col, (F.col(pos_col) - 1).alias(pos_col), F.col(value_col).alias("__next_v"))
+    base = df.join(nxt, [seq_col, pos_col], "left").withColumn(
+        "__delta", F.col(reward_col) + F.lit(float(gamma)) * F.coalesce(F.col("__next_v"), F.lit(0.0)) - F.col(value_col)
+    ).drop("__next_v")
     if c == 0.0:
         return base.withColumn(out_col, F.col("__delta")).drop("__delta")
-    if c >= 1.0 or c < 0.0:
-        chunk = 1 << 62
+    if c == 1.0:
+        chunk = 4096
     else:
-        chunk = max(1, min(4096, int(-300.0 / math.log10(c))))
+        # |log10 c| * chunk <= 300 keeps c^chunk (and its inverse) inside double range.
+        chunk = max(1, min(4096, int(300.0 / abs(math.log10(abs(c))))))
     cl = F.lit(c)
     base = base.withColumn("__chunk", F.floor(pos / chunk).cast("long"))
     base = base.withColumn("__off", (pos - F.col("__chunk") * chunk).cast("double"))

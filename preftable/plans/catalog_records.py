@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preftable.functions import rollout as R
@@ -20,34 +20,34 @@ from preftable.sources.sinks import write_rollouts
 
 
 def followup_rows(spark: SparkSession, base: str) -> DataFrame:
-    """Every user turn with ``output`` = all later assistant turns of its conversation (may be empty)."""
-    conv = V.table(spark, base, "conversations")
-    later = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    x = conv.select(
-        "conv_id",
-        "turn",
-        "role",
-        "text",
-        F.collect_list(F.when(F.col("role") == "assistant", F.col("text"))).over(later).alias("output"),
-        F.max(F.when(F.col("role") == "system", F.col("text"))).over(Window.partitionBy("conv_id")).alias("sys_text"),
-    )
+    """Every user turn with ``output`` = its next two assistant replies, as far as they exist.
+
+    Roles alternate, so the replies sit at ``turn + 1`` and ``turn + 3``; both are fetched with
+    equi-joins on the unique key ``(conv_id, turn)``. A user turn without a reply gets an empty
+    list and one with a single reply a one-element list (both end in quarantine for pairs).
+    """
+    x = V.conversation_neighbours(spark, base, (1, 3))
+    first = F.when(F.col("role_1") == "assistant", F.col("text_1"))
+    second = F.when(first.isNotNull() & (F.col("role_3") == "assistant"), F.col("text_3"))
     return x.filter(F.col("role") == "user").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("example_id"),
         F.col("text").alias("instruction"),
         F.coalesce(F.col("sys_text"), F.lit("")).alias("input"),
-        "output",
+        F.filter(F.array(first, second), lambda t: t.isNotNull()).alias("output"),
         F.lit(False).alias("output_is_scalar"),
     )
 
 
 _FOLLOWUP_CTE = """fu AS (
-  SELECT conv_id * 100 + turn AS example_id, text AS instruction, coalesce(sys_text, '') AS input, coalesce(outs, []) AS outs
-  FROM (SELECT conv_id, turn, role, text,
-               list(text ORDER BY turn) FILTER (WHERE role = 'assistant')
-                 OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS outs,
-               max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS sys_text
-        FROM conversations) c
-  WHERE role = 'user')"""
+  SELECT c.conv_id * 100 + c.turn AS example_id, c.text AS instruction, coalesce(s.sys_text, '') AS input,
+         CASE WHEN n1.role = 'assistant' AND n3.role = 'assistant' THEN [n1.text, n3.text]
+              WHEN n1.role = 'assistant' THEN [n1.text] ELSE []::VARCHAR[] END AS outs
+  FROM conversations c
+  LEFT JOIN conversations n1 ON n1.conv_id = c.conv_id AND n1.turn = c.turn + 1
+  LEFT JOIN conversations n3 ON n3.conv_id = c.conv_id AND n3.turn = c.turn + 3
+  LEFT JOIN (SELECT conv_id, max(text) AS sys_text FROM conversations WHERE role = 'system' GROUP BY conv_id) s
+    ON s.conv_id = c.conv_id
+  WHERE c.role = 'user')"""
 
 
 @register(

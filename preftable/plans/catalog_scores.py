@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preftable.config import PairConfig, RolloutConfig
@@ -16,6 +16,7 @@ from preftable.functions import objectives as O
 from preftable.functions import rollout as R
 from preftable.operators import metrics as M
 from preftable.operators import objectives as OB
+from preftable.operators.indexing import with_group_row_number
 from preftable.operators.rollout import build_experience, gae_long
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
@@ -478,9 +479,11 @@ def length_metrics(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _step_log(spark: SparkSession, base: str) -> DataFrame:
-    ev = V.table(spark, base, "events")
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return ev.select(F.col("user_id").alias("rank"), F.row_number().over(w).alias("step"), "value")
+    # Step = position of the event within its user; numbered without a per-user window, so one
+    # user holding a large share of the events does not land in a single task.
+    ev = V.table(spark, base, "events").select("user_id", "event_id", "value")
+    ranked = with_group_row_number(ev, ["user_id"], ["event_id"], name="pos")
+    return ranked.select(F.col("user_id").alias("rank"), (F.col("pos") + 1).alias("step"), "value")
 
 
 _STEP_SQL = f"""sl AS (SELECT user_id AS rank, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, value FROM events),

@@ -24,29 +24,39 @@ def table(spark: SparkSession, base: str, name: str, spread: bool = False) -> Da
     return read_parquet_table(spark, base, name, spread=spread)
 
 
+def conversation_neighbours(spark: SparkSession, base: str, offsets: tuple[int, ...] = (1,)) -> DataFrame:
+    """Each turn with the turn ``offset`` places later and the conversation's system text.
+
+    Written as equi-joins on the unique key ``(conv_id, turn)`` instead of a window over
+    ``conv_id``: no task ever holds a whole conversation, however long one conversation is. The
+    system text is one row per conversation joined on ``conv_id`` (AQE splits a skewed side).
+    """
+    conv = table(spark, base, "conversations").select("conv_id", "turn", "role", "text")
+    out = conv
+    for k in offsets:
+        later = conv.select(
+            "conv_id",
+            (F.col("turn") - k).alias("turn"),
+            F.col("role").alias(f"role_{k}"),
+            F.col("text").alias(f"text_{k}"),
+        )
+        out = out.join(later, ["conv_id", "turn"], "left")
+    system = conv.filter(F.col("role") == "system").groupBy("conv_id").agg(F.max("text").alias("sys_text"))
+    return out.join(system, "conv_id", "left")
+
+
 def instruction_rows(spark: SparkSession, base: str) -> DataFrame:
     """User turn followed by an assistant turn → instruction record.
 
     ``instruction`` = user text, ``input`` = the conversation's system text or '', ``output`` =
-    [assistant text], ``example_id = conv_id*100 + turn``. One window over ``conv_id`` (a
-    conversation has a handful of turns, so partitions stay small).
+    [assistant text], ``example_id = conv_id*100 + turn``.
     """
-    conv = table(spark, base, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    x = conv.select(
-        "conv_id",
-        "turn",
-        "role",
-        "text",
-        F.lead("role").over(w).alias("next_role"),
-        F.lead("text").over(w).alias("next_text"),
-        F.max(F.when(F.col("role") == "system", F.col("text"))).over(Window.partitionBy("conv_id")).alias("sys_text"),
-    )
-    return x.filter((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
+    x = conversation_neighbours(spark, base, (1,))
+    return x.filter((F.col("role") == "user") & (F.col("role_1") == "assistant")).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("example_id"),
         F.col("text").alias("instruction"),
         F.coalesce(F.col("sys_text"), F.lit("")).alias("input"),
-        F.array(F.col("next_text")).alias("output"),
+        F.array(F.col("text_1")).alias("output"),
         F.lit(False).alias("output_is_scalar"),
     )
 
