@@ -105,3 +105,16 @@ def test_read_split_files(spark, tmp_path):
     df = read_split_files(spark, str(tmp_path / "train.json"), str(tmp_path / "valid.json"))
     assert {r.split: r["count"] for r in df.groupBy("split").count().collect()} == {"train": 3, "test": 2}
     assert df.filter(F.col("prompt").isNull()).count() == 0
+
+
+def test_metric_and_rollout_sinks(spark, tmp_path):
+    from preftable.sources.sinks import write_metrics, write_rollouts
+
+    m = spark.createDataFrame([(1, 0.5), (2, 0.25)], "update long, loss double")
+    write_metrics(m, str(tmp_path / "metrics"))
+    back = spark.read.json(str(tmp_path / "metrics"))
+    assert sorted((r.update, r.loss) for r in back.collect()) == [(1, 0.5), (2, 0.25)]
+    r = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "buffer_id long, seq long")
+    write_rollouts(r, str(tmp_path / "rollouts"))
+    one = spark.read.parquet(str(tmp_path / "rollouts")).filter(F.col("buffer_id") == 1)
+    assert [x.seq for x in one.collect()] == [3]

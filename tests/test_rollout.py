@@ -155,3 +155,23 @@ def test_strip_and_join_and_response_mask(spark):
 def test_last_reward_empty_is_null(spark):
     r = spark.createDataFrame([([1.0, 2.0], [0, 0])], "v array<double>, m array<int>").select(R.last_reward(F.col("v"), F.col("m"))).first()[0]
     assert r is None
+
+
+def test_gae_long_unit_discount_many_chunks(spark):
+    n = 9000  # more than two 4,096-position chunks
+    rows = [(0, t, 1.0 if t % 7 == 0 else 0.0, 0.0) for t in range(n)]
+    df = spark.createDataFrame(rows, "seq long, pos long, r double, v double")
+    got = {r.pos: r.advantage for r in gae_long(df, "seq", "pos", "r", "v", 1.0, 1.0).collect()}
+    total, ref = 0.0, [0.0] * n
+    for t in reversed(range(n)):
+        total += rows[t][2]
+        ref[t] = total
+    approx_list([got[t] for t in range(n)], ref, 1e-6)
+
+
+def test_slice_response(spark):
+    from preftable.operators.rollout import slice_response
+
+    df = spark.createDataFrame([([0, 5, 6, 7, 8],)], "ids array<int>")
+    assert df.select(slice_response("ids", 3)).first()[0] == [7, 8]
+    assert df.select(slice_response("ids", 9)).first()[0] == []
