@@ -119,9 +119,18 @@ def dpo_outputs(
     ref_accepts: str = "ref_accepts_logps",
     ref_rejects: str = "ref_rejects_logps",
 ) -> DataFrame:
-    """Per-pair DPO outputs: rewards, ratios, CE (= -logps) and the row loss."""
+    """Per-pair DPO outputs: rewards, ratios, CE (= -logps) and the row loss.
+
+    When per-token logits and shifted label masks are present (``{side}_logits`` as
+    ARRAY<ARRAY<DOUBLE>> and ``{side}_mask``, for ``accepts``, ``rejects``, ``ref_accepts``,
+    ``ref_rejects``), the four masked mean entropies are added as well.
+    """
     a, r, ra, rr = (F.col(c) for c in (accepts, rejects, ref_accepts, ref_rejects))
     pi, ref = O.dpo_ratios(a, r, ra, rr, cfg.dpo_beta, cfg.reference_free)
+    for side in ("accepts", "rejects", "ref_accepts", "ref_rejects"):
+        if f"{side}_logits" in df.columns and f"{side}_mask" in df.columns:
+            ent = R.token_entropies(F.col(f"{side}_logits"))
+            df = df.withColumn(f"{side}_entropy", R.masked_mean(ent, F.col(f"{side}_mask")))
     return (
         df.withColumn("accepts_reward", O.dpo_rewards(a, ra, cfg.dpo_beta))
         .withColumn("rejects_reward", O.dpo_rewards(r, rr, cfg.dpo_beta))

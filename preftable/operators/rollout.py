@@ -156,7 +156,8 @@ def build_experience(
     Input arrays: ``sequence_mask``/``response_mask`` (length T), ``actor_logp``/``ref_logp``
     (T-1), ``critic_values`` (T, the last one is dropped) and either ``ref_values`` (T, the reward
     is its value at the last response position) or a scalar ``reward_col``.
-    Output adds ``reward_score``, ``kl_penalty``, ``rewards_kl``, ``critic_values`` (masked, T-1),
+    Output adds ``reward_score`` (NULL and ``quarantine_reason`` set for an empty response),
+    ``kl_penalty``, ``rewards_kl``, ``critic_values`` (masked, T-1),
     ``advantages`` (whitened when enabled), ``returns``, ``actor_ce`` and ``ref_ce``.
     """
     ms = R.shifted(F.col("response_mask"))
@@ -175,4 +176,8 @@ def build_experience(
     out = out.withColumn("__ms", ms)
     if cfg.use_advantage_norm:
         out = masked_whiten(out, "advantages", "__ms", batch_col, compat=cfg.compat)
+    # Q10: a response without tokens has no last position; keep the row but flag it.
+    out = out.withColumn(
+        "quarantine_reason", F.when(R.last_index(F.col("__ms")).isNull(), F.lit("empty response"))
+    )
     return out.drop("__pen", "__ms")

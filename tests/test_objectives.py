@@ -111,3 +111,19 @@ def test_clm_perplexity_overflow(spark):
     df = spark.createDataFrame([([-1000.0, -1000.0],)], "lp array<double>")
     r = OB.clm_loss(df, "lp").first()
     assert r.clm_loss == pytest.approx(1000.0) and r.perplexity == float("inf")
+
+
+def test_dpo_entropies_and_empty_response(spark):
+    df = spark.createDataFrame(
+        [(0, -1.0, -2.0, -1.0, -2.0, [[2.0, 1.0, 0.0, -1.0], [0.0, 0.0, 0.0, 0.0], [9.0, 9.0, 9.0, 9.0]], [1, 1])],
+        "batch_id long, accepts_logps double, rejects_logps double, ref_accepts_logps double, ref_rejects_logps double, "
+        "accepts_logits array<array<double>>, accepts_mask array<int>",
+    )
+    r = OB.dpo_outputs(df).first()
+    assert r.accepts_entropy == pytest.approx((0.947537 + 1.386294) / 2, abs=1e-6)
+    g = spark.createDataFrame([(0, 0, [1, 1, 1], [1, 0, 0], [-1.0, -1.0], [-1.0, -1.0], [0.5, 0.5, 0.5], [0.0, 0.0, 0.0])], SCHEMA)
+    e = build_experience(g, RolloutConfig(kl_penalty_method="abs")).first()
+    assert e.quarantine_reason == "empty response"
+    z = spark.createDataFrame([(0, 0, [1, 1, 1], [0, 0, 0], [-1.0, -1.0], [-1.0, -1.0], [0.5, 0.5, 0.5], [0.0, 0.0, 0.0])], SCHEMA)
+    e = build_experience(z, RolloutConfig(kl_penalty_method="abs"), reward_col=None).first()
+    assert e.reward_score is None and e.quarantine_reason == "empty response"
