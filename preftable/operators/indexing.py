@@ -60,11 +60,16 @@ def with_row_index(
     ``materialize=False`` skips the stored table (the upstream plan then runs twice); use it only
     for cheap inputs.
     """
-    n = _num_partitions(df, partitions)
     order = _as_cols(order_cols)
+    if partitions is None and materialize:
+        # Let Spark size the range partitions (AQE coalesces adjacent ranges, which keeps their
+        # order). Partition ids and local positions are read back from the stored rows, so the
+        # counts and the index always describe the same partitioning.
+        repartitioned = df.repartitionByRange(*order)
+    else:
+        repartitioned = df.repartitionByRange(_num_partitions(df, partitions), *order)
     ranged = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        repartitioned.sortWithinPartitions(*order)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
     )
