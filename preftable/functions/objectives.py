@@ -134,9 +134,21 @@ __all__ = [
     "label_mask",
     "neg_logsigmoid",
     "pair_correct",
+    "perplexity",
     "ppo_total_loss",
     "rm_end_value",
     "rm_mask_values",
+    "rm_total_loss",
     "sequence_logps_by_mask",
     "values_error",
 ]
+
+
+def perplexity(loss: Column) -> Column:
+    """``exp(loss)``; an overflowing loss gives ``Infinity`` as in the reference."""
+    return F.exp(loss)
+
+
+def rm_total_loss(pairwise: Column, clm: Column, clm_loss_weight: float = 0.0) -> Column:
+    """Pairwise loss plus ``clm_loss_weight`` times the language-model loss of the chosen side."""
+    return pairwise + F.lit(float(clm_loss_weight)) * clm

@@ -170,4 +170,13 @@ def clm_loss(df: DataFrame, logp: str, labels: str | None = None, mask: str | No
     else:
         m = F.transform(F.col(logp), lambda _: F.lit(1))
     g = df.groupBy(*group_cols) if group_cols else df.groupBy()
-    return g.agg(clm_loss_agg(logp, m).alias("clm_loss")).withColumn("perplexity", F.exp("clm_loss"))
+    return g.agg(clm_loss_agg(logp, m).alias("clm_loss")).withColumn("perplexity", O.perplexity(F.col("clm_loss")))
+
+
+def token_entropy(
+    df: DataFrame, logits: str, mask: str, group_cols: tuple[str, ...] = ("batch_id",)
+) -> DataFrame:
+    """Per-token entropy ``-Σ p·log p`` of ``logits[:-1]`` (ARRAY<ARRAY<DOUBLE>>), then the masked
+    mean over each group (mask already shifted, aligned with ``logits[:-1]``)."""
+    ent = R.token_entropies(F.col(logits))
+    return df.groupBy(*group_cols).agg(_masked_batch_mean(ent, F.col(mask)).alias("entropy"))

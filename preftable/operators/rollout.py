@@ -181,3 +181,11 @@ def build_experience(
         "quarantine_reason", F.when(R.last_index(F.col("__ms")).isNull(), F.lit("empty response"))
     )
     return out.drop("__pen", "__ms")
+
+
+def normalise_advantages(
+    df: DataFrame, batch_col: str = "batch_id", advantages: str = "advantages", mask_col: str = "response_mask", compat: bool = False
+) -> DataFrame:
+    """``masked_whiten(advantages, response_mask[1:])`` over each batch (returns stay unwhitened)."""
+    out = df.withColumn("__pt_ms", R.shifted(F.col(mask_col)))
+    return masked_whiten(out, advantages, "__pt_ms", batch_col, compat=compat).drop("__pt_ms")

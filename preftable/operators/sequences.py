@@ -152,3 +152,13 @@ def pack_blocks(
     blocks = pieces.groupBy(*g, "block_id").agg(F.array_sort(F.collect_list(F.struct("__lo", "__piece"))).alias("__p"))
     ids = F.flatten(F.transform(F.col("__p"), lambda x: x["__piece"]))
     return blocks.select(*g, "block_id", ids.alias("input_ids"), ids.alias("label_ids"))
+
+
+def build_pair_sequence(df: DataFrame, source: str = "prompt_ids", accepts: str = "chosen_ids", rejects: str = "rejected_ids", ids: SpecialIds = SpecialIds(), **kw) -> DataFrame:
+    """Survey name for ``build_pair_sequences``: chosen and rejected sequences over one source."""
+    return build_pair_sequences(df, source, accepts, rejects, ids, **kw)
+
+
+def build_ppo_prompt(df: DataFrame, source: str = "prompt_ids", target: str = "response_ids", ids: SpecialIds = SpecialIds(), **kw) -> DataFrame:
+    """Survey name for ``build_ppo_prompts``: ``source + [bos]`` and ``target + [bos]``."""
+    return build_ppo_prompts(df, source, target, ids, **kw)

@@ -416,7 +416,7 @@ def rm_total(spark: SparkSession, base: str) -> DataFrame:
     agg = rm.groupBy("batch_id").agg(
         OB.rm_last_loss_agg().alias("rm_loss"), OB.clm_loss_agg("a_actor_logp", F.col("a_ms")).alias("clm_loss")
     )
-    return agg.select("batch_id", _r(F.col("rm_loss") + F.lit(1.0) * F.col("clm_loss")).alias("rm_total"))
+    return agg.select("batch_id", _r(O.rm_total_loss(F.col("rm_loss"), F.col("clm_loss"), 1.0)).alias("rm_total"))
 
 
 # ---------------------------------------------------------------------------------------------

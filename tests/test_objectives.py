@@ -127,3 +127,25 @@ def test_dpo_entropies_and_empty_response(spark):
     z = spark.createDataFrame([(0, 0, [1, 1, 1], [0, 0, 0], [-1.0, -1.0], [-1.0, -1.0], [0.5, 0.5, 0.5], [0.0, 0.0, 0.0])], SCHEMA)
     e = build_experience(z, RolloutConfig(kl_penalty_method="abs"), reward_col=None).first()
     assert e.reward_score is None and e.quarantine_reason == "empty response"
+
+
+def test_survey_named_helpers(spark):
+    from preftable.operators.objectives import token_entropy
+    from preftable.operators.rollout import normalise_advantages
+    from preftable.operators.sequences import build_pair_sequence, build_ppo_prompt
+
+    df = spark.createDataFrame(
+        [(0, [[2.0, 1.0, 0.0, -1.0], [0.0, 0.0, 0.0, 0.0], [1.0, 3.0, 1.0, 0.0], [5.0, 5.0, 5.0, 5.0]], [1, 0, 1])],
+        "batch_id long, l array<array<double>>, m array<int>",
+    )
+    assert token_entropy(df, "l", "m").first().entropy == pytest.approx(0.874297, abs=1e-6)
+    g4 = spark.createDataFrame(G4, SCHEMA)
+    exp = build_experience(g4, RolloutConfig(kl_penalty_beta=0.1, kl_penalty_method="abs"))
+    w = {r.seq: r.advantages for r in normalise_advantages(exp).collect()}
+    approx_list(w[0], [0.782646, 0.716014, 0.730806, 0.972862])
+    p = spark.createDataFrame([(0, [11], [21, 22], [31])], "example_id long, prompt_ids array<int>, chosen_ids array<int>, rejected_ids array<int>")
+    assert build_pair_sequence(p).first().rejects_ids == [11, 1, 31, 2]
+    assert build_ppo_prompt(p.withColumnRenamed("chosen_ids", "response_ids")).first().input_ids == [11, 1]
+    one = spark.createDataFrame([(2.0, 0.5)], "pw double, clm double")
+    r = one.select(O.rm_total_loss(F.col("pw"), F.col("clm"), 1.0).alias("t"), O.perplexity(F.lit(1000.0)).alias("p")).first()
+    assert r.t == pytest.approx(2.5) and r.p == float("inf")
