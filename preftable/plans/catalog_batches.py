@@ -299,3 +299,32 @@ def strip_join(spark: SparkSession, base: str) -> DataFrame:
         *[ids_text(F.col(c)).alias(c) for c in ("sequence_ids", "sequence_mask", "response_mask")],
     )
 
+
+
+@register(
+    "response_mask",
+    f"""{_LEFT},
+sj AS (SELECT example_id, list_slice(pids, len(list_filter(pids, lambda x: x = 0)) + 1, len(pids)) AS prompt,
+              list_slice(rids, 1, len(list_filter(rids, lambda x: x <> 0))) AS resp, batch_id FROM lp),
+sp AS (SELECT *, {Q.rpad('list_concat(prompt, resp)', 'max(len(list_concat(prompt, resp))) OVER (PARTITION BY batch_id)', 0)} AS sids FROM sj)
+SELECT example_id, len(prompt) AS prompt_len,
+       {Q.ids_text(f"list_transform({_mask_sql('sids')}, lambda m, i: CASE WHEN i - 1 < len(prompt) THEN 0 ELSE m END)")} AS response_mask,
+       CAST(len(list_filter({_mask_sql('sids')}, lambda m: m = 1)) - len(list_filter(prompt, lambda x: x <> 0)) AS BIGINT) AS n_response_tokens
+FROM sp""",
+)
+def response_mask_q(spark: SparkSession, base: str) -> DataFrame:
+    left = _left_batched(spark, base)
+    gen = left.withColumn("__m", F.max(F.size("tgt")).over(Window.partitionBy("batch_id")))
+    gen = gen.select(
+        "example_id", "batch_id", F.col("input_ids").alias("prompt_ids"), right_pad(F.col("tgt"), F.col("__m"), IDS.pad_id).alias("response_ids")
+    )
+    sj = strip_and_join(gen, "batch_id", "prompt_ids", "response_ids", IDS)
+    rm = response_mask(F.col("sequence_mask"), F.size("prompt_ids"))
+    ones = F.size(F.filter(F.col("sequence_mask"), lambda m: m == 1))
+    prompt_nonpad = F.size(F.filter(F.col("prompt_ids"), lambda x: x != IDS.pad_id))
+    return sj.select(
+        "example_id",
+        F.size("prompt_ids").cast("long").alias("prompt_len"),
+        ids_text(rm).alias("response_mask"),
+        (ones - prompt_nonpad).cast("long").alias("n_response_tokens"),
+    )

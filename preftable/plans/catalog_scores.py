@@ -528,3 +528,38 @@ def token_logprobs(spark: SparkSession, base: str) -> DataFrame:
         _r(R.log_softmax_at(logits, label)).alias("logp"),
         _r(R.entropy(logits)).alias("entropy"),
     )
+
+
+@register(
+    "returns",
+    f"{_GAE} SELECT seq, pos, {Q.rnd('r')} AS return_value, {Q.rnd('r - v - a')} AS returns_minus_values_minus_adv FROM ret",
+)
+def returns_q(spark: SparkSession, base: str) -> DataFrame:
+    exp = _experience(spark, base)
+    check = F.zip_with(
+        F.zip_with(F.col("returns"), F.col("critic_values"), lambda r, v: r - v), F.col("advantages"), lambda d, a: d - a
+    )
+    return _long(exp.withColumn("check", check), ["returns", "check"], {"returns": "return_value", "check": "returns_minus_values_minus_adv"})
+
+
+@register(
+    "token_entropy",
+    f"""WITH u AS (SELECT e.vec_id, e.label % 8 AS y, CAST(x.v AS DOUBLE) AS v FROM embeddings e,
+                   unnest(e.embedding[1:8]) AS x(v)),
+m AS (SELECT vec_id, any_value(y) AS y, max(v) AS mx FROM u GROUP BY vec_id),
+l AS (SELECT u.vec_id, m.y, m.mx + ln(sum(exp(u.v - m.mx))) AS lse FROM u JOIN m ON u.vec_id = m.vec_id GROUP BY u.vec_id, m.y, m.mx),
+h AS (SELECT l.vec_id, l.y, -sum(exp(u.v - l.lse) * (u.v - l.lse)) AS ent FROM u JOIN l ON u.vec_id = l.vec_id GROUP BY l.vec_id, l.y)
+SELECT y AS label_class, {Q.rnd('sum(ent * CASE WHEN y > 0 THEN 1 ELSE 0 END) / (sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) + 1e-8)')} AS entropy,
+       count(*) AS n FROM h GROUP BY y""",
+)
+def token_entropy_q(spark: SparkSession, base: str) -> DataFrame:
+    # Entropy of each position (first 8 embedding values as logits), masked mean per label class;
+    # class 0 is masked out, so its mean is 0 as in the reference's masked_mean.
+    e = V.table(spark, base, "embeddings")
+    logits = F.slice(F.col("embedding"), 1, 8).cast("array<double>")
+    y = F.pmod(F.col("label"), F.lit(8))
+    rows = e.select(y.alias("label_class"), R.entropy(logits).alias("ent"), F.when(y > 0, 1).otherwise(0).alias("m"))
+    return rows.groupBy("label_class").agg(
+        _r(F.sum(F.col("ent") * F.col("m")) / (F.sum("m") + F.lit(1e-8))).alias("entropy"),
+        F.count(F.lit(1)).alias("n"),
+    )
