@@ -72,3 +72,35 @@ def test_encode_unknown_empty_and_hot_cold(spark):
     assert full == {1: [3, 0, 5, 4], 2: [], 3: [], 4: []}
     split = {r.k: r.text_ids for r in encode(df, "text", vocab, ["k"], broadcast_limit=1).collect()}
     assert split == full
+
+
+def test_encode_matches_brute_force(spark):
+    import random
+    import re
+
+    rnd = random.Random(11)
+    words = ["a", "bb", "ccc", "the", "Über", "x{y}", "é", "zz"]
+
+    def text():
+        parts = []
+        for _ in range(rnd.randint(0, 12)):
+            parts.append(rnd.choice(words))
+            parts.append(rnd.choice([" ", "  ", "\n", " \n "]))
+        return "".join(parts)
+
+    corpus = spark.createDataFrame([(text(),) for _ in range(40)], "text string")
+    vocab = build_vocab(corpus)
+    table = {r.token: r.id for r in vocab.collect()}
+    # brute-force vocabulary: count desc, token asc, ids from 3
+    counts = {}
+    for r in corpus.collect():
+        for t in re.split("[ \n]+", r.text):
+            if t:
+                counts[t] = counts.get(t, 0) + 1
+    ranked = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0].encode()))
+    assert table == {t: i + 3 for i, (t, _) in enumerate(ranked)}
+    rows = [(i, text() + " unknownword") for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    got = {r.k: r.text_ids for r in encode(df, "text", vocab, ["k"]).collect()}
+    for k, t in rows:
+        assert got[k] == [table.get(w, 0) for w in re.split("[ \n]+", t) if w]
