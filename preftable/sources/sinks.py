@@ -12,21 +12,27 @@ def prune_raw_columns(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.select(*keep)
 
 
-def materialise(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+def materialise(df: DataFrame, path: str, mode: str = "overwrite", reuse: bool = False) -> DataFrame:
     """Write once as Parquet and read back: cuts lineage and lets later jobs reuse the encoding.
 
+    ``reuse=True`` reads an existing table at ``path`` instead of recomputing it (the on-disk
+    cache of processed datasets); a table is only reused when its ``_SUCCESS`` marker exists.
     ``path`` should be a shared folder (for intermediates, under ``spark.checkpoint.dir``; see
     ``session.scratch_table_path``), never a machine-local temp folder.
     """
+    spark = df.sparkSession
+    if reuse and _table_complete(spark, path):
+        return spark.read.parquet(path)
     df.write.mode(mode).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    """Store metric rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+def _table_complete(spark, path: str) -> bool:
+    """True when the table's ``_SUCCESS`` marker exists (written on job commit)."""
+    from pyspark.errors import AnalysisException
 
-
-def write_rollouts(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append experience rows partitioned by ``buffer_id`` (later reads prune by buffer)."""
-    df.write.mode(mode).partitionBy("buffer_id").parquet(path)
+    try:
+        spark.read.text(path.rstrip("/") + "/_SUCCESS")
+    except AnalysisException:
+        return False
+    return True

@@ -118,3 +118,20 @@ def test_metric_and_rollout_sinks(spark, tmp_path):
     write_rollouts(r, str(tmp_path / "rollouts"))
     one = spark.read.parquet(str(tmp_path / "rollouts")).filter(F.col("buffer_id") == 1)
     assert [x.seq for x in one.collect()] == [3]
+
+
+def test_multiline_json_array_and_materialise_reuse(spark, tmp_path):
+    from preftable.sources.sinks import materialise
+
+    d = tmp_path / "arr"
+    d.mkdir()
+    with open(d / "a.json", "w") as f:
+        json.dump([{"prompt": "p1", "chosen": "c1"}, {"prompt": "p2", "chosen": "c2"}], f, indent=2)
+    df = read_json_dir(spark, str(d), multi_line=True)
+    ok, _ = split_quarantine(to_sft_text(df, keep=("prompt",)))
+    assert sorted(r.response for r in ok.collect()) == ["c1", "c2"]
+    path = str(tmp_path / "cache")
+    first = materialise(spark.range(3), path)
+    assert first.count() == 3
+    again = materialise(spark.range(10), path, reuse=True)
+    assert again.count() == 3  # reused, not recomputed
