@@ -7,8 +7,6 @@ bounded regardless of table size.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,64 +83,65 @@ def gae_long(
     gamma: float = 1.0,
     lam: float = 0.95,
     out_col: str = "advantage",
+    chunk: int = 1024,
 ) -> DataFrame:
-    """GAE over a long ``(seq, pos, reward, value)`` table, O(T) per sequence.
-
-    ``A_t = Σ_{k≥t} c^{k-t} δ_k`` with ``c = γλ``. ``V_{t+1}`` comes from an equi-join on the
-    unique key ``(seq, pos)``. Positions are cut into chunks short enough that ``c^{chunk}`` does
-    not underflow (at most 4,096 positions, so every window partition is bounded); inside a chunk
-    a suffix-sum window on
-    ``δ_k·c^{k-start}`` (ordered by position descending, unbounded preceding: linear) gives the
-    local part, and the chunk carry ``A_{next chunk start}`` comes from a recursion over the few
-    chunk totals of each sequence. ``c = 0`` gives ``A = δ``; ``c = 1`` needs no scaling.
+    """GAE over a long ``(seq, pos, reward, value)`` table, linear in T, no whole-sequence task.
+
+    ``δ_t = r_t + γ·V_{t+1} − V_t`` with ``V_{t+1}`` from an equi-join on the unique key
+    ``(seq, pos)``. Rows are grouped into chunks of at most ``chunk`` positions; inside a chunk
+    the backward recursion ``A_t = δ_t + γλ·A_{t+1}`` runs as an array fold starting from 0 (the
+    same operations as the array form, so a sequence that fits one chunk gets bit-identical
+    results). The carry into each chunk, ``A`` at the next chunk's first position, comes from a
+    fold over the per-chunk results (one small entry per chunk):
+    ``A_start(j) = local_start(j) + (γλ)^len(j) · A_start(j+1)``. Then
+    ``A_t = local_t + (γλ)^(distance to the next chunk) · carry``. No division, no underflow.
     """
     c = float(gamma) * float(lam)
-    pos = F.col(pos_col)
+    cl = F.lit(c)
     # V_{t+1} by an equi-join on the unique key (seq, pos): no window holds a whole sequence.
     nxt = df.select(seq_col, (F.col(pos_col) - 1).alias(pos_col), F.col(value_col).alias("__next_v"))
     base = df.join(nxt, [seq_col, pos_col], "left").withColumn(
         "__delta", F.col(reward_col) + F.lit(float(gamma)) * F.coalesce(F.col("__next_v"), F.lit(0.0)) - F.col(value_col)
     ).drop("__next_v")
-    if c == 0.0:
-        return base.withColumn(out_col, F.col("__delta")).drop("__delta")
-    if c == 1.0:
-        chunk = 4096
-    else:
-        # |log10 c| * chunk <= 300 keeps c^chunk (and its inverse) inside double range.
-        chunk = max(1, min(4096, int(300.0 / abs(math.log10(abs(c))))))
-    cl = F.lit(c)
-    base = base.withColumn("__chunk", F.floor(pos / chunk).cast("long"))
-    base = base.withColumn("__off", (pos - F.col("__chunk") * chunk).cast("double"))
-    suffix = Window.partitionBy(seq_col, "__chunk").orderBy(pos.desc()).rowsBetween(Window.unboundedPreceding, 0)
-    local = F.sum(F.col("__delta") * F.pow(cl, F.col("__off"))).over(suffix) / F.pow(cl, F.col("__off"))
-    base = base.withColumn("__local", local)
-    # Chunk totals L_j (local value at the chunk's first position) and chunk lengths.
-    totals = base.groupBy(seq_col, "__chunk").agg(
-        F.sum(F.col("__delta") * F.pow(cl, F.col("__off"))).alias("__L"),
-        F.count(F.lit(1)).alias("__len"),
+    cols = [x for x in base.columns if x != seq_col]
+    base = base.withColumn("__chunk", F.floor(F.col(pos_col) / int(chunk)).cast("long"))
+    chunks = base.groupBy(seq_col, "__chunk").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("__p"), *[F.col(x) for x in cols]))).alias("__rows")
+    )
+    deltas = F.transform(F.col("__rows"), lambda r: r["__delta"])
+    empty = F.array().cast("array<double>")
+    local = F.aggregate(
+        F.reverse(deltas),
+        empty,
+        lambda acc, d: F.concat(F.array(d + cl * F.coalesce(F.get(acc, 0), F.lit(0.0))), acc),
     )
-    # Carry into chunk j: A at the first position of chunk j+1 = Σ_{i>j} c^{(start_i - start_{j+1})} L_i.
-    # Per sequence there are T/chunk totals; fold them from the end.
-    per_seq = totals.groupBy(seq_col).agg(F.array_sort(F.collect_list(F.struct("__chunk", "__L", "__len"))).alias("__ch"))
-    folded = per_seq.select(
+    chunks = chunks.withColumn("__local", local).withColumn("__len", F.size("__rows"))
+    # Carry per chunk from the chunk starts of the same sequence (T / chunk entries).
+    heads = chunks.groupBy(seq_col).agg(
+        F.array_sort(F.collect_list(F.struct("__chunk", F.get(F.col("__local"), 0).alias("__L"), "__len"))).alias("__ch")
+    )
+    carry = heads.select(
+        seq_col,
+        F.inline(
+            F.aggregate(
+                F.reverse(F.col("__ch")),
+                F.struct(F.array().cast("array<struct<__chunk:long,__carry:double>>").alias("out"), F.lit(0.0).alias("next")),
+                lambda acc, ch: F.struct(
+                    F.concat(F.array(F.struct(ch["__chunk"].alias("__chunk"), acc["next"].alias("__carry"))), acc["out"]).alias("out"),
+                    (ch["__L"] + F.pow(cl, ch["__len"].cast("double")) * acc["next"]).alias("next"),
+                ),
+            )["out"]
+        ),
+    )
+    joined = chunks.join(carry, [seq_col, "__chunk"])
+    rows = joined.select(
         seq_col,
-        F.aggregate(
-            F.reverse(F.col("__ch")),
-            F.struct(F.array().cast("array<struct<k:long,a:double>>").alias("out"), F.lit(0.0).alias("next")),
-            lambda acc, ch: F.struct(
-                F.concat(
-                    F.array(F.struct(ch["__chunk"].alias("k"), acc["next"].alias("a"))),
-                    acc["out"],
-                ).alias("out"),
-                (ch["__L"] + F.pow(cl, ch["__len"].cast("double")) * acc["next"]).alias("next"),
-            ),
-        )["out"].alias("__carry"),
-    ).select(seq_col, F.inline("__carry")).withColumnRenamed("k", "__chunk").withColumnRenamed("a", "__next")
-    lens = totals.select(seq_col, "__chunk", "__len")
-    out = base.join(folded, [seq_col, "__chunk"]).join(lens, [seq_col, "__chunk"])
-    remaining = F.col("__len").cast("double") - F.col("__off")
-    out = out.withColumn(out_col, F.col("__local") + F.pow(cl, remaining) * F.col("__next"))
-    return out.drop("__delta", "__chunk", "__off", "__local", "__next", "__len")
+        "__len",
+        "__carry",
+        F.posexplode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__local").alias("a"))).alias("__i", "__z"),
+    )
+    adv = F.col("__z.a") + F.pow(cl, (F.col("__len") - F.col("__i")).cast("double")) * F.col("__carry")
+    return rows.select(seq_col, *[F.col("__z.r")[x].alias(x) for x in cols if x != "__delta"], adv.alias(out_col))
 
 
 def build_experience(

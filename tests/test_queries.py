@@ -18,7 +18,7 @@ def _norm(v):
     if v is None:
         return "NULL"
     if isinstance(v, float):
-        return "NaN" if math.isnan(v) else f"{round(v, 5):.5f}"
+        return "NaN" if math.isnan(v) else repr(v)
     return str(v)
 
 

@@ -126,12 +126,12 @@ def test_gae_array_equals_long_form(spark):
 
 
 def test_gae_long_chunking_matches_recursion(spark):
-    # lam small enough that the chunked path needs several chunks
+    # small chunks: 11 chunks with carries between them
     n = 700
     rows = [(0, t, math.sin(t), math.cos(t)) for t in range(n)]
     df = spark.createDataFrame(rows, "seq long, pos long, r double, v double")
     gamma, lam = 0.9, 0.4
-    got = {r.pos: r.advantage for r in gae_long(df, "seq", "pos", "r", "v", gamma, lam).collect()}
+    got = {r.pos: r.advantage for r in gae_long(df, "seq", "pos", "r", "v", gamma, lam, chunk=64).collect()}
     nxt, ref = 0.0, [0.0] * n
     for t in reversed(range(n)):
         d = math.sin(t) + gamma * (math.cos(t + 1) if t + 1 < n else 0.0) - math.cos(t)
