@@ -328,3 +328,22 @@ def response_mask_q(spark: SparkSession, base: str) -> DataFrame:
         ids_text(rm).alias("response_mask"),
         (ones - prompt_nonpad).cast("long").alias("n_response_tokens"),
     )
+
+
+@register(
+    "slice_response",
+    f"""{_LEFT}
+SELECT example_id, {Q.ids_text('rids')} AS response_ids FROM lp""",
+)
+def slice_response_q(spark: SparkSession, base: str) -> DataFrame:
+    from preftable.operators.rollout import slice_response
+
+    left = _left_batched(spark, base)
+    w = Window.partitionBy("batch_id")
+    # What a generator returns: the left-padded prompt block followed by right-padded responses.
+    gen = left.withColumn("__m", F.max(F.size("tgt")).over(w)).select(
+        "example_id",
+        F.size("input_ids").alias("width"),
+        F.concat(F.col("input_ids"), right_pad(F.col("tgt"), F.col("__m"), IDS.pad_id)).alias("sequences"),
+    )
+    return gen.select("example_id", ids_text(slice_response("sequences", "width")).alias("response_ids"))

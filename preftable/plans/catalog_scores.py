@@ -563,3 +563,54 @@ def token_entropy_q(spark: SparkSession, base: str) -> DataFrame:
         _r(F.sum(F.col("ent") * F.col("m")) / (F.sum("m") + F.lit(1e-8))).alias("entropy"),
         F.count(F.lit(1)).alias("n"),
     )
+
+
+def _labels_from_mask(mask):
+    # Labels of a sequence: ignored (-100) on prompt positions, a token id elsewhere.
+    return F.transform(mask, lambda m, i: F.when(m == 1, i + 3).otherwise(F.lit(-100)))
+
+
+def _dpo_label_logps(spark: SparkSession, base: str, average: bool) -> DataFrame:
+    p = _pairs(spark, base)
+    return p.select(
+        F.col("seq").alias("example_id"),
+        O.dpo_sequence_logps(F.col("a_actor_logp"), _labels_from_mask(F.col("a_response_mask")), average).alias("accepts_logps"),
+        O.dpo_sequence_logps(F.col("r_actor_logp"), _labels_from_mask(F.col("r_response_mask")), average).alias("rejects_logps"),
+    )
+
+
+@register(
+    "dpo_sequence_logps_avg",
+    f"""{_TOK},
+sl AS (SELECT seq, sum(actor * ms) / (sum(ms) + 1e-8) AS lp FROM tok GROUP BY seq)
+SELECT c.seq AS example_id, {Q.rnd('c.lp')} AS accepts_logps, {Q.rnd('r.lp')} AS rejects_logps
+FROM sl c JOIN sl r ON r.seq = c.seq + 1 WHERE c.seq % 2 = 0""",
+)
+def dpo_sequence_logps_avg(spark: SparkSession, base: str) -> DataFrame:
+    d = _dpo_label_logps(spark, base, average=True)
+    return d.select("example_id", _r(F.col("accepts_logps")).alias("accepts_logps"), _r(F.col("rejects_logps")).alias("rejects_logps"))
+
+
+@register(
+    "dpo_sequence_logps_sum",
+    f"""{_TOK},
+sl AS (SELECT seq, sum(actor * ms) AS lp FROM tok GROUP BY seq)
+SELECT c.seq AS example_id, {Q.rnd('c.lp')} AS accepts_logps, {Q.rnd('r.lp')} AS rejects_logps
+FROM sl c JOIN sl r ON r.seq = c.seq + 1 WHERE c.seq % 2 = 0""",
+)
+def dpo_sequence_logps_sum(spark: SparkSession, base: str) -> DataFrame:
+    d = _dpo_label_logps(spark, base, average=False)
+    return d.select("example_id", _r(F.col("accepts_logps")).alias("accepts_logps"), _r(F.col("rejects_logps")).alias("rejects_logps"))
+
+
+@register("metrics_sink_round_trip", f"WITH {_STEP_SQL} SELECT update, {Q.rnd('value')} AS value FROM um")
+def metrics_sink_round_trip(spark: SparkSession, base: str) -> DataFrame:
+    import uuid
+
+    from preftable.session import scratch_table_path
+    from preftable.sources.sinks import write_metrics
+
+    path = scratch_table_path(spark, f"metrics-{uuid.uuid4().hex}")
+    write_metrics(M.step_metrics(_step_log(spark, base), STEP_ACCUM, ["value"]), path)
+    back = spark.read.schema("update BIGINT, value DOUBLE").json(path)
+    return back.select("update", _r(F.col("value")).alias("value"))
