@@ -104,3 +104,15 @@ def test_encode_matches_brute_force(spark):
     got = {r.k: r.text_ids for r in encode(df, "text", vocab, ["k"]).collect()}
     for k, t in rows:
         assert got[k] == [table.get(w, 0) for w in re.split("[ \n]+", t) if w]
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "key long, text string")
+    assert with_row_index(empty, ["key"]).count() == 0
+    b = B.assign_batches(empty, ["key"], 4)
+    assert b.count() == 0
+    assert B.fill_buffer(B.make_mini_batches(b, 2), 3).count() == 0
+    assert B.zip_streams(b, b).count() == 0
+    vocab = build_vocab(empty)
+    assert vocab.count() == 0
+    assert encode(spark.createDataFrame([(1, "a b")], "key long, text string"), "text", vocab, ["key"]).first().text_ids == [0, 0]
