@@ -25,6 +25,7 @@ HEADLINE = [
     "sft_sequences",
     "pair_sequences",
     "pt_blocks",
+    "pt_blocks_long",
     "batches",
     "replay",
     "collate_sft",

@@ -127,3 +127,44 @@ def encode_with_specials(
     return enc.select(
         *key_cols, *passthrough, F.concat(F.array(F.lit(ids.bos)), F.col(f"{text_col}__pt_enc")).alias(name)
     )
+
+
+def encode_long(
+    df: DataFrame,
+    text_col: str,
+    vocab: DataFrame,
+    key_cols: Sequence[str],
+    ids: SpecialIds = SpecialIds(),
+    with_bos: bool = False,
+    broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+    pattern: str = TOKEN_PATTERN,
+) -> DataFrame:
+    """Token ids in long form ``(keys…, pos, id)``: no regrouping, so no row is ever built whole.
+
+    For texts of unbounded size (one document may hold a large share of a corpus). ``pos`` is
+    dense (0, 1, …) over the non-empty tokens: the split pattern matches runs of separators, so an
+    empty piece can only come first or last and the dense position is the piece index minus one
+    when the text starts with a separator. ``with_bos`` adds the BOS id at position 0.
+    """
+    keys = list(key_cols)
+    pieces = tokens(F.col(text_col), pattern)
+    exploded = (
+        df.select(*keys, pieces.alias("__pieces"))
+        .select(
+            *keys,
+            (F.get(F.col("__pieces"), 0) == F.lit("")).cast("int").alias("__lead"),
+            F.posexplode("__pieces").alias("__i", "token"),
+        )
+        .filter(F.col("token") != "")
+    )
+    shift = 1 if with_bos else 0
+    joined = _lookup(exploded, vocab, broadcast_limit)
+    out = joined.select(
+        *keys,
+        (F.col("__i") - F.col("__lead") + F.lit(shift)).cast("long").alias("pos"),
+        F.coalesce(F.col("__pt_id"), F.lit(ids.unk)).cast("int").alias("id"),
+    )
+    if with_bos:
+        bos = df.select(*keys, F.lit(0).cast("long").alias("pos"), F.lit(ids.bos).cast("int").alias("id"))
+        out = bos.unionByName(out)
+    return out

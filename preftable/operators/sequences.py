@@ -162,3 +162,39 @@ def build_pair_sequence(df: DataFrame, source: str = "prompt_ids", accepts: str
 def build_ppo_prompt(df: DataFrame, source: str = "prompt_ids", target: str = "response_ids", ids: SpecialIds = SpecialIds(), **kw) -> DataFrame:
     """Survey name for ``build_ppo_prompts``: ``source + [bos]`` and ``target + [bos]``."""
     return build_ppo_prompts(df, source, target, ids, **kw)
+
+
+def pack_blocks_long(
+    tokens: DataFrame,
+    group_cols: Sequence[str],
+    order_col: str,
+    pos_col: str = "pos",
+    id_col: str = "id",
+    block_size: int = 512,
+) -> DataFrame:
+    """``pack_blocks`` over long-form tokens ``(group…, order, pos, id)``; same result.
+
+    Row lengths are a per-row count (map-side combined); row starts are prefix sums over the
+    rows of a pack group (a bounded map batch); each token gets its position in the group's
+    stream by a join on the row key and is regrouped by block. No task ever holds a whole row, so
+    a single huge text is spread over its blocks.
+    """
+    b = int(block_size)
+    if b < 1:
+        raise ValueError("block_size must be positive")
+    g = list(group_cols)
+    lens = tokens.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    starts = lens.select(
+        *g,
+        order_col,
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__st"),
+        F.sum("__n").over(Window.partitionBy(*g)).cast("long").alias("__tot"),
+    )
+    t = tokens.join(starts, [*g, order_col]).withColumn("__g", F.col("__st") + F.col(pos_col))
+    t = t.filter((F.col("__tot") < b) | (F.col("__g") < F.floor(F.col("__tot") / b) * b))
+    blocks = t.groupBy(*g, F.floor(F.col("__g") / b).cast("long").alias("block_id")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("__g"), F.col(id_col)))).alias("__p")
+    )
+    ids = F.transform(F.col("__p"), lambda x: x[id_col])
+    return blocks.select(*g, "block_id", ids.alias("input_ids"), ids.alias("label_ids"))

@@ -90,3 +90,28 @@ def test_pad_across_shards(spark):
     rows = sorted(C.pad_across_shards(df, side="left").collect(), key=lambda r: len([x for x in r.input_ids if x]))
     assert rows[0].input_ids == [0, 3] and rows[0].attention_mask == [0, 1]
     assert F is not None
+
+
+def test_long_form_packing_equals_array_form(spark):
+    import random
+
+    from preftable.operators.encode import build_vocab, encode_long, encode_with_specials
+
+    rnd = random.Random(5)
+    words = ["a", "b", "c", "dd", "zz"]
+    rows = []
+    for k in range(60):
+        body = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 15)))
+        rows.append((k, k // 20, rnd.choice(["", " ", "\n "]) + body + rnd.choice(["", " ", "\n"])))
+    df = spark.createDataFrame(rows, "doc_id long, g long, text string")
+    vocab = build_vocab(df.filter("doc_id % 3 <> 0"))
+    arr = encode_with_specials(df, "text", vocab, ["doc_id"], passthrough=["g"], out="input_ids")
+    a = {(r.g, r.block_id): r.input_ids for r in S.pack_blocks(arr, ["g"], "doc_id", "input_ids", 7).collect()}
+    toks = encode_long(df, "text", vocab, ["doc_id", "g"], with_bos=True)
+    flat = {r.doc_id: r.input_ids for r in arr.collect()}
+    got = {}
+    for r in toks.collect():
+        got.setdefault(r.doc_id, {})[r.pos] = r.id
+    assert {d: [got[d][i] for i in range(len(got[d]))] for d in got} == flat
+    b = {(r.g, r.block_id): r.input_ids for r in S.pack_blocks_long(toks, ["g"], "doc_id", "pos", "id", 7).collect()}
+    assert a == b
