@@ -83,20 +83,44 @@ def encode(
     passthrough: Sequence[str] = (),
     broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
     pattern: str = TOKEN_PATTERN,
+    max_ids: int | dict[str, int] | None = None,
 ) -> DataFrame:
     """Encode each of ``text_cols`` into ``{col}{out_suffix}`` ARRAY<INT>; no special tokens.
 
     Unknown tokens map to ``ids.unk``; an empty or NULL text gives ``array()``. ``key_cols`` must be
     unique per row; ``passthrough`` columns ride along (constant per key). Returns
     ``key_cols + passthrough + encoded columns``.
+
+    ``max_ids`` (one limit, or one per column) keeps only the first ids of each text, equal to
+    encoding everything and truncating afterwards (each whitespace token maps to exactly one id):
+    the whole text is still split, and tokens past the limit are dropped before the lookup and
+    the per-row fold, so a huge text never becomes one huge array in one task.
     """
     cols = [text_cols] if isinstance(text_cols, str) else list(text_cols)
     keys = list(key_cols) + list(passthrough)
     fields = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("string").alias("t")) for i, c in enumerate(cols)])
     exploded = (
         df.select(*keys, F.inline(fields))
-        .select(*keys, "f", F.posexplode_outer(tokens(F.col("t"), pattern)).alias("pos", "token"))
+        .select(*keys, "f", tokens(F.col("t"), pattern).alias("__pieces"))
+        .select(
+            *keys,
+            "f",
+            (F.get(F.col("__pieces"), 0) == F.lit("")).cast("int").alias("__lead"),
+            F.posexplode_outer("__pieces").alias("pos", "token"),
+        )
     )
+    if max_ids is not None:
+        limits = max_ids if isinstance(max_ids, dict) else {c: max_ids for c in cols}
+        limit = F.lit(None).cast("long")
+        for i, c in enumerate(cols):
+            if c in limits:
+                limit = F.when(F.col("f") == i, F.lit(int(limits[c]))).otherwise(limit)
+        # Empty pieces (first/last only) stay so every row survives; real tokens past the limit go.
+        dense = F.col("pos") - F.coalesce(F.col("__lead"), F.lit(0))
+        exploded = exploded.filter(
+            limit.isNull() | F.col("token").isNull() | (F.col("token") == "") | (dense < limit)
+        )
+    exploded = exploded.drop("__lead")
     joined = _lookup(exploded, vocab, broadcast_limit)
     tok_id = F.when(F.col("token").isNull() | (F.col("token") == ""), F.lit(None).cast("int")).otherwise(
         F.coalesce(F.col("__pt_id"), F.lit(ids.unk))

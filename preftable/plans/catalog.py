@@ -131,7 +131,8 @@ def encode_specials(spark: SparkSession, base: str) -> DataFrame:
 
 def _sft_encoded(spark: SparkSession, base: str) -> DataFrame:
     text = sft_text(spark, base)
-    return encode(text, ["prompt", "response"], V.document_vocab(spark, base), ["example_id"], IDS)
+    limits = {"prompt": MAX_PROMPT - 1, "response": MAX_RESPONSE - 1}
+    return encode(text, ["prompt", "response"], V.document_vocab(spark, base), ["example_id"], IDS, max_ids=limits)
 
 
 _SFT_ENC = f"""WITH {Q.INSTRUCTION_CTE}, {Q.sft_cte()}, {Q.VOCAB_CTE},
@@ -195,7 +196,10 @@ SELECT example_id, {Q.render('prompt')} AS prompt, chosen, rejected FROM pairs""
 
 
 def _pair_sequences(spark: SparkSession, base: str) -> DataFrame:
-    enc = encode(pair_text(spark, base), ["prompt", "chosen", "rejected"], V.document_vocab(spark, base), ["example_id"], IDS)
+    limits = {"prompt": MAX_PROMPT - 1, "chosen": MAX_RESPONSE - 1, "rejected": MAX_RESPONSE - 1}
+    enc = encode(
+        pair_text(spark, base), ["prompt", "chosen", "rejected"], V.document_vocab(spark, base), ["example_id"], IDS, max_ids=limits
+    )
     seqs = S.build_pair_sequences(enc, "prompt_ids", "chosen_ids", "rejected_ids", IDS, MAX_PROMPT, MAX_RESPONSE)
     return S.pad_pair(seqs, IDS)
 

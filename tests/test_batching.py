@@ -116,3 +116,12 @@ def test_empty_inputs(spark):
     vocab = build_vocab(empty)
     assert vocab.count() == 0
     assert encode(spark.createDataFrame([(1, "a b")], "key long, text string"), "text", vocab, ["key"]).first().text_ids == [0, 0]
+
+
+def test_encode_max_ids_equals_truncation(spark):
+    corpus = spark.createDataFrame([("a b c d e",)], "text string")
+    vocab = build_vocab(corpus)
+    df = spark.createDataFrame([(1, " a b c d e f "), (2, ""), (3, "a"), (4, None)], "k long, text string")
+    full = {r.k: r.text_ids for r in encode(df, "text", vocab, ["k"]).collect()}
+    cut = {r.k: r.text_ids for r in encode(df, "text", vocab, ["k"], max_ids=3).collect()}
+    assert cut == {k: v[:3] for k, v in full.items()}
