@@ -18,7 +18,7 @@ from preftable.operators.encode import encode
 from preftable.operators.normalise import split_quarantine, to_sft_text
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
-from preftable.plans.catalog import IDS, MAX_PROMPT, MAX_RESPONSE, ORACLES, TEMPLATE, register
+from preftable.plans.catalog import _PAIR_ENC, _SFT_ENC, IDS, MAX_PROMPT, MAX_RESPONSE, ORACLES, TEMPLATE, register
 from preftable.session import scratch_table_path
 from preftable.sources.readers import RAW_SCHEMA, read_json_dir, read_text_dir
 from preftable.sources.sinks import materialise
@@ -120,3 +120,62 @@ def stream_step_metrics_q(spark: SparkSession, base: str) -> DataFrame:
         F.col("n_rows").cast("long").alias("n_rows"),
         (F.round(F.col("value"), 6) + F.lit(0.0)).alias("value"),
     )
+
+
+def _cfg():
+    from preftable.config import SequenceConfig
+    from preftable.plans.catalog import SEED, SPLIT_RATIO
+
+    return SequenceConfig(template=TEMPLATE, max_prompt_length=MAX_PROMPT, max_response_length=MAX_RESPONSE,
+                          split_ratio=SPLIT_RATIO, seed=SEED, ids=IDS)
+
+
+_SPLIT_CASE = (
+    "CASE WHEN (('0x' || substr(md5('42:' || example_id), 1, 8))::BIGINT / 4294967296.0) < 0.05 "
+    "THEN 'test' ELSE 'train' END"
+)
+
+
+@register(
+    "prepare_sft_end_to_end",
+    f"""{_SFT_ENC}
+SELECT example_id, {_SPLIT_CASE} AS split,
+       {Q.ids_text(Q.seq_sft('src', 'tgt'))} AS input_ids, {Q.ids_text(Q.seq_labels('src', 'tgt'))} AS label_ids
+FROM enc""",
+)
+def prepare_sft_end_to_end(spark: SparkSession, base: str) -> DataFrame:
+    from preftable.prepare import prepare_sft
+
+    src = _scratch(spark, "sft-records")
+    V.instruction_rows(spark, base).select("example_id", "instruction", "input", "output").write.json(src)
+    seqs, _ = prepare_sft(spark, V.document_vocab(spark, base), dataset_dir=src, cfg=_cfg())
+    return seqs.select("example_id", "split", ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("label_ids")).alias("label_ids"))
+
+
+@register(
+    "prepare_ppo_end_to_end",
+    ORACLES["ppo_prompts"],
+)
+def prepare_ppo_end_to_end(spark: SparkSession, base: str) -> DataFrame:
+    from preftable.prepare import prepare_ppo
+
+    src = _scratch(spark, "ppo-records")
+    V.instruction_rows(spark, base).select("example_id", "instruction", "input", "output").write.json(src)
+    prompts, _ = prepare_ppo(spark, V.document_vocab(spark, base), src, _cfg())
+    return prompts.select("example_id", ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("label_ids")).alias("label_ids"))
+
+
+@register(
+    "prepare_pairs_end_to_end",
+    f"""{_PAIR_ENC}
+SELECT example_id, {_SPLIT_CASE} AS split, {Q.ids_text('list_concat(accepts_ids, rejects_ids)')} AS input_ids,
+       {Q.ids_text('list_concat(accepts_labels, rejects_labels)')} AS label_ids
+FROM padded""",
+)
+def prepare_pairs_end_to_end(spark: SparkSession, base: str) -> DataFrame:
+    from preftable.prepare import prepare_pairs
+
+    src = _scratch(spark, "pair-records")
+    V.preference_rows(spark, base).select("example_id", "prompt", "chosen", "rejected").write.json(src)
+    pairs, _ = prepare_pairs(spark, V.document_vocab(spark, base), dataset_dir=src, cfg=_cfg())
+    return pairs.select("example_id", "split", ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("label_ids")).alias("label_ids"))

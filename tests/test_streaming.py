@@ -37,3 +37,22 @@ def test_stream_step_metrics_closed_windows(spark, tmp_path):
     run_available(agg, str(tmp_path / "out"), str(tmp_path / "ckpt"))
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(out) == 1 and out[0].n_rows == 12 and out[0].value == sum(range(0, 60, 5)) / 12
+
+
+def test_prepare_pretrain_blocks(spark, tmp_path):
+    from preftable.config import SequenceConfig
+    from preftable.operators.encode import build_vocab
+    from preftable.prepare import prepare_pretrain
+
+    d = tmp_path / "txt"
+    os.makedirs(d)
+    lines = [f"w{i % 5} w{i % 3} w{i % 7}" for i in range(50)]
+    with open(d / "a.txt", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    vocab = build_vocab(spark.createDataFrame([(x,) for x in lines], "text string"))
+    blocks = prepare_pretrain(spark, vocab, str(d), SequenceConfig(block_size=16), batch_rows=20).collect()
+    total = {0: 20 * 4, 1: 20 * 4, 2: 10 * 4}  # BOS + 3 ids per line
+    for g, n in total.items():
+        got = [b for b in blocks if b.group_id == g]
+        assert len(got) == n // 16 and all(len(b.input_ids) == 16 for b in got)
+        assert all(b.input_ids[0] == 1 for b in got if b.block_id == 0)
