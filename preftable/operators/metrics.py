@@ -117,3 +117,8 @@ def pair_eval_metrics(
         return df.agg(*[F.avg(c).alias(f"eval_{c}") for c in metric_cols])
     per_batch = df.groupBy(batch_col).agg(*[F.avg(c).alias(c) for c in metric_cols])
     return per_batch.agg(*[F.max_by(c, batch_col).alias(f"eval_{c}") for c in metric_cols])
+
+
+def masked_mean_agg(x: str, mask: str) -> Column:
+    """Aggregate: ``Σ(x·m) / (Σm + 1e-8)`` over the arrays of a group."""
+    return F.sum(R.masked_sum(F.col(x), F.col(mask))) / (F.sum(R.array_sum(F.col(mask))) + F.lit(MASKED_MEAN_EPS))

@@ -614,3 +614,46 @@ def metrics_sink_round_trip(spark: SparkSession, base: str) -> DataFrame:
     write_metrics(M.step_metrics(_step_log(spark, base), STEP_ACCUM, ["value"]), path)
     back = spark.read.schema("update BIGINT, value DOUBLE").json(path)
     return back.select("update", _r(F.col("value")).alias("value"))
+
+
+_PPO_LOG_METRICS = ["kl_penalty_mean", "advantages_mean", "returns_mean", "actor_loss", "critic_loss"]
+
+
+@register(
+    "ppo_log_end_to_end",
+    f"""{_GAE},
+wm AS (SELECT batch_id, sum(a * ms) / sum(ms) AS mean FROM ret GROUP BY batch_id),
+wv AS (SELECT ret.batch_id, sum(ms * (a - wm.mean) * (a - wm.mean)) / sum(ms) AS var
+       FROM ret JOIN wm ON ret.batch_id = wm.batch_id GROUP BY ret.batch_id),
+w AS (SELECT ret.*, (ret.a - wm.mean) / sqrt(wv.var + 1e-6) AS aw
+      FROM ret JOIN wm ON ret.batch_id = wm.batch_id JOIN wv ON ret.batch_id = wv.batch_id),
+pt AS (SELECT *, greatest(-aw * exp((new - actor) * ms), -aw * greatest({1 - CLIP}, least({1 + CLIP}, exp((new - actor) * ms)))) AS term,
+              greatest(v - {CLIP}, least(v + {CLIP}, new_value)) AS clipped FROM w),
+b AS (SELECT batch_id,
+             sum(pen * ms) / (sum(ms) + 1e-8) AS kl_penalty_mean,
+             sum(aw * ms) / (sum(ms) + 1e-8) AS advantages_mean,
+             sum(r * ms) / (sum(ms) + 1e-8) AS returns_mean,
+             sum(term * ms) / (sum(ms) + 1e-8) AS actor_loss,
+             0.5 * sum(greatest((new_value - r) * (new_value - r), (clipped - r) * (clipped - r)) * ms) / (sum(ms) + 1e-8) AS critic_loss
+      FROM pt GROUP BY batch_id),
+u AS (SELECT CAST(ceil((batch_id + 1) / 2.0) AS BIGINT) AS update, """
+    + ", ".join(f"avg({m}) AS {m}" for m in _PPO_LOG_METRICS)
+    + """ FROM b GROUP BY 1 HAVING count(*) = 2)
+SELECT update, """
+    + ", ".join(f"{Q.rnd(m)} AS {m}" for m in _PPO_LOG_METRICS)
+    + " FROM u",
+)
+def ppo_log_end_to_end(spark: SparkSession, base: str) -> DataFrame:
+    # Experience (whitened advantages) -> per-mini-batch metrics and losses in one aggregation ->
+    # step metrics averaged over accumulation windows of two steps (one rank).
+    exp = _experience(spark, base, norm=True)
+    per_batch = exp.groupBy("batch_id").agg(
+        M.masked_mean_agg("kl_penalty", "ms").alias("kl_penalty_mean"),
+        M.masked_mean_agg("advantages", "ms").alias("advantages_mean"),
+        M.masked_mean_agg("returns", "ms").alias("returns_mean"),
+        OB.actor_loss_agg("advantages", "new_logp", "actor_logp", "ms", CLIP).alias("actor_loss"),
+        OB.critic_loss_agg("critic_values", "new_values", "returns", "ms", CLIP).alias("critic_loss"),
+    )
+    log = per_batch.select((F.col("batch_id") + 1).alias("step"), F.lit(0).alias("rank"), *_PPO_LOG_METRICS)
+    s = M.step_metrics(log, 2, _PPO_LOG_METRICS)
+    return s.select("update", *[_r(F.col(m)).alias(m) for m in _PPO_LOG_METRICS])
