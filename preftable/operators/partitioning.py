@@ -16,8 +16,9 @@ def spread_small_input(df: DataFrame, factor: int = 2) -> DataFrame:
     Call it on a file scan (``spark.read...``): counting the splits of a scan is file listing
     only, whereas on a plan with shuffles it would run those stages.
     """
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * factor
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # e.g. Spark Connect sessions expose no RDD API: leave the input as is
+        return df
+    return df.repartition(target) if splits < target else df
