@@ -135,3 +135,31 @@ def test_multiline_json_array_and_materialise_reuse(spark, tmp_path):
     assert first.count() == 3
     again = materialise(spark.range(10), path, reuse=True)
     assert again.count() == 3  # reused, not recomputed
+
+
+def test_prepare_sft_from_split_files_and_pairs_from_dir(spark, tmp_path):
+    from preftable.config import SequenceConfig
+    from preftable.operators.encode import build_vocab
+    from preftable.prepare import prepare_pairs, prepare_sft
+
+    rows = {"train.json": [{"instruction": "say a", "input": "", "output": ["a b"]}, {"instruction": "x", "input": "", "output": []}],
+            "valid.json": [{"prompt": "say b", "chosen": "b"}]}
+    for name, rs in rows.items():
+        with open(tmp_path / name, "w") as f:
+            for r in rs:
+                f.write(json.dumps(r) + "\n")
+    vocab = build_vocab(spark.createDataFrame([("say a b x",)], "text string"))
+    cfg = SequenceConfig(max_prompt_length=64, max_response_length=64)
+    seqs, bad = prepare_sft(spark, vocab, train_file=str(tmp_path / "train.json"), valid_file=str(tmp_path / "valid.json"), cfg=cfg)
+    got = sorted((r.split, len(r.input_ids) == len(r.label_ids)) for r in seqs.collect())
+    assert got == [("test", True), ("train", True)]
+    assert [r.quarantine_reason for r in bad.collect()] == ["empty output list"]
+    d = tmp_path / "pairs"
+    d.mkdir()
+    with open(d / "p.json", "w") as f:
+        f.write(json.dumps({"prompt": "say", "chosen": "a b", "rejected": "x"}) + "\n")
+        f.write(json.dumps({"instruction": "say", "input": "", "output": ["a"]}) + "\n")
+    pairs, bad = prepare_pairs(spark, vocab, dataset_dir=str(d), cfg=cfg)
+    p = pairs.collect()
+    assert len(p) == 1 and len(p[0].input_ids) % 2 == 0 and p[0].split in ("train", "test")
+    assert bad.count() == 1
