@@ -14,7 +14,6 @@ from preftable.config import SequenceConfig
 from preftable.operators import batching as B
 from preftable.operators import sequences as S
 from preftable.operators.encode import encode, encode_long
-from preftable.operators.indexing import with_row_index
 from preftable.operators.normalise import split_quarantine, to_pair_text, to_sft_text
 from preftable.sources.readers import RAW_SCHEMA, read_json_dir, read_split_files, read_text_dir, resolve_source
 
@@ -124,9 +123,16 @@ def prepare_pretrain(
     cfg: SequenceConfig = SequenceConfig(),
     batch_rows: int = 1000,
 ) -> DataFrame:
-    """Plain-text corpus → packed blocks: lines get BOS, consecutive groups of ``batch_rows`` lines
-    are concatenated and cut into ``cfg.block_size`` blocks (long form: no line is built whole)."""
-    lines = with_row_index(read_text_dir(spark, text_dir), ["file", "line_no"], name="row")
-    lines = lines.withColumn("group_id", F.floor(F.col("row") / batch_rows).cast("long"))
-    toks = encode_long(lines, "text", vocab, ["row", "group_id"], cfg.ids, with_bos=True)
-    return S.pack_blocks_long(toks, ["group_id"], "row", "pos", "id", cfg.block_size)
+    """Plain-text corpus → packed blocks: each line gets BOS, runs of up to ``batch_rows``
+    consecutive lines are concatenated and cut into ``cfg.block_size`` blocks.
+
+    Lines are grouped by the id the scan assigns (split index in the high bits, position in the
+    split below), so a group is a run of consecutive lines of one file split: no shuffle or copy
+    of the corpus is needed to number lines, and packing restarts at split boundaries the way the
+    reference's packing restarts at each map batch. Tokens stay in long form, so no line is built
+    whole either.
+    """
+    lines = read_text_dir(spark, text_dir)
+    lines = lines.withColumn("group_id", F.floor(F.col("line_no") / batch_rows).cast("long"))
+    toks = encode_long(lines, "text", vocab, ["line_no", "group_id"], cfg.ids, with_bos=True)
+    return S.pack_blocks_long(toks, ["group_id"], "line_no", "pos", "id", cfg.block_size)

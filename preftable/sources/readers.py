@@ -63,8 +63,9 @@ def read_split_files(
 def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
     """Every ``*.txt`` under ``path``, one row per line: ``(file, line_no, text)``.
 
-    ``line_no`` is the byte offset-free position within the file's row order, only used as a
-    stable ordering key for packing; it comes from the file name and the read order.
+    ``line_no`` orders lines: consecutive lines of one file split get consecutive numbers (the
+    split index sits in the upper bits), and the numbering is stable across re-reads and task
+    retries because it follows the scan's split planning.
     """
     if not _has_files(path, "*.txt"):
         raise ValueError(f"no *.txt files under {path}")
