@@ -133,6 +133,9 @@ def prepare_pretrain(
     whole either.
     """
     lines = read_text_dir(spark, text_dir)
-    lines = lines.withColumn("group_id", F.floor(F.col("line_no") / batch_rows).cast("long"))
+    split = F.shiftright(F.col("line_no"), 33)
+    local = F.col("line_no") - F.shiftleft(split, 33)
+    per_split = -(-(1 << 33) // batch_rows)  # groups a split can hold
+    lines = lines.withColumn("group_id", (split * per_split + F.floor(local / batch_rows)).cast("long"))
     toks = encode_long(lines, "text", vocab, ["line_no", "group_id"], cfg.ids, with_bos=True)
     return S.pack_blocks_long(toks, ["group_id"], "line_no", "pos", "id", cfg.block_size)
