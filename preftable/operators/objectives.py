@@ -40,7 +40,8 @@ def values_error_agg(new_values: str, returns: str, mask: str) -> Column:
 
 def clm_loss_agg(logp: str, mask: Column) -> Column:
     """Aggregate: mean negative log-prob over the selected tokens."""
-    return -F.sum(R.masked_sum(F.col(logp), mask)) / F.sum(R.array_sum(mask))
+    # try_divide: no selected token gives NULL instead of failing under ANSI.
+    return F.try_divide(-F.sum(R.masked_sum(F.col(logp), mask)), F.sum(R.array_sum(mask)))
 
 
 def ppo_actor_loss(
@@ -108,7 +109,7 @@ def rm_pairwise_loss(
     )
     ln2 = F.lit(math.log(2.0))
     total = F.col("__s") + (F.col("__t") * F.col("__b") - F.col("__w")) * ln2
-    return agg.select(batch_col, (total / (F.col("__t") * F.col("__b"))).alias("rm_loss"))
+    return agg.select(batch_col, F.try_divide(total, F.col("__t") * F.col("__b")).alias("rm_loss"))
 
 
 def dpo_outputs(

@@ -67,9 +67,10 @@ def masked_whiten(
     x, m = F.col(x_col), F.col(mask_col)
     w = Window.partitionBy(batch_col)
     num = R.array_sum(x) if compat else R.masked_sum(x, m)
-    out = df.withColumn("__wm", F.sum(num).over(w) / F.sum(R.array_sum(m)).over(w))
+    # try_divide: a batch without any masked-in token gives NULL instead of failing under ANSI.
+    out = df.withColumn("__wm", F.try_divide(F.sum(num).over(w), F.sum(R.array_sum(m)).over(w)))
     dev = F.zip_with(x, m, lambda v, k: (v - F.col("__wm")) * (v - F.col("__wm")) * k)
-    out = out.withColumn("__wv", F.sum(R.array_sum(dev)).over(w) / F.sum(R.array_sum(m)).over(w))
+    out = out.withColumn("__wv", F.try_divide(F.sum(R.array_sum(dev)).over(w), F.sum(R.array_sum(m)).over(w)))
     out = out.withColumn(out_col, R.whiten(x, F.col("__wm"), F.col("__wv"), shift_mean))
     return out.drop("__wm", "__wv")
 

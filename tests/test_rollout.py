@@ -175,3 +175,12 @@ def test_slice_response(spark):
     df = spark.createDataFrame([([0, 5, 6, 7, 8],)], "ids array<int>")
     assert df.select(slice_response("ids", 3)).first()[0] == [7, 8]
     assert df.select(slice_response("ids", 9)).first()[0] == []
+
+
+def test_zero_mask_batch_does_not_fail_under_ansi(spark):
+    from preftable.operators.objectives import clm_loss
+
+    df = spark.createDataFrame([(0, 0, [1.0, 2.0], [0, 0])], "batch_id long, seq long, x array<double>, m array<int>")
+    w = masked_whiten(df, "x", "m", "batch_id", "w").first()
+    assert w.w == [None, None]
+    assert clm_loss(df, "x", mask="m").first().clm_loss is None
