@@ -136,13 +136,13 @@ def entropy(logits: Column) -> Column:
 
 def token_logprobs(logits: Column, ids: Column) -> Column:
     """Per-token log-probs: logits ``[:-1]`` (ARRAY<ARRAY<DOUBLE>>) against ids ``[1:]``."""
-    n = F.size(ids) - 1
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
     return F.zip_with(F.slice(logits, 1, n), F.slice(ids, 2, n), lambda row, y: log_softmax_at(row, y))
 
 
 def token_entropies(logits: Column) -> Column:
     """Per-position entropies of logits ``[:-1]``."""
-    return F.transform(F.slice(logits, 1, F.size(logits) - 1), entropy)
+    return F.transform(F.slice(logits, 1, F.greatest(F.size(logits) - 1, F.lit(0))), entropy)
 
 
 def sequence_ce(logp: Column, sequence_mask: Column) -> Column:

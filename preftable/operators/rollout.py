@@ -166,7 +166,7 @@ def build_experience(
     out = out.withColumn("__pen", R.kl_penalty(F.col("actor_logp"), F.col("ref_logp"), cfg.kl_penalty_beta, cfg.kl_penalty_method))
     out = out.withColumn("rewards_kl", R.rewards_with_kl(F.col("__pen"), F.col("reward_score"), ms))
     out = out.withColumn("kl_penalty", F.col("rewards_kl") if cfg.compat else F.col("__pen"))
-    cv = F.slice(F.col("critic_values"), 1, F.size("critic_values") - 1)
+    cv = F.slice(F.col("critic_values"), 1, F.greatest(F.size("critic_values") - 1, F.lit(0)))
     out = out.withColumn("critic_values", R.mask_scores(cv, ms))
     out = out.withColumn("rewards_kl", R.mask_scores(F.col("rewards_kl"), ms))
     out = out.withColumn("advantages", R.gae(F.col("rewards_kl"), F.col("critic_values"), cfg.gamma, cfg.lam))

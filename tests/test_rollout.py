@@ -184,3 +184,9 @@ def test_zero_mask_batch_does_not_fail_under_ansi(spark):
     w = masked_whiten(df, "x", "m", "batch_id", "w").first()
     assert w.w == [None, None]
     assert clm_loss(df, "x", mask="m").first().clm_loss is None
+
+
+def test_empty_arrays_are_safe_under_ansi(spark):
+    df = spark.createDataFrame([([], [])], "l array<array<double>>, ids array<int>")
+    r = df.select(R.token_logprobs(F.col("l"), F.col("ids")).alias("a"), R.token_entropies(F.col("l")).alias("b")).first()
+    assert r.a == [] and r.b == []
