@@ -27,20 +27,32 @@ def table(spark: SparkSession, base: str, name: str, spread: bool = False) -> Da
 def conversation_neighbours(spark: SparkSession, base: str, offsets: tuple[int, ...] = (1,)) -> DataFrame:
     """Each turn with the turn ``offset`` places later and the conversation's system text.
 
-    Written as equi-joins on the unique key ``(conv_id, turn)`` instead of a window over
-    ``conv_id``: no task ever holds a whole conversation, however long one conversation is. The
-    system text is one row per conversation joined on ``conv_id`` (AQE splits a skewed side).
+    Every turn is emitted once as itself and once per offset keyed at ``turn - offset``; a
+    ``groupBy(conv_id, turn)`` then holds at most ``1 + len(offsets)`` rows per key, so no task
+    ever holds a whole conversation however long one is, and the table is scanned and shuffled
+    once. The system text is one row per conversation joined on ``conv_id`` (AQE splits a skewed
+    side).
     """
     conv = table(spark, base, "conversations").select("conv_id", "turn", "role", "text")
-    out = conv
-    for k in offsets:
-        later = conv.select(
-            "conv_id",
-            (F.col("turn") - k).alias("turn"),
-            F.col("role").alias(f"role_{k}"),
-            F.col("text").alias(f"text_{k}"),
-        )
-        out = out.join(later, ["conv_id", "turn"], "left")
+    copies = [F.struct(F.lit(0).alias("k"), F.col("turn").alias("t"), "role", "text")] + [
+        F.struct(F.lit(k).alias("k"), (F.col("turn") - k).alias("t"), "role", "text") for k in offsets
+    ]
+    keyed = conv.select("conv_id", F.inline(F.array(*copies)))
+    grouped = keyed.groupBy("conv_id", F.col("t").alias("turn")).agg(
+        F.collect_list(F.struct("k", "role", "text")).alias("__items")
+    )
+
+    def pick(k: int):
+        return F.get(F.filter(F.col("__items"), lambda x: x["k"] == F.lit(k)), 0)
+
+    out = grouped.select(
+        "conv_id",
+        "turn",
+        pick(0)["role"].alias("role"),
+        pick(0)["text"].alias("text"),
+        *[pick(k)["role"].alias(f"role_{k}") for k in offsets],
+        *[pick(k)["text"].alias(f"text_{k}") for k in offsets],
+    ).filter(F.col("role").isNotNull())
     system = conv.filter(F.col("role") == "system").groupBy("conv_id").agg(F.max("text").alias("sys_text"))
     return out.join(system, "conv_id", "left")
 
