@@ -253,17 +253,20 @@ def extra_weight(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, base: str) -> DataFrame:
-    # Sequences are clustered by pair, so folding each pair's two sequences into one row is a
-    # groupBy the partitioning already satisfies: one scan, one shuffle, no self-join.
-    r = V.rollout_rows(spark, base, by_pair=True).withColumn("ms", R.shifted(F.col("response_mask")))
+    # Sequences are clustered by batch and a pair lies inside one batch, so folding each pair's two
+    # sequences into one row is a groupBy the partitioning already satisfies: no self-join.
+    r = V.rollout_rows(spark, base).withColumn("ms", R.shifted(F.col("response_mask")))
     side = ["actor_logp", "ref_logp", "ms", "critic_values", "response_mask", "sequence_mask"]
-    both = r.groupBy("pair").agg(F.collect_list(F.struct("seq", "batch_id", *side)).alias("__s"))
+    both = r.groupBy("batch_id", "pair").agg(F.collect_list(F.struct("seq", *side)).alias("__s"))
     even = F.get(F.filter(F.col("__s"), lambda x: F.pmod(x["seq"], F.lit(2)) == 0), 0)
     odd = F.get(F.filter(F.col("__s"), lambda x: F.pmod(x["seq"], F.lit(2)) == 1), 0)
-    pairs = both.select(even.alias("__a"), odd.alias("__r")).filter(F.col("__a").isNotNull() & F.col("__r").isNotNull())
+    pairs = both.select("batch_id", even.alias("__a"), odd.alias("__r")).filter(
+        F.col("__a").isNotNull() & F.col("__r").isNotNull()
+    )
+    # Keep the grouping column itself so later per-batch steps see the existing partitioning.
     return pairs.select(
         F.col("__a.seq").alias("seq"),
-        F.col("__a.batch_id").alias("batch_id"),
+        "batch_id",
         *[F.col(f"__a.{c}").alias(f"a_{c}") for c in side],
         *[F.col(f"__r.{c}").alias(f"r_{c}") for c in side],
     )

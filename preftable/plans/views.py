@@ -139,30 +139,27 @@ def _scores(events: DataFrame) -> DataFrame:
     )
 
 
-def rollout_rows(spark: SparkSession, base: str, by_pair: bool = False) -> DataFrame:
+def rollout_rows(spark: SparkSession, base: str) -> DataFrame:
     """One row per sequence (``seq = user_id``) with the logged score arrays.
 
-    Events are folded per user in ``event_id`` order with one ``collect_list`` (partial
-    aggregation map-side). Arrays: ``sequence_mask``/``response_mask``/``critic_values``
+    Events are clustered once by ``batch_id = seq div 8`` and folded per ``(batch_id, seq)`` in
+    ``event_id`` order with one ``collect_list``. Every later batch-level step (whitening window,
+    per-batch losses and metrics, the chosen/rejected fold per ``(batch_id, pair)``; a pair never
+    straddles a batch because the batch size is even) is then satisfied by that partitioning and
+    needs no further exchange. Arrays: ``sequence_mask``/``response_mask``/``critic_values``
     (length T), ``actor_logp``/``ref_logp``/``new_logp``/``new_values`` (length T-1).
-
-    ``by_pair`` clusters the events by ``pair = seq div 2`` before the fold (one shuffle): the
-    fold's grouping is then already satisfied, and a later join of the chosen (even) and rejected
-    (odd) sequences on ``pair`` needs no further exchange.
     """
     s = _scores(table(spark, base, "events"))
-    keys = ["seq"]
-    if by_pair:
-        s = s.withColumn("pair", F.floor(F.col("seq") / 2).cast("long")).repartition("pair")
-        keys = ["pair", "seq"]
-    seqs = s.groupBy(*keys).agg(
+    s = s.withColumn("batch_id", F.floor(F.col("seq") / SCORE_BATCH).cast("long")).repartition("batch_id")
+    seqs = s.groupBy("batch_id", "seq").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "actor", "ref", "new", "value", "new_value"))).alias("__s")
     )
     t = F.size("__s")
     head = F.slice(F.col("__s"), 1, t - 1)
     return seqs.select(
-        *keys,
-        F.floor(F.col("seq") / SCORE_BATCH).cast("long").alias("batch_id"),
+        "seq",
+        "batch_id",
+        F.floor(F.col("seq") / 2).cast("long").alias("pair"),
         F.transform("__s", lambda x: F.lit(1)).alias("sequence_mask"),
         F.transform("__s", lambda x, i: F.when(i < PROMPT_POSITIONS, 0).otherwise(1)).alias("response_mask"),
         F.transform(head, lambda x: x["actor"]).alias("actor_logp"),
