@@ -88,28 +88,28 @@ def gae_long(
 ) -> DataFrame:
     """GAE over a long ``(seq, pos, reward, value)`` table, linear in T, no whole-sequence task.
 
-    ``δ_t = r_t + γ·V_{t+1} − V_t`` with ``V_{t+1}`` from an equi-join on the unique key
-    ``(seq, pos)``. Rows are grouped into chunks of at most ``chunk`` positions; inside a chunk
-    the backward recursion ``A_t = δ_t + γλ·A_{t+1}`` runs as an array fold starting from 0 (the
-    same operations as the array form, so a sequence that fits one chunk gets bit-identical
-    results). The carry into each chunk, ``A`` at the next chunk's first position, comes from a
-    fold over the per-chunk results (one small entry per chunk):
-    ``A_start(j) = local_start(j) + (γλ)^len(j) · A_start(j+1)``. Then
-    ``A_t = local_t + (γλ)^(distance to the next chunk) · carry``. No division, no underflow.
+    Rows are grouped into chunks of at most ``chunk`` positions. Inside a chunk the deltas
+    ``δ_t = r_t + γ·V_{t+1} − V_t`` and the backward recursion ``A_t = δ_t + γλ·A_{t+1}`` run as
+    array folds with ``V`` and ``A`` taken as 0 past the chunk's end (the same operations as the
+    array form, so a sequence that fits one chunk gets bit-identical results). What lies past the
+    end is carried in from the next chunk: its first value ``V_n`` and its first advantage
+    ``A_n``, obtained by folding the per-chunk heads of each sequence from the back
+    (``A_start = local_start + c^(len-1)·γ·V_n + c^len·A_n`` with ``c = γλ``). Then
+    ``A_t = local_t + c^(len-1-i)·γ·V_n + c^(len-i)·A_n``. No division, no underflow, and no
+    self-join for ``V_{t+1}``.
     """
-    c = float(gamma) * float(lam)
-    cl = F.lit(c)
-    # V_{t+1} by an equi-join on the unique key (seq, pos): no window holds a whole sequence.
-    nxt = df.select(seq_col, (F.col(pos_col) - 1).alias(pos_col), F.col(value_col).alias("__next_v"))
-    base = df.join(nxt, [seq_col, pos_col], "left").withColumn(
-        "__delta", F.col(reward_col) + F.lit(float(gamma)) * F.coalesce(F.col("__next_v"), F.lit(0.0)) - F.col(value_col)
-    ).drop("__next_v")
-    cols = [x for x in base.columns if x != seq_col]
-    base = base.withColumn("__chunk", F.floor(F.col(pos_col) / int(chunk)).cast("long"))
+    g = F.lit(float(gamma))
+    cl = F.lit(float(gamma) * float(lam))
+    cols = [x for x in df.columns if x != seq_col]
+    base = df.withColumn("__chunk", F.floor(F.col(pos_col) / int(chunk)).cast("long"))
     chunks = base.groupBy(seq_col, "__chunk").agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("__p"), *[F.col(x) for x in cols]))).alias("__rows")
     )
-    deltas = F.transform(F.col("__rows"), lambda r: r["__delta"])
+    rows = F.col("__rows")
+    deltas = F.transform(
+        rows,
+        lambda r, i: r[reward_col] + g * F.coalesce(F.get(rows, i + 1)[value_col], F.lit(0.0)) - r[value_col],
+    )
     empty = F.array().cast("array<double>")
     local = F.aggregate(
         F.reverse(deltas),
@@ -117,32 +117,55 @@ def gae_long(
         lambda acc, d: F.concat(F.array(d + cl * F.coalesce(F.get(acc, 0), F.lit(0.0))), acc),
     )
     chunks = chunks.withColumn("__local", local).withColumn("__len", F.size("__rows"))
-    # Carry per chunk from the chunk starts of the same sequence (T / chunk entries).
     heads = chunks.groupBy(seq_col).agg(
-        F.array_sort(F.collect_list(F.struct("__chunk", F.get(F.col("__local"), 0).alias("__L"), "__len"))).alias("__ch")
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "__chunk",
+                    F.get(F.col("__local"), 0).alias("__L"),
+                    "__len",
+                    F.get(F.col("__rows"), 0)[value_col].cast("double").alias("__v0"),
+                )
+            )
+        ).alias("__ch")
     )
+    carry_type = "array<struct<__chunk:long,__an:double,__vn:double>>"
     carry = heads.select(
         seq_col,
         F.inline(
             F.aggregate(
                 F.reverse(F.col("__ch")),
-                F.struct(F.array().cast("array<struct<__chunk:long,__carry:double>>").alias("out"), F.lit(0.0).alias("next")),
+                F.struct(F.array().cast(carry_type).alias("out"), F.lit(0.0).alias("a"), F.lit(0.0).alias("v")),
                 lambda acc, ch: F.struct(
-                    F.concat(F.array(F.struct(ch["__chunk"].alias("__chunk"), acc["next"].alias("__carry"))), acc["out"]).alias("out"),
-                    (ch["__L"] + F.pow(cl, ch["__len"].cast("double")) * acc["next"]).alias("next"),
+                    F.concat(
+                        F.array(F.struct(ch["__chunk"].alias("__chunk"), acc["a"].alias("__an"), acc["v"].alias("__vn"))),
+                        acc["out"],
+                    ).alias("out"),
+                    (
+                        ch["__L"]
+                        + F.pow(cl, (ch["__len"] - 1).cast("double")) * g * acc["v"]
+                        + F.pow(cl, ch["__len"].cast("double")) * acc["a"]
+                    ).alias("a"),
+                    ch["__v0"].alias("v"),
                 ),
             )["out"]
         ),
     )
     joined = chunks.join(carry, [seq_col, "__chunk"])
-    rows = joined.select(
+    exploded = joined.select(
         seq_col,
         "__len",
-        "__carry",
+        "__an",
+        "__vn",
         F.posexplode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__local").alias("a"))).alias("__i", "__z"),
     )
-    adv = F.col("__z.a") + F.pow(cl, (F.col("__len") - F.col("__i")).cast("double")) * F.col("__carry")
-    return rows.select(seq_col, *[F.col("__z.r")[x].alias(x) for x in cols if x != "__delta"], adv.alias(out_col))
+    rest = (F.col("__len") - F.col("__i")).cast("double")
+    adv = (
+        F.col("__z.a")
+        + F.pow(cl, rest - F.lit(1.0)) * g * F.col("__vn")
+        + F.pow(cl, rest) * F.col("__an")
+    )
+    return exploded.select(seq_col, *[F.col("__z.r")[x].alias(x) for x in cols], adv.alias(out_col))
 
 
 def build_experience(
