@@ -168,27 +168,25 @@ def encode_long(
     For texts of unbounded size (one document may hold a large share of a corpus). ``pos`` is
     dense (0, 1, …) over the non-empty tokens: the split pattern matches runs of separators, so an
     empty piece can only come first or last and the dense position is the piece index minus one
-    when the text starts with a separator. ``with_bos`` adds the BOS id at position 0.
+    when the text starts with a separator. ``with_bos`` puts the BOS id at position 0 (emitted by
+    the same explode, so the text is scanned once).
     """
     keys = list(key_cols)
     pieces = tokens(F.col(text_col), pattern)
+    lead = (F.get(pieces, 0) == F.lit("")).cast("int")
+    arr = F.concat(F.array(F.lit(None).cast("string")), pieces) if with_bos else pieces
     exploded = (
-        df.select(*keys, pieces.alias("__pieces"))
-        .select(
-            *keys,
-            (F.get(F.col("__pieces"), 0) == F.lit("")).cast("int").alias("__lead"),
-            F.posexplode("__pieces").alias("__i", "token"),
-        )
-        .filter(F.col("token") != "")
+        df.select(*keys, lead.alias("__lead"), F.posexplode(arr).alias("__i", "token"))
+        .filter(((F.col("__i") == 0) & F.lit(with_bos)) | (F.col("token") != ""))
     )
-    shift = 1 if with_bos else 0
     joined = _lookup(exploded, vocab, broadcast_limit)
-    out = joined.select(
-        *keys,
-        (F.col("__i") - F.col("__lead") + F.lit(shift)).cast("long").alias("pos"),
-        F.coalesce(F.col("__pt_id"), F.lit(ids.unk)).cast("int").alias("id"),
-    )
-    if with_bos:
-        bos = df.select(*keys, F.lit(0).cast("long").alias("pos"), F.lit(ids.bos).cast("int").alias("id"))
-        out = bos.unionByName(out)
-    return out
+    is_bos = (F.col("__i") == 0) & F.lit(with_bos)
+    token_id = F.when(is_bos, F.lit(ids.bos)).otherwise(F.coalesce(F.col("__pt_id"), F.lit(ids.unk)))
+    pos = F.when(is_bos, F.lit(0)).otherwise(F.col("__i") - F.col("__lead"))
+    return joined.select(*keys, pos.cast("long").alias("pos"), token_id.cast("int").alias("id"))
+
+
+def token_count(text: Column, with_bos: bool = False, pattern: str = TOKEN_PATTERN) -> Column:
+    """Number of ids ``encode_long`` emits for a text (a split and a count, no explode)."""
+    n = F.size(F.filter(tokens(text, pattern), lambda t: t != ""))
+    return n + F.lit(1) if with_bos else n

@@ -171,9 +171,14 @@ def pack_blocks_long(
     pos_col: str = "pos",
     id_col: str = "id",
     block_size: int = 512,
+    lengths: DataFrame | None = None,
+    length_col: str = "n_ids",
 ) -> DataFrame:
     """``pack_blocks`` over long-form tokens ``(group…, order, pos, id)``; same result.
 
+    ``lengths`` (``group…, order, n_ids``), when the caller can compute row lengths cheaply from
+    the source (``encode.token_count``), saves counting them from the token table.
+
     Row lengths are a per-row count (map-side combined); row starts are prefix sums over the
     rows of a pack group (a bounded map batch); each token gets its position in the group's
     stream by a join on the row key and is regrouped by block. No task ever holds a whole row, so
@@ -183,7 +188,10 @@ def pack_blocks_long(
     if b < 1:
         raise ValueError("block_size must be positive")
     g = list(group_cols)
-    lens = tokens.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias("__n"))
+    if lengths is None:
+        lens = tokens.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias("__n"))
+    else:
+        lens = lengths.select(*g, order_col, F.col(length_col).alias("__n"))
     before = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     starts = lens.select(
         *g,

@@ -16,7 +16,7 @@ from preftable.config import PROMPT_TEMPLATES, SpecialIds
 from preftable.functions.arrays import ids_text
 from preftable.operators import batching as B
 from preftable.operators import sequences as S
-from preftable.operators.encode import encode, encode_long, encode_with_specials
+from preftable.operators.encode import encode, encode_long, encode_with_specials, token_count
 from preftable.operators.normalise import prompt_chosen_to_sft, split_quarantine, to_pair_text, to_sft_text
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
@@ -301,9 +301,10 @@ def pt_blocks(spark: SparkSession, base: str) -> DataFrame:
 @register("pt_blocks_long", ORACLES["pt_blocks"])
 def pt_blocks_long(spark: SparkSession, base: str) -> DataFrame:
     docs = V.table(spark, base, "documents", spread=True).select("doc_id", "text")
-    toks = encode_long(docs, "text", V.document_vocab(spark, base), ["doc_id"], IDS, with_bos=True)
-    toks = toks.withColumn("group_id", F.floor(F.col("doc_id") / PACK_GROUP).cast("long"))
-    blocks = S.pack_blocks_long(toks, ["group_id"], "doc_id", "pos", "id", BLOCK)
+    docs = docs.withColumn("group_id", F.floor(F.col("doc_id") / PACK_GROUP).cast("long"))
+    toks = encode_long(docs, "text", V.document_vocab(spark, base), ["doc_id", "group_id"], IDS, with_bos=True)
+    lengths = docs.select("group_id", "doc_id", token_count(F.col("text"), with_bos=True).alias("n_ids"))
+    blocks = S.pack_blocks_long(toks, ["group_id"], "doc_id", "pos", "id", BLOCK, lengths=lengths)
     return blocks.select(
         "group_id", "block_id", F.size("input_ids").cast("long").alias("n_ids"), ids_text(F.col("input_ids")).alias("input_ids")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from preftable.config import SequenceConfig
 from preftable.operators import batching as B
 from preftable.operators import sequences as S
-from preftable.operators.encode import encode, encode_long
+from preftable.operators.encode import encode, encode_long, token_count
 from preftable.operators.normalise import split_quarantine, to_pair_text, to_sft_text
 from preftable.sources.readers import RAW_SCHEMA, read_json_dir, read_split_files, read_text_dir, resolve_source
 
@@ -138,4 +138,5 @@ def prepare_pretrain(
     per_split = -(-(1 << 33) // batch_rows)  # groups a split can hold
     lines = lines.withColumn("group_id", (split * per_split + F.floor(local / batch_rows)).cast("long"))
     toks = encode_long(lines, "text", vocab, ["line_no", "group_id"], cfg.ids, with_bos=True)
-    return S.pack_blocks_long(toks, ["group_id"], "line_no", "pos", "id", cfg.block_size)
+    lengths = lines.select("group_id", "line_no", token_count(F.col("text"), with_bos=True).alias("n_ids"))
+    return S.pack_blocks_long(toks, ["group_id"], "line_no", "pos", "id", cfg.block_size, lengths=lengths)
