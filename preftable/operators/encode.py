@@ -172,13 +172,16 @@ def encode_long(
     the same explode, so the text is scanned once).
     """
     keys = list(key_cols)
-    pieces = tokens(F.col(text_col), pattern)
-    lead = (F.get(pieces, 0) == F.lit("")).cast("int")
+    # Split once into a column first: an expression over the text next to the generator would be
+    # evaluated per emitted token (re-splitting the whole text each time).
+    split = df.select(*keys, tokens(F.col(text_col), pattern).alias("__pieces"))
+    pieces = F.col("__pieces")
     arr = F.concat(F.array(F.lit(None).cast("string")), pieces) if with_bos else pieces
-    exploded = (
-        df.select(*keys, lead.alias("__lead"), F.posexplode(arr).alias("__i", "token"))
-        .filter(((F.col("__i") == 0) & F.lit(with_bos)) | (F.col("token") != ""))
-    )
+    exploded = split.select(
+        *keys,
+        (F.get(pieces, 0) == F.lit("")).cast("int").alias("__lead"),
+        F.posexplode(arr).alias("__i", "token"),
+    ).filter(((F.col("__i") == 0) & F.lit(with_bos)) | (F.col("token") != ""))
     joined = _lookup(exploded, vocab, broadcast_limit)
     is_bos = (F.col("__i") == 0) & F.lit(with_bos)
     token_id = F.when(is_bos, F.lit(ids.bos)).otherwise(F.coalesce(F.col("__pt_id"), F.lit(ids.unk)))
