@@ -138,17 +138,24 @@ def pack_blocks(
         .withColumn("__tot", F.sum(n).over(Window.partitionBy(*g)).cast("long"))
         .withColumn("__en", F.col("__st") + n)
     )
-    blk = F.explode(F.sequence(F.floor(F.col("__st") / b).cast("long"), F.floor((F.col("__en") - 1) / b).cast("long")))
-    pieces = rows.select(*g, ids_col, "__st", "__en", "__tot", blk.alias("block_id"))
-    pieces = pieces.filter((F.col("__tot") < b) | (F.col("block_id") < F.floor(F.col("__tot") / b)))
-    lo = F.greatest(F.col("__st"), F.col("block_id") * b)
-    hi = F.least(F.col("__en"), (F.col("block_id") + 1) * b)
-    pieces = pieces.select(
-        *g,
-        "block_id",
-        lo.alias("__lo"),
-        F.slice(F.col(ids_col), (lo - F.col("__st") + 1).cast("int"), (hi - lo).cast("int")).alias("__piece"),
+    st, en, tot = F.col("__st"), F.col("__en"), F.col("__tot")
+
+    def piece(k):
+        lo = F.greatest(st, k * b)
+        hi = F.least(en, (k + 1) * b)
+        return F.struct(
+            k.alias("block_id"),
+            lo.alias("__lo"),
+            F.slice(F.col(ids_col), (lo - st + 1).cast("int"), (hi - lo).cast("int")).alias("__piece"),
+        )
+
+    # Cut the pieces inside the row, then explode them: each emitted row carries only its slice
+    # (exploding block ids next to the full array would copy the array once per block).
+    blocks_of_row = F.transform(
+        F.sequence(F.floor(st / b).cast("long"), F.floor((en - 1) / b).cast("long")), piece
     )
+    kept = F.filter(blocks_of_row, lambda p: (tot < b) | (p["block_id"] < F.floor(tot / b)))
+    pieces = rows.select(*g, F.inline(kept))
     blocks = pieces.groupBy(*g, "block_id").agg(F.array_sort(F.collect_list(F.struct("__lo", "__piece"))).alias("__p"))
     ids = F.flatten(F.transform(F.col("__p"), lambda x: x["__piece"]))
     return blocks.select(*g, "block_id", ids.alias("input_ids"), ids.alias("label_ids"))
