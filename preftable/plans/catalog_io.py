@@ -130,10 +130,16 @@ def _cfg():
                           split_ratio=SPLIT_RATIO, seed=SEED, ids=IDS)
 
 
-_SPLIT_CASE = (
-    "CASE WHEN (('0x' || substr(md5('42:' || example_id), 1, 8))::BIGINT / 4294967296.0) < 0.05 "
-    "THEN 'test' ELSE 'train' END"
-)
+def _split_case() -> str:
+    from preftable.plans.catalog import SEED, SPLIT_RATIO
+
+    return (
+        f"CASE WHEN (('0x' || substr(md5('{SEED}:' || example_id), 1, 8))::BIGINT / 4294967296.0) < {SPLIT_RATIO} "
+        "THEN 'test' ELSE 'train' END"
+    )
+
+
+_SPLIT_CASE = _split_case()
 
 
 @register(
