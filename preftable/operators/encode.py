@@ -7,7 +7,7 @@ partial (map-side) aggregate already holds the whole list and the shuffle moves
 not one record per token.
 
 Join strategy is chosen from a measured size: a vocabulary of at most ``broadcast_limit`` entries
-is broadcast. A larger one is split: its ``broadcast_limit`` most frequent entries (the lowest ids
+(and at most ``BROADCAST_BYTES_LIMIT`` bytes of tokens) is broadcast. A larger one is split: its ``broadcast_limit`` most frequent entries (the lowest ids
 of a frequency-ranked vocabulary such as ``build_vocab``'s) are broadcast, and only the remaining
 rare tokens go through a shuffle join, so a hot token such as "the" never piles up in one shuffle
 partition.
@@ -54,14 +54,22 @@ def build_vocab(
     return ranked.select("token", "count", (F.col("rank") + F.lit(ids.first_free_id)).cast("int").alias("id"))
 
 
+# Upper bound on the vocabulary bytes (token text plus id) sent to every executor.
+BROADCAST_BYTES_LIMIT = 512 * 1024 * 1024
+
+
 def _lookup(exploded: DataFrame, vocab: DataFrame, broadcast_limit: int) -> DataFrame:
     v = vocab.select("token", F.col("id").cast("int").alias("__pt_id"))
-    size = v.count()
-    if size <= broadcast_limit:
+    # Measure rows and bytes in one aggregation before deciding to broadcast.
+    stats = v.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token") + F.lit(4)).alias("bytes")).first()
+    size, nbytes = int(stats["n"]), int(stats["bytes"] or 0)
+    if size <= broadcast_limit and nbytes <= BROADCAST_BYTES_LIMIT:
         return exploded.join(F.broadcast(v), "token", "left")
     floor = vocab.agg(F.min("id")).first()[0]
-    hot = v.filter(F.col("__pt_id") < F.lit(floor + broadcast_limit))
-    cold = v.filter(F.col("__pt_id") >= F.lit(floor + broadcast_limit))
+    # As many of the most frequent entries as fit both limits (average entry size).
+    hot_rows = min(broadcast_limit, int(size * BROADCAST_BYTES_LIMIT / max(nbytes, 1)))
+    hot = v.filter(F.col("__pt_id") < F.lit(floor + hot_rows))
+    cold = v.filter(F.col("__pt_id") >= F.lit(floor + hot_rows))
     first = exploded.join(F.broadcast(hot), "token", "left")
     hit = first.filter(F.col("__pt_id").isNotNull())
     miss = first.filter(F.col("__pt_id").isNull()).drop("__pt_id").join(cold, "token", "left")
