@@ -46,7 +46,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _r(col):
-    return F.round(col.cast("double"), 6) + F.lit(0.0)
+    return Q.round6(col)
 
 
 # ---------------------------------------------------------------------------------------------

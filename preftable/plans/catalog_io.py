@@ -118,7 +118,7 @@ def stream_step_metrics_q(spark: SparkSession, base: str) -> DataFrame:
     return res.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         F.col("n_rows").cast("long").alias("n_rows"),
-        (F.round(F.col("value"), 6) + F.lit(0.0)).alias("value"),
+        Q.round6(F.col("value")).alias("value"),
     )
 
 

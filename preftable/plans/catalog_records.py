@@ -114,7 +114,7 @@ def rollout_buffers(spark: SparkSession, base: str) -> DataFrame:
     back = spark.read.parquet(path).filter(F.col("buffer_id") >= 0)  # partition filter: pruned by buffer
     return back.groupBy(F.col("buffer_id").cast("long").alias("buffer_id")).agg(
         F.count(F.lit(1)).alias("n_seqs"),
-        (F.round(F.sum("reward_score"), 6) + F.lit(0.0)).alias("reward_sum"),
+        Q.round6(F.sum("reward_score")).alias("reward_sum"),
         F.sum(F.size("advantages")).cast("long").alias("n_tokens"),
     )
 
@@ -151,6 +151,6 @@ def masked_stats_row(spark: SparkSession, base: str) -> DataFrame:
     exp = _experience(spark, base)
     return exp.select(
         F.col("seq").cast("long").alias("seq"),
-        (F.round(R.masked_mean(F.col("advantages"), F.col("ms")), 6) + F.lit(0.0)).alias("adv_mean"),
-        (F.round(R.masked_var(F.col("advantages"), F.col("ms")), 6) + F.lit(0.0)).alias("adv_var"),
+        Q.round6(R.masked_mean(F.col("advantages"), F.col("ms"))).alias("adv_mean"),
+        Q.round6(R.masked_var(F.col("advantages"), F.col("ms"))).alias("adv_var"),
     )

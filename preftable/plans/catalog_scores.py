@@ -34,7 +34,7 @@ STEP_ACCUM = 4
 
 
 def _r(col):
-    return F.round(col.cast("double"), 6) + F.lit(0.0)
+    return Q.round6(col)
 
 
 def _rollout(spark: SparkSession, base: str) -> DataFrame:

@@ -7,6 +7,9 @@ turns ``-0.0`` into ``0.0``.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from preftable.config import IGNORE_INDEX, template_parts
 
 TOKEN_RE = "'[ \\n]+'"
@@ -34,6 +37,13 @@ def rnd(expr: str) -> str:
     return f"(round({expr}, 6) + 0.0)"
 
 
+def round6(col: Column) -> Column:
+    """Report a double at 6 decimals the way ``rnd`` does in DuckDB: scale by 10^6, round half
+    away from zero, scale back (``+ 0.0`` turns ``-0.0`` into ``0.0``). Rounding the shortest
+    decimal form instead can differ within one ulp of a tie."""
+    return F.round(col.cast("double") * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
+
+
 def ids_text(expr: str) -> str:
     return f"array_to_string({expr}, ' ')"
 
