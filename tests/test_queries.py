@@ -52,3 +52,14 @@ def test_query_matches_oracle(spark, con, name):
     c2, r2 = _rows(rel.columns, rel.fetchall())
     assert c1 == c2
     assert r1 == r2
+
+
+def test_round6_matches_duckdb_on_ties(spark, con):
+    from pyspark.sql import functions as F
+
+    from preftable.plans.oracle import round6
+
+    xs = [-0.7237304999999999, 0.1234565, 2.675, -5e-07, 1.0000005, 12.3456785, -0.0, 3.14159265]
+    got = [r.v for r in spark.createDataFrame([(x,) for x in xs], "x double").select(round6(F.col("x")).alias("v")).collect()]
+    want = [con.sql(f"SELECT round({x!r}::DOUBLE, 6) + 0.0").fetchall()[0][0] for x in xs]
+    assert got == want
