@@ -14,12 +14,13 @@ m tokens can match only if
 * bitmap: a set's tokens set bits of a 64-bit word (two words for long lines), and two maps can't
   differ in more bits than the sets differ in tokens.
 
-Rows (key, line) are shuffled once by key and sorted; a task reads its runs of equal keys and emits
-candidate pairs. Equal token sets are found in the same pass (keyed by their hash; a task first
+Entries (key, line) are shuffled once, packed in parcels by bucket of keys (the buckets grow with the
+corpus); a task sorts one bucket at a time and emits the candidate pairs of its runs of equal keys. Equal token sets are found in the same pass (keyed by their hash; a task first
 drops the copies it sees itself, so a line that a third of the corpus repeats stays small). Runs of
-more than ``RUN`` different lines are read again by a join. A line is first compared with its earliest candidate of
-each run alone; only lines that this doesn't remove meet their other candidates afterwards, so a
-group of thousands of similar lines takes about one comparison for each line and key. Candidates
+more than ``RUN`` different lines keep their other candidates for a later join. A line is first compared with its
+likeliest candidate of each run alone (the bitmap that differs least); only lines that this doesn't
+remove meet their other candidates afterwards, so a group of thousands of similar lines takes about
+one comparison for each line and key. Candidates
 are verified on full sets.
 
 Defined cases: null, empty and blank texts have no lines with tokens; rows with a null id take no
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from preftable.llm.rarity import bucket_counts, bucket_of
-from preftable.llm.scratch import staged
+from preftable.llm.scratch import release, staged
 from preftable.llm.ship import ship_package
 from preftable.llm.textbuf import hash_words, mix64, row_of, utf8
 
@@ -48,10 +49,11 @@ MIN_TOKENS = 5
 SHORT = 12  # pairs with a line of at most so many tokens are found by pairs of tokens
 RUN = 64  # lines of a run that are compared all with all at once
 WIDE = 40
+BUCKET_WORDS = 500_000  # words of the corpus for each bucket of keys, which a task reads at once
 SLICE = 500  # texts handled at once
 
 _U = np.uint64
-_CLASS, _COPY = -1, -2  # in place of (n, position): a row that stands for a whole line, a known copy
+_CLASS, _COPY = -1, -2  # in place of n: an entry that stands for a whole line (n in pos), a known copy
 
 
 def _required(n: np.ndarray) -> np.ndarray:
@@ -123,11 +125,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-_ROWS = "key long, cls long, doc long, line long, npos long, bits long, more long"
-_FOUND = "kind int, key long, a_doc long, a_line long, b_doc long, b_line long, n long, pos long, bits long, more long"
+_FOUND = "kind int, a_doc long, a_line long, b_doc long, b_line long, key long, n long, pos long, bits long, more long"
+# The columns of a parcel, each stored whole: a parcel holds what one slice has for one bucket of keys.
+_PARCEL = (("key", "<i8"), ("bits", "<i8"), ("more", "<i8"), ("doc", "<i8"), ("cls", "<u4"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"))
+_ENTRY = sum(np.dtype(t).itemsize for _, t in _PARCEL)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, counts) -> DataFrame:
+def _parcels(docs: DataFrame, id_col: str, text_col: str, counts, buckets: int) -> DataFrame:
+    """``bucket, parcel``: every line (by the hash of its set) and every prefix key of every line."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             x = Lines(batch, text_col, counts.value)
@@ -140,53 +146,92 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, counts) -> DataFrame:
             line, key, pos = x.keys()
             fresh = ~copy[line]
             line, key, pos = line[fresh], key[fresh], pos[fresh]
-            all_lines = np.arange(len(doc))
-            key = np.concatenate([np.where(copy, mix64(h1 + x.line.astype(np.uint64) + doc.astype(np.uint64) * _U(977)), h1), key])
-            cls = np.concatenate([h2, h1[line]])
-            who = np.concatenate([all_lines, line])
-            npos = np.concatenate([np.where(copy, _COPY, _CLASS), (x.n[line] << 32) | pos])
-            cols = [key.view(np.int64), cls.view(np.int64), doc[who], x.line[who], npos, *(b[who] for b in x.bitmaps())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "cls", "doc", "line", "npos", "bits", "more"])
-
-    return docs.mapInArrow(rows, _ROWS)
-
-
-def _pairs(key, doc, line, npos, bits, more) -> Iterator[pa.RecordBatch]:
+            spread = mix64(h1 + x.line.astype(np.uint64) + doc.astype(np.uint64) * _U(977))
+            key = np.concatenate([np.where(copy, spread, h1), key])
+            who = np.concatenate([np.arange(len(doc)), line])
+            bits, more = x.bitmaps()
+            n = np.concatenate([np.where(copy, _COPY, _CLASS), x.n[line]])
+            at = np.concatenate([x.n, pos])
+            own = {"key": key.view(np.int64), "bits": bits[who], "more": more[who], "doc": doc[who], "cls": h2[who] >> _U(32), "line": x.line[who], "n": n, "pos": at}
+            bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cols = [own[c][by].astype(t) for c, t in _PARCEL]
+            which, first = np.unique(bucket[by], return_index=True)
+            ends = np.append(first[1:], len(by))
+            blobs = [b"".join([c[i:j].tobytes() for c in cols]) for i, j in zip(first.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "parcel"])
+
+    return docs.mapInArrow(rows, "bucket long, parcel binary")
+
+
+def _opened(parcels: list[bytes]) -> dict[str, np.ndarray]:
+    cols: dict[str, list[np.ndarray]] = {c: [] for c, _ in _PARCEL}
+    for p in parcels:
+        size, at = len(p) // _ENTRY, 0
+        for c, t in _PARCEL:
+            cols[c].append(np.frombuffer(p, t, size, at))
+            at += size * np.dtype(t).itemsize
+    return {c: np.concatenate(v).astype(np.uint32 if c == "cls" else np.int64) for c, v in cols.items()}
+
+
+def _pairs(key, doc, line, n, pos, bits, more) -> Iterator[pa.RecordBatch]:
     """Candidates of complete runs; rows are different lines, sorted by key."""
     if not len(key):
         return
     first = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > np.iinfo(np.int64).min else key[0] + 1))
     size = np.diff(np.append(first, len(key)))
-    n, pos = npos >> 32, npos & 0xFFFFFFFF
-
-    def pair(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    def fitting(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs (earlier, later) that pass the filters, and the bits in which they differ."""
         swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        fits = PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
-        most = np.minimum(n[i] - pos[i], n[j] - pos[j])
         both = (n[i] > WIDE) & (n[j] > WIDE)
         differ = np.where(both, _bits(bits[i] ^ bits[j]) + _bits(more[i] ^ more[j]), _bits((bits[i] | more[i]) ^ (bits[j] | more[j])))
-        most = np.minimum(most, (n[i] + n[j] - differ) // 2)
-        fits &= (100 + PERCENT) * most >= PERCENT * (n[i] + n[j])
-        i, j = i[fits], j[fits]
-        order = np.lexsort((line[i], doc[i], j))
-        i, j = i[order], j[order]
-        kind = np.full(len(i), 3)
-        kind[np.flatnonzero(np.diff(j, prepend=-1))] = 1  # the earliest candidate of each line
-        return _found(kind, key[i], doc[i], line[i], doc[j], line[j], n[i], pos[i], bits[i], more[i])
+        most = np.minimum(np.minimum(n[i] - pos[i], n[j] - pos[j]), (n[i] + n[j] - differ) // 2)
+        fits = (PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])) & ((100 + PERCENT) * most >= PERCENT * (n[i] + n[j]))
+        return i[fits], j[fits], differ[fits]
+
+    def told(kind, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        return _found(kind, doc[i], line[i], doc[j], line[j], key[i], n[i], pos[i], bits[i], more[i])
 
     for m in np.unique(size[(size > 1) & (size <= RUN)]).tolist():
         runs = first[size == m]
         a, b = np.triu_indices(m, 1)
         step = max(1, 500_000 // len(a))
         for s in range(0, len(runs), step):
-            yield pair((runs[s : s + step, None] + a).ravel(), (runs[s : s + step, None] + b).ravel())
+            i, j, differ = fitting((runs[s : s + step, None] + a).ravel(), (runs[s : s + step, None] + b).ravel())
+            order = np.lexsort((line[i], doc[i], differ, j))
+            i, j = i[order], j[order]
+            kind = np.full(len(i), 3)
+            kind[np.flatnonzero(np.diff(j, prepend=-1))] = 1  # the likeliest match of each line
+            yield told(kind, i, j)
     for f, m in zip(first[size > RUN].tolist(), size[size > RUN].tolist()):
         own = np.arange(f, f + m)
-        least = own[np.lexsort((line[own], doc[own]))[0]]
-        rest = own[own != least]
-        yield pair(np.full(m - 1, least), rest)
-        yield _found(2, key[own], doc[own], line[own], doc[own], line[own], n[own], pos[own], bits[own], more[own])
+        own = own[np.argsort(n[own], kind="stable")]  # partners lie in a window of lengths
+        until = np.searchsorted(100 * n[own], n[own] * 100 * 100 // PERCENT, side="right")
+        best, best_differ, hits = np.full(m, -1), np.full(m, 1 << 30), np.zeros(m, np.int64)
+        at = 0
+        while at < m:
+            upto = at + 1
+            while upto < m and (until[at:upto + 1] - np.arange(at, upto + 1)).sum() < 500_000:
+                upto += 64
+            upto = min(upto, m)
+            width = until[at:upto] - np.arange(at, upto) - 1
+            i = np.repeat(np.arange(at, upto), width)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)
+            i, j, differ = fitting(own[i], own[j])
+            order = np.lexsort((line[i], doc[i], differ, j))
+            i, j, differ = i[order], j[order], differ[order]
+            np.add.at(hits, j - f, 1)
+            top = np.flatnonzero(np.diff(j, prepend=-1))
+            better = top[differ[top] < best_differ[j[top] - f]]
+            best[j[better] - f], best_differ[j[better] - f] = i[better], differ[better]
+            at = upto
+        has = np.flatnonzero(best >= 0)
+        yield told(1, best[has], has + f)
+        several = np.flatnonzero(hits > 1) + f  # lines with other candidates, and all lines that may be these
+        if len(several):
+            yield told(2, several, several)
+            yield told(4, own, own)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -198,37 +243,50 @@ def _found(kind: int | np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _FOUND.split(", ")])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies (kind 0), candidate pairs (1: a line's earliest in its run, 3: others) and members of long
-    runs (2), from rows sorted by key and class."""
-    held = None
-    last_class = None  # the (key, class) met last: its later rows are copies or repeats
+def _bucket(parcels: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """What one bucket of keys tells: copies (kind 0), candidate pairs (1: a line's likeliest in its run,
+    3: others) and, of long runs, lines with several candidates (2) and all lines (4)."""
+    x = _opened(parcels)
+    known = x["n"] == _COPY
+    zero = lambda m: [np.zeros(int(m.sum()), np.int64)] * 5
+    yield _found(0, x["doc"][known], x["line"][known], x["doc"][known], x["line"][known], *zero(known))
+    by = np.argsort(x["key"])
+    key = x["key"][by]
+    twin = np.zeros(len(key), bool)
+    twin[1:] = key[1:] == key[:-1]
+    twin[:-1] |= twin[1:]
+    by = by[twin & ~known[by]]  # a key met once says nothing
+    x = {c: v[by] for c, v in x.items()}
+    # Equal lines of a run: by its hashes, its size and its bitmaps.
+    lined = x["n"] == _CLASS
+    size = np.where(lined, x["pos"], x["n"])
+    same = [x["key"], lined, size, x["cls"], x["bits"], x["more"]]
+    order = np.lexsort((x["line"], x["doc"], *same[::-1]))
+    x, lined = {c: v[order] for c, v in x.items()}, lined[order]
+    equal = np.ones(len(order), bool)
+    equal[:1] = False
+    for c in same:
+        c = c[order]
+        equal[1:] &= c[1:] == c[:-1]
+    first = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order)))) if len(order) else order
+    again = lined & equal & ((x["doc"] != x["doc"][first]) | (x["line"] != x["line"][first]))
+    yield _found(0, x["doc"][first][again], x["line"][first][again], x["doc"][again], x["line"][again], *zero(again))
+    keep = ~lined & ~equal
+    yield from _pairs(*(x[c][keep] for c in ("key", "doc", "line", "n", "pos", "bits", "more")))
 
-    def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield from _pairs(*rows)
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_bucket`` over rows sorted by bucket."""
+    now, held = None, []
     for batch in batches:
-        key, cls, doc, line, npos, bits, more = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if not len(key):
-            continue
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (cls[1:] == cls[:-1])
-        same[0] = last_class is not None and last_class[:2] == (key[0], cls[0])
-        begin = np.where(same, -1, np.arange(len(key)))
-        begin = np.maximum.accumulate(begin)  # the first row of each class in this batch (-1: in an earlier one)
-        first_doc = np.where(begin >= 0, doc[begin], last_class[2] if last_class else 0)
-        first_line = np.where(begin >= 0, line[begin], last_class[3] if last_class else 0)
-        copies = (npos == _COPY) | ((npos == _CLASS) & same & ((doc != first_doc) | (line != first_line)))
-        yield _found(0, key[copies], first_doc[copies], first_line[copies], doc[copies], line[copies], npos[copies], npos[copies], bits[copies], more[copies])
-        last_class = (key[-1], cls[-1], first_doc[-1], first_line[-1])
-        own = (npos >= 0) & ~same
-        rows = np.stack([key[own], doc[own], line[own], npos[own], bits[own], more[own]])
-        rows = rows if held is None else np.concatenate([held, rows], axis=1)
-        ended = rows[0] != key[-1]
-        yield from flush(rows[:, ended])
-        held = rows[:, ~ended]
-    if held is not None:
-        yield from flush(held)
+        for bucket, parcel in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if bucket != now and held:
+                yield from _bucket(held)
+                held = []
+            now = bucket
+            held.append(parcel.as_py())
+    if held:
+        yield from _bucket(held)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, counts) -> DataFrame:
@@ -274,20 +332,25 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def words(batch: pa.RecordBatch) -> np.ndarray:
         return hash_words(*utf8(batch.column(0)))[2]
 
-    counts = spark.sparkContext.broadcast(bucket_counts(docs.select(text_col), words))
-    dealt = _keyed(docs, id_col, text_col, counts).repartition("key").sortWithinPartitions("key", "cls", "doc", "line")
+    frequency = bucket_counts(docs.select(text_col), words)
+    counts = spark.sparkContext.broadcast(frequency)
+    buckets = max(1, int(frequency.sum()) // BUCKET_WORDS)
+    dealt = _parcels(docs, id_col, text_col, counts, buckets).repartition("bucket").sortWithinPartitions("bucket")
     found = staged(dealt.mapInArrow(_runs, _FOUND), "line-candidates")
+    release(spark)
     copies = found.filter("kind = 0").select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
     pairs = found.filter("kind = 1").select("a_doc", "a_line", "b_doc", "b_line").distinct()
     near = _verified(pairs, docs, id_col, text_col, counts)
+    release(spark)
 
-    # Lines that their earliest candidates don't remove meet the other ones.
+    # Lines that their likeliest candidates don't remove meet the other ones.
     lines = ["a_doc", "a_line", "b_doc", "b_line"]
     removed = near.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"))
     rest = found.filter("kind = 3").select(lines).distinct().join(removed, ["b_doc", "b_line"], "left_anti").select(lines)
-    runs = found.filter("kind = 2").select("key", F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), "n", "pos", "bits", "more")
-    if not runs.isEmpty():
-        x, y = runs.alias("x"), runs.join(near, ["doc", "line"], "left_anti").alias("y")
+    long = ["key", F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), "n", "pos", "bits", "more"]
+    open_ = found.filter("kind = 2").select(long).join(near, ["doc", "line"], "left_anti")
+    if not open_.isEmpty():
+        x, y = found.filter("kind = 4").select(long).alias("x"), open_.alias("y")
         earlier = (F.col("x.doc") < F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") < F.col("y.line")))
         fits = PERCENT * F.greatest("x.n", "y.n") <= 100 * F.least("x.n", "y.n")
         most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -296,12 +359,13 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         differ = F.when((F.col("x.n") > WIDE) & (F.col("y.n") > WIDE), xor("bits") + xor("more")).otherwise(folded)
         most = F.least(most, F.floor((F.col("x.n") + F.col("y.n") - differ) / 2))
         fits &= (100 + PERCENT) * most >= PERCENT * (F.col("x.n") + F.col("y.n"))
-        long = x.join(y, (F.col("x.key") == F.col("y.key")) & earlier & fits)
-        long = long.select(*(F.col(f"{t}.{c}").alias(f"{s}_{c}") for s, t in (("a", "x"), ("b", "y")) for c in ("doc", "line")))
-        rest = rest.unionByName(long).distinct()
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & earlier & fits)
+        met = met.select(*(F.col(f"{t}.{c}").alias(f"{s}_{c}") for s, t in (("a", "x"), ("b", "y")) for c in ("doc", "line")))
+        rest = rest.unionByName(met).distinct()
     rest = staged(rest.join(pairs, lines, "left_anti"), "line-rest")
     if not rest.isEmpty():
         near = near.unionByName(_verified(rest, docs, id_col, text_col, counts))
+        release(spark)
     marked = copies.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
     marked = marked.groupBy("doc", "line").agg(F.max("exact").alias("exact"))
     return marked.select(F.col("doc").alias(id_col), F.col("line").alias("line_no"), "exact")
