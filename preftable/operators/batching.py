@@ -72,7 +72,8 @@ def shard_to_ranks(df: DataFrame, n_ranks: int, order_cols: Sequence[str | Colum
     """Spread rows round-robin over ``n_ranks`` workers (``rank = row_idx mod n``)."""
     idx = df if "row_idx" in df.columns else with_row_index(df, order_cols, name="row_idx")
     out = idx.withColumn("rank", F.pmod(F.col("row_idx"), F.lit(n_ranks)).cast("int"))
-    return out.repartition(n_ranks, "rank") if repartition else out
+    # By range: a rank's rows stay together in as many partitions as they need, however few ranks there are.
+    return out.repartitionByRange("rank", "row_idx") if repartition else out
 
 
 def zip_streams(

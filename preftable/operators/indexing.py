@@ -33,9 +33,6 @@ _MID = "__pt_mid"
 _CNT = "__pt_cnt"
 _OFF = "__pt_off"
 
-# Upper bound on range partitions used for numbering; the offsets table never exceeds it.
-MAX_INDEX_PARTITIONS = 100_000
-
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -43,9 +40,9 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions is not None:
-        return max(1, min(int(partitions), MAX_INDEX_PARTITIONS))
+        return max(1, int(partitions))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(n, MAX_INDEX_PARTITIONS))
+    return max(1, n)
 
 
 def with_row_index(

@@ -1,14 +1,15 @@
 """Step metrics (§2.9).
 
-Masked means and variances over a mini-batch are computed in one aggregation pass from per-row
-partial sums (Σx·m, Σx²·m, Σm), which Spark combines map-side before the shuffle:
-``var = (Σx²m − 2μΣxm + μ²Σm) / (Σm + eps)`` equals the reference's masked mean of the centred
-squares.
+Masked means over a mini-batch come from per-row partial sums (Σx·m, Σm), which Spark combines
+map-side before the shuffle. Variances are the masked mean of the centred squares, as the reference
+has it: the group means are joined back and the squares summed in a second pass (sums of raw squares
+lose all digits when the values are large beside their spread).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,27 +20,21 @@ from preftable.functions import rollout as R
 DEFAULT_ARRAY_METRICS = ("kl_penalty", "rewards_kl", "advantages", "ratio", "returns", "values_error")
 
 
-def _masked_stats(x: Column, mask: Column, name: str) -> tuple[list[Column], list[Column]]:
-    sx = F.sum(R.masked_sum(x, mask))
-    sxx = F.sum(R.masked_sum(F.transform(x, lambda v: v * v), mask))
-    sm = F.sum(R.array_sum(mask))
-    partial = [sx.alias(f"__{name}_sx"), sxx.alias(f"__{name}_sxx"), sm.alias(f"__{name}_sm")]
-    eps = F.lit(MASKED_MEAN_EPS)
-    mean = F.col(f"__{name}_sx") / (F.col(f"__{name}_sm") + eps)
-    var = (
-        F.col(f"__{name}_sxx") - F.lit(2.0) * mean * F.col(f"__{name}_sx") + mean * mean * F.col(f"__{name}_sm")
-    ) / (F.col(f"__{name}_sm") + eps)
-    return partial, [mean.alias(f"{name}_mean"), var.alias(f"{name}_var")]
+def masked_stats(df: DataFrame, cols: Sequence[str], mask: str, group_cols: Sequence[str]) -> DataFrame:
+    """Masked mean and variance of array columns per group (two passes; null groups are groups too)."""
+    m, eps = F.col(mask), F.lit(MASKED_MEAN_EPS)
+    size = F.sum(R.array_sum(m)) + eps
+    means = df.groupBy(*group_cols).agg(*[(F.sum(R.masked_sum(F.col(c), m)) / size).alias(f"{c}_mean") for c in cols])
+    keyed = means.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_cols)], *[F.col(f"{c}_mean").alias(f"__{c}") for c in cols])
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group_cols)])
 
+    def squares(c: str) -> Column:
+        mean = F.col(f"__{c}")
+        return F.sum(R.masked_sum(F.transform(F.col(c), lambda v: (v - mean) * (v - mean)), m)) / size
 
-def masked_stats(df: DataFrame, cols: Sequence[str], mask: str, group_cols: Sequence[str]) -> DataFrame:
-    """Masked mean and variance of array columns per group."""
-    partial, final = [], []
-    for c in cols:
-        p, f = _masked_stats(F.col(c), F.col(mask), c)
-        partial += p
-        final += f
-    return df.groupBy(*group_cols).agg(*partial).select(*group_cols, *final)
+    both = df.select(*group_cols, mask, *cols).join(keyed, same)
+    out = both.groupBy(*group_cols).agg(*[x for c in cols for x in (F.max(f"__{c}").alias(f"{c}_mean"), squares(c).alias(f"{c}_var"))])
+    return out.select(*group_cols, *[f"{c}_{s}" for c in cols for s in ("mean", "var")])
 
 
 def rollout_metrics(
@@ -53,12 +48,9 @@ def rollout_metrics(
 ) -> DataFrame:
     """Per group: masked mean/var of the array metrics, mean and sample variance of the reward
     score, perplexities ``exp(avg(ce))`` and the mean of any scalar columns (losses, lr)."""
-    partial, final = [], []
-    for c in array_cols:
-        if c in df.columns:
-            p, f = _masked_stats(F.col(c), F.col(mask), c)
-            partial += p
-            final += f
+    arrays = [c for c in array_cols if c in df.columns]
+    partial: list[Column] = []
+    final: list[Column] = []
     partial += [F.avg(reward_col).alias("reward_score_mean"), F.var_samp(reward_col).alias("reward_score_var")]
     final += [F.col("reward_score_mean"), F.col("reward_score_var")]
     for c in ce_cols:
@@ -68,7 +60,13 @@ def rollout_metrics(
     for c in scalar_cols:
         partial.append(F.avg(c).alias(c))
         final.append(F.col(c))
-    return df.groupBy(*group_cols).agg(*partial).select(*group_cols, *final)
+    out = df.groupBy(*group_cols).agg(*partial).select(*group_cols, *final)
+    if not arrays:
+        return out
+    stats = masked_stats(df, arrays, mask, group_cols)
+    stats = stats.select(*[F.col(g).alias(f"__s{i}") for i, g in enumerate(group_cols)], *[x for x in stats.columns if x not in group_cols])
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__s{i}")) for i, g in enumerate(group_cols)])
+    return out.join(stats, same).select(*group_cols, *[x for x in stats.columns if not x.startswith("__s")], *final)
 
 
 def length_metrics(df: DataFrame, group_cols: Sequence[str], prompt_col: str = "prompt_ids", response_col: str = "response_ids") -> DataFrame:

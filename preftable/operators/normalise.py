@@ -8,7 +8,9 @@ not dropped silently: they carry a ``quarantine_reason`` and ``split_quarantine`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preftable.functions.text import (
@@ -63,7 +65,8 @@ def detect_layout(df: DataFrame, task: str = "sft", file_col: str = "file") -> D
     """Add ``layout``: ``instruction``, ``prompt`` (SFT/PPO) or ``preference`` (RM/DPO).
 
     With a single-layout schema the answer is a constant. A superset schema read from a mixed
-    directory decides per file from which columns hold values in that file: a one-row-per-file
+    directory decides per file from which columns hold values in that file (every key column has
+    to, so a file with ``chosen`` alone keeps the instruction layout): a one-row-per-file
     aggregate joined back on the file (no window over a possibly huge file).
     """
     pair_task = task in ("rm", "dpo")
@@ -72,13 +75,14 @@ def detect_layout(df: DataFrame, task: str = "sft", file_col: str = "file") -> D
     if not present:
         return df.withColumn("layout", F.lit("instruction"))
     other = F.lit("preference" if pair_task else "prompt")
-    has_key = F.coalesce(*[F.col(c).isNotNull() for c in key])
+    has_key = reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
     if "instruction" not in df.columns:
         return df.withColumn("layout", other)
     if file_col not in df.columns:
         # No file to group by: decide per row from the columns that hold values.
         return df.withColumn("layout", F.when(has_key, other).otherwise(F.lit("instruction")))
-    flags = df.groupBy(file_col).agg(F.max(F.when(has_key, 1).otherwise(0)).alias("__pt_has"))
+    in_file = [F.max(F.when(F.col(c).isNotNull(), 1).otherwise(0)) for c in key]
+    flags = df.groupBy(file_col).agg((F.least(*in_file) if len(in_file) > 1 else in_file[0]).alias("__pt_has"))
     return (
         df.join(flags, file_col, "left")
         .withColumn("layout", F.when(F.col("__pt_has") == 1, other).otherwise(F.lit("instruction")))

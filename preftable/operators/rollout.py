@@ -185,7 +185,8 @@ def build_experience(
     """
     ms = R.shifted(F.col("response_mask"))
     score = F.col(reward_col) if reward_col else R.last_reward(F.col("ref_values"), F.col("response_mask"))
-    out = df.withColumn("reward_score", R.clip_reward(score.cast("double"), cfg.reward_score_clip))
+    score = F.when(R.last_index(ms).isNotNull(), score.cast("double"))  # Q10: an empty response has no reward
+    out = df.withColumn("reward_score", R.clip_reward(score, cfg.reward_score_clip))
     out = out.withColumn("__pen", R.kl_penalty(F.col("actor_logp"), F.col("ref_logp"), cfg.kl_penalty_beta, cfg.kl_penalty_method))
     out = out.withColumn("rewards_kl", R.rewards_with_kl(F.col("__pen"), F.col("reward_score"), ms))
     out = out.withColumn("kl_penalty", F.col("rewards_kl") if cfg.compat else F.col("__pen"))

@@ -18,6 +18,7 @@ from preftable.operators.normalise import split_quarantine, to_pair_text, to_sft
 from preftable.sources.readers import RAW_SCHEMA, read_json_dir, read_split_files, read_text_dir, resolve_source
 
 KEY = "example_id"
+ROW = "__pt_row"  # identifies a record while its tokens are gathered; users' ids may repeat across files
 
 
 def _records(
@@ -34,8 +35,10 @@ def _records(
         raw = read_json_dir(spark, dataset_dir, schema, multi_line)
     else:
         raw = read_split_files(spark, train_file, valid_file, schema, multi_line)
-    # Records without their own id get one from the read (stable for the same files and splits).
-    raw = raw.withColumn(KEY, F.coalesce(F.col(KEY), F.monotonically_increasing_id()))
+    # A record without an id gets one from its content, so that neither it nor the split drawn by it
+    # depends on how the files are cut. Ids needn't be unique: rows are told apart by ROW.
+    content = F.to_json(F.struct(*[F.col(f.split()[0]) for f in RAW_SCHEMA.split(", ")]))
+    raw = raw.withColumn(KEY, F.coalesce(F.col(KEY), F.xxhash64(content))).withColumn(ROW, F.monotonically_increasing_id())
     return raw, mode == "dir"
 
 
@@ -52,11 +55,11 @@ def prepare_sft(
 ) -> tuple[DataFrame, DataFrame]:
     """SFT: records → ``(example_id, split, input_ids, label_ids)`` and the quarantined rows."""
     raw, draw_split = _records(spark, dataset_dir, train_file, valid_file, multi_line)
-    keep = (KEY,) if draw_split else (KEY, "split")
+    keep = (ROW, KEY) if draw_split else (ROW, KEY, "split")
     text, bad = split_quarantine(to_sft_text(raw, cfg.template, "sft", compat, keep=keep), strict)
     limits = {"prompt": cfg.max_prompt_length - 1, "response": cfg.max_response_length - 1}
     passthrough = () if draw_split else ("split",)
-    enc = encode(text, ["prompt", "response"], vocab, [KEY], cfg.ids, passthrough=passthrough, max_ids=limits)
+    enc = encode(text, ["prompt", "response"], vocab, [ROW], cfg.ids, passthrough=(KEY, *passthrough), max_ids=limits)
     seqs = S.build_sft_sequences(enc, ids=cfg.ids, max_prompt_length=cfg.max_prompt_length,
                                  max_response_length=cfg.max_response_length, keep=(KEY, *passthrough))
     if draw_split:
@@ -78,7 +81,7 @@ def prepare_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """RM / DPO: records → padded pairs (flat ``input_ids``/``label_ids`` by default)."""
     raw, draw_split = _records(spark, dataset_dir, train_file, valid_file, multi_line)
-    keep = (KEY,) if draw_split else (KEY, "split")
+    keep = (ROW, KEY) if draw_split else (ROW, KEY, "split")
     text, bad = split_quarantine(to_pair_text(raw, cfg.template, compat, keep=keep), strict)
     limits = {
         "prompt": cfg.max_prompt_length - 1,
@@ -86,7 +89,7 @@ def prepare_pairs(
         "rejected": cfg.max_response_length - 1,
     }
     passthrough = () if draw_split else ("split",)
-    enc = encode(text, ["prompt", "chosen", "rejected"], vocab, [KEY], cfg.ids, passthrough=passthrough, max_ids=limits)
+    enc = encode(text, ["prompt", "chosen", "rejected"], vocab, [ROW], cfg.ids, passthrough=(KEY, *passthrough), max_ids=limits)
     pairs = S.pad_pair(
         S.build_pair_sequences(enc, ids=cfg.ids, max_prompt_length=cfg.max_prompt_length,
                                max_response_length=cfg.max_response_length, keep=(KEY, *passthrough)),
@@ -109,9 +112,9 @@ def prepare_ppo(
 ) -> tuple[DataFrame, DataFrame]:
     """PPO prompts: ``input_ids = prompt + [bos]``, ``label_ids = response + [bos]``; no split."""
     raw, _ = _records(spark, dataset_dir, None, None, multi_line)
-    text, bad = split_quarantine(to_sft_text(raw, cfg.template, "ppo", compat, keep=(KEY,)), strict)
+    text, bad = split_quarantine(to_sft_text(raw, cfg.template, "ppo", compat, keep=(ROW, KEY)), strict)
     limits = {"prompt": cfg.max_prompt_length - 1, "response": cfg.max_response_length - 1}
-    enc = encode(text, ["prompt", "response"], vocab, [KEY], cfg.ids, max_ids=limits)
+    enc = encode(text, ["prompt", "response"], vocab, [ROW], cfg.ids, passthrough=(KEY,), max_ids=limits)
     return S.build_ppo_prompts(enc, ids=cfg.ids, max_prompt_length=cfg.max_prompt_length,
                                max_response_length=cfg.max_response_length), bad
 

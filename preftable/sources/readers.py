@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from functools import reduce
 
@@ -18,11 +17,12 @@ RAW_SCHEMA = (
 )
 
 
-def _has_files(path: str, pattern: str) -> bool:
-    if "://" in path and not path.startswith("file:"):
-        return True  # remote stores: let Spark list them
-    local = path[len("file:"):] if path.startswith("file:") else path
-    return bool(glob.glob(os.path.join(local, pattern)))
+def _has_files(spark: SparkSession, path: str, pattern: str) -> bool:
+    """Whether the path's own file system (the default one, if it names none) has such files."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
 
 
 def resolve_source(dataset_dir: str | None, train_file: str | None = None, valid_file: str | None = None) -> str:
@@ -38,7 +38,7 @@ def read_json_dir(
     spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi_line: bool = False, add_file: bool = True
 ) -> DataFrame:
     """Every ``*.json`` directly under ``path`` (not recursive), with the source file in ``file``."""
-    if not _has_files(path, "*.json"):
+    if not _has_files(spark, path, "*.json"):
         raise ValueError(f"no *.json files under {path}")
     df = (
         spark.read.schema(schema)
@@ -67,7 +67,7 @@ def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
     split index sits in the upper bits), and the numbering is stable across re-reads and task
     retries because it follows the scan's split planning.
     """
-    if not _has_files(path, "*.txt"):
+    if not _has_files(spark, path, "*.txt"):
         raise ValueError(f"no *.txt files under {path}")
     df = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").text(path)
     return df.select(
