@@ -15,13 +15,15 @@ m tokens can match only if
   differ in more bits than the sets differ in tokens.
 
 Entries (key, line) are shuffled once, packed in parcels by bucket of keys (the buckets grow with the
-corpus); a task sorts one bucket at a time and emits the candidate pairs of its runs of equal keys. Equal token sets are found in the same pass (keyed by their hash; a task first
-drops the copies it sees itself, so a line that a third of the corpus repeats stays small). Runs of
-more than ``RUN`` different lines keep their other candidates for a later join. A line is first compared with its
-likeliest candidate of each run alone (the bitmap that differs least); only lines that this doesn't
-remove meet their other candidates afterwards, so a group of thousands of similar lines takes about
-one comparison for each line and key. Candidates
-are verified on full sets.
+corpus); a task sorts one bucket at a time and emits the candidate pairs of its runs of equal keys.
+Equal token sets are found in the same pass (keyed by their hash; a task first drops the copies it
+sees itself, so a line that a third of the corpus repeats stays small). A line is first compared with
+its likeliest candidate of each run alone (the bitmap that differs least); only lines that this
+doesn't remove meet their other candidates afterwards, so a group of thousands of similar lines takes
+about one comparison for each line and key. In runs of more than ``RUN`` different lines, a line with
+more than ``KEPT`` candidates doesn't list them: a later join finds them again among the run's lines
+that are someone's candidate. The texts are shuffled once for the full sets of all lines with
+candidates, and candidates are verified on these.
 
 Defined cases: null, empty and blank texts have no lines with tokens; rows with a null id take no
 part and keep their text; rows that share an id are one document; a table without rows gives no
@@ -48,6 +50,7 @@ PERCENT = 80
 MIN_TOKENS = 5
 SHORT = 12  # pairs with a line of at most so many tokens are found by pairs of tokens
 RUN = 64  # lines of a run that are compared all with all at once
+KEPT = 16  # candidates that a line of a longer run lists itself
 WIDE = 40
 BUCKET_WORDS = 500_000  # words of the corpus for each bucket of keys, which a task reads at once
 SLICE = 500  # texts handled at once
@@ -209,6 +212,7 @@ def _pairs(key, doc, line, n, pos, bits, more) -> Iterator[pa.RecordBatch]:
         own = own[np.argsort(n[own], kind="stable")]  # partners lie in a window of lengths
         until = np.searchsorted(100 * n[own], n[own] * 100 * 100 // PERCENT, side="right")
         best, best_differ, hits = np.full(m, -1), np.full(m, 1 << 30), np.zeros(m, np.int64)
+        partner, listed = np.zeros(m, bool), []
         at = 0
         while at < m:
             upto = at + 1
@@ -222,16 +226,23 @@ def _pairs(key, doc, line, n, pos, bits, more) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((line[i], doc[i], differ, j))
             i, j, differ = i[order], j[order], differ[order]
             np.add.at(hits, j - f, 1)
+            partner[i - f] = True
+            few = hits[j - f] <= KEPT
+            listed.append((i[few], j[few]))
             top = np.flatnonzero(np.diff(j, prepend=-1))
             better = top[differ[top] < best_differ[j[top] - f]]
             best[j[better] - f], best_differ[j[better] - f] = i[better], differ[better]
             at = upto
         has = np.flatnonzero(best >= 0)
         yield told(1, best[has], has + f)
-        several = np.flatnonzero(hits > 1) + f  # lines with other candidates, and all lines that may be these
+        i, j = (np.concatenate(x) for x in zip(*listed))
+        other = (hits[j - f] <= KEPT) & (best[j - f] != i)
+        yield told(3, i[other], j[other])
+        several = np.flatnonzero(hits > KEPT) + f  # lines with many candidates, and all lines that may be these
         if len(several):
+            partners = np.flatnonzero(partner) + f
             yield told(2, several, several)
-            yield told(4, own, own)
+            yield told(4, partners, partners)
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -245,7 +256,7 @@ def _found(kind: int | np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
 
 def _bucket(parcels: list[bytes]) -> Iterator[pa.RecordBatch]:
     """What one bucket of keys tells: copies (kind 0), candidate pairs (1: a line's likeliest in its run,
-    3: others) and, of long runs, lines with several candidates (2) and all lines (4)."""
+    3: others) and, of long runs, lines with many candidates (2) and the candidates of any line (4)."""
     x = _opened(parcels)
     known = x["n"] == _COPY
     zero = lambda m: [np.zeros(int(m.sum()), np.int64)] * 5
@@ -289,10 +300,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _bucket(held)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, counts) -> DataFrame:
-    """The lines ``doc, line`` that an earlier one matches, of candidate pairs a (earlier) and b."""
-    sides = [pairs.select(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_line").alias("line")) for s in "ab"]
-    wanted = sides[0].unionByName(sides[1]).distinct().groupBy("doc").agg(F.collect_list("line").alias("lines"))
+def _line_sets(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, counts) -> DataFrame:
+    """``doc, line, items``: the full sets of all lines with candidates."""
+    sides = [F.struct(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_line").alias("line")) for s in "ab"]
+    wanted = found.filter("kind in (1, 3, 4)").select(F.inline(F.array(*sides))).groupBy("doc").agg(F.collect_set("line").alias("lines"))
     texts = docs.join(wanted, docs[id_col] == wanted["doc"]).select("doc", "lines", text_col)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +315,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, cou
             doc = batch.column("doc").take(pa.array(x.row[at], pa.int64()))
             yield pa.RecordBatch.from_arrays([doc, pa.array(x.line[at], pa.int64()), pa.array(items, pa.binary())], names=["doc", "line", "items"])
 
-    sets = staged(texts.mapInArrow(full, "doc long, line long, items binary"), "line-sets")
+    return staged(texts.mapInArrow(full, "doc long, line long, items binary"), "line-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lines ``doc, line`` that an earlier one matches, of candidate pairs a (earlier) and b."""
     for s in "ab":
         pairs = pairs.join(sets.select(F.col("doc").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("items").alias(f"{s}_items")), [f"{s}_doc", f"{s}_line"])
 
@@ -340,7 +355,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(spark)
     copies = found.filter("kind = 0").select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
     pairs = found.filter("kind = 1").select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    near = _verified(pairs, docs, id_col, text_col, counts)
+    sets = _line_sets(found, docs, id_col, text_col, counts)
+    near = _verified(pairs, sets)
     release(spark)
 
     # Lines that their likeliest candidates don't remove meet the other ones.
@@ -364,7 +380,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rest = rest.unionByName(met).distinct()
     rest = staged(rest.join(pairs, lines, "left_anti"), "line-rest")
     if not rest.isEmpty():
-        near = near.unionByName(_verified(rest, docs, id_col, text_col, counts))
+        near = near.unionByName(_verified(rest, sets))
         release(spark)
     marked = copies.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
     marked = marked.groupBy("doc", "line").agg(F.max("exact").alias("exact"))

@@ -184,12 +184,30 @@ def test_long_runs_equal_short_runs(monkeypatch):
     bits = np.array([np.bitwise_or.reduce(np.uint64(1) << (s & np.uint64(63))) for s in sets]).view(np.int64)
     cols = (np.zeros(m, np.int64), np.arange(m), np.zeros(m, np.int64), np.array([len(s) for s in sets]), np.zeros(m, np.int64), bits, np.zeros(m, np.int64))
 
-    def later():
-        return {b for batch in linedup._pairs(*cols) for k, b in zip(batch["kind"].to_pylist(), batch["b_doc"].to_pylist()) if k == 1}
+    def told(*kinds):
+        return sorted((r["a_doc"], r["a_line"], r["b_doc"], r["b_line"]) for batch in linedup._pairs(*cols) for r in batch.to_pylist() if r["kind"] in kinds)
 
-    short = later()
+    short, all_ = told(1), told(1, 3)
+    assert short and len(all_) > len(short) and len({x[2:] for x in short}) == len(short)
     monkeypatch.setattr(linedup, "RUN", 3)
-    assert later() == short and short
+    monkeypatch.setattr(linedup, "KEPT", m)
+    assert [x[2:] for x in told(1)] and {x[2:] for x in told(1)} == {x[2:] for x in short}
+    assert told(1, 3) == all_ and not told(2, 4)
+    monkeypatch.setattr(linedup, "KEPT", 2)
+    many, partners = {x[2:] for x in told(2)}, {x[2:] for x in told(4)}
+    assert many and {x for x in all_ if x[2:] not in many} <= set(told(1, 3))
+    assert {x[:2] for x in all_ if x[2:] in many} <= partners
+
+
+def test_lines_of_long_runs(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(24)]
+    lines = [" ".join(base[: rng.randint(14, 24)] + rng.sample(["x%d" % i for i in range(90)], rng.randint(1, 6))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(5)
+    sets = [frozenset(x.split()) for x in lines]
+    want = {j for j, b in enumerate(sets) if any(100 * len(a & b) >= linedup.PERCENT * len(a | b) for a in sets[:j])}
+    assert len(lines) > linedup.RUN and len(want) > linedup.KEPT
+    assert {r.doc_id for r in linedup.repeated_lines(df).collect()} == want
 
 
 def test_cover_tree(spark):
