@@ -63,6 +63,21 @@ def _required(n: np.ndarray) -> np.ndarray:
     return -(-n * PERCENT // 100)
 
 
+def _token_order(number: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The order by line number, then from rare to frequent, ties by hash: as one 64-bit key where that decides."""
+    which = bucket_of(h)
+    met, at = np.unique(counts[which], return_inverse=True)
+    # In the key: the line, the count's rank, and as much of the hash as there is room for.
+    low = 64 - int(number[-1]).bit_length() - len(met).bit_length() if len(number) else 64
+    if low >= 32:
+        key = (number.astype(np.uint64) << _U(64 - int(number[-1]).bit_length()) if number[-1] else np.zeros(len(number), np.uint64)) | (at.astype(np.uint64) << _U(low)) | (h >> _U(64 - low))
+        order = np.argsort(key)
+        a, b = order[1:], order[:-1]
+        if not ((key[a] == key[b]) & (h[a] != h[b])).any():
+            return order
+    return np.lexsort((h, counts[which], number))
+
+
 class Lines:
     """The token sets of the lines of a batch, each sorted from rare to frequent (ties by hash)."""
 
@@ -76,7 +91,7 @@ class Lines:
         number = np.zeros(len(row), np.int64)
         number[where[1:]] = 1
         number = np.cumsum(number)
-        order = np.lexsort((h, counts[bucket_of(h)], number))
+        order = _token_order(number, h, counts)
         number, h = number[order], h[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (number[1:] != number[:-1]) | (h[1:] != h[:-1])
@@ -272,7 +287,10 @@ def _bucket(parcels: list[bytes]) -> Iterator[pa.RecordBatch]:
     lined = x["n"] == _CLASS
     size = np.where(lined, x["pos"], x["n"])
     same = [x["key"], lined, size, x["cls"], x["bits"], x["more"]]
-    order = np.lexsort((x["line"], x["doc"], *same[::-1]))
+    sign = np.zeros(len(by), np.uint64)
+    for c in same[1:]:
+        sign = mix64(sign + c.astype(np.uint64))
+    order = np.lexsort((x["line"], x["doc"], sign, x["key"]))
     x, lined = {c: v[order] for c, v in x.items()}, lined[order]
     equal = np.ones(len(order), bool)
     equal[:1] = False
