@@ -30,6 +30,7 @@ from preftable.llm.ship import ship_package
 from preftable.llm.textbuf import BLANKS, hash_words, utf8
 
 WINDOW = 8  # words of a window that counts as repeated
+SLICE = 500  # texts hashed at once
 SAMPLE_ROWS = 4000  # rows (in expectation) on which costs and selectivities are estimated
 
 _SYMBOLS = b"#*$%&|<>"
@@ -162,12 +163,13 @@ class RuleStat:
 
 
 def _texts(batch: pa.RecordBatch, col: str) -> Iterator[tuple[int, Facts]]:
-    data, off = utf8(batch.column(col))
-    raw = data.tobytes()
-    start, _, h = hash_words(data, off)
-    at = np.searchsorted(start, off)
-    for i in range(batch.num_rows):
-        yield i, Facts(raw[off[i] : off[i + 1]], h[at[i] : at[i + 1]])
+    for first in range(0, batch.num_rows, SLICE):
+        data, off = utf8(batch.column(col).slice(first, SLICE))
+        raw = data.tobytes()
+        start, _, h = hash_words(data, off)
+        at = np.searchsorted(start, off)
+        for i in range(len(off) - 1):
+            yield first + i, Facts(raw[off[i] : off[i + 1]], h[at[i] : at[i + 1]])
 
 
 def learn_order(

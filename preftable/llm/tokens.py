@@ -13,7 +13,7 @@ import os
 import numpy as np
 import regex
 
-CACHE_ENTRIES = 1_000_000  # chunks kept per worker; later ones are encoded again each time
+CACHE_ENTRIES = 200_000  # chunks kept per worker; later ones are encoded again each time
 
 _loaded: dict[str, "ChunkEncoder"] = {}
 _TRAILING = ".,;:!?"
