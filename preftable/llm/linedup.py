@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from preftable.llm.rarity import bucket_counts, bucket_of
+from preftable.llm.rarity import BUCKETS, bucket_counts, bucket_of
 from preftable.llm.scratch import release, staged
 from preftable.llm.ship import ship_package
-from preftable.llm.textbuf import hash_words, mix64, row_of, utf8
+from preftable.llm.textbuf import hash_words, mix64, part_of, row_of, utf8
 
 PERCENT = 80
 MIN_TOKENS = 5
@@ -63,35 +63,41 @@ def _required(n: np.ndarray) -> np.ndarray:
     return -(-n * PERCENT // 100)
 
 
-def _token_order(number: np.ndarray, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The order by line number, then from rare to frequent, ties by hash: as one 64-bit key where that decides."""
-    which = bucket_of(h)
-    met, at = np.unique(counts[which], return_inverse=True)
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Each bucket's place among the distinct counts."""
+    return np.unique(counts, return_inverse=True)[1]
+
+
+def _token_order(number: np.ndarray, h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The order by line number, then from rare to frequent, ties by the hash's bits past those that name
+    its bucket, then all of them: as one 64-bit key where that decides."""
+    rank, rest = ranks[bucket_of(h)], h << _U(BUCKETS.bit_length() - 1)
     # In the key: the line, the count's rank, and as much of the hash as there is room for.
-    low = 64 - int(number[-1]).bit_length() - len(met).bit_length() if len(number) else 64
-    if low >= 32:
-        key = (number.astype(np.uint64) << _U(64 - int(number[-1]).bit_length()) if number[-1] else np.zeros(len(number), np.uint64)) | (at.astype(np.uint64) << _U(low)) | (h >> _U(64 - low))
+    top = 64 - int(number[-1]).bit_length() if len(number) else 64
+    low = top - int(ranks.max()).bit_length()
+    if 20 <= low < top < 64:
+        key = (number.astype(np.uint64) << _U(top)) | (rank.astype(np.uint64) << _U(low)) | (rest >> _U(64 - low))
         order = np.argsort(key)
         a, b = order[1:], order[:-1]
         if not ((key[a] == key[b]) & (h[a] != h[b])).any():
             return order
-    return np.lexsort((h, counts[which], number))
+    return np.lexsort((h, rest, rank, number))
 
 
 class Lines:
     """The token sets of the lines of a batch, each sorted from rare to frequent (ties by hash)."""
 
-    def __init__(self, batch: pa.RecordBatch, text_col: str, counts: np.ndarray):
+    def __init__(self, batch: pa.RecordBatch, text_col: str, ranks: np.ndarray):
         data, off = utf8(batch.column(text_col))
         start, _, h = hash_words(data, off)
         breaks = np.flatnonzero(data == 10)
         row = row_of(start, off)
-        line = np.searchsorted(breaks, start) - np.searchsorted(breaks, off[:-1])[row] if len(start) else row
+        line = part_of(start, breaks) - np.searchsorted(breaks, off[:-1])[row] if len(start) else row
         where = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(line, prepend=-1)) if len(row) else row
         number = np.zeros(len(row), np.int64)
         number[where[1:]] = 1
         number = np.cumsum(number)
-        order = _token_order(number, h, counts)
+        order = _token_order(number, h, ranks)
         number, h = number[order], h[order]
         keep = np.ones(len(h), bool)
         keep[1:] = (number[1:] != number[:-1]) | (h[1:] != h[:-1])
@@ -149,12 +155,12 @@ _PARCEL = (("key", "<i8"), ("bits", "<i8"), ("more", "<i8"), ("doc", "<i8"), ("c
 _ENTRY = sum(np.dtype(t).itemsize for _, t in _PARCEL)
 
 
-def _parcels(docs: DataFrame, id_col: str, text_col: str, counts, buckets: int) -> DataFrame:
+def _parcels(docs: DataFrame, id_col: str, text_col: str, ranks, buckets: int) -> DataFrame:
     """``bucket, parcel``: every line (by the hash of its set) and every prefix key of every line."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            x = Lines(batch, text_col, counts.value)
+            x = Lines(batch, text_col, ranks.value)
             doc = batch.column(id_col).cast(pa.int64()).to_numpy(zero_copy_only=False)[x.row]
             h1, h2 = x.hashes()
             order = np.lexsort((x.line, doc, h2, h1))
@@ -318,7 +324,37 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _bucket(held)
 
 
-def _line_sets(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, counts) -> DataFrame:
+def _cut_lines(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """``(row, line, set)`` of the lines listed in ``lines``: the sorted hashes of each one's words.
+
+    Of rows that share an id, some may not have a listed line, or too few words in it.
+    """
+    data, off = utf8(batch.column(text_col))
+    lists = batch.column("lines")
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    line = lists.flatten().to_numpy(zero_copy_only=False)
+    edges = np.concatenate([np.flatnonzero(data == 10), [len(data)]])
+    at = np.searchsorted(edges, off[:-1])[row] + line  # the break that ends the line, if its text doesn't
+    has = (line == 0) | (edges[np.minimum(at, len(edges)) - 1] < off[row + 1]) & (at < len(edges))
+    row, line, at = row[has], line[has], at[has]
+    start = np.where(line == 0, off[row], edges[at - 1] + 1)
+    end = np.minimum(edges[at], off[row + 1])
+    raw = memoryview(data)
+    cut = np.frombuffer(b"".join([raw[i:j] for i, j in zip(start.tolist(), end.tolist())]), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(end - start)])
+    words, _, h = hash_words(cut, bounds)
+    which = row_of(words, bounds)
+    order = np.lexsort((h, which))
+    which, h = which[order], h[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1])
+    which, h = which[fresh], h[fresh]
+    to = np.searchsorted(which, np.arange(len(row) + 1))
+    big = np.flatnonzero(np.diff(to) >= MIN_TOKENS)
+    return row[big], line[big], [h[i:j].tobytes() for i, j in zip(to[big].tolist(), to[big + 1].tolist())]
+
+
+def _line_sets(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, line, items``: the full sets of all lines with candidates."""
     sides = [F.struct(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_line").alias("line")) for s in "ab"]
     wanted = found.filter("kind in (1, 3, 4)").select(F.inline(F.array(*sides))).groupBy("doc").agg(F.collect_set("line").alias("lines"))
@@ -326,12 +362,9 @@ def _line_sets(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, co
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            x = Lines(batch, text_col, counts.value)
-            need = {(i, v) for i, vs in enumerate(batch.column("lines").to_pylist()) for v in vs}
-            at = [k for k, w in enumerate(zip(x.row.tolist(), x.line.tolist())) if w in need]
-            items = [np.sort(x.items(k)).tobytes() for k in at]
-            doc = batch.column("doc").take(pa.array(x.row[at], pa.int64()))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(x.line[at], pa.int64()), pa.array(items, pa.binary())], names=["doc", "line", "items"])
+            row, line, items = _cut_lines(batch, text_col)
+            doc = batch.column("doc").take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(line, pa.int64()), pa.array(items, pa.binary())], names=["doc", "line", "items"])
 
     return staged(texts.mapInArrow(full, "doc long, line long, items binary"), "line-sets")
 
@@ -366,14 +399,14 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return hash_words(*utf8(batch.column(0)))[2]
 
     frequency = bucket_counts(docs.select(text_col), words)
-    counts = spark.sparkContext.broadcast(frequency)
+    ranks = spark.sparkContext.broadcast(_ranks(frequency))
     buckets = max(1, int(frequency.sum()) // BUCKET_WORDS)
-    dealt = _parcels(docs, id_col, text_col, counts, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = _parcels(docs, id_col, text_col, ranks, buckets).repartition("bucket").sortWithinPartitions("bucket")
     found = staged(dealt.mapInArrow(_runs, _FOUND), "line-candidates")
     release(spark)
     copies = found.filter("kind = 0").select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
     pairs = found.filter("kind = 1").select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    sets = _line_sets(found, docs, id_col, text_col, counts)
+    sets = _line_sets(found, docs, id_col, text_col)
     near = _verified(pairs, sets)
     release(spark)
 

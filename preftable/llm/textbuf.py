@@ -1,8 +1,8 @@
 """Vectorised word handling on Arrow string columns (numpy on the raw UTF-8 buffer, no per-word objects).
 
 A word is a maximal run of bytes other than the six ASCII blanks (``[^\\x20\\x09-\\x0D]+``); a row
-boundary always ends a word. Hashes are 64-bit and the same in every process: a polynomial over
-the bytes with odd base, mixed with the word's length.
+boundary always ends a word. Hashes are 64-bit and the same in every process: the word's length, mixed
+in turn with each eight of its bytes.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ import pyarrow.compute as pc
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 20  # bytes hashed at once
-LONG_WORD = 512  # longer words are hashed by blake2b (a polynomial modulo 2^64 can be made to collide)
+LONG_WORD = 512  # longer words are hashed by blake2b
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_IS_BLANK = np.zeros(256, bool)
-_IS_BLANK[list(BLANKS)] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+# Of eight bytes read at a word's start, those that belong to a word of 0..8 bytes.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | (data - np.uint8(9) < 5)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,23 +38,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        n = max(n, SEGMENT + 1)
-        base = np.full(n, _BASE, np.uint64)
-        base[0] = 1
-        inverse = np.full(n, _U(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-        inverse[0] = 1
-        _pow, _inv = np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
-    return _pow, _inv
-
-
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its row offsets; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -76,7 +61,7 @@ def hash_words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[
     while lo < n:
         hi, step = min(lo + SEGMENT, n), SEGMENT
         while hi < n:  # back to a place between words, or on if a word fills the segment
-            ends = np.flatnonzero(_IS_BLANK[data[lo:hi]] | cut[lo + 1 : hi + 1])
+            ends = np.flatnonzero(_blank(data[lo:hi]) | cut[lo + 1 : hi + 1])
             if len(ends):
                 hi = lo + int(ends[-1]) + 1
                 break
@@ -92,25 +77,35 @@ def hash_words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[
 
 def _segment(data: np.ndarray, cut: np.ndarray, base: int, lower: bool):
     if lower:
-        data = _LOWER[data]
-    inside = ~_IS_BLANK[data]
+        data = data + ((data - np.uint8(65) < 26) * np.uint8(32))
+    inside = ~_blank(data)
     first = inside.copy()
     first[1:] &= ~inside[:-1] | cut[1:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | cut[1:-1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
-    h = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    for i in np.flatnonzero(e - s > LONG_WORD):
+    size = e - s
+    eights = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    h = mix64((eights[s] & _OWN[np.minimum(size, 8)]) + size.astype(np.uint64) * _BASE)
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        h[more] = mix64(h[more] * _BASE + (eights[s[more] + at] & _OWN[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
         h[i] = int.from_bytes(hashlib.blake2b(data[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
     return s + base, e + base, h
 
 
+def part_of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of the ascending ``ends`` are at or before each of the ascending positions."""
+    met = np.searchsorted(starts, ends)
+    return np.repeat(np.arange(len(ends) + 1), np.diff(met, prepend=0, append=len(starts)))
+
+
 def row_of(starts: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The row in which each position lies."""
-    return np.searchsorted(off, starts, side="right") - 1
+    """The row in which each of the ascending positions lies."""
+    return part_of(starts, off) - 1
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
