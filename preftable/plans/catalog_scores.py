@@ -519,25 +519,41 @@ def log_cadence(spark: SparkSession, base: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 
+# Runs of eight vectors as the logits of a sequence's positions, their labels as its ids.
+_LOGITS = """p AS (SELECT vec_id // 8 AS seq, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS pos,
+             embedding, lead(label) OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) AS y FROM embeddings),
+u AS (SELECT p.seq, p.pos, p.y, CAST(x.v AS DOUBLE) AS v, x.k - 1 AS k
+      FROM p, unnest(p.embedding) WITH ORDINALITY AS x(v, k) WHERE p.y IS NOT NULL),
+m AS (SELECT seq, pos, max(v) AS mx FROM u GROUP BY seq, pos),
+l AS (SELECT u.seq, u.pos, m.mx + ln(sum(exp(u.v - m.mx))) AS lse
+      FROM u JOIN m ON u.seq = m.seq AND u.pos = m.pos GROUP BY u.seq, u.pos, m.mx),
+h AS (SELECT u.seq, u.pos, u.y, max(CASE WHEN u.k = u.y THEN u.v END) - l.lse AS logp,
+             -sum(exp(u.v - l.lse) * (u.v - l.lse)) AS ent
+      FROM u JOIN l ON u.seq = l.seq AND u.pos = l.pos GROUP BY u.seq, u.pos, u.y, l.lse)"""
+
+
+def _logit_sequences(spark: SparkSession, base: str) -> DataFrame:
+    e = V.table(spark, base, "embeddings").select("vec_id", "embedding", "label")
+    rows = e.groupBy(F.floor(F.col("vec_id") / 8).cast("long").alias("seq")).agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", "embedding", "label"))).alias("__s")
+    )
+    return rows.select(
+        "seq",
+        F.transform("__s", lambda x: x["embedding"].cast("array<double>")).alias("logits"),
+        F.transform("__s", lambda x: x["label"]).alias("ids"),
+    )
+
+
 @register(
     "token_logprobs",
-    f"""WITH u AS (SELECT e.vec_id, e.label % 8 AS y, CAST(x.v AS DOUBLE) AS v, x.k - 1 AS k
-           FROM embeddings e, unnest(e.embedding[1:8]) WITH ORDINALITY AS x(v, k)),
-m AS (SELECT vec_id, max(v) AS mx FROM u GROUP BY vec_id),
-l AS (SELECT u.vec_id, m.mx + ln(sum(exp(u.v - m.mx))) AS lse FROM u JOIN m ON u.vec_id = m.vec_id GROUP BY u.vec_id, m.mx)
-SELECT u.vec_id, {Q.rnd('max(CASE WHEN u.k = u.y THEN u.v END) - l.lse')} AS logp,
-       {Q.rnd('-sum(exp(u.v - l.lse) * (u.v - l.lse))')} AS entropy
-FROM u JOIN l ON u.vec_id = l.vec_id GROUP BY u.vec_id, l.lse""",
+    f"""WITH {_LOGITS}
+SELECT seq, pos, {Q.rnd('logp')} AS logp, {Q.rnd('ent')} AS entropy FROM h""",
 )
 def token_logprobs(spark: SparkSession, base: str) -> DataFrame:
-    e = V.table(spark, base, "embeddings")
-    logits = F.slice(F.col("embedding"), 1, 8).cast("array<double>")
-    label = F.pmod(F.col("label"), F.lit(8))
-    return e.select(
-        "vec_id",
-        _r(R.log_softmax_at(logits, label)).alias("logp"),
-        _r(R.entropy(logits)).alias("entropy"),
-    )
+    s = _logit_sequences(spark, base)
+    s = s.withColumn("logp", R.token_logprobs(F.col("logits"), F.col("ids"))).withColumn("entropy", R.token_entropies(F.col("logits")))
+    long = V.explode_tokens(s, ["seq"], ["logp", "entropy"])
+    return long.select("seq", F.col("pos").cast("long").alias("pos"), _r(F.col("logp")).alias("logp"), _r(F.col("entropy")).alias("entropy"))
 
 
 @register(
@@ -554,25 +570,19 @@ def returns_q(spark: SparkSession, base: str) -> DataFrame:
 
 @register(
     "token_entropy",
-    f"""WITH u AS (SELECT e.vec_id, e.label % 8 AS y, CAST(x.v AS DOUBLE) AS v FROM embeddings e,
-                   unnest(e.embedding[1:8]) AS x(v)),
-m AS (SELECT vec_id, any_value(y) AS y, max(v) AS mx FROM u GROUP BY vec_id),
-l AS (SELECT u.vec_id, m.y, m.mx + ln(sum(exp(u.v - m.mx))) AS lse FROM u JOIN m ON u.vec_id = m.vec_id GROUP BY u.vec_id, m.y, m.mx),
-h AS (SELECT l.vec_id, l.y, -sum(exp(u.v - l.lse) * (u.v - l.lse)) AS ent FROM u JOIN l ON u.vec_id = l.vec_id GROUP BY l.vec_id, l.y)
-SELECT y AS label_class, {Q.rnd('sum(ent * CASE WHEN y > 0 THEN 1 ELSE 0 END) / (sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) + 1e-8)')} AS entropy,
-       count(*) AS n FROM h GROUP BY y""",
+    f"""WITH {_LOGITS}
+SELECT seq // 4 AS batch_id,
+       {Q.rnd('sum(ent * CASE WHEN y > 0 THEN 1 ELSE 0 END) / (sum(CASE WHEN y > 0 THEN 1 ELSE 0 END) + 1e-8)')} AS entropy
+FROM h GROUP BY seq // 4""",
 )
 def token_entropy_q(spark: SparkSession, base: str) -> DataFrame:
-    # Entropy of each position (first 8 embedding values as logits), masked mean per label class;
-    # class 0 is masked out, so its mean is 0 as in the reference's masked_mean.
-    e = V.table(spark, base, "embeddings")
-    logits = F.slice(F.col("embedding"), 1, 8).cast("array<double>")
-    y = F.pmod(F.col("label"), F.lit(8))
-    rows = e.select(y.alias("label_class"), R.entropy(logits).alias("ent"), F.when(y > 0, 1).otherwise(0).alias("m"))
-    return rows.groupBy("label_class").agg(
-        _r(F.sum(F.col("ent") * F.col("m")) / (F.sum("m") + F.lit(1e-8))).alias("entropy"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    # Ids of class 0 are masked out; the mask is that of the predicted positions.
+    s = _logit_sequences(spark, base)
+    shifted = F.slice(F.col("ids"), 2, F.greatest(F.size("ids") - 1, F.lit(0)))
+    s = s.withColumn("mask", F.transform(shifted, lambda y: F.when(y > 0, 1).otherwise(0)))
+    s = s.withColumn("batch_id", F.floor(F.col("seq") / 4).cast("long"))
+    out = OB.token_entropy(s, "logits", "mask")
+    return out.select("batch_id", _r(F.col("entropy")).alias("entropy"))
 
 
 def _labels_from_mask(mask):

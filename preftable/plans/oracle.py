@@ -110,10 +110,12 @@ PREFERENCE_CTE = """lab AS (
   SELECT d.doc_id, d.text, d.lang, l.quality,
          row_number() OVER (PARTITION BY d.lang, l.quality ORDER BY d.doc_id) - 1 AS rn
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IN (0, 1)),
+dealt AS (SELECT lang, count(*) AS n FROM lab WHERE quality = 0 GROUP BY lang),
 pairs AS (
   SELECT c.doc_id AS example_id, 'Write in ' || c.lang AS prompt, c.text AS chosen, r.text AS rejected,
          r.doc_id AS rejected_doc_id, c.lang AS lang
-  FROM lab c JOIN lab r ON c.lang = r.lang AND c.rn = r.rn AND c.quality = 1 AND r.quality = 0)"""
+  FROM lab c JOIN dealt ON dealt.lang = c.lang
+  JOIN lab r ON c.lang = r.lang AND c.rn % dealt.n = r.rn AND c.quality = 1 AND r.quality = 0)"""
 
 # Per-token score rows: t = 0..T-2 of each sequence, with the shifted response mask ms = mask[t+1].
 SCORES_CTE = """ev AS (

@@ -80,8 +80,10 @@ def prompt_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def preference_rows(spark: SparkSession, base: str) -> DataFrame:
-    """Quality-1 (chosen) and quality-0 (rejected) documents matched by rank inside each language.
+    """Every quality-1 (chosen) document with a quality-0 (rejected) one of its language, dealt by rank.
 
+    The rejected documents of a language go round as often as its chosen ones need; a language
+    without any has no pairs. One that goes round many times is a key that AQE splits.
     The rank is ``row_number() OVER (PARTITION BY lang, quality ORDER BY doc_id)``; there are only
     a few (lang, quality) groups, so it is computed with range-partitioned numbering instead of a
     window that would put a whole language in one task. Only keys are ranked and paired; the texts
@@ -94,6 +96,8 @@ def preference_rows(spark: SparkSession, base: str) -> DataFrame:
     ranked = with_group_row_number(lab, ["lang", "quality"], ["doc_id"], name="rn")
     chosen = ranked.filter(F.col("quality") == 1).select("lang", "rn", F.col("doc_id").alias("example_id"))
     rejected = ranked.filter(F.col("quality") == 0).select("lang", "rn", F.col("doc_id").alias("rejected_doc_id"))
+    dealt = rejected.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    chosen = chosen.join(dealt, "lang").withColumn("rn", F.pmod("rn", "n"))
     pairs = chosen.join(rejected, ["lang", "rn"]).select("example_id", "rejected_doc_id", "lang")
     members = pairs.select(
         "example_id",

@@ -126,20 +126,15 @@ def prepare_pretrain(
     cfg: SequenceConfig = SequenceConfig(),
     batch_rows: int = 1000,
 ) -> DataFrame:
-    """Plain-text corpus → packed blocks: each line gets BOS, runs of up to ``batch_rows``
-    consecutive lines are concatenated and cut into ``cfg.block_size`` blocks.
-
-    Lines are grouped by the id the scan assigns (split index in the high bits, position in the
-    split below), so a group is a run of consecutive lines of one file split: no shuffle or copy
-    of the corpus is needed to number lines, and packing restarts at split boundaries the way the
-    reference's packing restarts at each map batch. Tokens stay in long form, so no line is built
-    whole either.
+    """Plain-text corpus → packed blocks ``(file, group_id, block_id, input_ids, label_ids)``: each line
+    gets BOS, runs of up to ``batch_rows`` consecutive lines of a file are concatenated and cut into
+    ``cfg.block_size`` blocks.
+
+    Lines are numbered in each file, so the blocks don't depend on how the scan splits the files.
+    Tokens stay in long form, so no line is built whole.
     """
     lines = read_text_dir(spark, text_dir)
-    split = F.shiftright(F.col("line_no"), 33)
-    local = F.col("line_no") - F.shiftleft(split, 33)
-    per_split = -(-(1 << 33) // batch_rows)  # groups a split can hold
-    lines = lines.withColumn("group_id", (split * per_split + F.floor(local / batch_rows)).cast("long"))
-    toks = encode_long(lines, "text", vocab, ["line_no", "group_id"], cfg.ids, with_bos=True)
-    lengths = lines.select("group_id", "line_no", token_count(F.col("text"), with_bos=True).alias("n_ids"))
-    return S.pack_blocks_long(toks, ["group_id"], "line_no", "pos", "id", cfg.block_size, lengths=lengths)
+    lines = lines.withColumn("group_id", F.floor(F.col("line_no") / batch_rows).cast("long"))
+    toks = encode_long(lines, "text", vocab, ["file", "line_no", "group_id"], cfg.ids, with_bos=True)
+    lengths = lines.select("file", "group_id", "line_no", token_count(F.col("text"), with_bos=True).alias("n_ids"))
+    return S.pack_blocks_long(toks, ["file", "group_id"], "line_no", "pos", "id", cfg.block_size, lengths=lengths)

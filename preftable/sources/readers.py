@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from preftable.operators.partitioning import spread_small_input
@@ -60,21 +60,30 @@ def read_split_files(
     return tr.unionByName(va)
 
 
-def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
+def read_text_dir(spark: SparkSession, path: str, broadcast_pieces: int = 200_000) -> DataFrame:
     """Every ``*.txt`` under ``path``, one row per line: ``(file, line_no, text)``.
 
-    ``line_no`` orders lines: consecutive lines of one file split get consecutive numbers (the
-    split index sits in the upper bits), and the numbering is stable across re-reads and task
-    retries because it follows the scan's split planning.
+    ``line_no`` counts a file's lines from 0 in byte order, however its bytes are split: the lines
+    of each piece of a file that a task reads are counted, and a piece's first number is the sum of
+    those before it. The text is scanned twice and never shuffled while the pieces (at most files +
+    2 x splits) are no more than ``broadcast_pieces``; beyond, the join shuffles by piece.
     """
     if not _has_files(spark, path, "*.txt"):
         raise ValueError(f"no *.txt files under {path}")
     df = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").text(path)
-    return df.select(
+    lines = df.select(
         F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.col("_metadata.file_block_start").alias("__piece"),
+        F.monotonically_increasing_id().alias("__read"),
         F.col("value").alias("text"),
     )
+    pieces = lines.groupBy("file", "__piece").agg(F.min("__read").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")
+    pieces = pieces.select("file", "__piece", shift.alias("__shift"))
+    if len(df.inputFiles()) + 2 * df.rdd.getNumPartitions() <= broadcast_pieces:
+        pieces = F.broadcast(pieces)
+    return lines.join(pieces, ["file", "__piece"]).select("file", (F.col("__read") + F.col("__shift")).alias("line_no"), "text")
 
 
 def read_parquet_table(spark: SparkSession, base: str, name: str, spread: bool = False) -> DataFrame:
