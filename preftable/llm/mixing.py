@@ -38,8 +38,8 @@ def _key(source: Column) -> Column:
 def target_units(df: DataFrame, source_col: str = "source", period: int = PERIOD, power: float = 0.5) -> DataFrame:
     """``__k, units``: weights in proportion to ``rows ** power``, in whole units, at least one each."""
     sizes = df.groupBy(_key(F.col(source_col)).alias("__k")).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("p"))
-    total = sizes.agg(F.sum("p").alias("t"))
-    shares = sizes.join(F.broadcast(total))  # one row
+    whole = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shares = sizes.withColumn("t", F.sum("p").over(whole))  # a row for each source
     return shares.select("__k", F.greatest(F.lit(1), F.floor(F.lit(period) * F.col("p") / F.col("t"))).cast("long").alias("units"))
 
 
