@@ -27,13 +27,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order in which the sources' blocks are scheduled."""
-    return mixing.in_mixed_order(docs)
+    """All documents in the order in which the sources' blocks are scheduled, each with its window of the mixture."""
+    return mixing.in_windows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their sequence and offset."""
-    return packing.pack_documents(docs, default_vocabulary(), packing.Capacity(max_tokens=1024))
+    """Every document's pieces with their sequence and offset; sequences are packed and numbered window by window."""
+    return packing.pack_windows(docs, mixing.WINDOW, default_vocabulary(), packing.Capacity(max_tokens=1024))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -28,6 +28,7 @@ BLOCK_ROWS = 8
 SPLIT_DIGITS = 3  # hash digits that split a source: 4,096 parts
 
 RESULTS = ("block", "release", "deadline", "slot", "place")
+WINDOW = "mix_window"
 
 
 def _key(source: Column) -> Column:
@@ -91,6 +92,12 @@ def mix(
     """Every row of ``df`` with its source's ``block``, the block's ``release``, ``deadline`` and ``slot``,
     and the row's ``place`` in the block; reading by (slot, place) gives the mixture."""
     base = df.drop(*RESULTS)
+    return _mixed(base, units, id_col, source_col, block_rows).select(*base.columns, *RESULTS)
+
+
+def _mixed(df: DataFrame, units: DataFrame | None, id_col: str, source_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The columns of ``df`` that aren't ``RESULTS``, ``RESULTS`` and ``mix_window``."""
+    base = df.drop(*RESULTS)
     plan = schedule(target_units(base, source_col) if units is None else units)
     hashed = base.withColumn("__k", _key(F.col(source_col))).withColumn("__m", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
     hashed = hashed.withColumn("__p", F.substring("__m", 1, SPLIT_DIGITS))
@@ -112,9 +119,17 @@ def mix(
         (turn + F.col("__d")).alias("deadline"),
         (turn + F.col("__slot")).alias("slot"),
         F.pmod("__rank", F.lit(block_rows)).alias("place"),
+        F.floor(F.col("block") / F.col("units")).alias(WINDOW),
     )
 
 
 def in_mixed_order(df: DataFrame, units: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows and columns of ``df``, sorted in the order of the mixture (kept when written)."""
     return mix(df, units, id_col, source_col).orderBy("slot", "place").select(*df.columns)
+
+
+def in_windows(df: DataFrame, units: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``in_mixed_order`` with ``mix_window``, the period (from 0) in which a row's block runs: a window holds
+    every source in proportion to its units until the source ends."""
+    base = df.drop(*RESULTS, WINDOW)
+    return _mixed(base, units, id_col, source_col).orderBy("slot", "place").select(*base.columns, WINDOW)

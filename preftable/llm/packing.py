@@ -12,6 +12,10 @@ ranks ``[rank, rank + n)`` go to the sequences ``[bin, bin + n)`` at one offset.
 pieces within their length (split by hash, so that a length holding a third of all pieces stays
 spread) and looks their placement up. Longest pieces first, as in best-fit decreasing.
 
+With windows (``pack_windows``) each window is packed on its own, on its own counts, and its sequences
+are numbered after those of the windows before it, so a mixture that decides a row's window decides its
+sequence. A window's counts (at most ``max_tokens`` rows) are placed in a task each.
+
 Defined cases: a null or empty text has its end id alone; a longer text is cut so that the first
 piece takes the remainder and all others are full; repeated rows are packed one by one; a table
 without rows gives no rows; extra columns are ignored.
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +41,7 @@ from preftable.llm.ship import ship_package
 from preftable.llm.tokens import encoder
 
 END_ID = 2
+SPAN = 256  # pieces of one window and length that look their placements up together
 
 
 @dataclass(frozen=True)
@@ -58,11 +64,19 @@ class Capacity:
 
 
 def token_pieces(
-    df: DataFrame, vocabulary: str, max_tokens: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    df: DataFrame,
+    vocabulary: str,
+    max_tokens: int = 1024,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id, piece, start, length, ids_crc32`` (and ``ids``, little-endian uint32) of every piece of every text."""
+    """``id``, the columns ``keep``, ``piece, start, length, ids_crc32`` (and ``ids``, little-endian uint32) of
+    every piece of every text."""
     ship_package(df.sparkSession)
-    fields = [df.schema[id_col], T.StructField("piece", T.IntegerType())]
+    kept = [id_col, *keep]
+    fields = [*(df.schema[c] for c in kept), T.StructField("piece", T.IntegerType())]
     fields += [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]
     fields += [T.StructField("ids", T.BinaryType())] * with_ids
     names = [f.name for f in fields]
@@ -83,11 +97,11 @@ def token_pieces(
                     if with_ids:
                         parts.append(own)
                     at, k = at + size, k + 1
-            cols = [batch.column(id_col).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
+            cols = [*(batch.column(c).take(pa.array(row, pa.int64())) for c in kept), pa.array(piece, pa.int32())]
             cols += [pa.array(x, pa.int64()) for x in (start, length, crc)] + [pa.array(parts, pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.select(id_col, text_col).mapInArrow(cut, T.StructType(fields))
+    return df.select(*kept, text_col).mapInArrow(cut, T.StructType(fields))
 
 
 def place(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tuple[int, int, int, int, int]]:
@@ -154,16 +168,17 @@ def place(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tuple[int,
     return out
 
 
-def number_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+def number_within(df: DataFrame, key: str | list[str], order: list[str], name: str) -> DataFrame:
     """``name``: 0, 1, ... within ``key``. Each key is split by a hash of ``order``: counts per split give
     where a split begins, so no task holds all rows of a key."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [key] if isinstance(key, str) else key
     split = df.withColumn("__h", F.pmod(F.xxhash64(*order), F.lit(max(parts, 1))))
-    sizes = split.groupBy(key, "__h").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(key).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = split.groupBy(*key, "__h").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*key).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy(key, "__h").orderBy(*order)) - 1
-    return split.withColumn("__own", own).join(starts, [key, "__h"]).withColumn(name, F.col("__from") + F.col("__own")).drop("__h", "__own", "__from")
+    own = F.row_number().over(Window.partitionBy(*key, "__h").orderBy(*order)) - 1
+    return split.withColumn("__own", own).join(starts, [*key, "__h"]).withColumn(name, F.col("__from") + F.col("__own")).drop("__h", "__own", "__from")
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity(), id_col: str = "doc_id") -> DataFrame:
@@ -187,3 +202,34 @@ def pack_documents(df: DataFrame, vocabulary: str, cap: Capacity = Capacity(), i
     pieces = staged(token_pieces(df, vocabulary, cap.max_tokens, id_col, text_col), "pieces")
     names = pieces.columns
     return pack(pieces, cap, id_col).select(*names, "sequence_id", "offset")
+
+
+def pack_windows(
+    df: DataFrame, window_col: str, vocabulary: str, cap: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``pack_documents`` within each window: a window's sequences hold its pieces alone and come after those of
+    all lower windows."""
+    spark = df.sparkSession
+    plain = df.withColumn("__w", F.col(window_col).cast("long"))
+    pieces = staged(token_pieces(plain, vocabulary, cap.max_tokens, id_col, text_col, keep=("__w",)), "window-pieces")
+
+    def placements(counts):
+        own = place(dict(zip(counts["length"].tolist(), counts["n"].tolist())), cap)
+        out = pd.DataFrame(own, columns=["length", "__rank", "__size", "__bin", "offset"], dtype="int64")
+        out.insert(0, "__w", counts["__w"].iloc[0])
+        return out
+
+    counts = pieces.groupBy("__w", "length").agg(F.count(F.lit(1)).alias("n"))
+    schema = "__w long, length long, __rank long, __size long, __bin long, offset long"
+    placed = staged(counts.groupBy("__w").applyInPandas(placements, schema), "window-placements")
+    sizes = placed.groupBy("__w").agg(F.max(F.col("__bin") + F.col("__size")).alias("__made"))
+    before = Window.orderBy("__w").rowsBetween(Window.unboundedPreceding, -1)  # a row for each window
+    firsts = sizes.select("__w", F.coalesce(F.sum("__made").over(before), F.lit(0)).alias("__first"))
+    # Pieces of one window and length stay split by the hash that numbered them: a placement goes to the splits that it spans.
+    ranked = number_within(pieces, ["__w", "length"], [id_col, "piece", "start", "ids_crc32"], "__r")
+    span = F.floor(F.col("__r") / SPAN)
+    spread = placed.withColumn("__s", F.explode(F.sequence(F.floor(F.col("__rank") / SPAN), F.floor((F.col("__rank") + F.col("__size") - 1) / SPAN))))
+    hit = (F.col("__r") >= F.col("__rank")) & (F.col("__r") < F.col("__rank") + F.col("__size"))
+    joined = ranked.withColumn("__s", span).join(spread.join(firsts, "__w"), ["__w", "length", "__s"]).filter(hit)
+    names = [c for c in pieces.columns if c != "__w"]
+    return joined.select(*names, (F.col("__first") + F.col("__bin") + F.col("__r") - F.col("__rank")).alias("sequence_id"), "offset")
