@@ -1,6 +1,8 @@
 """What a cut would leave out: the mixture's effect, short lines, many sources."""
 
+import heapq
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +44,39 @@ def test_mixture_decides_sequences(spark):
     assert share > 200 / 9200
     empty = stages["packing"](spark, stages["mixing"](spark, docs.filter(F.lit(False)), BASE), BASE)
     assert empty.count() == 0
+
+
+def edf(units):
+    """Slots of ``(source, block)`` by the definition: in each slot the earliest deadline of the released blocks."""
+    w, heap, out, release = sum(units.values()), [], {}, {}
+    for k, u in units.items():
+        for j in range(u):
+            release.setdefault(j * w // u, []).append((((j + 1) * w + u - 1) // u, k, j))
+    for t in range(w):
+        for x in release.get(t, []):
+            heapq.heappush(heap, x)
+        d, k, j = heapq.heappop(heap)
+        assert t < d
+        out[k, j] = t
+    return out
+
+
+@pytest.mark.parametrize("part", [1, 7, 64])
+def test_schedule_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(mixing, "PART", part)
+    rng = random.Random(part)
+    units = {f"s:{i:03d}": rng.choice([1, 2, 3, 11, 40]) for i in range(30)}
+    plan = mixing.schedule(spark.createDataFrame(list(units.items()), "__k string, units long")).collect()
+    assert {(r["__k"], r["__j"]): r["__slot"] for r in plan} == edf(units)
+    assert all(r.release <= r["__slot"] < r.deadline for r in plan)
+
+
+def test_many_sources_keep_their_shares(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "CASE WHEN id < 6000 THEN concat('s', id div 4) ELSE 'big' END AS source")
+    units = {r["__k"]: r.units for r in mixing.target_units(docs).collect()}
+    total, weight = sum(units.values()), 1500 * 4**0.5 + 54_000**0.5
+    for k, u in units.items():
+        share = (54_000 if k == "s:big" else 4) ** 0.5 / weight
+        assert abs(u / total / share - 1) <= 1 / (mixing.LEAST_UNITS - 1)
+    got = mixing.mix(docs).agg(F.count(F.lit(1)), F.countDistinct("slot", "place"), F.sum(F.expr("int(release <= slot AND slot < deadline)"))).first()
+    assert tuple(got) == (60_000,) * 3
