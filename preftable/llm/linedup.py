@@ -1,6 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join; later matches are removed.
 
-A line's tokens are its distinct words. Lines with at least ``MIN_TOKENS`` take part; a line is
+A line's tokens are its distinct words. Every line with a word takes part, unless ``min_tokens`` asks for
+more; lines of up to three tokens can only match equal ones, which their set's hash finds. A line is
 removed if an earlier one, by (doc_id, line number), has a Jaccard similarity of ``PERCENT``/100 or
 more. Tokens are ordered by rarity (counts over the whole corpus, see ``rarity``). Two lines of n and
 m tokens can match only if
@@ -47,7 +48,8 @@ from preftable.llm.ship import ship_package
 from preftable.llm.textbuf import hash_words, mix64, part_of, row_of, utf8
 
 PERCENT = 80
-MIN_TOKENS = 5
+MIN_TOKENS = 1  # distinct words of a line that takes part
+FEWEST = 4  # tokens of the smallest set that a different one can match: 4 of 5
 SHORT = 12  # pairs with a line of at most so many tokens are found by pairs of tokens
 RUN = 64  # lines of a run that are compared all with all at once
 KEPT = 16  # candidates that a line of a longer run lists itself
@@ -87,7 +89,7 @@ def _token_order(number: np.ndarray, h: np.ndarray, ranks: np.ndarray) -> np.nda
 class Lines:
     """The token sets of the lines of a batch, each sorted from rare to frequent (ties by hash)."""
 
-    def __init__(self, batch: pa.RecordBatch, text_col: str, ranks: np.ndarray):
+    def __init__(self, batch: pa.RecordBatch, text_col: str, ranks: np.ndarray, min_tokens: int = MIN_TOKENS):
         data, off = utf8(batch.column(text_col))
         start, _, h = hash_words(data, off)
         breaks = np.flatnonzero(data == 10)
@@ -103,7 +105,7 @@ class Lines:
         keep[1:] = (number[1:] != number[:-1]) | (h[1:] != h[:-1])
         number, h = number[keep], h[keep]
         n = np.bincount(number, minlength=len(where))
-        big = n >= MIN_TOKENS
+        big = n >= min_tokens
         self.tokens = h[big[number]] if len(h) else h
         self.row, self.line, self.n = row[where][big], line[where][big], n[big]
         self.at = np.cumsum(self.n) - self.n
@@ -132,7 +134,7 @@ class Lines:
         line = np.repeat(one, size)
         pos = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
         found = [(line, mix64(self.tokens[self.at[line] + pos]), pos)] if len(line) else []
-        for n in range(MIN_TOKENS, SHORT * 100 // PERCENT + 1):  # whatever a line of SHORT tokens can match
+        for n in range(FEWEST, SHORT * 100 // PERCENT + 1):  # whatever a line of SHORT tokens can match
             two = np.flatnonzero(self.n == n)
             if len(two):
                 i, j = np.triu_indices(n - int(_required(np.array(n))) + 2, 1)
@@ -155,12 +157,12 @@ _PARCEL = (("key", "<i8"), ("bits", "<i8"), ("more", "<i8"), ("doc", "<i8"), ("c
 _ENTRY = sum(np.dtype(t).itemsize for _, t in _PARCEL)
 
 
-def _parcels(docs: DataFrame, id_col: str, text_col: str, ranks, buckets: int) -> DataFrame:
+def _parcels(docs: DataFrame, id_col: str, text_col: str, ranks, buckets: int, min_tokens: int) -> DataFrame:
     """``bucket, parcel``: every line (by the hash of its set) and every prefix key of every line."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            x = Lines(batch, text_col, ranks.value)
+            x = Lines(batch, text_col, ranks.value, min_tokens)
             doc = batch.column(id_col).cast(pa.int64()).to_numpy(zero_copy_only=False)[x.row]
             h1, h2 = x.hashes()
             order = np.lexsort((x.line, doc, h2, h1))
@@ -324,7 +326,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _bucket(held)
 
 
-def _cut_lines(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _cut_lines(batch: pa.RecordBatch, text_col: str, least: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """``(row, line, set)`` of the lines listed in ``lines``: the sorted hashes of each one's words.
 
     Of rows that share an id, some may not have a listed line, or too few words in it.
@@ -350,11 +352,11 @@ def _cut_lines(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.nda
     fresh[1:] = (which[1:] != which[:-1]) | (h[1:] != h[:-1])
     which, h = which[fresh], h[fresh]
     to = np.searchsorted(which, np.arange(len(row) + 1))
-    big = np.flatnonzero(np.diff(to) >= MIN_TOKENS)
+    big = np.flatnonzero(np.diff(to) >= least)
     return row[big], line[big], [h[i:j].tobytes() for i, j in zip(to[big].tolist(), to[big + 1].tolist())]
 
 
-def _line_sets(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _line_sets(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """``doc, line, items``: the full sets of all lines with candidates."""
     sides = [F.struct(F.col(f"{s}_doc").alias("doc"), F.col(f"{s}_line").alias("line")) for s in "ab"]
     wanted = found.filter("kind in (1, 3, 4)").select(F.inline(F.array(*sides))).groupBy("doc").agg(F.collect_set("line").alias("lines"))
@@ -362,7 +364,7 @@ def _line_sets(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            row, line, items = _cut_lines(batch, text_col)
+            row, line, items = _cut_lines(batch, text_col, max(FEWEST, min_tokens))
             doc = batch.column("doc").take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([doc, pa.array(line, pa.int64()), pa.array(items, pa.binary())], names=["doc", "line", "items"])
 
@@ -388,9 +390,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(checked.distinct(), "near-lines")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``doc_id, line_no, exact``: every line to remove (line numbers from 0 at each ``\\n``; exact: an
-    earlier line has the same words)."""
+    earlier line has the same words). Lines of fewer than ``min_tokens`` distinct words take no part."""
     spark = df.sparkSession
     ship_package(spark)
     docs = df.select(id_col, text_col).filter(F.col(id_col).isNotNull())
@@ -401,12 +403,12 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frequency = bucket_counts(docs.select(text_col), words)
     ranks = spark.sparkContext.broadcast(_ranks(frequency))
     buckets = max(1, int(frequency.sum()) // BUCKET_WORDS)
-    dealt = _parcels(docs, id_col, text_col, ranks, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = _parcels(docs, id_col, text_col, ranks, buckets, min_tokens).repartition("bucket").sortWithinPartitions("bucket")
     found = staged(dealt.mapInArrow(_runs, _FOUND), "line-candidates")
     release(spark)
     copies = found.filter("kind = 0").select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))
     pairs = found.filter("kind = 1").select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    sets = _line_sets(found, docs, id_col, text_col)
+    sets = _line_sets(found, docs, id_col, text_col, min_tokens)
     near = _verified(pairs, sets)
     release(spark)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from preftable.llm import mixing
+from preftable.llm import linedup, mixing
 
 BASE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(BASE), reason="fixture tables not present")
@@ -80,3 +80,27 @@ def test_many_sources_keep_their_shares(spark):
         assert abs(u / total / share - 1) <= 1 / (mixing.LEAST_UNITS - 1)
     got = mixing.mix(docs).agg(F.count(F.lit(1)), F.countDistinct("slot", "place"), F.sum(F.expr("int(release <= slot AND slot < deadline)"))).first()
     assert tuple(got) == (60_000,) * 3
+
+
+def test_short_lines(spark):
+    rng = random.Random(6)
+    lines = [" ".join(rng.choices(["w%d" % i for i in range(9)], k=rng.randint(0, 8))) for _ in range(400)]
+    lines[:6] = ["All rights reserved.", "All rights reserved.", "a b c d", "b a d c e", "Ietzte.", "Ietzte."]
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, 400, 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen, want = [], {}
+    for i, text in enumerate(texts):
+        for k, line in enumerate(text.split("\n")):
+            if w := frozenset(line.split()):
+                match = [x for x in seen if 100 * len(x & w) >= linedup.PERCENT * len(x | w)]
+                if match:
+                    want[i, k] = w in match
+                seen.append(w)
+    got = {(r.doc_id, r.line_no): r.exact for r in linedup.repeated_lines(docs).collect()}
+    assert got == want and {(0, 1): True, (0, 3): False, (1, 0): True}.items() <= got.items()
+    assert any(not e and len(set(texts[d].split("\n")[k].split())) == 4 for (d, k), e in got.items())
+    left = [x for r in linedup.dedup_lines(docs).collect() for x in r.text.split("\n")]
+    assert left.count("All rights reserved.") == left.count("Ietzte.") == 1
+    # Cut off below five words, the others are found as before.
+    five = {(r.doc_id, r.line_no) for r in linedup.repeated_lines(docs, min_tokens=5).collect()}
+    assert five and five < set(want) and all(len(set(texts[d].split("\n")[k].split())) >= 5 for d, k in five)
