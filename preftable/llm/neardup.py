@@ -181,6 +181,12 @@ def across(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def _some_rows_empty(table: DataFrame, id_col: str) -> bool:
+    """Whether an id has rows with an empty set and rows with others."""
+    ids = table.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    return not ids.filter("lo = 0 AND hi > 0").isEmpty()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``df``."""
     docs = df.select(id_col, text_col)
@@ -210,14 +216,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = across(staged(sets.join(open_, "node"), "open")).join(spokes, ["a", "b"], "left_anti")
     more = staged(verified(staged(rest, "rest"), sets), "rest-links")
 
-    label = staged(components(links.unionByName(more)), "labels")
+    # Classes that share an id are one component.
+    repeated = staged(real.groupBy(id_col).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(id_col), "repeated-ids")
+    links = links.unionByName(more)
+    if not repeated.isEmpty():
+        nodes = real.join(repeated, id_col, "left_semi").select(id_col, *sets_key).distinct().join(classes.select(*sets_key, "node"), sets_key)
+        least = nodes.groupBy(id_col).agg(F.min("node").alias("a"))
+        links = links.unionByName(nodes.join(least, id_col).filter("a != node").select("a", F.col("node").alias("b")).distinct())
+    label = staged(components(links), "labels")
     known = classes.select(*sets_key, "node").join(label, "node", "left").select(*sets_key, F.coalesce("label", "node").alias("component_id"))
     out = table.drop("bands").join(known, sets_key, "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)))
+    if _some_rows_empty(table, id_col):  # a row without words goes with the rows of its id that have some
+        whole = out.filter("n_shingles > 0").groupBy(id_col).agg(F.min("component_id").alias("__c"))
+        out = out.join(whole, id_col, "left").withColumn("component_id", F.coalesce("__c", "component_id")).drop("__c")
     return out.select(id_col, "n_shingles", "component_id", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their group, all columns kept; of rows that share an id one stays."""
+    """The rows of ``df`` that stand for their group, all columns kept; of rows that share an id one stays (the
+    one whose columns' hash is least; rows without an id all stay)."""
     kept = near_duplicates(df, id_col, text_col).filter("kept").select(id_col).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    left = df.join(kept, df[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    ids = df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = staged(ids.filter("__n > 1").select(F.col(id_col).alias("__id")), "repeated-rows")
+    if repeated.isEmpty():
+        return left
+    mine = left[id_col] == repeated["__id"]
+    # One row of each such id, combined before the shuffle, so an id with very many rows stays spread.
+    rows = left.join(repeated, mine, "left_semi").select(id_col, F.struct(*df.columns).alias("__row"), F.xxhash64(*df.columns).alias("__h"))
+    one = rows.groupBy(id_col).agg(F.min_by("__row", "__h").alias("__row")).select("__row.*")
+    return left.join(repeated, mine, "left_anti").unionByName(one)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from preftable.llm import linedup, mixing
+from preftable.llm import linedup, mixing, neardup
 
 BASE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(BASE), reason="fixture tables not present")
@@ -104,3 +104,17 @@ def test_short_lines(spark):
     # Cut off below five words, the others are found as before.
     five = {(r.doc_id, r.line_no) for r in linedup.repeated_lines(docs, min_tokens=5).collect()}
     assert five and five < set(want) and all(len(set(texts[d].split("\n")[k].split())) >= 5 for d, k in five)
+
+
+def test_rows_that_share_an_id(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(30))
+    rows = [(1, text("a"), "x")] * 3 + [(2, text("b"), "x"), (5, text("b"), "x"), (5, text("c"), "x"), (6, text("c"), "y"), (7, text("d"), "x"), (7, "", "x"), (8, text("d") + " end", "x")]
+    rows += [(9, "", "x"), (9, "", "x"), (None, "", "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    parts = {}
+    for r in neardup.near_duplicates(docs).collect():
+        parts.setdefault(r.doc_id, set()).add(r.component_id)
+    assert parts == {1: {1}, 2: {2}, 5: {2}, 6: {2}, 7: {7}, 8: {7}, 9: {9}, None: {None}}
+    left = neardup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 2, 7, 9, None, None]
