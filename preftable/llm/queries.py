@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from preftable.llm import covertree, linedup, mixing, neardup, packing, quotes, rules, secretscan, simple8b, sql, tokencount
+from preftable.llm import covertree, fingerprint, infill, linedup, mixing, neardup, packing, quotes, rules, secretscan, simple8b, spelling, sql, tokencount
 from preftable.llm.tokens import default_vocabulary
 
 
@@ -72,8 +72,27 @@ def op10_quality(spark: SparkSession, base: str) -> DataFrame:
     return rules.quality_report(_table(spark, base, "documents"))
 
 
+def op11_spelling(spark: SparkSession, base: str) -> DataFrame:
+    """Every frequent word, some of them misprinted, with its form and root."""
+    each = spelling.words(_table(spark, base, "documents"), modulus=spelling.MISPRINT_MODULUS)
+    return spelling.variants(spelling.vocabulary(each))
+
+
+def op12_fingerprints(spark: SparkSession, base: str) -> DataFrame:
+    """Every document's and its edited text's fingerprint, and their likenesses."""
+    return fingerprint.edited_report(_table(spark, base, "documents"))
+
+
+def op13_infill(spark: SparkSession, base: str) -> DataFrame:
+    """Every text's fill-in-the-middle form and the text rebuilt from it, as digests."""
+    out = infill.fill_in_middle(_table(spark, base, "documents"))
+    digest = lambda c, name: F.sha2(c.cast("binary"), 256).alias(name)
+    rebuilt = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"), digest(rebuilt, "restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simple8b, op2_quotes, op3_lines, op4_secrets, op5_cover_tree, op6_token_counts, op7_near_duplicates, op8_mixing, op9_packing, op10_quality)
+    for f in (op1_simple8b, op2_quotes, op3_lines, op4_secrets, op5_cover_tree, op6_token_counts, op7_near_duplicates, op8_mixing, op9_packing, op10_quality, op11_spelling, op12_fingerprints, op13_infill)
 }
 ORACLES: dict[str, str] = sql.ORACLES

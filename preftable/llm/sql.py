@@ -92,10 +92,53 @@ p AS (
 SELECT doc_id, line_no, exact FROM m JOIN s ON m.b = s.o
 """
 
+OP11 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS tab
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w
+  FROM documents
+), d AS (
+  SELECT w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS hx FROM runs WHERE length(w) >= 5 GROUP BY doc_id, w
+), h AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(hx), 2), lambda i: ('0x' || substr(hx, i, 2))::BIGINT)),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM d, tab
+), v AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), g AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM g a JOIN g b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON g.cut = v.word
+  UNION SELECT v.word, g.word, g.n FROM g JOIN v ON g.cut = v.word
+), q AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, near)) AS near FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN q USING (word)),
+r AS (SELECT word, word AS root, form AS ahead FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.ahead = f.word)
+SELECT word, f.form, root, f.n, n_near, form_n FROM r JOIN f USING (word) WHERE ahead IS NULL
+"""
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::BIGINT) AS h FROM t),
+c AS (
+  SELECT doc_id, text, w, len(w)::BIGINT AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), s AS (
+  SELECT doc_id, text, n, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a+1:b], '') AS m, array_to_string(w[b+1:n], '') AS z FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(p || m || z) AS restored_sha256
+FROM s
+"""
+
 ORACLES: dict[str, str] = {
     "op3_lines": OP3,
     "op5_cover_tree": OP5,
     "op7_near_duplicates": OP7,
     "op8_mixing": OP8,
     "op10_quality": OP10,
+    "op11_spelling": OP11,
+    "op13_infill": OP13,
 }
