@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from preftable.config import MASKED_MEAN_EPS, WHITEN_EPS
+from preftable.functions.scan import let, suffix_scan
 
 
 def shifted(mask: Column) -> Column:
@@ -88,23 +89,16 @@ def mask_scores(x: Column, mask_shifted: Column) -> Column:
 def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95) -> Column:
     """Generalised advantages over the full length, computed from the end.
 
-    ``δ_t = r_t + γ·V_{t+1} − V_t`` (``V`` beyond the end is 0), ``A_t = δ_t + γλ·A_{t+1}``.
-    The fold walks the reversed deltas and prepends, so the result comes out in forward order.
-    Each prepend copies the accumulator, so cost is quadratic in T; use
-    ``operators.rollout.gae_long`` for sequences of many thousand steps.
+    ``δ_t = r_t + γ·V_{t+1} − V_t`` (``V`` beyond the end is 0), ``A_t = δ_t + γλ·A_{t+1}``: a suffix
+    scan, linear in the length (``functions.scan``).
     """
     g = F.lit(float(gamma))
-    c = F.lit(float(gamma) * float(lam))
-    delta = F.transform(
-        rewards,
-        lambda r, i: r + g * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i),
-    )
-    empty = F.array().cast("array<double>")
-    return F.aggregate(
-        F.reverse(delta),
-        empty,
-        lambda acc, d: F.concat(F.array(d + c * F.coalesce(F.get(acc, 0), F.lit(0.0))), acc),
+    both = F.struct(rewards.alias("r"), values.alias("v"))
+    delta = let(
+        both,
+        lambda x: F.transform(x["r"], lambda r, i: r + g * F.coalesce(F.get(x["v"], i + 1), F.lit(0.0)) - F.get(x["v"], i)),
     )
+    return suffix_scan(delta, float(gamma) * float(lam))
 
 
 def returns(advantages: Column, values: Column) -> Column:

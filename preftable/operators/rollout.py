@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from preftable.config import RolloutConfig, SpecialIds
 from preftable.functions import rollout as R
 from preftable.functions.arrays import attention_mask, right_pad
+from preftable.functions.scan import suffix_carries
 
 
 def slice_response(ids: str, prompt_width: int | str):
@@ -85,86 +86,35 @@ def gae_long(
     lam: float = 0.95,
     out_col: str = "advantage",
     chunk: int = 1024,
+    fan: int = 1024,
+    levels: int = 2,
 ) -> DataFrame:
     """GAE over a long ``(seq, pos, reward, value)`` table, linear in T, no whole-sequence task.
 
-    Rows are grouped into chunks of at most ``chunk`` positions. Inside a chunk the deltas
-    ``δ_t = r_t + γ·V_{t+1} − V_t`` and the backward recursion ``A_t = δ_t + γλ·A_{t+1}`` run as
-    array folds with ``V`` and ``A`` taken as 0 past the chunk's end (the same operations as the
-    array form, so a sequence that fits one chunk gets bit-identical results). What lies past the
-    end is carried in from the next chunk: its first value ``V_n`` and its first advantage
-    ``A_n``, obtained by folding the per-chunk heads of each sequence from the back
-    (``A_start = local_start + c^(len-1)·γ·V_n + c^len·A_n`` with ``c = γλ``). Then
-    ``A_t = local_t + c^(len-1-i)·γ·V_n + c^(len-i)·A_n``. No division, no underflow, and no
-    self-join for ``V_{t+1}``.
+    Rows are grouped into chunks of at most ``chunk`` positions and each chunk's advantages are found
+    as if nothing followed it (the array form's scan, so a sequence that fits one chunk gets the same
+    values). What position t sends back is ``U_t = γ·V_t + γλ·A_t``, so a chunk is the affine map
+    ``U -> (γ·V_0 + γλ·A_0) + (γλ)^len·U`` of what its successor sends, and ``suffix_carries`` finds
+    the value that reaches every chunk through levels of ``fan`` chunks. Then
+    ``A_t = local_t + (γλ)^(len-1-i)·U``. No division, and no self-join for ``V_{t+1}``.
     """
-    g = F.lit(float(gamma))
-    cl = F.lit(float(gamma) * float(lam))
+    c = float(gamma) * float(lam)
     cols = [x for x in df.columns if x != seq_col]
     base = df.withColumn("__chunk", F.floor(F.col(pos_col) / int(chunk)).cast("long"))
     chunks = base.groupBy(seq_col, "__chunk").agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("__p"), *[F.col(x) for x in cols]))).alias("__rows")
     )
-    rows = F.col("__rows")
-    deltas = F.transform(
-        rows,
-        lambda r, i: r[reward_col] + g * F.coalesce(F.get(rows, i + 1)[value_col], F.lit(0.0)) - r[value_col],
-    )
-    empty = F.array().cast("array<double>")
-    local = F.aggregate(
-        F.reverse(deltas),
-        empty,
-        lambda acc, d: F.concat(F.array(d + cl * F.coalesce(F.get(acc, 0), F.lit(0.0))), acc),
-    )
-    chunks = chunks.withColumn("__local", local).withColumn("__len", F.size("__rows"))
-    heads = chunks.groupBy(seq_col).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "__chunk",
-                    F.get(F.col("__local"), 0).alias("__L"),
-                    "__len",
-                    F.get(F.col("__rows"), 0)[value_col].cast("double").alias("__v0"),
-                )
-            )
-        ).alias("__ch")
-    )
-    carry_type = "array<struct<__chunk:long,__an:double,__vn:double>>"
-    carry = heads.select(
-        seq_col,
-        F.inline(
-            F.aggregate(
-                F.reverse(F.col("__ch")),
-                F.struct(F.array().cast(carry_type).alias("out"), F.lit(0.0).alias("a"), F.lit(0.0).alias("v")),
-                lambda acc, ch: F.struct(
-                    F.concat(
-                        F.array(F.struct(ch["__chunk"].alias("__chunk"), acc["a"].alias("__an"), acc["v"].alias("__vn"))),
-                        acc["out"],
-                    ).alias("out"),
-                    (
-                        ch["__L"]
-                        + F.pow(cl, (ch["__len"] - 1).cast("double")) * g * acc["v"]
-                        + F.pow(cl, ch["__len"].cast("double")) * acc["a"]
-                    ).alias("a"),
-                    ch["__v0"].alias("v"),
-                ),
-            )["out"]
-        ),
-    )
-    joined = chunks.join(carry, [seq_col, "__chunk"])
-    exploded = joined.select(
-        seq_col,
-        "__len",
-        "__an",
-        "__vn",
-        F.posexplode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__local").alias("a"))).alias("__i", "__z"),
-    )
-    rest = (F.col("__len") - F.col("__i")).cast("double")
-    adv = (
-        F.col("__z.a")
-        + F.pow(cl, rest - F.lit(1.0)) * g * F.col("__vn")
-        + F.pow(cl, rest) * F.col("__an")
+    field = lambda name: F.transform("__rows", lambda r: r[name].cast("double"))
+    chunks = chunks.withColumn("__local", R.gae(field(reward_col), field(value_col), gamma, lam)).withColumn("__len", F.size("__rows"))
+    maps = chunks.select(
+        seq_col, "__chunk", F.pow(F.lit(c), F.col("__len").cast("double")).alias("__a"),
+        (F.lit(float(gamma)) * F.get(F.col("__rows"), 0)[value_col].cast("double") + F.lit(c) * F.get(F.col("__local"), 0)).alias("__b"),
+    )
+    carries = suffix_carries(maps, seq_col, "__chunk", "__a", "__b", "__u", fan, levels)
+    exploded = chunks.join(carries, [seq_col, "__chunk"]).select(
+        seq_col, "__len", "__u", F.posexplode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__local").alias("a"))).alias("__i", "__z")
     )
+    adv = F.col("__z.a") + F.pow(F.lit(c), (F.col("__len") - F.col("__i") - 1).cast("double")) * F.col("__u")
     return exploded.select(seq_col, *[F.col("__z.r")[x].alias(x) for x in cols], adv.alias(out_col))
 
 

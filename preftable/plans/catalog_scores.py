@@ -133,6 +133,21 @@ def gae_long_q(spark: SparkSession, base: str) -> DataFrame:
     return g.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), _r(F.col("advantage")).alias("advantage"))
 
 
+# A long decimal, so that no advantage is a tie at the sixth place, where the order of operations would show.
+LAM_CHUNKS = 0.951234567
+
+
+@register(
+    "gae_chunks",
+    f"{_TOK}, {Q.gae_ctes('abs', BETA, GAMMA, LAM_CHUNKS)} SELECT seq, pos, {Q.rnd('a')} AS advantage FROM ret",
+)
+def gae_chunks(spark: SparkSession, base: str) -> DataFrame:
+    """Sequences of several chunks, chunks of several runs: what chunks send back crosses two levels."""
+    t = V.explode_tokens(_experience(spark, base), ["seq"], ["rewards_kl", "critic_values"])
+    g = gae_long(t, "seq", "pos", "rewards_kl", "critic_values", GAMMA, LAM_CHUNKS, chunk=8, fan=4)
+    return g.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), _r(F.col("advantage")).alias("advantage"))
+
+
 def _whiten_sql(compat: bool) -> str:
     num = "sum(a)" if compat else "sum(a * ms)"
     return f"""{_GAE},
