@@ -1,15 +1,14 @@
 """Step metrics (§2.9).
 
-Masked means over a mini-batch come from per-row partial sums (Σx·m, Σm), which Spark combines
-map-side before the shuffle. Variances are the masked mean of the centred squares, as the reference
-has it: the group means are joined back and the squares summed in a second pass (sums of raw squares
-lose all digits when the values are large beside their spread).
+Masked means and variances over a mini-batch come from one pass over its tokens: Spark's mean and
+central-moment aggregates keep ``(n, mean, M2)`` for each group and task and merge them pairwise, so
+the centred squares are exact however large the values are beside their spread, nothing is joined back,
+and one small row per group and task is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,21 +19,30 @@ from preftable.functions import rollout as R
 DEFAULT_ARRAY_METRICS = ("kl_penalty", "rewards_kl", "advantages", "ratio", "returns", "values_error")
 
 
-def masked_stats(df: DataFrame, cols: Sequence[str], mask: str, group_cols: Sequence[str]) -> DataFrame:
-    """Masked mean and variance of array columns per group (two passes; null groups are groups too)."""
-    m, eps = F.col(mask), F.lit(MASKED_MEAN_EPS)
-    size = F.sum(R.array_sum(m)) + eps
-    means = df.groupBy(*group_cols).agg(*[(F.sum(R.masked_sum(F.col(c), m)) / size).alias(f"{c}_mean") for c in cols])
-    keyed = means.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_cols)], *[F.col(f"{c}_mean").alias(f"__{c}") for c in cols])
-    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group_cols)])
+def _tokens(df: DataFrame, group_cols: Sequence[str], arrays: Sequence[str], mask: str, row_cols: Sequence[str]) -> DataFrame:
+    """A row for every position; ``__first`` marks one of each input row, also of one without positions."""
+    fields = {f"t{i}": c for i, c in enumerate([mask, *arrays])}
+    zipped = F.arrays_zip(*[F.col(c).alias(f) for f, c in fields.items()])
+    at = df.select(*group_cols, *row_cols, F.posexplode_outer(zipped).alias("__pos", "__z"))
+    first = (F.coalesce(F.col("__pos"), F.lit(0)) == 0).alias("__first")
+    # A position where the mask is 0, or that a shorter array doesn't have, counts in none of the sums.
+    taken = [F.when(F.col("__z.t0") != 0, F.col(f"__z.{f}").cast("double")).alias(f"__{c}") for f, c in list(fields.items())[1:]]
+    return at.select(*group_cols, *row_cols, first, F.when(F.col("__z.t0") != 0, 1).alias("__m"), *taken)
+
 
-    def squares(c: str) -> Column:
-        mean = F.col(f"__{c}")
-        return F.sum(R.masked_sum(F.transform(F.col(c), lambda v: (v - mean) * (v - mean)), m)) / size
+def _moments(c: str) -> tuple[Column, Column]:
+    """Masked mean ``Σx / (n + eps)`` and masked mean of the squares of deviations from it."""
+    n, eps = F.count("__m").cast("double"), F.lit(MASKED_MEAN_EPS)
+    x = F.col(f"__{c}")
+    mean = F.coalesce(F.sum(x), F.lit(0.0)) / (n + eps)
+    off = F.coalesce(F.avg(x), F.lit(0.0)) - mean  # eps moves the mean by this much from the true one
+    return mean, n * (F.coalesce(F.var_pop(x), F.lit(0.0)) + off * off) / (n + eps)
 
-    both = df.select(*group_cols, mask, *cols).join(keyed, same)
-    out = both.groupBy(*group_cols).agg(*[x for c in cols for x in (F.max(f"__{c}").alias(f"{c}_mean"), squares(c).alias(f"{c}_var"))])
-    return out.select(*group_cols, *[f"{c}_{s}" for c in cols for s in ("mean", "var")])
+
+def masked_stats(df: DataFrame, cols: Sequence[str], mask: str, group_cols: Sequence[str]) -> DataFrame:
+    """Masked mean and variance of array columns per group (0/1 masks; null groups are groups too)."""
+    named = [x.alias(f"{c}_{s}") for c in cols for x, s in zip(_moments(c), ("mean", "var"))]
+    return _tokens(df, group_cols, cols, mask, ()).groupBy(*group_cols).agg(*named)
 
 
 def rollout_metrics(
@@ -45,28 +53,20 @@ def rollout_metrics(
     reward_col: str = "reward_score",
     ce_cols: Sequence[str] = ("actor_ce", "ref_ce"),
     scalar_cols: Sequence[str] = (),
+    length_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Per group: masked mean/var of the array metrics, mean and sample variance of the reward
-    score, perplexities ``exp(avg(ce))`` and the mean of any scalar columns (losses, lr)."""
+    """Per group, in one pass: masked mean/var of the array metrics, mean and sample variance of the
+    reward score and of ``length_cols``, perplexities ``exp(avg(ce))`` and the mean of any scalar
+    columns (losses, lr)."""
     arrays = [c for c in array_cols if c in df.columns]
-    partial: list[Column] = []
-    final: list[Column] = []
-    partial += [F.avg(reward_col).alias("reward_score_mean"), F.var_samp(reward_col).alias("reward_score_var")]
-    final += [F.col("reward_score_mean"), F.col("reward_score_var")]
-    for c in ce_cols:
-        name = c.replace("_ce", "") + "_perplexity"
-        partial.append(F.exp(F.avg(c)).alias(name))
-        final.append(F.col(name))
-    for c in scalar_cols:
-        partial.append(F.avg(c).alias(c))
-        final.append(F.col(c))
-    out = df.groupBy(*group_cols).agg(*partial).select(*group_cols, *final)
-    if not arrays:
-        return out
-    stats = masked_stats(df, arrays, mask, group_cols)
-    stats = stats.select(*[F.col(g).alias(f"__s{i}") for i, g in enumerate(group_cols)], *[x for x in stats.columns if x not in group_cols])
-    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"__s{i}")) for i, g in enumerate(group_cols)])
-    return out.join(stats, same).select(*group_cols, *[x for x in stats.columns if not x.startswith("__s")], *final)
+    rows = list(dict.fromkeys([reward_col, *ce_cols, *scalar_cols, *length_cols]))
+    once = lambda c: F.when(F.col("__first"), F.col(c))
+    out = [x.alias(f"{c}_{s}") for c in arrays for x, s in zip(_moments(c), ("mean", "var"))]
+    out += [F.avg(once(reward_col)).alias("reward_score_mean"), F.var_samp(once(reward_col)).alias("reward_score_var")]
+    out += [F.exp(F.avg(once(c))).alias(c.replace("_ce", "") + "_perplexity") for c in ce_cols]
+    out += [F.avg(once(c)).alias(c) for c in scalar_cols]
+    out += [x.alias(f"{c}_{s}") for c in length_cols for x, s in ((F.avg(once(c)), "mean"), (F.var_samp(once(c)), "var"))]
+    return _tokens(df, group_cols, arrays, mask, rows).groupBy(*group_cols).agg(*out)
 
 
 def length_metrics(df: DataFrame, group_cols: Sequence[str], prompt_col: str = "prompt_ids", response_col: str = "response_ids") -> DataFrame:
