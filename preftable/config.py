@@ -74,7 +74,7 @@ class SequenceConfig:
     block_size: int = 512
     split_ratio: float = 0.05
     seed: int = 42
-    ids: SpecialIds = field(default_factory=SpecialIds)
+    ids: SpecialIds = field(default_factory=resolve_special_ids)
 
 
 @dataclass(frozen=True)

@@ -13,14 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preftable.operators.indexing import with_row_index
+from preftable.operators.selection import smallest
 
 TWO_32 = float(2**32)
 
 
 def hash_unit(*parts: Column | str) -> Column:
     """Deterministic uniform number in [0, 1) from the first 32 bits of md5 over ``parts``."""
+    return hash_32(*parts) / F.lit(TWO_32)
+
+
+def hash_32(*parts: Column | str) -> Column:
+    """The first 32 bits of md5 over ``parts`` as a whole number."""
     text = F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(TWO_32)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def hash_order(*parts: Column | str) -> Column:
@@ -32,16 +38,13 @@ def hash_order(*parts: Column | str) -> Column:
 def train_test_split(
     df: DataFrame, key: str, ratio: float = 0.05, seed: int = 42, exact: bool = False, name: str = "split"
 ) -> DataFrame:
-    """Tag rows ``train`` / ``test``. Hash split by default; ``exact`` gives ``ceil(n·ratio)`` test rows."""
+    """Tag rows ``train`` / ``test``. Hash split by default; ``exact`` gives ``ceil(n·ratio)`` test rows,
+    by a threshold found from histograms of the keys' hashes: rows aren't sorted, moved or copied."""
     u = hash_unit(F.lit(str(seed)), key)
     if not exact:
         return df.withColumn(name, F.when(u < F.lit(float(ratio)), "test").otherwise("train"))
-    n = df.count()
-    n_test = math.ceil(n * ratio)
-    ranked = with_row_index(df.withColumn("__pt_u", u), ["__pt_u", key], name="__pt_r")
-    return ranked.withColumn(name, F.when(F.col("__pt_r") < n_test, "test").otherwise("train")).drop(
-        "__pt_u", "__pt_r"
-    )
+    test = smallest(df, key, hash_32(F.lit(str(seed)), key), lambda n: math.ceil(n * ratio))
+    return df.withColumn(name, F.when(test, "test").otherwise("train"))
 
 
 def shuffle(df: DataFrame, key: str, seed: int = 42, epoch: int = 0, name: str = "shuffle_key") -> DataFrame:
@@ -139,30 +142,6 @@ def replay_epochs(
     return rep.join(steps, keys)
 
 
-def update_schedule_values(
-    n_batches: int,
-    batch_size: int,
-    mini_batch_size: int,
-    ppo_epochs: int,
-    accum: int,
-    epochs: float,
-    max_steps: int = -1,
-) -> dict[str, float]:
-    """Scalar schedule: updates per epoch, total updates, micro-steps and training epochs."""
-    per_epoch = max(n_batches * (batch_size / mini_batch_size) * ppo_epochs / accum, 1)
-    total = max_steps if max_steps > 0 else math.ceil(epochs * per_epoch)
-    if max_steps > 0:
-        train_epochs = max_steps // per_epoch + int(max_steps % per_epoch > 0)
-    else:
-        train_epochs = math.ceil(epochs)
-    return {
-        "updates_per_epoch": float(per_epoch),
-        "total_updates": int(total),
-        "micro_steps": int(total * accum),
-        "train_epochs": int(train_epochs),
-    }
-
-
 def update_schedule(
     df: DataFrame,
     batch_col: str,

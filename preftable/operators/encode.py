@@ -15,7 +15,7 @@ partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +143,54 @@ def encode(
     return grouped.select(*keys, *out)
 
 
+# Upper bound on the vocabulary bytes that are written into a plan.
+INLINE_BYTES_LIMIT = 64 * 1024 * 1024
+
+
+def inline_vocabulary(vocab: DataFrame, bytes_limit: int = INLINE_BYTES_LIMIT) -> Callable[[Column], Column]:
+    """A lookup ``token -> id`` (null if unknown) as an expression, for plans that can't join or regroup.
+
+    The vocabulary becomes one constant of the plan: an array of small maps, by the token's hash, so
+    a lookup compares a few entries. It reaches every task as a broadcast table would, and like one
+    only after its bytes are measured; a larger vocabulary is refused (use ``encode``).
+    """
+    v = vocab.select("token", F.col("id").cast("int").alias("id"))
+    size = v.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token") + F.lit(4)).alias("bytes")).first()
+    if (size["bytes"] or 0) > bytes_limit:
+        raise ValueError(f"a vocabulary of {size['bytes']} bytes is over the limit of {bytes_limit}")
+    buckets = 1 << max(0, int(size["n"]).bit_length() - 1)
+    place = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    entries = F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "id"))))
+    filled = dict(v.groupBy(place.alias("p")).agg(entries.alias("m")).collect())
+    text = "[" + ",".join(filled.get(p, "{}") for p in range(buckets)) + "]"
+    table = F.from_json(F.lit(text), "array<map<string,int>>")  # folded to a constant when the plan is made
+    return lambda token: F.try_element_at(F.get(table, F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")), token)
+
+
+def encode_rows(
+    df: DataFrame,
+    text_cols: str | Sequence[str],
+    lookup: Callable[[Column], Column],
+    ids: SpecialIds = SpecialIds(),
+    out_suffix: str = "_ids",
+    pattern: str = TOKEN_PATTERN,
+    max_ids: int | dict[str, int] | None = None,
+) -> DataFrame:
+    """``encode`` inside each row: no join, shuffle or key, so it runs on a stream, and rows with one id stay apart.
+
+    Adds ``{col}{out_suffix}`` for each text column; null and empty texts give ``array()``, unknown
+    tokens ``ids.unk``, and ``max_ids`` keeps a text's first ids.
+    """
+    cols = [text_cols] if isinstance(text_cols, str) else list(text_cols)
+    out = df
+    for c in cols:
+        limit = max_ids.get(c) if isinstance(max_ids, dict) else max_ids
+        pieces = F.filter(tokens(F.coalesce(F.col(c).cast("string"), F.lit("")), pattern), lambda t: t != "")
+        pieces = pieces if limit is None else F.slice(pieces, 1, limit)
+        out = out.withColumn(f"{c}{out_suffix}", F.transform(pieces, lambda t: F.coalesce(lookup(t), F.lit(ids.unk))))
+    return out
+
+
 def encode_with_specials(
     df: DataFrame,
     text_col: str,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from preftable.config import MASKED_MEAN_EPS, PairConfig
@@ -119,19 +119,25 @@ def dpo_outputs(
     rejects: str = "rejects_logps",
     ref_accepts: str = "ref_accepts_logps",
     ref_rejects: str = "ref_rejects_logps",
+    batch_col: str = "batch_id",
 ) -> DataFrame:
     """Per-pair DPO outputs: rewards, ratios, CE (= -logps) and the row loss.
 
     When per-token logits and shifted label masks are present (``{side}_logits`` as
     ARRAY<ARRAY<DOUBLE>> and ``{side}_mask``, for ``accepts``, ``rejects``, ``ref_accepts``,
-    ``ref_rejects``), the four masked mean entropies are added as well.
+    ``ref_rejects``), the four entropies are added as well: one masked mean over all tokens of a
+    batch, beside each of its pairs. Pairs give their token sums, and windows over ``batch_col``
+    (a batch of pairs each) weigh them by their tokens; one shuffle by batch, no join.
     """
     a, r, ra, rr = (F.col(c) for c in (accepts, rejects, ref_accepts, ref_rejects))
     pi, ref = O.dpo_ratios(a, r, ra, rr, cfg.dpo_beta, cfg.reference_free)
-    for side in ("accepts", "rejects", "ref_accepts", "ref_rejects"):
-        if f"{side}_logits" in df.columns and f"{side}_mask" in df.columns:
-            ent = R.token_entropies(F.col(f"{side}_logits"))
-            df = df.withColumn(f"{side}_entropy", R.masked_mean(ent, F.col(f"{side}_mask")))
+    sides = [s for s in ("accepts", "rejects", "ref_accepts", "ref_rejects") if {f"{s}_logits", f"{s}_mask"} <= set(df.columns)]
+    for s in sides:
+        mask = F.col(f"{s}_mask")
+        df = df.withColumn(f"__{s}_e", R.masked_sum(R.token_entropies(F.col(f"{s}_logits")), mask)).withColumn(f"__{s}_n", R.array_sum(mask))
+    over = Window.partitionBy(batch_col)
+    means = {s: F.sum(f"__{s}_e").over(over) / (F.sum(f"__{s}_n").over(over) + F.lit(MASKED_MEAN_EPS)) for s in sides}
+    df = df.withColumns({f"{s}_entropy": m for s, m in means.items()}).drop(*[f"__{s}_{x}" for s in sides for x in "en"]) if sides else df
     return (
         df.withColumn("accepts_reward", O.dpo_rewards(a, ra, cfg.dpo_beta))
         .withColumn("rejects_reward", O.dpo_rewards(r, rr, cfg.dpo_beta))
@@ -145,7 +151,7 @@ def dpo_outputs(
 
 def dpo_loss(df: DataFrame, batch_col: str = "batch_id", cfg: PairConfig = PairConfig(), **cols) -> DataFrame:
     """Mean row loss and pair accuracy per batch."""
-    out = dpo_outputs(df, cfg, **cols) if "dpo_loss_row" not in df.columns else df
+    out = dpo_outputs(df, cfg, batch_col=batch_col, **cols) if "dpo_loss_row" not in df.columns else df
     return out.groupBy(batch_col).agg(
         F.avg("dpo_loss_row").alias("dpo_loss"),
         F.avg(O.pair_correct(F.col("accepts_reward"), F.col("rejects_reward"))).alias("accuracy"),

@@ -45,10 +45,6 @@ def strip_and_join(
     return out.drop("__seq", "__m")
 
 
-def add_response_mask(df: DataFrame, mask_col: str = "sequence_mask", prompt_col: str = "prompt_ids") -> DataFrame:
-    return df.withColumn("response_mask", R.response_mask(F.col(mask_col), F.size(prompt_col)))
-
-
 def masked_whiten(
     df: DataFrame,
     x_col: str,

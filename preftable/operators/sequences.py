@@ -180,8 +180,10 @@ def pack_blocks_long(
     block_size: int = 512,
     lengths: DataFrame | None = None,
     length_col: str = "n_ids",
+    keep_rest: bool = False,
 ) -> DataFrame:
-    """``pack_blocks`` over long-form tokens ``(group…, order, pos, id)``; same result.
+    """``pack_blocks`` over long-form tokens ``(group…, order, pos, id)``; same result. ``keep_rest`` keeps
+    each group's last, short block as well.
 
     ``lengths`` (``group…, order, n_ids``), when the caller can compute row lengths cheaply from
     the source (``encode.token_count``), saves counting them from the token table.
@@ -207,7 +209,8 @@ def pack_blocks_long(
         F.sum("__n").over(Window.partitionBy(*g)).cast("long").alias("__tot"),
     )
     t = tokens.join(starts, [*g, order_col]).withColumn("__g", F.col("__st") + F.col(pos_col))
-    t = t.filter((F.col("__tot") < b) | (F.col("__g") < F.floor(F.col("__tot") / b) * b))
+    if not keep_rest:
+        t = t.filter((F.col("__tot") < b) | (F.col("__g") < F.floor(F.col("__tot") / b) * b))
     blocks = t.groupBy(*g, F.floor(F.col("__g") / b).cast("long").alias("block_id")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("__g"), F.col(id_col)))).alias("__p")
     )

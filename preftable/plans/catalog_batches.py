@@ -146,6 +146,19 @@ def schedule(spark: SparkSession, base: str) -> DataFrame:
     return B.update_schedule(b, "batch_id", BATCH, 1, 1, ACCUM, 1.0)
 
 
+@register(
+    "schedule_max_steps",
+    f"""WITH {_SFT_IDS}, {_BATCHES_CTE},
+n AS (SELECT CAST(count(DISTINCT batch_id) AS DOUBLE) AS nb FROM bb),
+u AS (SELECT nb, greatest(nb * {BATCH / MINI} * {PPO_EPOCHS} / {ACCUM}, 1.0) AS upe FROM n)
+SELECT CAST(nb AS BIGINT) AS n_batches, upe AS updates_per_epoch, CAST(50 AS BIGINT) AS total_updates, CAST({50 * ACCUM} AS BIGINT) AS micro_steps,
+       CAST(floor(50 / upe) + CASE WHEN 50 - floor(50 / upe) * upe > 0 THEN 1 ELSE 0 END AS BIGINT) AS train_epochs FROM u""",
+)
+def schedule_max_steps(spark: SparkSession, base: str) -> DataFrame:
+    b = _batched(_sft_examples(spark, base), "example_id")
+    return B.update_schedule(b, "batch_id", BATCH, MINI, PPO_EPOCHS, ACCUM, 1.0, max_steps=50)
+
+
 # ---------------------------------------------------------------------------------------------
 # Collation
 # ---------------------------------------------------------------------------------------------
@@ -266,6 +279,28 @@ def collate_blocks(spark: SparkSession, base: str) -> DataFrame:
     return C.collate_blocks(b, "batch_id").select("group_id", "block_id", "batch_id", "uniform_length")
 
 
+@register(
+    "collate_blocks_ids",
+    f"""WITH {Q.VOCAB_CTE}, {Q.encode_cte('enc', 'documents', 'doc_id', 'text')},
+toks AS (SELECT e.doc_id // {PACK_GROUP} AS group_id, e.doc_id, u.id, u.k FROM enc e, unnest(list_concat([1], e.ids)) WITH ORDINALITY AS u(id, k)),
+g AS (SELECT group_id, id, row_number() OVER (PARTITION BY group_id ORDER BY doc_id, k) - 1 AS gpos FROM toks),
+blocks AS (SELECT group_id, gpos // {BLOCK} AS block_id, count(*) AS n, array_to_string(list(id ORDER BY gpos), ' ') AS input_ids FROM g GROUP BY 1, 2),
+bt AS (SELECT *, (row_number() OVER (ORDER BY group_id, block_id) - 1) // {BATCH} AS batch_id FROM blocks)
+SELECT group_id, block_id, batch_id, input_ids, min(n) OVER (PARTITION BY batch_id) = max(n) OVER (PARTITION BY batch_id) AS uniform_length FROM bt""",
+)
+def collate_blocks_ids(spark: SparkSession, base: str) -> DataFrame:
+    """Blocks with their ids; each group's short rest is kept, so some batches aren't uniform."""
+    from preftable.operators.encode import encode_long, token_count
+
+    docs = V.table(spark, base, "documents", spread=True).select("doc_id", "text")
+    docs = docs.withColumn("group_id", F.floor(F.col("doc_id") / PACK_GROUP).cast("long"))
+    toks = encode_long(docs, "text", V.document_vocab(spark, base), ["doc_id", "group_id"], IDS, with_bos=True)
+    lengths = docs.select("group_id", "doc_id", token_count(F.col("text"), with_bos=True).alias("n_ids"))
+    blocks = S.pack_blocks_long(toks, ["group_id"], "doc_id", "pos", "id", BLOCK, lengths=lengths, keep_rest=True)
+    c = C.collate_blocks(B.assign_batches(blocks, ["group_id", "block_id"], BATCH), "batch_id")
+    return c.select("group_id", "block_id", "batch_id", ids_text(F.col("input_ids")).alias("input_ids"), "uniform_length")
+
+
 # ---------------------------------------------------------------------------------------------
 # Generated sequences: strip padding, join, response mask
 # ---------------------------------------------------------------------------------------------

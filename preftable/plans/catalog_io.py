@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from preftable.functions.arrays import ids_text
 from preftable.operators import sequences as S
-from preftable.operators.encode import encode
+from preftable.operators.encode import encode_rows, inline_vocabulary
 from preftable.operators.normalise import split_quarantine, to_sft_text
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
@@ -75,12 +75,12 @@ def stream_prepare_q(spark: SparkSession, base: str) -> DataFrame:
     out = _scratch(spark, "stream-out")
     ckpt = _scratch(spark, "stream-ckpt")
     V.instruction_rows(spark, base).select("example_id", "instruction", "input", "output").write.mode("overwrite").json(src)
-    # The vocabulary is a static table for the stream: materialise it once.
-    vocab = materialise(V.document_vocab(spark, base), _scratch(spark, "vocab"))
+    lookup = inline_vocabulary(materialise(V.document_vocab(spark, base), _scratch(spark, "vocab")))
+    limits = {"prompt": MAX_PROMPT - 1, "response": MAX_RESPONSE - 1}
 
     def prepare(batch: DataFrame) -> DataFrame:
         text, _ = split_quarantine(to_sft_text(batch, template=TEMPLATE))
-        enc = encode(text, ["prompt", "response"], vocab, ["example_id"], IDS)
+        enc = encode_rows(text, ["prompt", "response"], lookup, IDS, max_ids=limits)
         seqs = S.build_sft_sequences(enc, "prompt_ids", "response_ids", IDS, MAX_PROMPT, MAX_RESPONSE)
         return seqs.select(
             "example_id",
@@ -89,12 +89,7 @@ def stream_prepare_q(spark: SparkSession, base: str) -> DataFrame:
             F.size("input_ids").cast("long").alias("n_ids"),
         )
 
-    stream = (
-        spark.readStream.schema(KEYED_SCHEMA)
-        .option("pathGlobFilter", "*.json")
-        .json(src)
-        .withColumn("file", F.col("_metadata.file_path"))
-    )
+    stream = spark.readStream.schema(KEYED_SCHEMA).option("pathGlobFilter", "*.json").json(src)
     stream_prepare(stream, prepare, out, ckpt).awaitTermination()
     return spark.read.parquet(out).select("example_id", "input_ids", "label_ids", "n_ids")
 
@@ -185,3 +180,34 @@ def prepare_pairs_end_to_end(spark: SparkSession, base: str) -> DataFrame:
     V.preference_rows(spark, base).select("example_id", "prompt", "chosen", "rejected").write.json(src)
     pairs, _ = prepare_pairs(spark, V.document_vocab(spark, base), dataset_dir=src, cfg=_cfg())
     return pairs.select("example_id", "split", ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("label_ids")).alias("label_ids"))
+
+
+_EXTRA_SIZE = 3
+
+
+@register(
+    "ppo_with_extra",
+    f"""WITH {Q.INSTRUCTION_CTE},
+m AS (SELECT example_id, row_number() OVER (ORDER BY md5('42:0:' || example_id), example_id) - 1 AS i FROM inst),
+mb AS (SELECT example_id, i // 4 AS batch_id, CAST(i % 4 AS INTEGER) AS idx_in_batch FROM m),
+x AS (SELECT extra_id, row_number() OVER (ORDER BY md5('43:0:' || extra_id), extra_id) - 1 AS i
+      FROM (SELECT CAST(example_id AS VARCHAR) AS extra_id FROM inst UNION ALL SELECT CAST(-example_id - 1 AS VARCHAR) FROM inst)),
+xb AS (SELECT extra_id, i // {_EXTRA_SIZE} AS batch_id, CAST(i % {_EXTRA_SIZE} AS INTEGER) AS idx_in_batch FROM x),
+lim AS (SELECT least((SELECT max(batch_id) FROM mb), (SELECT max(batch_id) FROM xb)) AS last)
+SELECT coalesce(mb.batch_id, xb.batch_id) AS batch_id, coalesce(mb.idx_in_batch, xb.idx_in_batch) AS idx_in_batch, example_id, extra_id
+FROM (SELECT * FROM mb WHERE batch_id <= (SELECT last FROM lim)) mb
+FULL OUTER JOIN (SELECT * FROM xb WHERE batch_id <= (SELECT last FROM lim)) xb ON mb.batch_id = xb.batch_id AND mb.idx_in_batch = xb.idx_in_batch""",
+)
+def ppo_with_extra(spark: SparkSession, base: str) -> DataFrame:
+    """Prompts beside auxiliary SFT records of two directories, one for each record layout."""
+    from preftable.prepare import ppo_streams, prepare_extra, prepare_ppo
+
+    one, two = _scratch(spark, "extra-a"), _scratch(spark, "extra-b")
+    inst = V.instruction_rows(spark, base)
+    inst.select("example_id", "instruction", "input", "output").write.json(one)
+    V.prompt_rows(spark, base).select((-F.col("example_id") - 1).alias("example_id"), "prompt", "chosen").write.json(two)
+    vocab = V.document_vocab(spark, base)
+    prompts, _ = prepare_ppo(spark, vocab, one, _cfg())
+    extra = prepare_extra(spark, vocab, [one, two], "sft", _cfg())
+    both = ppo_streams(prompts, extra, 4, _EXTRA_SIZE)
+    return both.select("batch_id", "idx_in_batch", "example_id", "extra_id")

@@ -17,7 +17,7 @@ from preftable.functions import rollout as R
 from preftable.operators import metrics as M
 from preftable.operators import objectives as OB
 from preftable.operators.indexing import with_group_row_number
-from preftable.operators.rollout import build_experience, gae_long
+from preftable.operators.rollout import build_experience, gae_long, normalise_advantages
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
 from preftable.plans.catalog import register
@@ -692,3 +692,174 @@ def ppo_log_end_to_end(spark: SparkSession, base: str) -> DataFrame:
     log = per_batch.select((F.col("batch_id") + 1).alias("step"), F.lit(0).alias("rank"), *_PPO_LOG_METRICS)
     s = M.step_metrics(log, 2, _PPO_LOG_METRICS)
     return s.select("update", *[_r(F.col(m)).alias(m) for m in _PPO_LOG_METRICS])
+
+
+# ---------------------------------------------------------------------------------------------
+# Pairs of logit sequences: all ten DPO outputs and the evaluation metrics of both pair objectives
+# ---------------------------------------------------------------------------------------------
+
+LOGIT_BATCH = 8  # sequences: four pairs
+
+
+def _logit_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Even logit sequences as accepted, odd ones as rejected; the reference model has half the logits."""
+    s = _logit_sequences(spark, base)
+    shifted = F.slice(F.col("ids"), 2, F.greatest(F.size("ids") - 1, F.lit(0)))
+    s = s.withColumn("mask", F.transform(shifted, lambda y: F.when(y > 0, 1).otherwise(0)))
+    s = s.withColumn("ref_logits", F.transform("logits", lambda row: F.transform(row, lambda v: v * 0.5)))
+    for name in ("", "ref_"):
+        logp = R.token_logprobs(F.col(f"{name}logits"), F.col("ids"))
+        s = s.withColumn(f"{name}logps", O.sequence_logps_by_mask(logp, F.col("mask")))
+    fields = F.struct("logits", "ref_logits", "mask", "logps", "ref_logps")
+    even = F.max_by(F.when(F.pmod("seq", F.lit(2)) == 0, fields), F.pmod("seq", F.lit(2)) == 0)
+    odd = F.max_by(F.when(F.pmod("seq", F.lit(2)) == 1, fields), F.pmod("seq", F.lit(2)) == 1)
+    both = s.groupBy(F.floor(F.col("seq") / LOGIT_BATCH).cast("long").alias("batch_id"), F.floor(F.col("seq") / 2).cast("long").alias("pair"))
+    both = both.agg(even.alias("a"), odd.alias("r")).filter(F.col("a").isNotNull() & F.col("r").isNotNull())
+    out = [F.col(f"{x}.{p}{c}").alias(f"{p}{side}_{c}") for x, side in (("a", "accepts"), ("r", "rejects")) for p in ("", "ref_") for c in ("logits", "logps")]
+    masks = [F.col(f"{x}.mask").alias(f"{p}{side}_mask") for x, side in (("a", "accepts"), ("r", "rejects")) for p in ("", "ref_")]
+    return both.select("batch_id", F.col("pair").alias("example_id"), *out, *masks)
+
+
+_LOGIT_PAIRS = f"""WITH {_LOGITS},
+ur AS (SELECT seq, pos, y, k, v * 0.5 AS v FROM u),
+mr AS (SELECT seq, pos, max(v) AS mx FROM ur GROUP BY seq, pos),
+lr AS (SELECT ur.seq, ur.pos, mr.mx + ln(sum(exp(ur.v - mr.mx))) AS lse FROM ur JOIN mr ON ur.seq = mr.seq AND ur.pos = mr.pos GROUP BY ur.seq, ur.pos, mr.mx),
+hr AS (SELECT ur.seq, ur.pos, ur.y, max(CASE WHEN ur.k = ur.y THEN ur.v END) - lr.lse AS logp, -sum(exp(ur.v - lr.lse) * (ur.v - lr.lse)) AS ent
+       FROM ur JOIN lr ON ur.seq = lr.seq AND ur.pos = lr.pos GROUP BY ur.seq, ur.pos, ur.y, lr.lse),
+sp AS (SELECT h.seq, sum(CASE WHEN h.y > 0 THEN h.logp ELSE 0 END) AS lp, sum(CASE WHEN h.y > 0 THEN hr.logp ELSE 0 END) AS rlp,
+              sum(CASE WHEN h.y > 0 THEN h.ent ELSE 0 END) AS e, sum(CASE WHEN h.y > 0 THEN hr.ent ELSE 0 END) AS re,
+              sum(CASE WHEN h.y > 0 THEN 1 ELSE 0 END) AS n
+       FROM h JOIN hr ON h.seq = hr.seq AND h.pos = hr.pos GROUP BY h.seq),
+ep AS (SELECT a.seq // 2 AS example_id, a.seq // {LOGIT_BATCH} AS batch_id, a.lp AS alp, r.lp AS rlp, a.rlp AS ra, r.rlp AS rr,
+              a.e AS ae, r.e AS re, a.re AS rae, r.re AS rre, a.n AS an, r.n AS rn
+       FROM sp a JOIN sp r ON r.seq = a.seq + 1 WHERE a.seq % 2 = 0),
+en AS (SELECT batch_id, sum(ae) / (sum(an) + 1e-8) AS accepts_entropy, sum(re) / (sum(rn) + 1e-8) AS rejects_entropy,
+              sum(rae) / (sum(an) + 1e-8) AS ref_accepts_entropy, sum(rre) / (sum(rn) + 1e-8) AS ref_rejects_entropy FROM ep GROUP BY batch_id),
+o AS (SELECT example_id, ep.batch_id, {DPO_BETA} * (alp - ra) AS accepts_reward, {DPO_BETA} * (rlp - rr) AS rejects_reward,
+             {DPO_BETA} * (alp - rlp) AS pi_ratio, {DPO_BETA} * (ra - rr) AS ref_ratio, accepts_entropy, rejects_entropy,
+             ref_accepts_entropy, ref_rejects_entropy, -alp AS accepts_ce_loss, -rlp AS rejects_ce_loss
+      FROM ep JOIN en ON ep.batch_id = en.batch_id)"""
+_DPO_OUTPUTS = ["accepts_reward", "rejects_reward", "pi_ratio", "ref_ratio", "accepts_entropy", "rejects_entropy",
+                "ref_accepts_entropy", "ref_rejects_entropy", "accepts_ce_loss", "rejects_ce_loss"]
+
+
+@register("dpo_outputs", f"{_LOGIT_PAIRS} SELECT example_id, batch_id, " + ", ".join(f"{Q.rnd(c)} AS {c}" for c in _DPO_OUTPUTS) + " FROM o")
+def dpo_outputs_q(spark: SparkSession, base: str) -> DataFrame:
+    o = OB.dpo_outputs(_logit_pairs(spark, base), PairConfig(dpo_beta=DPO_BETA))
+    return o.select("example_id", "batch_id", *[_r(F.col(c)).alias(c) for c in _DPO_OUTPUTS])
+
+
+@register("dpo_eval_all_outputs", f"{_LOGIT_PAIRS} SELECT " + ", ".join(f"{Q.rnd(f'avg({c})')} AS eval_{c}" for c in _DPO_OUTPUTS) + " FROM o")
+def dpo_eval_all_outputs(spark: SparkSession, base: str) -> DataFrame:
+    o = OB.dpo_outputs(_logit_pairs(spark, base), PairConfig(dpo_beta=DPO_BETA))
+    m = M.pair_eval_metrics(o, _DPO_OUTPUTS, "batch_id")
+    return m.select(*[_r(F.col(f"eval_{c}")).alias(f"eval_{c}") for c in _DPO_OUTPUTS])
+
+
+_RM_EVAL = ["accepts_end_token_value", "rejects_end_token_value"]
+
+
+def _rm_eval(compat: bool):
+    def q(spark: SparkSession, base: str) -> DataFrame:
+        rm = _rm(spark, base).withColumnsRenamed({"accepts_end_value": _RM_EVAL[0], "rejects_end_value": _RM_EVAL[1]})
+        rm = rm.withColumn("accuracy", O.pair_correct(F.col(_RM_EVAL[0]), F.col(_RM_EVAL[1])))
+        m = M.pair_eval_metrics(rm, [*_RM_EVAL, "accuracy"], "batch_id", compat=compat)
+        return m.select(*[_r(F.col(f"eval_{c}")).alias(f"eval_{c}") for c in (*_RM_EVAL, "accuracy")])
+
+    return q
+
+
+for _name, _where in (("rm_eval_metrics", ""), ("rm_eval_metrics_compat", " WHERE batch_id = (SELECT max(batch_id) FROM ends)")):
+    register(
+        _name,
+        f"""{_RM_BASE} SELECT {Q.rnd('avg(ae)')} AS eval_accepts_end_token_value, {Q.rnd('avg(re)')} AS eval_rejects_end_token_value,
+       {Q.rnd('avg(CASE WHEN ae >= re THEN 1.0 ELSE 0.0 END)')} AS eval_accuracy FROM ends{_where}""",
+    )(_rm_eval(bool(_where)))
+
+
+# ---------------------------------------------------------------------------------------------
+# The whole step log: learning rate, losses, means and variances, averaged over accumulation windows
+# ---------------------------------------------------------------------------------------------
+
+ENTROPY_BETA = 0.01
+_LOSS_TERMS = {"actor": "term", "entropy": "-actor * exp(actor)", "critic": "sqe", "extra": "-actor"}
+_LOG_ARRAYS = {"kl_penalty": "pen", "rewards_kl": "rkl", "advantages": "aw", "ratio": "ratio", "returns": "r",
+               "values_error": "(new_value - r) * (new_value - r)"}
+_LOG_LENGTHS = ("prompts_length", "responses_length")
+_LOG_COLS = (
+    ["lr", "loss_actor", "loss_entropy", "loss_critic", "loss_extra", "loss_total"]
+    + [f"{c}_{x}" for c in (*_LOG_ARRAYS, "reward_score", *_LOG_LENGTHS) for x in ("mean", "var")]
+    + ["actor_perplexity", "ref_perplexity"]
+)
+
+
+def _step_log_sql() -> str:
+    xs = {f"l_{c}": e for c, e in _LOSS_TERMS.items()} | {f"x_{c}": e for c, e in _LOG_ARRAYS.items()}
+    means = ", ".join(f"sum({c} * ms) / (sum(ms) + 1e-8) AS m{c}" for c in xs)
+    vars_ = ", ".join(f"sum(ms * (x_{c} - mx_{c}) * (x_{c} - mx_{c})) / (sum(ms) + 1e-8) AS {c}_var" for c in _LOG_ARRAYS)
+    total = f"ml_actor + {ENTROPY_BETA} * ml_entropy + 0.5 * ml_critic + {_EXTRA_W_SQL} * ml_extra"
+    return f"""{_GAE},
+wm AS (SELECT batch_id, sum(a * ms) / sum(ms) AS mean FROM ret GROUP BY batch_id),
+wv AS (SELECT ret.batch_id, sum(ms * (a - wm.mean) * (a - wm.mean)) / sum(ms) AS var FROM ret JOIN wm ON ret.batch_id = wm.batch_id GROUP BY ret.batch_id),
+w0 AS (SELECT ret.*, (ret.a - wm.mean) / sqrt(wv.var + 1e-6) AS aw, exp((new - actor) * ms) AS ratio, greatest(v - {CLIP}, least(v + {CLIP}, new_value)) AS clipped
+       FROM ret JOIN wm ON ret.batch_id = wm.batch_id JOIN wv ON ret.batch_id = wv.batch_id),
+w AS (SELECT *, greatest(-aw * ratio, -aw * greatest({1 - CLIP}, least({1 + CLIP}, ratio))) AS term,
+             greatest((new_value - r) * (new_value - r), (clipped - r) * (clipped - r)) AS sqe FROM w0),
+xs AS (SELECT batch_id, ms, {", ".join(f"{e} AS {c}" for c, e in xs.items())} FROM w),
+mm AS (SELECT batch_id, {means} FROM xs GROUP BY batch_id),
+vv AS (SELECT xs.batch_id, {vars_} FROM xs JOIN mm ON xs.batch_id = mm.batch_id GROUP BY xs.batch_id),
+sq AS (SELECT seq, any_value(batch_id) AS batch_id, any_value(reward) AS reward, any_value(T) - 8 AS rl,
+              -sum(actor) / (count(*) + 1e-8) AS actor_ce, -sum(ref) / (count(*) + 1e-8) AS ref_ce FROM tok GROUP BY seq),
+sc AS (SELECT batch_id, avg(reward) AS reward_score_mean, var_samp(reward) AS reward_score_var, exp(avg(actor_ce)) AS actor_perplexity, exp(avg(ref_ce)) AS ref_perplexity,
+              8.0 AS prompts_length_mean, CASE WHEN count(*) > 1 THEN 0.0 END AS prompts_length_var, avg(rl) AS responses_length_mean, var_samp(rl) AS responses_length_var FROM sq GROUP BY batch_id),
+b AS (SELECT mm.batch_id, 0.001 / (mm.batch_id + 1) AS lr, ml_actor AS loss_actor, ml_entropy AS loss_entropy, 0.5 * ml_critic AS loss_critic, ml_extra AS loss_extra,
+             {total.replace('batch_id', 'mm.batch_id')} AS loss_total, {", ".join(f"mx_{c} AS {c}_mean, {c}_var" for c in _LOG_ARRAYS)}, sc.* EXCLUDE (batch_id)
+      FROM mm JOIN vv ON mm.batch_id = vv.batch_id JOIN sc ON mm.batch_id = sc.batch_id),
+u AS (SELECT CAST(ceil((batch_id + 1) / 2.0) AS BIGINT) AS update, {", ".join(f"avg({c}) AS {c}" for c in _LOG_COLS)} FROM b GROUP BY 1 HAVING count(*) = 2)
+SELECT update, {", ".join(f"{Q.rnd(c)} AS {c}" for c in _LOG_COLS)} FROM u"""
+
+
+@register("ppo_step_log", _step_log_sql())
+def ppo_step_log(spark: SparkSession, base: str) -> DataFrame:
+    """Losses are masked means of their terms, so one pass over the tokens gives the whole log of a batch."""
+    ratio = R.policy_ratio(F.col("new_logp"), F.col("actor_logp"), F.col("ms"))
+    exp = _experience(spark, base, norm=True).withColumn("ratio", ratio).withColumns({
+        "values_error": O.values_error(F.col("new_values"), F.col("returns")),
+        "t_actor": O.actor_terms(F.col("advantages"), F.col("ratio"), CLIP),
+        "t_entropy": F.transform("actor_logp", lambda p: -p * F.exp(p)),
+        "t_critic": O.critic_terms(F.col("critic_values"), F.col("new_values"), F.col("returns"), CLIP),
+        "t_extra": F.transform("actor_logp", lambda p: -p),
+        "lr": F.lit(0.001) / (F.col("batch_id") + 1),
+        "prompts_length": F.lit(V.PROMPT_POSITIONS),
+        "responses_length": F.size("sequence_mask") - V.PROMPT_POSITIONS,
+    })
+    terms = [f"t_{c}" for c in _LOSS_TERMS]
+    m = M.rollout_metrics(exp, ["batch_id"], "ms", [*terms, *_LOG_ARRAYS], scalar_cols=["lr"], length_cols=_LOG_LENGTHS)
+    m = m.withColumnsRenamed({f"t_{c}_mean": f"loss_{c}" for c in _LOSS_TERMS}).withColumn("loss_critic", F.col("loss_critic") * 0.5)
+    w = O.extra_loss_weight(F.col("batch_id") + 1, EXTRA_W, EXTRA_RATIO, MAX_STEPS)
+    total = O.ppo_total_loss(F.col("loss_actor"), F.col("loss_entropy"), F.col("loss_critic"), F.col("loss_extra"), w, entropy_beta=ENTROPY_BETA)
+    log = m.withColumn("loss_total", total).withColumn("step", F.col("batch_id") + 1).withColumn("rank", F.lit(0))
+    s = M.step_metrics(log, 2, _LOG_COLS)
+    return s.select("update", *[_r(F.col(c)).alias(c) for c in _LOG_COLS])
+
+
+# ---------------------------------------------------------------------------------------------
+# Rows that only other tests had: weights past the warm-up, normalised advantages, step limits
+# ---------------------------------------------------------------------------------------------
+
+_SHORT_STEPS = 10
+
+
+@register(
+    "extra_weight_after_warmup",
+    f"""{_TOK} SELECT DISTINCT seq + 1 AS step, {Q.rnd(f"CASE WHEN seq + 1 < 2 THEN (seq + 1) / 2.0 * {EXTRA_W} ELSE pow({EXTRA_W}, 1.001) END")} AS weight FROM ev""",
+)
+def extra_weight_after_warmup(spark: SparkSession, base: str) -> DataFrame:
+    steps = _rollout(spark, base).select((F.col("seq") + 1).alias("step"))
+    return steps.select("step", _r(O.extra_loss_weight(F.col("step"), EXTRA_W, EXTRA_RATIO, _SHORT_STEPS)).alias("weight"))
+
+
+@register("normalise_advantages", _whiten_sql(False))
+def normalise_advantages_q(spark: SparkSession, base: str) -> DataFrame:
+    exp = normalise_advantages(_experience(spark, base))
+    return _long(exp, ["advantages"], {"advantages": "advantage"})

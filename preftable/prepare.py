@@ -7,6 +7,9 @@ Nothing is collected; the caller decides where to write.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ from preftable.operators import batching as B
 from preftable.operators import sequences as S
 from preftable.operators.encode import encode, encode_long, token_count
 from preftable.operators.normalise import split_quarantine, to_pair_text, to_sft_text
-from preftable.sources.readers import RAW_SCHEMA, read_json_dir, read_split_files, read_text_dir, resolve_source
+from preftable.sources.readers import RAW_SCHEMA, read_json_dir, read_split_files, read_text_dir, resolve_source, union_datasets
+from preftable.sources.sinks import materialise, prune_raw_columns, table_digest
 
 KEY = "example_id"
 ROW = "__pt_row"  # identifies a record while its tokens are gathered; users' ids may repeat across files
@@ -23,15 +27,18 @@ ROW = "__pt_row"  # identifies a record while its tokens are gathered; users' id
 
 def _records(
     spark: SparkSession,
-    dataset_dir: str | None,
+    dataset_dir: str | Sequence[str] | None,
     train_file: str | None,
     valid_file: str | None,
     multi_line: bool,
 ) -> tuple[DataFrame, bool]:
     """Raw records with a row key, and whether a split still has to be drawn."""
-    mode = resolve_source(dataset_dir, train_file, valid_file)
     schema = RAW_SCHEMA + f", {KEY} BIGINT"
-    if mode == "dir":
+    several = not isinstance(dataset_dir, str | None)
+    mode = resolve_source(dataset_dir[0] if several else dataset_dir, train_file, valid_file)
+    if several:
+        raw = union_datasets(*[read_json_dir(spark, d, schema, multi_line) for d in dataset_dir])
+    elif mode == "dir":
         raw = read_json_dir(spark, dataset_dir, schema, multi_line)
     else:
         raw = read_split_files(spark, train_file, valid_file, schema, multi_line)
@@ -42,18 +49,40 @@ def _records(
     return raw, mode == "dir"
 
 
+def _cached(
+    spark: SparkSession,
+    df: DataFrame,
+    cache: str | None,
+    vocab: DataFrame,
+    sources: Sequence[str | Sequence[str] | None],
+    cfg: SequenceConfig,
+    **options: object,
+) -> DataFrame:
+    """``df`` from the table at ``cache`` if that was made from the same files, vocabulary and options."""
+    if cache is None:
+        return df
+    inputs = [x for s in sources if s for x in ([s] if isinstance(s, str) else s)]
+    told = {"config": asdict(cfg), "vocabulary": table_digest(vocab.select("token", "id")), **options}
+    return materialise(df, cache, reuse=True, inputs=inputs, options=told)
+
+
 def prepare_sft(
     spark: SparkSession,
     vocab: DataFrame,
-    dataset_dir: str | None = None,
+    dataset_dir: str | Sequence[str] | None = None,
     train_file: str | None = None,
     valid_file: str | None = None,
     cfg: SequenceConfig = SequenceConfig(),
     compat: bool = False,
     strict: bool = False,
     multi_line: bool = False,
+    cache: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """SFT: records → ``(example_id, split, input_ids, label_ids)`` and the quarantined rows."""
+    """SFT: records → ``(example_id, split, input_ids, label_ids)`` and the quarantined rows.
+
+    ``dataset_dir`` may be several directories, whose files are one dataset. With ``cache`` the encoded
+    rows are kept there and read again as long as files, vocabulary and options stay the same.
+    """
     raw, draw_split = _records(spark, dataset_dir, train_file, valid_file, multi_line)
     keep = (ROW, KEY) if draw_split else (ROW, KEY, "split")
     text, bad = split_quarantine(to_sft_text(raw, cfg.template, "sft", compat, keep=keep), strict)
@@ -64,13 +93,14 @@ def prepare_sft(
                                  max_response_length=cfg.max_response_length, keep=(KEY, *passthrough))
     if draw_split:
         seqs = B.train_test_split(seqs, KEY, cfg.split_ratio, cfg.seed)
-    return seqs.select(KEY, "split", "input_ids", "label_ids"), bad
+    seqs = prune_raw_columns(seqs, (KEY, "split", "input_ids", "label_ids"))
+    return _cached(spark, seqs, cache, vocab, (dataset_dir, train_file, valid_file), cfg, stage="sft", compat=compat, multi_line=multi_line), bad
 
 
 def prepare_pairs(
     spark: SparkSession,
     vocab: DataFrame,
-    dataset_dir: str | None = None,
+    dataset_dir: str | Sequence[str] | None = None,
     train_file: str | None = None,
     valid_file: str | None = None,
     cfg: SequenceConfig = SequenceConfig(),
@@ -78,8 +108,9 @@ def prepare_pairs(
     strict: bool = False,
     multi_line: bool = False,
     flat: bool = True,
+    cache: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """RM / DPO: records → padded pairs (flat ``input_ids``/``label_ids`` by default)."""
+    """RM / DPO: records → padded pairs (flat ``input_ids``/``label_ids`` by default); ``cache`` as for SFT."""
     raw, draw_split = _records(spark, dataset_dir, train_file, valid_file, multi_line)
     keep = (ROW, KEY) if draw_split else (ROW, KEY, "split")
     text, bad = split_quarantine(to_pair_text(raw, cfg.template, compat, keep=keep), strict)
@@ -98,7 +129,8 @@ def prepare_pairs(
     out = S.flatten_pairs(pairs, keep=(KEY, *passthrough)) if flat else pairs
     if draw_split:
         out = B.train_test_split(out, KEY, cfg.split_ratio, cfg.seed)
-    return out, bad
+    sources = (dataset_dir, train_file, valid_file)
+    return _cached(spark, out, cache, vocab, sources, cfg, stage="pairs", compat=compat, multi_line=multi_line, flat=flat), bad
 
 
 def prepare_ppo(
@@ -119,6 +151,40 @@ def prepare_ppo(
                                max_response_length=cfg.max_response_length), bad
 
 
+def prepare_extra(
+    spark: SparkSession, vocab: DataFrame, extra_dir: str | Sequence[str], kind: str | None = None, cfg: SequenceConfig = SequenceConfig()
+) -> DataFrame:
+    """The auxiliary PPO data of all files under ``extra_dir``: ``extra_id, input_ids, label_ids``.
+
+    ``kind="sft"`` reads ``*.json`` records and makes SFT sequences (``extra_id`` is the record's id);
+    any other kind reads ``*.txt`` and makes packed blocks, named by file, group and block.
+    """
+    dirs = [extra_dir] if isinstance(extra_dir, str) else list(extra_dir)
+    if kind == "sft":
+        seqs, _ = prepare_sft(spark, vocab, dataset_dir=dirs, cfg=cfg)
+        return seqs.select(F.col(KEY).cast("string").alias("extra_id"), "input_ids", "label_ids")
+    blocks = union_datasets(*[prepare_pretrain(spark, vocab, d, cfg) for d in dirs])
+    name = F.concat_ws(":", "file", "group_id", "block_id")
+    return blocks.select(name.alias("extra_id"), "input_ids", "label_ids")
+
+
+def ppo_streams(
+    prompts: DataFrame, extra: DataFrame | None, batch_size: int, extra_batch_size: int | None = None, seed: int = 42, epoch: int = 0
+) -> DataFrame:
+    """The prompts' batches, each beside the auxiliary batch that is trained with it.
+
+    Both tables are shuffled by hash and cut in batches; the i-th batches meet, row by row, up to the
+    shorter stream's end (``extra_`` columns; null where one batch is longer). Without auxiliary data
+    (None) every prompt batch is alone.
+    """
+    main = B.assign_batches(B.shuffle(prompts, KEY, seed, epoch), ["shuffle_key", KEY], batch_size).drop("shuffle_key", "row_idx")
+    if extra is None:
+        return main
+    side = B.assign_batches(B.shuffle(extra, "extra_id", seed + 1, epoch), ["shuffle_key", "extra_id"], extra_batch_size or batch_size)
+    side = side.drop("shuffle_key", "row_idx").withColumnRenamed("extra_id", "id")
+    return B.zip_streams(main, side, prefix="extra_")
+
+
 def prepare_pretrain(
     spark: SparkSession,
     vocab: DataFrame,

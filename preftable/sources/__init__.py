@@ -7,4 +7,4 @@ from preftable.sources.readers import (  # noqa: F401
     resolve_source,
     union_datasets,
 )
-from preftable.sources.sinks import materialise, prune_raw_columns, write_metrics, write_rollouts  # noqa: F401
+from preftable.sources.sinks import materialise, prune_raw_columns, read_rollouts, write_metrics, write_rollouts  # noqa: F401

@@ -1,9 +1,9 @@
 """Structured Streaming operators (§2.10).
 
-``stream_prepare`` runs the stateless preparation transforms on a file stream. Encoding regroups
-tokens per row, which a streaming aggregation would need a watermark for; instead each micro-batch
-runs the batch pipeline through ``foreachBatch`` and overwrites its own ``batch_id=N`` folder, so a
-retried micro-batch rewrites the same output (idempotent sink).
+``stream_prepare`` runs the preparation transforms as one stateless streaming plan into one Parquet
+sink: normalising, rendering, encoding (``operators.encode.encode_rows``: the vocabulary is a constant
+of the plan) and the sequence builders all work inside a row, so nothing is regrouped and records that
+share an id stay apart. The file sink's log commits each micro-batch once, also when it is retried.
 
 ``stream_step_metrics`` averages step-log rows over tumbling event-time windows with a watermark,
 in append mode: a window is emitted once the watermark passes its end.
@@ -11,7 +11,6 @@ in append mode: a window is emitted once the watermark passes its end.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -25,14 +24,13 @@ def stream_prepare(
     out_path: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Apply a batch ``transform`` to each micro-batch and write it as Parquet under ``out_path``."""
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
-
+    """Apply a row-wise ``transform`` to a stream and append its rows to a Parquet table at ``out_path``."""
     return (
-        stream.writeStream.foreachBatch(write_batch)
+        transform(stream)
+        .writeStream.format("parquet")
+        .option("path", out_path)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
@@ -43,10 +41,11 @@ def stream_step_metrics(
     ts_col: str,
     metric_cols: Sequence[str],
     window: str = "1 hour",
-    watermark: str = "0 seconds",
+    *,
+    watermark: str,
     group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Tumbling-window means of the metric columns, for an append-mode sink."""
+    """Tumbling-window means of the metric columns, for an append-mode sink; rows later than ``watermark`` are left out."""
     return (
         stream.withWatermark(ts_col, watermark)
         .groupBy(F.window(ts_col, window).alias("w"), *group_cols)

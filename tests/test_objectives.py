@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,7 @@ from preftable.config import PairConfig, RolloutConfig
 from preftable.functions import objectives as O
 from preftable.functions import rollout as R
 from preftable.operators import objectives as OB
-from preftable.operators.batching import update_schedule, update_schedule_values
+from preftable.operators.batching import update_schedule
 from preftable.operators.rollout import build_experience
 from test_rollout import G4, SCHEMA
 
@@ -98,8 +100,6 @@ def test_g7_extra_weight(spark):
     [((100, 4, 1, 1, 8, 1, -1), 50, 50), ((3, 1, 1, 1, 8, 2, -1), 1, 2), ((100, 4, 1, 2, 8, 1.5, -1), 100, 150), ((100, 1, 1, 1, 8, 1, 50), 12.5, 50)],
 )
 def test_g7_schedule(spark, args, per_epoch, total):
-    v = update_schedule_values(*args)
-    assert v["updates_per_epoch"] == pytest.approx(per_epoch) and v["total_updates"] == total
     nb, bs, mini, ep, acc, epochs, mx = args
     df = spark.range(nb).withColumnRenamed("id", "batch_id")
     r = update_schedule(df, "batch_id", bs, mini, ep, acc, epochs, mx).first()
@@ -113,6 +113,20 @@ def test_clm_perplexity_overflow(spark):
     assert r.clm_loss == pytest.approx(1000.0) and r.perplexity == float("inf")
 
 
+def test_dpo_entropies_weigh_tokens_of_the_batch(spark):
+    flat, sharp = [0.0, 0.0], [3.0, -3.0]
+    rows = [(0, [flat] * 5, [1, 1, 1, 1]), (0, [sharp] * 2, [1]), (0, [flat] * 3, [0, 0]), (1, [sharp] * 3, [0, 1]), (2, [sharp] * 2, [0])]
+    df = spark.createDataFrame([(b, -1.0, -2.0, -1.0, -2.0, x, m) for b, x, m in rows],
+        "batch_id long, accepts_logps double, rejects_logps double, ref_accepts_logps double, ref_rejects_logps double, "
+        "ref_rejects_logits array<array<double>>, ref_rejects_mask array<int>").repartition(3)
+    p = 1 / (1 + math.exp(-6))
+    low = -(p * math.log(p) + (1 - p) * math.log(1 - p))
+    out = OB.dpo_outputs(df)
+    assert len(out.columns) == len(df.columns) + 8
+    for r in out.collect():
+        assert r.ref_rejects_entropy == pytest.approx([(4 * math.log(2) + low) / 5, low, 0.0][r.batch_id], abs=1e-6)
+
+
 def test_dpo_entropies_and_empty_response(spark):
     df = spark.createDataFrame(
         [(0, -1.0, -2.0, -1.0, -2.0, [[2.0, 1.0, 0.0, -1.0], [0.0, 0.0, 0.0, 0.0], [9.0, 9.0, 9.0, 9.0]], [1, 1])],

@@ -33,7 +33,7 @@ def test_stream_step_metrics_closed_windows(spark, tmp_path):
     df = spark.createDataFrame(rows, "ts string, value double").select(F.to_timestamp("ts").alias("ts"), "value")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    agg = stream_step_metrics(stream, "ts", ["value"], window="1 hour")
+    agg = stream_step_metrics(stream, "ts", ["value"], window="1 hour", watermark="0 seconds")
     run_available(agg, str(tmp_path / "out"), str(tmp_path / "ckpt"))
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(out) == 1 and out[0].n_rows == 12 and out[0].value == sum(range(0, 60, 5)) / 12
