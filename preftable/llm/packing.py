@@ -86,8 +86,8 @@ def token_pieces(
         enc = encoder(vocabulary)
         for batch in batches:
             row, piece, start, length, crc, parts = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(text_col)):
-                ids = enc.ids(text.as_py()) + end
+            for i, ids in enumerate(enc.column(batch.column(text_col))):
+                ids += end
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:

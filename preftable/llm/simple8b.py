@@ -155,8 +155,8 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
 
         for batch in batches:
             id_type = batch.schema.field(id_col).type
-            for i, text in zip(batch.column(id_col).to_pylist(), batch.column(text_col)):
-                own = enc.ids(text.as_py()) + end
+            for i, ids in zip(batch.column(id_col).to_pylist(), enc.column(batch.column(text_col))):
+                own = ids + end
                 docs.append(i), parts.append(own)
                 held += len(own) // 4
                 if held >= row_ids:

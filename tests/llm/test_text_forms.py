@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from preftable.llm import fingerprint, infill, spelling
+from preftable.llm import fingerprint, infill, packing, simple8b, spelling, tokens
 
 SCHEMA = "doc_id long, text string, n long, form string, output string, at long, word string, rest string, key string, head string"
 
@@ -230,3 +231,62 @@ def test_chains(spark):
     forms = [(f"w{i}", f"w{i + 1}") for i in range(37)] + [("x", "w30"), ("y", "z")]
     got = dict(spelling.roots(spark.createDataFrame(forms, "word string, form string")).collect())
     assert got == {f"w{i}": "w37" for i in range(37)} | {"x": "w37", "y": "z"}
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_vocabulary())
+    return lambda text: np.asarray(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("generation,piece", [(2000, 300), (32 << 20, 1 << 20)])
+def test_encoder_equals_the_library(library, monkeypatch, generation, piece):
+    monkeypatch.setattr(tokens, "GENERATION_BYTES", generation)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", piece)
+    rng = random.Random(piece)
+    parts = ["a", "é", "1", " ", " ", "\n", "\n\n", "\t", "'s", "!", "漢", "\xa0", "\x1c", "\x85", "ab ", ".\n", "😀", "\r\n", " x", "<|", "\u3000", "\u2003"]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000))]
+    texts += [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 70))) for _ in range(rng.randint(1, 40))) for _ in range(100)]
+    end = "<|endoftext|>"
+    texts += [end, f"a {end} b", f"{end}a\nb", f"a b{end}", f"a {end[:-1]} b", f"é{end}{end} x"]
+    enc = tokens.ChunkEncoder(tokens.default_vocabulary())
+    for _ in range(2):  # from the library, then from the store
+        assert list(enc.column(pa.array(texts))) == [library(t) for t in texts]
+    assert enc.ids("a <|endoftext|> b") == np.array([64, 220, 50256, 275], "<u4").tobytes()
+    assert list(enc.column(pa.array([], pa.string()))) == []
+    assert list(enc.column(pa.array(texts).slice(5, 40))) == [library(t) for t in texts[5:45]]
+
+
+def test_files_and_pieces_of_odd_rows(spark, rows, docs, library):
+    end = np.array([2], "<u4").tobytes()
+    special = [(6000, "a <|endoftext|> b"), (6001, "<|endoftext|>"), (6002, "b<|endoftext|>")]
+    more = docs.unionByName(spark.createDataFrame(special, "doc_id long, text string"), allowMissingColumns=True)
+    ids = [(i, library(t) + end) for i, t in rows + special]
+    got = simple8b.write_and_read(more, tokens.default_vocabulary()).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x) // 4, zlib.crc32(x)) for i, x in ids)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):  # starts leave no gap, whatever ids repeat or are null
+        assert r.start == at
+        at += r.n_tokens
+    known = [r.doc_id for r in sorted(got, key=lambda r: r.start) if r.doc_id is not None]
+    assert known == sorted(known)
+    pieces = Counter()
+    for i, x in ids:
+        n, a, k = len(x) // 4, 0, 0
+        while a < n:
+            size = (n - a) % 1024 or 1024 if a == 0 else 1024
+            pieces[i, k, a, size, zlib.crc32(x[4 * a : 4 * (a + size)])] += 1
+            a, k = a + size, k + 1
+    packed = packing.pack_documents(more, tokens.default_vocabulary()).collect()
+    assert Counter((p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in packed) == pieces
+    full = {}
+    for p in packed:
+        full.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in full.values():
+        end_ = 0
+        for o, n in sorted(own):
+            assert o == end_
+            end_ += n
+        assert end_ <= 1024
