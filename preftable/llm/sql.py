@@ -83,7 +83,7 @@ WITH l AS (
   SELECT doc_id, k - 1 AS line_no, list_distinct(regexp_extract_all(lines[k], '[^\x20\x09-\x0D]+')) AS w
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
-), s AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS o, doc_id, line_no, len(w) AS n, w FROM l WHERE len(w) >= 5),
+), s AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS o, doc_id, line_no, len(w) AS n, w FROM l WHERE len(w) >= 1),
 t AS (SELECT o, n, unnest(w) AS x FROM s),
 p AS (
   SELECT a.o AS a, b.o AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b
