@@ -139,6 +139,29 @@ def token_entropies(logits: Column) -> Column:
     return F.transform(F.slice(logits, 1, F.greatest(F.size(logits) - 1, F.lit(0))), entropy)
 
 
+def token_scores(logits: Column, ids: Column) -> Column:
+    """Per position of logits ``[:-1]``: struct of ``logp`` of the next id and ``entropy``, from one log-sum-exp.
+
+    With ``e = exp(v - max)`` the log-sum-exp is ``max + log Σe`` and the entropy ``lse - Σe·v / Σe``.
+    """
+
+    def scores(row: Column, y: Column) -> Column:
+        def by_max(m: Column) -> Column:
+            def by_exp(e: Column) -> Column:
+                def by_sum(s: Column) -> Column:
+                    lse = m + F.log(s)
+                    return F.struct((F.get(row, y) - lse).alias("logp"), (lse - array_sum(F.zip_with(e, row, lambda a, v: a * v)) / s).alias("entropy"))
+
+                return let(array_sum(e), by_sum)
+
+            return let(F.transform(row, lambda v: F.exp(v - m)), by_exp)
+
+        return let(F.array_max(row), by_max)
+
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    return F.zip_with(F.slice(logits, 1, n), F.slice(ids, 2, n), scores)
+
+
 def sequence_ce(logp: Column, sequence_mask: Column) -> Column:
     """``-masked_mean(logp, sequence_mask[1:])`` over prompt and response."""
     return -masked_mean(logp, shifted(sequence_mask))

@@ -7,13 +7,15 @@ partition after executor loss gives the same split and the same order.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from preftable.operators.indexing import with_row_index
+from preftable.operators.indexing import with_hash_index, with_row_index
 from preftable.operators.selection import smallest
+from preftable.session import scratch_table_path
 
 TWO_32 = float(2**32)
 
@@ -71,6 +73,35 @@ def assign_batches(
     )
 
 
+WIDTH = "__width_"  # columns with the widest value of a row's batch; the collators use them and drop them
+
+
+def shuffled_batches(
+    df: DataFrame, key: str, batch_size: int, seed: int = 42, epoch: int = 0, widths: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """``shuffle`` and ``assign_batches`` for wide rows: only keys and widths are numbered.
+
+    ``widths`` names sizes of a row (such as its ids); ``__width_<name>`` is the largest of its batch. The
+    narrow table is written once to the shared scratch folder, numbered by a histogram of its hashes
+    (``with_hash_index``) and joined to the rows by ``key``, which must be unique: the rows themselves
+    are neither sorted, copied nor regrouped by batch.
+    """
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
+    widths = widths or {}
+    narrow = shuffle(df.select(key, *[w.cast("long").alias(WIDTH + n) for n, w in widths.items()]), key, seed, epoch)
+    if df.columns != [key]:
+        path = scratch_table_path(df.sparkSession, f"batch-keys-{uuid.uuid4().hex}")
+        narrow.write.parquet(path)
+        narrow = df.sparkSession.read.schema(narrow.schema).parquet(path)
+    idx = with_hash_index(narrow, "shuffle_key", [key]).drop("shuffle_key")
+    idx = idx.withColumn("batch_id", F.floor(F.col("row_idx") / batch_size).cast("long"))
+    idx = idx.withColumn("idx_in_batch", F.pmod(F.col("row_idx"), F.lit(batch_size)).cast("int"))
+    of_batch = Window.partitionBy("batch_id")
+    idx = idx.withColumns({WIDTH + n: F.max(WIDTH + n).over(of_batch).cast("int") for n in widths}) if widths else idx
+    return idx if df.columns == [key] else df.join(idx, key)
+
+
 def shard_to_ranks(df: DataFrame, n_ranks: int, order_cols: Sequence[str | Column], repartition: bool = True) -> DataFrame:
     """Spread rows round-robin over ``n_ranks`` workers (``rank = row_idx mod n``)."""
     idx = df if "row_idx" in df.columns else with_row_index(df, order_cols, name="row_idx")

@@ -1,20 +1,27 @@
 """Batch collation: padding to the batch's longest and attention masks (§2.6).
 
-The longest length is a window ``max`` over ``batch_id``. A batch holds ``batch_size`` rows by
+The longest length comes with the rows where ``batching.shuffled_batches`` made the batches (nothing is
+shuffled then), else it is a window ``max`` over ``batch_id``. A batch holds ``batch_size`` rows by
 construction, so the window partitions are bounded no matter how large the table is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from preftable.config import IGNORE_INDEX, SpecialIds
 from preftable.functions.arrays import attention_mask, left_pad, right_pad, unflatten_pair
+from preftable.operators.batching import WIDTH
 
 
-def _batch_max(col: str, batch_col: str):
-    return F.max(F.size(col)).over(Window.partitionBy(batch_col))
+def _batch_max(df: DataFrame, col: str, batch_col: str) -> Column:
+    known = WIDTH + col
+    return F.col(known) if known in df.columns else F.max(F.size(col)).over(Window.partitionBy(batch_col))
+
+
+def _widths(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(WIDTH)]
 
 
 def collate_sft(
@@ -26,7 +33,7 @@ def collate_sft(
     mask_mode: str = "by_pad",
 ) -> DataFrame:
     """Right-pad ids with pad and labels with -100 to the batch max; mask = ``id != pad``."""
-    m = _batch_max(ids_col, batch_col)
+    m = _batch_max(df, ids_col, batch_col)
     pad = ids.pad_id
     out = df.withColumn("__n", F.size(ids_col)).withColumn("__m", m)
     out = (
@@ -35,7 +42,7 @@ def collate_sft(
     )
     out = out.withColumn("attention_mask", attention_mask(F.col("input_ids"), pad, mask_mode, F.col("__n")))
     drop = [c for c in (ids_col, labels_col) if c not in ("input_ids", "labels")]
-    return out.drop("__n", "__m", *drop)
+    return out.drop("__n", "__m", *_widths(df), *drop)
 
 
 def collate_pair(
@@ -57,12 +64,11 @@ def collate_pair(
             .drop("input_ids", "label_ids")
         )
     pad = ids.pad_id
-    w = Window.partitionBy(batch_col)
     out = df
     for side in ("accepts", "rejects"):
         n = f"__n_{side}"
         m = f"__m_{side}"
-        out = out.withColumn(n, F.size(f"{side}_ids")).withColumn(m, F.max(F.size(f"{side}_ids")).over(w))
+        out = out.withColumn(n, F.size(f"{side}_ids")).withColumn(m, _batch_max(df, f"{side}_ids", batch_col))
         out = (
             out.withColumn(f"{side}_input_ids", right_pad(F.col(f"{side}_ids"), F.col(m), pad))
             .withColumn(f"{side}_labels", right_pad(F.col(f"{side}_labels"), F.col(m), IGNORE_INDEX))
@@ -70,7 +76,7 @@ def collate_pair(
         out = out.withColumn(
             f"{side}_attention_mask", attention_mask(F.col(f"{side}_input_ids"), pad, mask_mode, F.col(n))
         ).drop(f"{side}_ids", n, m)
-    return out
+    return out.drop(*_widths(df))
 
 
 def collate_prompts_left(
@@ -78,10 +84,10 @@ def collate_prompts_left(
 ) -> DataFrame:
     """Left-pad prompts to the batch max; mask = ``id != pad`` over the padded ids. Labels are not read."""
     pad = ids.pad_id
-    out = df.withColumn("__m", _batch_max(ids_col, batch_col))
+    out = df.withColumn("__m", _batch_max(df, ids_col, batch_col))
     out = out.withColumn("input_ids", left_pad(F.col(ids_col), F.col("__m"), pad))
     out = out.withColumn("attention_mask", attention_mask(F.col("input_ids"), pad))
-    return out.drop("__m", *([c for c in ("label_ids",) if c in out.columns]))
+    return out.drop("__m", *_widths(df), *([c for c in ("label_ids",) if c in out.columns]))
 
 
 def collate_blocks(df: DataFrame, batch_col: str = "batch_id", ids_col: str = "input_ids") -> DataFrame:

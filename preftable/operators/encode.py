@@ -8,13 +8,15 @@ not one record per token.
 
 Join strategy is chosen from a measured size: a vocabulary of at most ``broadcast_limit`` entries
 (and at most ``BROADCAST_BYTES_LIMIT`` bytes of tokens) is broadcast. A larger one is split: its ``broadcast_limit`` most frequent entries (the lowest ids
-of a frequency-ranked vocabulary such as ``build_vocab``'s) are broadcast, and only the remaining
-rare tokens go through a shuffle join, so a hot token such as "the" never piles up in one shuffle
-partition.
+of a frequency-ranked vocabulary such as ``build_vocab``'s) are broadcast, and the rest of the
+vocabulary is joined to the distinct tokens that missed alone. That dictionary of the tokens really
+needed is written once and broadcast in turn; only one that is too large for it is joined by shuffle,
+with the missed tokens' rows salted, so no token, known or not, piles up in one shuffle partition.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from preftable.config import TOKEN_PATTERN, SpecialIds
 from preftable.operators.indexing import with_row_index
+from preftable.session import scratch_table_path
 
 DEFAULT_BROADCAST_LIMIT = 2_000_000
 
@@ -58,12 +61,20 @@ def build_vocab(
 BROADCAST_BYTES_LIMIT = 512 * 1024 * 1024
 
 
+SALTS = 32  # parts of a missed token's rows where the dictionary of missed tokens is too large to broadcast
+
+
+def _fits(table: DataFrame, broadcast_limit: int) -> tuple[bool, int, int]:
+    """Whether a ``token`` table may be broadcast, its rows and its bytes, measured in one aggregation."""
+    stats = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token") + F.lit(4)).alias("bytes")).first()
+    size, nbytes = int(stats["n"]), int(stats["bytes"] or 0)
+    return size <= broadcast_limit and nbytes <= BROADCAST_BYTES_LIMIT, size, nbytes
+
+
 def _lookup(exploded: DataFrame, vocab: DataFrame, broadcast_limit: int) -> DataFrame:
     v = vocab.select("token", F.col("id").cast("int").alias("__pt_id"))
-    # Measure rows and bytes in one aggregation before deciding to broadcast.
-    stats = v.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token") + F.lit(4)).alias("bytes")).first()
-    size, nbytes = int(stats["n"]), int(stats["bytes"] or 0)
-    if size <= broadcast_limit and nbytes <= BROADCAST_BYTES_LIMIT:
+    fits, size, nbytes = _fits(v, broadcast_limit)
+    if fits:
         return exploded.join(F.broadcast(v), "token", "left")
     floor = vocab.agg(F.min("id")).first()[0]
     # As many of the most frequent entries as fit both limits (average entry size).
@@ -71,9 +82,22 @@ def _lookup(exploded: DataFrame, vocab: DataFrame, broadcast_limit: int) -> Data
     hot = v.filter(F.col("__pt_id") < F.lit(floor + hot_rows))
     cold = v.filter(F.col("__pt_id") >= F.lit(floor + hot_rows))
     first = exploded.join(F.broadcast(hot), "token", "left")
-    hit = first.filter(F.col("__pt_id").isNotNull())
-    miss = first.filter(F.col("__pt_id").isNull()).drop("__pt_id").join(cold, "token", "left")
-    return hit.unionByName(miss)
+    missed = F.col("__pt_id").isNull() & F.col("token").isNotNull() & (F.col("token") != "")
+    # The vocabulary meets each missed token once, however often texts have it, and unknown ones end here.
+    found = first.filter(missed).select("token").distinct().join(cold, "token").withColumnRenamed("__pt_id", "__pt_cold")
+    spark = exploded.sparkSession
+    path = scratch_table_path(spark, f"missed-tokens-{uuid.uuid4().hex}")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    both = F.coalesce("__pt_id", "__pt_cold")
+    if _fits(found, broadcast_limit)[0]:
+        return first.join(F.broadcast(found), "token", "left").withColumn("__pt_id", both).drop("__pt_cold")
+    # Rows of one token are dealt by their other columns, so a frequent one is no single key.
+    others = [c for c in exploded.columns if c != "token"]
+    salted = first.filter(missed).withColumn("__pt_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)))
+    found = found.withColumn("__pt_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    got = salted.join(found, ["token", "__pt_salt"], "left").withColumn("__pt_id", both).drop("__pt_cold", "__pt_salt")
+    return first.filter(~missed).unionByName(got)
 
 
 def _field_filter(i: int):

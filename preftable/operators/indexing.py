@@ -9,8 +9,8 @@ count and broadcasting it is safe.
 
 The range-partitioned, locally numbered rows are written once to a table in the shared checkpoint
 folder (``spark.checkpoint.dir``) and read back: the per-partition counts and the final index then
-come from the same stored rows, so the upstream plan runs once (Spark does not reuse the exchange
-across the two branches), and the lineage is cut, so a lost executor re-reads the table instead
+come from the same stored rows (the upstream plan runs twice at most: range partitioning samples its
+input first), and the lineage is cut, so a lost executor re-reads the table instead
 of recomputing the pipeline.
 
 The ordering key must be unique (append the row key as a tie breaker); then the numbering is
@@ -92,6 +92,22 @@ def with_row_index(
     )
 
 
+def with_hash_index(df: DataFrame, hex_col: str, tie_cols: Sequence[str], name: str = "row_idx") -> DataFrame:
+    """Add the 0-based index of each row in the order of ``hex_col`` (hexadecimal digits of a uniform hash).
+
+    Rows are numbered inside bins of one four-digit prefix, and a histogram of the bins (at most 65,536
+    rows, whatever the table) says how many rows come before each: no sampling, no range partitions.
+    For narrow tables that are cheap to read, as they are read twice; ``tie_cols`` order rows of one hash.
+    """
+    binned = df.withColumn("__pt_bin", F.substring(hex_col, 1, 4))
+    counts = binned.groupBy("__pt_bin").agg(F.count(F.lit(1)).alias(_CNT))
+    before = Window.orderBy("__pt_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pt_bin", F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
+    own = F.row_number().over(Window.partitionBy("__pt_bin").orderBy(hex_col, *tie_cols))
+    placed = binned.withColumn("__pt_rn", own).join(F.broadcast(offsets), "__pt_bin")
+    return placed.withColumn(name, (F.col(_OFF) + F.col("__pt_rn") - 1).cast("long")).drop("__pt_bin", "__pt_rn", _OFF)
+
+
 def with_group_row_number(
     df: DataFrame,
     group_cols: Sequence[str],

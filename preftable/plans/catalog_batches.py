@@ -35,9 +35,14 @@ RANKS = 4
 ACCUM = 8
 
 
-def _batched(df: DataFrame, key: str, epoch: int = 0, batch_size: int = BATCH) -> DataFrame:
-    shuffled = B.shuffle(df, key, SEED, epoch)
-    return B.assign_batches(shuffled, ["shuffle_key", key], batch_size).drop("shuffle_key")
+def _batched(df: DataFrame, key: str, epoch: int = 0, batch_size: int = BATCH, widths: tuple[str, ...] = ()) -> DataFrame:
+    return B.shuffled_batches(df, key, batch_size, SEED, epoch, {c: F.size(c) for c in widths})
+
+
+def _batched_by_order(df: DataFrame, key: str) -> DataFrame:
+    """The same batches by numbering whole rows (``assign_batches``)."""
+    shuffled = B.shuffle(df, key, SEED, 0)
+    return B.assign_batches(shuffled, ["shuffle_key", key], BATCH).drop("shuffle_key")
 
 
 def _row_idx_sql(key: str, epoch: int = 0) -> str:
@@ -62,6 +67,15 @@ def batches(spark: SparkSession, base: str) -> DataFrame:
     return _batched(_sft_examples(spark, base), "example_id").select("example_id", "batch_id", "idx_in_batch")
 
 
+@register(
+    "batches_by_order",
+    f"""WITH {_SFT_IDS}, {_BATCHES_CTE}
+SELECT example_id, batch_id, idx_in_batch FROM bb""",
+)
+def batches_by_order(spark: SparkSession, base: str) -> DataFrame:
+    return _batched_by_order(_sft_examples(spark, base), "example_id").select("example_id", "batch_id", "idx_in_batch")
+
+
 @register(
     "mini_batches",
     f"""WITH {_SFT_IDS}, {_BATCHES_CTE}
@@ -166,7 +180,7 @@ def schedule_max_steps(spark: SparkSession, base: str) -> DataFrame:
 
 def _sft_seq_batched(spark: SparkSession, base: str) -> DataFrame:
     seqs = S.build_sft_sequences(_sft_encoded(spark, base), "prompt_ids", "response_ids", IDS, MAX_PROMPT, MAX_RESPONSE)
-    return _batched(seqs, "example_id")
+    return _batched(seqs, "example_id", widths=("input_ids",))
 
 
 _SFT_SEQ = f"""{_SFT_ENC},
@@ -209,7 +223,8 @@ FROM p""",
 )
 def collate_pair(spark: SparkSession, base: str) -> DataFrame:
     flat = S.flatten_pairs(_pair_sequences(spark, base))
-    b = _batched(flat, "example_id", batch_size=2)
+    half = F.floor(F.size("input_ids") / 2)  # a flat pair is both sides padded to one length
+    b = B.shuffled_batches(flat, "example_id", 2, SEED, 0, {"accepts_ids": half, "rejects_ids": half})
     c = C.collate_pair(b, "batch_id", IDS, flat=True)
     cols = [f"{s}_{k}" for s in ("accepts", "rejects") for k in ("input_ids", "labels", "attention_mask")]
     return c.select("example_id", "batch_id", *[ids_text(F.col(x)).alias(x) for x in cols])
@@ -228,7 +243,7 @@ def _left_batched(spark: SparkSession, base: str) -> DataFrame:
     prompts = S.build_ppo_prompts(
         enc, "prompt_ids", "response_ids", IDS, MAX_PROMPT, MAX_RESPONSE, keep=("example_id", "response_ids")
     ).withColumn("tgt", truncate_ids(F.col("response_ids"), MAX_RESPONSE))
-    return C.collate_prompts_left(_batched(prompts, "example_id"), "batch_id", "input_ids", IDS)
+    return C.collate_prompts_left(_batched(prompts, "example_id", widths=("input_ids",)), "batch_id", "input_ids", IDS)
 
 
 @register(
@@ -249,7 +264,7 @@ p AS (SELECT *, max(len(ids)) OVER (PARTITION BY step) AS m FROM st)
 SELECT example_id, step, {Q.ids_text(Q.rpad('ids', 'm', 0))} AS input_ids, {Q.ids_text(Q.rpad('am', 'm', 0))} AS attention_mask FROM p""",
 )
 def pad_across_shards(spark: SparkSession, base: str) -> DataFrame:
-    b = _sft_seq_batched(spark, base)
+    b = _sft_seq_batched(spark, base).drop(B.WIDTH + "input_ids")
     b = b.withColumn("step", F.floor(F.col("batch_id") / 2).cast("long")).withColumn(
         "attention_mask", F.transform("input_ids", lambda x: F.when(x != IDS.pad_id, 1).otherwise(0))
     )

@@ -566,9 +566,8 @@ SELECT seq, pos, {Q.rnd('logp')} AS logp, {Q.rnd('ent')} AS entropy FROM h""",
 )
 def token_logprobs(spark: SparkSession, base: str) -> DataFrame:
     s = _logit_sequences(spark, base)
-    s = s.withColumn("logp", R.token_logprobs(F.col("logits"), F.col("ids"))).withColumn("entropy", R.token_entropies(F.col("logits")))
-    long = V.explode_tokens(s, ["seq"], ["logp", "entropy"])
-    return long.select("seq", F.col("pos").cast("long").alias("pos"), _r(F.col("logp")).alias("logp"), _r(F.col("entropy")).alias("entropy"))
+    long = s.select("seq", R.token_scores(F.col("logits"), F.col("ids")).alias("x")).select("seq", F.posexplode("x").alias("pos", "x"))
+    return long.select("seq", F.col("pos").cast("long").alias("pos"), _r(F.col("x.logp")).alias("logp"), _r(F.col("x.entropy")).alias("entropy"))
 
 
 @register(

@@ -143,3 +143,78 @@ def test_stream_of_micro_batches_equals_batch(spark, tmp_path):
     # Run again with nothing new: the sink's log has every file once.
     stream_prepare(stream, prepare, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 18
+
+
+@pytest.mark.parametrize("limit", [1_000, 300, 40])
+def test_vocabulary_above_the_limit(spark, limit):
+    rng = random.Random(limit)
+    known = [f"w{i}" for i in range(500)]
+    texts = [None, "", " "] + [" ".join(rng.choices(known, k=20) + ["unknown"] * 10) for _ in range(60)]  # a third of all tokens is one unknown
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(4)
+    vocab = spark.createDataFrame([(w, i + 3) for i, w in enumerate(known)], "token string, id int")
+    got = {r.k: list(r.t_ids) for r in encode(df, "t", vocab, ["k"], broadcast_limit=limit).collect()}
+    ids = {w: i + 3 for i, w in enumerate(known)}
+    assert got == {k: [ids.get(w, 0) for w in (t or "").split()] for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 500])
+def test_shuffled_batches_equal_numbered_rows(spark, n):
+    df = spark.range(n).select(F.col("id").alias("key"), F.expr("transform(sequence(0, int(id % 7)), x -> x)").alias("ids"))
+    rows = B.assign_batches(B.shuffle(df, "key", 5, 1), ["shuffle_key", "key"], 4).drop("shuffle_key")
+    got = B.shuffled_batches(df, "key", 4, 5, 1, {"ids": F.size("ids")})
+    plain = lambda x: sorted((r.key, r.row_idx, r.batch_id, r.idx_in_batch, len(r.ids)) for r in x.collect())
+    assert plain(got) == plain(rows) and len(plain(got)) == n
+    widest = {}
+    for r in rows.collect():
+        widest[r.batch_id] = max(widest.get(r.batch_id, 0), len(r.ids))
+    assert all(r[B.WIDTH + "ids"] == widest[r.batch_id] for r in got.collect())
+    alone = B.shuffled_batches(df.select("key"), "key", 4, 5, 1).collect()
+    assert sorted((r.key, r.row_idx) for r in alone) == sorted((r.key, r.row_idx) for r in rows.collect())
+
+
+def test_collated_by_known_widths(spark):
+    from preftable.operators import collate as C
+
+    df = spark.createDataFrame([(k, [5] * (k % 5 + 1), [7] * (k % 5 + 1)) for k in range(23)], "key long, input_ids array<int>, label_ids array<int>")
+    known = C.collate_sft(B.shuffled_batches(df, "key", 4, 1, 0, {"input_ids": F.size("input_ids")}))
+    window = C.collate_sft(B.shuffled_batches(df, "key", 4, 1, 0))
+    assert sorted(known.columns) == sorted(window.columns) and not [c for c in known.columns if c.startswith(B.WIDTH)]
+    assert sorted(map(str, known.select(sorted(known.columns)).collect())) == sorted(map(str, window.select(sorted(known.columns)).collect()))
+    assert "Window" not in known.select("input_ids")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_token_scores(spark):
+    from preftable.functions import rollout as R
+
+    rng = random.Random(3)
+    rows = [(k, [[rng.uniform(-30, 30) for _ in range(5)] for _ in range(k)], [rng.randrange(5) for _ in range(k)]) for k in (0, 1, 2, 9)]
+    df = spark.createDataFrame(rows, "k int, logits array<array<double>>, ids array<int>")
+    out = df.select("k", R.token_scores(F.col("logits"), F.col("ids")).alias("x"), R.token_logprobs(F.col("logits"), F.col("ids")).alias("p"), R.token_entropies(F.col("logits")).alias("e"))
+    for r in out.collect():
+        assert [x.logp for x in r.x] == pytest.approx(list(r.p)) and [x.entropy for x in r.x] == pytest.approx(list(r.e), abs=1e-9)
+        assert len(r.x) == max(r.k - 1, 0)
+
+
+def test_auxiliary_stream(spark, tmp_path):
+    from preftable.prepare import ppo_streams, prepare_extra, prepare_ppo
+
+    dirs = []
+    for part in range(2):
+        d = tmp_path / f"extra{part}"
+        d.mkdir()
+        dirs.append(str(d))
+        (d / "a.json").write_text("\n".join(json.dumps({"prompt": f"w{i}", "chosen": "w1 w2", "example_id": 100 * part + i}) for i in range(5)))
+        (d / "b.json").write_text("\n".join(json.dumps({"instruction": f"w{i}", "output": ["w3"], "example_id": 100 * part + 50 + i}) for i in range(4)))
+        (d / "t.txt").write_text("\n".join("w1 w2 w3 w4" for _ in range(30)) + "\n")
+    vocab = build_vocab(spark.createDataFrame([(" ".join(f"w{i}" for i in range(9)),)], "text string"))
+    cfg = SequenceConfig(block_size=16)
+    prompts, _ = prepare_ppo(spark, vocab, dirs[0], cfg)
+    sft = prepare_extra(spark, vocab, dirs, "sft", cfg)
+    assert sorted(int(r.extra_id) for r in sft.collect()) == sorted(100 * p + k for p in range(2) for k in (*range(5), *range(50, 54)))
+    text = prepare_extra(spark, vocab, dirs, None, cfg).collect()
+    assert len(text) == 2 * (30 * 5 // 16) and all(len(r.input_ids) == 16 for r in text) and len({r.extra_id for r in text}) == len(text)
+    both = ppo_streams(prompts, sft, 2, 3).collect()
+    assert {r.batch_id for r in both} == set(range(5))  # 9 prompts in 5 batches, 18 records in 6
+    assert sorted(r.example_id for r in both if r.example_id is not None) == sorted(r.example_id for r in prompts.collect())
+    assert sum(r.extra_id is not None for r in both) == 15
+    assert ppo_streams(prompts, None, 2).count() == 9
