@@ -18,6 +18,7 @@ from preftable.operators import metrics as M
 from preftable.operators import objectives as OB
 from preftable.operators.indexing import with_group_row_number
 from preftable.operators.rollout import build_experience, gae_long, normalise_advantages
+from preftable.operators.rollout_long import build_experience_long
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
 from preftable.plans.catalog import register
@@ -148,6 +149,48 @@ def gae_chunks(spark: SparkSession, base: str) -> DataFrame:
     return g.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), _r(F.col("advantage")).alias("advantage"))
 
 
+def _positions(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """The score views' sequences as rows per position, and a row for each sequence; no user's events meet in one row."""
+    s = V._scores(V.table(spark, base, "events"))
+    ranked = with_group_row_number(s.select("seq", "event_id", "actor", "ref", "value"), ["seq"], ["event_id"], name="pos")
+    rows = ranked.select(
+        "seq", "pos", F.col("actor").alias("actor_logp"), F.col("ref").alias("ref_logp"), "value", F.lit(1).alias("sequence_mask"),
+        F.when(F.col("pos") < V.PROMPT_POSITIONS, 0).otherwise(1).alias("response_mask"),
+    )
+    reward = (F.pmod(F.col("seq") * 13, F.lit(41)) - 20).cast("double") / F.lit(10.0)
+    users = s.select("seq").distinct().select("seq", F.floor(F.col("seq") / V.SCORE_BATCH).cast("long").alias("batch_id"), reward.alias("reward"))
+    return rows, users
+
+
+def _experience_long(spark: SparkSession, base: str, norm: bool) -> tuple[DataFrame, DataFrame]:
+    cfg = RolloutConfig(gamma=GAMMA, lam=LAM_CHUNKS, kl_penalty_beta=BETA, kl_penalty_method="abs", use_advantage_norm=norm)
+    return build_experience_long(*_positions(spark, base), cfg, chunk=16, fan=4)
+
+
+_GAE_LONG = f"{_TOK}, {Q.gae_ctes('abs', BETA, GAMMA, LAM_CHUNKS)}"
+
+
+@register(
+    "experience_long",
+    f"""{_GAE_LONG} SELECT seq, pos, {Q.rnd('pen')} AS kl_penalty, {Q.rnd('rkl')} AS rewards_kl, {Q.rnd('v')} AS critic_values,
+       {Q.rnd('a')} AS advantage, {Q.rnd('r')} AS return_value, CAST(ms AS BIGINT) AS mask FROM ret""",
+)
+def experience_long(spark: SparkSession, base: str) -> DataFrame:
+    tokens, _ = _experience_long(spark, base, norm=False)
+    names = {"kl_penalty": "kl_penalty", "rewards_kl": "rewards_kl", "critic_values": "critic_values", "advantages": "advantage", "returns": "return_value"}
+    return tokens.select(F.col("seq").cast("long").alias("seq"), "pos", *[_r(F.col(c)).alias(n) for c, n in names.items()], F.col("mask").cast("long").alias("mask"))
+
+
+@register(
+    "experience_long_sequences",
+    f"""{_TOK} SELECT seq, any_value(batch_id) AS batch_id, {Q.rnd('any_value(reward)')} AS reward_score, {Q.rnd('-sum(actor) / (count(*) + 1e-8)')} AS actor_ce,
+       {Q.rnd('-sum(ref) / (count(*) + 1e-8)')} AS ref_ce FROM tok GROUP BY seq""",
+)
+def experience_long_sequences(spark: SparkSession, base: str) -> DataFrame:
+    _, whole = _experience_long(spark, base, norm=False)
+    return whole.select(F.col("seq").cast("long").alias("seq"), "batch_id", *[_r(F.col(c)).alias(c) for c in ("reward_score", "actor_ce", "ref_ce")])
+
+
 def _whiten_sql(compat: bool) -> str:
     num = "sum(a)" if compat else "sum(a * ms)"
     return f"""{_GAE},
@@ -173,6 +216,12 @@ def whiten_compat(spark: SparkSession, base: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 
+@register("whiten_long", _whiten_sql(False).replace(_GAE, _GAE_LONG))
+def whiten_long(spark: SparkSession, base: str) -> DataFrame:
+    tokens, _ = _experience_long(spark, base, norm=True)
+    return tokens.select(F.col("seq").cast("long").alias("seq"), "pos", _r(F.col("advantages")).alias("advantage"))
+
+
 @register(
     "sequence_ce",
     f"""{_TOK} SELECT seq, {Q.rnd('-sum(actor) / (count(*) + 1e-8)')} AS actor_ce,

@@ -69,3 +69,41 @@ def test_long_sequences_of_many_chunks(spark, gamma, lam):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "seq long, pos long, r double, v double")
     assert gae_long(df, "seq", "pos", "r", "v").count() == 0
+
+
+@pytest.mark.parametrize("norm,compat,chunk", [(False, False, 4), (True, False, 1024), (True, True, 7)])
+def test_experience_of_positions_equals_arrays(spark, norm, compat, chunk):
+    from preftable.config import RolloutConfig
+    from preftable.operators.rollout import build_experience
+    from preftable.operators.rollout_long import build_experience_long
+
+    rng = random.Random(chunk)
+    long, arrays, whole = [], [], []
+    for seq, n in enumerate([1, 2, 9, 30, 400]):  # the last one is most of the rows
+        own = [1] * n if seq != 3 else [1] * 25 + [0] * 5  # padded at its end
+        resp = [0 if i < 3 else own[i] for i in range(n)]
+        xs = [[rng.uniform(-2, 0) for _ in range(n)] for _ in range(3)]
+        long += [(seq, p, xs[0][p], xs[1][p], xs[2][p], own[p], resp[p]) for p in range(n)]
+        arrays.append((seq, seq // 2, own, resp, xs[0][:-1], xs[1][:-1], xs[2], float(seq)))
+        whole.append((seq, seq // 2, float(seq)))
+    cfg = RolloutConfig(lam=0.9, gamma=0.99, kl_penalty_method="mse", reward_score_clip=2.5, use_advantage_norm=norm, compat=compat)
+    rng.shuffle(long)
+    df = spark.createDataFrame(long, "seq long, pos long, actor_logp double, ref_logp double, value double, sequence_mask int, response_mask int")
+    tokens, per = build_experience_long(df, spark.createDataFrame(whole, "seq long, batch_id long, reward double"), cfg, chunk=chunk, fan=3)
+    kinds = "seq long, batch_id long, sequence_mask array<int>, response_mask array<int>, actor_logp array<double>, ref_logp array<double>, critic_values array<double>, reward double"
+    want = {r.seq: r for r in build_experience(spark.createDataFrame(arrays, kinds), cfg, reward_col="reward").collect()}
+    got = {}
+    for r in tokens.collect():
+        got[r.seq, r.pos] = r
+    assert set(got) == {(s, p) for s, r in want.items() for p in range(len(r.sequence_mask) - 1)}
+    for (s, p), r in got.items():
+        w = want[s]
+        for c in ("kl_penalty", "rewards_kl", "critic_values", "advantages", "returns"):
+            if w[c][p] is None or r[c] is None:
+                assert w[c][p] is None and r[c] is None
+            else:
+                assert r[c] == pytest.approx(w[c][p], rel=1e-9, abs=1e-9), (s, p, c)
+    for r in per.collect():
+        w = want[r.seq]
+        assert (r.reward_score, r.quarantine_reason) == (w.reward_score, w.quarantine_reason)
+        assert r.actor_ce == pytest.approx(w.actor_ce) and r.ref_ce == pytest.approx(w.ref_ce)
