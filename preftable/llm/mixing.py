@@ -16,7 +16,7 @@ the others go on in their own proportions. Nothing is repeated or dropped.
 
 Defined cases: a null source is a source of its own; repeated rows get places one by one; null,
 empty and very long texts are rows like others; a table without rows gives no rows; columns that
-clash with the results are replaced, others pass through.
+clash with the results are replaced, others pass through under any name.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s:"), source.cast("string")), F.lit("null"))
 
 
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{c}`" for c in names]
+
+
 def target_units(df: DataFrame, source_col: str = "source", period: int = PERIOD, power: float = 0.5) -> DataFrame:
     """``__k, units``: weights in proportion to ``rows ** power``, in whole units. They share out ``period``
     units, or as many more as give the smallest source ``LEAST_UNITS``: rounding down then changes a source's
@@ -120,27 +124,28 @@ def mix(
     """Every row of ``df`` with its source's ``block``, the block's ``release``, ``deadline`` and ``slot``,
     and the row's ``place`` in the block; reading by (slot, place) gives the mixture."""
     base = df.drop(*RESULTS)
-    return _mixed(base, units, id_col, source_col, block_rows).select(*base.columns, *RESULTS)
+    return _mixed(base, units, id_col, source_col, block_rows).select(*_quoted(base.columns), *RESULTS)
 
 
 def _mixed(df: DataFrame, units: DataFrame | None, id_col: str, source_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The columns of ``df`` that aren't ``RESULTS``, ``RESULTS`` and ``mix_window``."""
     base = df.drop(*RESULTS)
     plan = staged(schedule(target_units(base, source_col) if units is None else units), "mix-plan")
+    inner = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("__row"), F.col(id_col).alias("__i"), F.col(source_col).alias("__s"))
     units_of = plan.filter("__j = 0").select("__k", "units", "period")
-    hashed = base.withColumn("__k", _key(F.col(source_col))).withColumn("__m", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
+    hashed = inner.withColumn("__k", _key(F.col("__s"))).withColumn("__m", F.md5(F.coalesce(F.col("__i").cast("string"), F.lit("")).cast("binary")))
     hashed = hashed.withColumn("__p", F.substring("__m", 1, SPLIT_DIGITS))
     before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = hashed.groupBy("__k", "__p").agg(F.count(F.lit(1)).alias("__n"))
     starts = starts.select("__k", "__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from")).join(units_of, "__k")
-    own = F.row_number().over(Window.partitionBy("__k", "__p").orderBy("__m", id_col)) - 1
+    own = F.row_number().over(Window.partitionBy("__k", "__p").orderBy("__m", "__i")) - 1
     ranked = hashed.withColumn("__own", own).join(starts, ["__k", "__p"]).withColumn("__rank", F.col("__from") + F.col("__own"))
     placed = ranked.withColumn("block", F.floor(F.col("__rank") / block_rows)).withColumn("__j", F.pmod("block", "units"))
     turn = F.floor(F.col("block") / F.col("units")) * F.col("period")
     slots = plan.select("__k", "__j", F.col("release").alias("__r"), F.col("deadline").alias("__d"), "__slot")
     out = placed.join(slots, ["__k", "__j"])  # a row for each slot of the period
     return out.select(
-        *base.columns,
+        *[F.col(f"__row.`{c}`").alias(c) for c in base.columns],
         "block",
         (turn + F.col("__r")).alias("release"),
         (turn + F.col("__d")).alias("deadline"),
@@ -152,11 +157,11 @@ def _mixed(df: DataFrame, units: DataFrame | None, id_col: str, source_col: str,
 
 def in_mixed_order(df: DataFrame, units: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows and columns of ``df``, sorted in the order of the mixture (kept when written)."""
-    return mix(df, units, id_col, source_col).orderBy("slot", "place").select(*df.columns)
+    return mix(df, units, id_col, source_col).orderBy("slot", "place").select(*_quoted(df.columns))
 
 
 def in_windows(df: DataFrame, units: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``in_mixed_order`` with ``mix_window``, the period (from 0) in which a row's block runs: a window holds
     every source in proportion to its units until the source ends."""
     base = df.drop(*RESULTS, WINDOW)
-    return _mixed(base, units, id_col, source_col).orderBy("slot", "place").select(*base.columns, WINDOW)
+    return _mixed(base, units, id_col, source_col).orderBy("slot", "place").select(*_quoted(base.columns), WINDOW)

@@ -14,9 +14,12 @@ Joins are by (conversation, hash) against one original each, and roots are found
 over (conversation, turn), so a conversation with a third of all messages is spread.
 
 Defined cases: null or empty texts have no lines that link; messages with a null conversation or
-turn are their own threads; repeated rows are ordered by their text's hash and share their links; a
-table without rows gives no rows; other columns pass through, and columns that clash with the
-results are replaced.
+turn are their own threads; rows equal in conversation, turn and text are one message when lines are
+read, are ordered by their text's hash and share their links; of several originals the earliest turn is
+linked; a body is the text itself where nothing is quoted, else its remaining lines joined by newlines
+(also where carriage returns parted them); texts of any length are read whole; a table without rows
+gives no rows; other columns pass through under any name, and columns that clash with the results are
+replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ def _lines(text: Column) -> Column:
 def units(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text_col: str = "text") -> DataFrame:
     """``conv, turn, level, hash, size``: every non-empty line and passage of every message, once."""
     rows = df.filter(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.xxhash64(text_col).alias("m"), F.posexplode(_lines(F.col(text_col))).alias("at", "line"))
+    rows = rows.repartition("conv", "turn", "m").dropDuplicates(["conv", "turn", "m", "at"])
     rows = rows.withColumn("level", _level(F.col("line"))).withColumn("norm", _normal(F.regexp_replace("line", MARKS, "")))
     # One message's lines: bounded by its text.
     own = Window.partitionBy("conv", "turn", "m").orderBy("at")
@@ -78,7 +82,9 @@ def roots(parents: DataFrame) -> DataFrame:
 def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text_col: str = "text") -> DataFrame:
     """Every message with ``n_quoted_lines, max_level, n_links, parent_turn, root_turn``, its ``position`` in
     the conversation's reply order (from 0) and its ``body`` without quotes."""
-    base = df.drop(*RESULTS)
+    given = df.drop(*RESULTS)
+    base = given.select(F.struct(*[F.col(f"`{c}`") for c in given.columns]).alias("__row"), F.col(conv).alias("__conv"), F.col(turn).alias("__turn"), F.col(text_col).alias("__text"))
+    columns, (conv, turn, text_col) = given.columns, ("__conv", "__turn", "__text")
     found = staged(links(base, conv, turn, text_col), "quote-links")
     scores = found.filter("level = 1").groupBy("conv", "turn", "original").agg(F.sum("size").alias("size"))
     parents = scores.groupBy("conv", "turn").agg(F.max(F.struct("size", "original"))["original"].alias("parent"))
@@ -88,9 +94,9 @@ def conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     lines = _lines(F.col(text_col))
     quoted = F.filter(lines, lambda x: _level(x) > 0)
     body = F.filter(lines, lambda x: (_level(x) == 0) & ~x.rlike(HEADER))
-    out = base.withColumn("n_quoted_lines", F.size(quoted)).withColumn("max_level", F.coalesce(F.array_max(F.transform(quoted, _level)), F.lit(0))).withColumn("body", F.array_join(F.when(F.col("n_quoted_lines") > 0, body).otherwise(lines), "\n"))
+    out = base.withColumn("n_quoted_lines", F.size(quoted)).withColumn("max_level", F.coalesce(F.array_max(F.transform(quoted, _level)), F.lit(0))).withColumn("body", F.when(F.col("n_quoted_lines") > 0, F.array_join(body, "\n")).otherwise(F.coalesce(F.col(text_col), F.lit(""))))
     tree = tree.select(F.col("conv").alias("__c"), F.col("turn").alias("__t"), "n_links", F.col("parent").alias("parent_turn"), F.col("root").alias("__root"))
     out = out.join(tree, (F.col(conv) == F.col("__c")) & (F.col(turn) == F.col("__t")), "left").drop("__c", "__t")
     out = out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).withColumn("root_turn", F.coalesce("__root", turn)).drop("__root")
     keyed = out.withColumn("__m", F.xxhash64(text_col)).withColumn("__g", F.coalesce(F.col(conv).cast("string"), F.lit("null")))
-    return with_group_row_number(keyed, ["__g"], ["root_turn", turn, "__m"], name="position").select(*base.columns, *RESULTS)
+    return with_group_row_number(keyed, ["__g"], ["root_turn", turn, "__m"], name="position").select(*[F.col(f"__row.`{c}`").alias(c) for c in columns], *RESULTS)

@@ -1,7 +1,9 @@
 """Secret scan with a random forest that removes false findings, in DataFrame operations only.
 
-Candidates are blank-separated words with a digit whose value (what follows ``=`` or ``:``, without
-quotes and closing marks) has at least ``MIN_LENGTH`` characters. Each gets features:
+Candidates are blank-separated words: those with a digit whose value (what follows ``=`` or ``:``, without
+quotes, closing marks and what trails a closing quote) has at least ``MIN_LENGTH`` characters, and, of any
+length and with or without digits, every value named as a key (``password=...``) or after a word that
+names one (``password: ...``). Which of them are secrets is for the forest to say. Each gets features:
 
 * length;
 * character transitions: changes between letters and digits, of case, and runs of one class;
@@ -16,8 +18,10 @@ A forest (Spark ML) is trained on labelled findings, at most ``TRAIN_ROWS`` of t
 bound; all findings are scored). Without labels of both kinds nothing can be learnt and every
 finding is kept, with a null score.
 
-Defined cases: null and empty texts have no findings; repeated rows give their findings again; a
-table without rows gives no rows; other columns are ignored; whole texts are read.
+Defined cases: null and empty texts have no findings; repeated rows give their findings again, as do
+rows that share an id; findings of rows with a null id have no dictionary coverage and those of a null
+source a rate of 0; a score of exactly 0.5 is a secret; a table without rows gives no rows; other columns
+are ignored; whole texts are read.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ MIN_SEEN = 3
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 30, 6, 17
 KEY_WORDS = r"(?i)(passw|pwd|secret|token|api|key|auth|cred)"
+NAMED = r"^([A-Za-z_][A-Za-z0-9_.-]*)(?:=|:(?!//))[\"']?(.+)$"  # an address's scheme is no name
+LABEL = KEY_WORDS + r"[A-Za-z0-9_.-]*[\"']?[=:]$"  # a word that names the next one
 
 FEATURES = (
     "length", "digit_changes", "case_changes", "n_classes", "digit_share", "upper_share", "coverage", "n_slashes",
@@ -45,17 +51,25 @@ FEATURES = (
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``id, source, word_no, name, value, before, after`` of every candidate."""
-    some = df.filter(F.col(text_col).rlike("[0-9]")).select(F.col(id_col), F.col(source_col).alias("source"), F.split(text_col, r"[\x20\x09-\x0D]+").alias("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= MIN_LENGTH) & F.get("w", i).rlike("[0-9]"))
+    some = df.filter(F.col(text_col).rlike("[0-9]") | F.col(text_col).rlike(KEY_WORDS)).select(F.col(id_col), F.col(source_col).alias("source"), F.split(text_col, r"[\x20\x09-\x0D]+").alias("w"))
+    marked = lambda x: x.contains("=") | x.contains(":")
+    at = F.filter(
+        F.sequence(F.lit(0), F.size("w") - 1),
+        lambda i: ((F.length(F.get("w", i)) >= MIN_LENGTH) & F.get("w", i).rlike("[0-9]"))
+        | (marked(F.get("w", i)) & F.get("w", i).rlike(r"^[\"'(\[<]*[A-Za-z0-9_.-]*" + KEY_WORDS + r"[A-Za-z0-9_.-]*[=:]."))
+        | F.coalesce(marked(F.get("w", i - 1)) & F.get("w", i - 1).rlike(LABEL), F.lit(False)),
+    )
     rows = some.select(id_col, "source", "w", F.explode(at).alias("word_no"))
     word = F.regexp_replace(F.get("w", F.col("word_no")), r"^[\"'(\[<]+|[\"')\]>.,;:!?]+$", "")
     before = F.concat_ws(" ", F.get("w", F.col("word_no") - 2), F.get("w", F.col("word_no") - 1))
     rows = rows.select(id_col, "source", "word_no", word.alias("word"), before.alias("before"), F.get("w", F.col("word_no") + 1).alias("after"))
-    named = r"^([A-Za-z_][A-Za-z0-9_.-]*)[=:][\"']?(.+)$"
-    has = F.col("word").rlike(named)
-    rows = rows.withColumn("name", F.when(has, F.regexp_extract("word", named, 1)))
-    rows = rows.withColumn("value", F.when(has, F.regexp_extract("word", named, 2)).otherwise(F.col("word")))
-    return rows.filter((F.length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]")).select(id_col, "source", "word_no", "name", "value", "before", "after")
+    has = F.col("word").rlike(NAMED)
+    rows = rows.withColumn("name", F.when(has, F.regexp_extract("word", NAMED, 1)))
+    value = F.when(has, F.regexp_extract("word", NAMED, 2)).otherwise(F.col("word"))
+    rows = rows.withColumn("value", F.regexp_replace(value, r"[\"'][^\p{L}0-9]*$", ""))
+    keyed = F.coalesce(F.col("name").rlike(KEY_WORDS), F.lit(False)) | F.col("before").rlike(LABEL)
+    whole = (F.length("value") >= MIN_LENGTH) & F.col("value").rlike("[0-9]")
+    return rows.filter(whole | (keyed & (F.length("value") > 0))).select(id_col, "source", "word_no", "name", "value", "before", "after")
 
 
 def dictionary(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -61,7 +61,8 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = co
 
 OP8 = """
 WITH RECURSIVE c AS (SELECT source, pow(count(*), 0.5) AS p FROM documents GROUP BY source),
-u AS (SELECT source, greatest(1, floor(1000 * p / (SELECT sum(p) FROM c)))::BIGINT AS u FROM c),
+s AS (SELECT sum(p) AS t, greatest(1000, ceil(20 * sum(p) / min(p))) AS whole FROM c),
+u AS (SELECT source, floor(whole * p / t)::BIGINT AS u FROM c, s),
 a AS (SELECT list(u ORDER BY source) AS us, list(source ORDER BY source) AS ss, sum(u)::BIGINT AS w FROM u),
 e AS (
   SELECT 0::BIGINT AS t, list_transform(us, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS i, NULL::BIGINT AS j, us, ss, w FROM a
@@ -71,11 +72,11 @@ e AS (
     SELECT *, list_min(list_filter(list_transform(done, lambda x, k: CASE WHEN x < us[k] AND x * w // us[k] <= t
       THEN {'d': ((x + 1) * w + us[k] - 1) // us[k], 'i': k} END), lambda y: y IS NOT NULL)) AS best FROM e WHERE t < w
   )
-), s AS (SELECT ss[i] AS source, us[i] AS u, w, j, t - 1 AS slot FROM e WHERE i IS NOT NULL),
+), z AS (SELECT ss[i] AS source, us[i] AS u, w, j, t - 1 AS slot FROM e WHERE i IS NOT NULL),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rn FROM documents)
-SELECT doc_id, d.source, rn // 8 AS block, (rn // 8) // s.u * w + s.j * w // s.u AS release,
-  (rn // 8) // s.u * w + ((s.j + 1) * w + s.u - 1) // s.u AS deadline, (rn // 8) // s.u * w + s.slot AS slot, rn % 8 AS place
-FROM d JOIN s ON d.source = s.source AND (rn // 8) % s.u = s.j
+SELECT doc_id, d.source, rn // 8 AS block, (rn // 8) // z.u * w + z.j * w // z.u AS release,
+  (rn // 8) // z.u * w + ((z.j + 1) * w + z.u - 1) // z.u AS deadline, (rn // 8) // z.u * w + z.slot AS slot, rn % 8 AS place
+FROM d JOIN z ON d.source = z.source AND (rn // 8) % z.u = z.j
 """
 
 OP3 = rf"""

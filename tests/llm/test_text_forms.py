@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from preftable.llm import fingerprint, infill, packing, simple8b, spelling, tokens
+from preftable.llm import fingerprint, infill, mixing, packing, quotes, secretscan, simple8b, spelling, tokens
 
 SCHEMA = "doc_id long, text string, n long, form string, output string, at long, word string, rest string, key string, head string"
 
@@ -290,3 +290,53 @@ def test_files_and_pieces_of_odd_rows(spark, rows, docs, library):
             assert o == end_
             end_ += n
         assert end_ <= 1024
+
+
+def test_quotes_of_repeated_rows(spark):
+    said = "The first line of what was said.\r\nAnd a second line of it."
+    reply = "On Monday they wrote:\n> The first line of what was said.\n> And a second line of it.\n\nI agree with that."
+    rows = [("c", 1, said), ("c", 2, "Something else entirely."), ("c", 3, reply), ("c", 4, "> I agree with that.\nMe too."), ("c", 5, None), (None, 1, "> x"), ("d", 1, reply)]
+    schema = "conv_id string, turn int, text string"
+    digest = lambda out: {(r.conv_id, r.turn): tuple(r[c] for c in quotes.RESULTS if c != "position") for r in out.collect()}
+    plain = digest(quotes.conversations(spark.createDataFrame(rows, schema)))
+    assert plain["c", 3] == (2, 1, 3, 1, 1, "\nI agree with that.")  # two lines and their passage
+    assert plain["c", 4][2:5] == (1, 3, 1) and plain["c", 1] == (0, 0, 0, None, 1, said) and plain["d", 1][2] == 0
+    for again in ([rows[0]], [rows[2]], rows, rows * 3):
+        out = quotes.conversations(spark.createDataFrame(rows + again, schema).repartition(3))
+        assert digest(out) == plain and out.count() == len(rows + again)
+    # The earliest of equal originals is linked, and any column name passes through.
+    tied = spark.createDataFrame([("c", 0, said, "k", 1), *((*r, "k", 1) for r in rows[:4])], schema + ", __pt_gidx string, level int")
+    got = digest(quotes.conversations(tied))
+    assert got["c", 3][3] == 0 and quotes.conversations(tied).columns[:5] == tied.columns
+    long = spark.createDataFrame([("c", 1, "\n".join(f"line number {i} of many" for i in range(5000))), ("c", 2, "> line number 4999 of many\nyes")], schema)
+    assert digest(quotes.conversations(long))["c", 2][2:4] == (1, 1)
+
+
+def test_mixing_with_any_column_names(spark):
+    rows = [(i, f"s{i % 3}", 7, 8, 9, "x") for i in range(200)] + [(5, "s1", 7, 8, 9, "x")] * 3 + [(None, None, 7, 8, 9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, units int, period int, __r int, `a.b` string")
+    plain = mixing.mix(docs.select("doc_id", "source"))
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, *mixing.RESULTS]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, out.select("doc_id", "source", *mixing.RESULTS).collect())) == sorted(map(key, plain.collect()))
+    assert out.filter("units = 7 and period = 8 and __r = 9").count() == len(rows)
+    assert out.select("slot", "place").distinct().count() == len(rows)  # repeated rows have places of their own
+
+
+def test_candidates_of_secrets(spark):
+    texts = {
+        1: "password=hunter22 and SECRET_KEY=correcthorsebatterystaple here",
+        2: 'set api_key="0123456789abcdef0123"### now, or token: "short" maybe',
+        3: "see https://example.com/path/12345678 for the key idea of tokens",
+        4: "plain words only",
+        5: None,
+        6: "x" * 50_000 + "1 pwd: a",
+    }
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()] + [(1, texts[1], "s")], "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.name, r.value) for r in secretscan.candidates(docs).collect())
+    assert got == Counter({
+        (1, "password", "hunter22"): 2, (1, "SECRET_KEY", "correcthorsebatterystaple"): 2,
+        (2, "api_key", "0123456789abcdef0123"): 1, (2, None, "short"): 1, (3, None, "https://example.com/path/12345678"): 1,
+        (6, None, "x" * 50_000 + "1"): 1, (6, None, "a"): 1,
+    })
