@@ -83,7 +83,7 @@ def gae_long(
     out_col: str = "advantage",
     chunk: int = 1024,
     fan: int = 1024,
-    levels: int = 2,
+    levels: int = 1,
 ) -> DataFrame:
     """GAE over a long ``(seq, pos, reward, value)`` table, linear in T, no whole-sequence task.
 
@@ -91,7 +91,8 @@ def gae_long(
     as if nothing followed it (the array form's scan, so a sequence that fits one chunk gets the same
     values). What position t sends back is ``U_t = γ·V_t + γλ·A_t``, so a chunk is the affine map
     ``U -> (γ·V_0 + γλ·A_0) + (γλ)^len·U`` of what its successor sends, and ``suffix_carries`` finds
-    the value that reaches every chunk through levels of ``fan`` chunks. Then
+    the value that reaches every chunk through ``levels`` of ``fan`` chunks (with one, a row holds an entry
+    for every 2^20 positions of a sequence). Then
     ``A_t = local_t + (γλ)^(len-1-i)·U``. No division, and no self-join for ``V_{t+1}``.
     """
     c = float(gamma) * float(lam)

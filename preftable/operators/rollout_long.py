@@ -42,7 +42,7 @@ def build_experience_long(
     pos: str = "pos",
     chunk: int = 1024,
     fan: int = 1024,
-    levels: int = 2,
+    levels: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """``(tokens, per_sequence)`` from positions ``(seq, pos, actor_logp, ref_logp, value, sequence_mask,
     response_mask)`` and one row ``(seq, batch_id, reward)`` per sequence.

@@ -145,7 +145,7 @@ LAM_CHUNKS = 0.951234567
 def gae_chunks(spark: SparkSession, base: str) -> DataFrame:
     """Sequences of several chunks, chunks of several runs: what chunks send back crosses two levels."""
     t = V.explode_tokens(_experience(spark, base), ["seq"], ["rewards_kl", "critic_values"])
-    g = gae_long(t, "seq", "pos", "rewards_kl", "critic_values", GAMMA, LAM_CHUNKS, chunk=8, fan=4)
+    g = gae_long(t, "seq", "pos", "rewards_kl", "critic_values", GAMMA, LAM_CHUNKS, chunk=8, fan=4, levels=2)
     return g.select(F.col("seq").cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), _r(F.col("advantage")).alias("advantage"))
 
 
@@ -164,7 +164,7 @@ def _positions(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 
 def _experience_long(spark: SparkSession, base: str, norm: bool) -> tuple[DataFrame, DataFrame]:
     cfg = RolloutConfig(gamma=GAMMA, lam=LAM_CHUNKS, kl_penalty_beta=BETA, kl_penalty_method="abs", use_advantage_norm=norm)
-    return build_experience_long(*_positions(spark, base), cfg, chunk=16, fan=4)
+    return build_experience_long(*_positions(spark, base), cfg, chunk=16, fan=4, levels=2)
 
 
 _GAE_LONG = f"{_TOK}, {Q.gae_ctes('abs', BETA, GAMMA, LAM_CHUNKS)}"
