@@ -28,7 +28,7 @@ candidates, and candidates are verified on these.
 
 Defined cases: null, empty and blank texts have no lines with tokens; rows with a null id take no
 part and keep their text; rows that share an id are one document; a table without rows gives no
-rows; other columns pass through. Texts and lines of any length are read whole.
+rows; other columns pass through under any name. Texts and lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -446,14 +446,17 @@ def without_lines(df: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_
     A column ``n_chars`` is set to the new length where lines went.
     """
     ship_package(df.sparkSession)
-    gone = lines.groupBy(F.col(id_col).alias("__id")).agg(F.collect_list("line_no").alias("__gone"))
-    joined = df.join(gone, df[id_col] == gone["__id"], "left").drop("__id")
     names = df.columns
+    key, out_col = "__id", "__gone"
+    while {key, out_col} & {n.lower() for n in names}:
+        key, out_col = f"_{key}", f"_{out_col}"
+    gone = lines.groupBy(F.col(id_col).alias(key)).agg(F.collect_list("line_no").alias(out_col))
+    joined = df.join(gone, df[id_col] == gone[key], "left").drop(key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, out in zip(batch.column(text_col).to_pylist(), batch.column("__gone").to_pylist()):
+            for text, out in zip(batch.column(text_col).to_pylist(), batch.column(out_col).to_pylist()):
                 if out:
                     out = set(out)
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
@@ -463,7 +466,7 @@ def without_lines(df: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_
             cols[text_col] = pa.array(texts, cols[text_col].type)
             if "n_chars" in cols:
                 length = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
-                cols["n_chars"] = pc.if_else(pc.is_valid(batch.column("__gone")), length, cols["n_chars"])
+                cols["n_chars"] = pc.if_else(pc.is_valid(batch.column(out_col)), length, cols["n_chars"])
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=names).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(cut, df.schema)

@@ -42,6 +42,8 @@ from preftable.llm.tokens import encoder
 
 END_ID = 2
 SPAN = 256  # pieces of one window and length that look their placements up together
+SPLIT_PIECES = 100_000  # pieces of the table for each split that numbers those of one length
+BROADCAST_PLACEMENTS = 100_000  # rows of 40 bytes; more are joined by span
 
 
 @dataclass(frozen=True)
@@ -168,12 +170,12 @@ def place(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tuple[int,
     return out
 
 
-def number_within(df: DataFrame, key: str | list[str], order: list[str], name: str) -> DataFrame:
+def number_within(df: DataFrame, key: str | list[str], order: list[str], name: str, rows: int) -> DataFrame:
     """``name``: 0, 1, ... within ``key``. Each key is split by a hash of ``order``: counts per split give
-    where a split begins, so no task holds all rows of a key."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    where a split begins, so no task holds all rows of a key. The splits follow from ``rows``, the table's
+    size, and so the numbers from the rows alone, whatever the session's settings."""
     key = [key] if isinstance(key, str) else key
-    split = df.withColumn("__h", F.pmod(F.xxhash64(*order), F.lit(max(parts, 1))))
+    split = df.withColumn("__h", F.pmod(F.xxhash64(*order), F.lit(1 + rows // SPLIT_PIECES)))
     sizes = split.groupBy(*key, "__h").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*key).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -189,14 +191,26 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), id_col: str = "doc_id")
     """
     spark: SparkSession = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    placed = spark.createDataFrame(place(counts, cap), "length long, __rank long, __size long, __bin long, offset long")
+    found = place(counts, cap)
+    placed = spark.createDataFrame(found, "length long, __rank long, __size long, __bin long, offset long")
     order = [id_col, "piece", "start", *(c for c in ("ids_crc32",) if c in pieces.columns)]
-    ranked = number_within(pieces, "length", order, "__r")
-    hit = (F.col("__r") >= F.col("__rank")) & (F.col("__r") < F.col("__rank") + F.col("__size"))
-    joined = ranked.join(F.broadcast(placed), "length").filter(hit)
+    ranked = number_within(pieces, "length", order, "__r", sum(counts.values()))
+    joined = _looked_up(ranked, placed, ["length"], small=len(found) <= BROADCAST_PLACEMENTS)
     return joined.withColumn("sequence_id", F.col("__bin") + F.col("__r") - F.col("__rank")).drop("__r", "__rank", "__size", "__bin")
 
 
+def _looked_up(ranked: DataFrame, placed: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Each ranked piece with its placement. Few placements are broadcast; else a placement goes to every span
+    of ranks that it meets, so that pieces of one length, however many, stay spread."""
+    if small:
+        both = ranked.join(F.broadcast(placed), keys)
+    else:
+        span = lambda rank: F.floor(rank / SPAN)
+        spread = placed.withColumn("__s", F.explode(F.sequence(span(F.col("__rank")), span(F.col("__rank") + F.col("__size") - 1))))
+        both = ranked.withColumn("__s", span(F.col("__r"))).join(spread, [*keys, "__s"]).drop("__s")
+    return both.filter((F.col("__r") >= F.col("__rank")) & (F.col("__r") < F.col("__rank") + F.col("__size")))
+
+
 def pack_documents(df: DataFrame, vocabulary: str, cap: Capacity = Capacity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every text: ``id, piece, start, length, ids_crc32, sequence_id, offset``."""
     pieces = staged(token_pieces(df, vocabulary, cap.max_tokens, id_col, text_col), "pieces")
@@ -225,11 +239,7 @@ def pack_windows(
     sizes = placed.groupBy("__w").agg(F.max(F.col("__bin") + F.col("__size")).alias("__made"))
     before = Window.orderBy("__w").rowsBetween(Window.unboundedPreceding, -1)  # a row for each window
     firsts = sizes.select("__w", F.coalesce(F.sum("__made").over(before), F.lit(0)).alias("__first"))
-    # Pieces of one window and length stay split by the hash that numbered them: a placement goes to the splits that it spans.
-    ranked = number_within(pieces, ["__w", "length"], [id_col, "piece", "start", "ids_crc32"], "__r")
-    span = F.floor(F.col("__r") / SPAN)
-    spread = placed.withColumn("__s", F.explode(F.sequence(F.floor(F.col("__rank") / SPAN), F.floor((F.col("__rank") + F.col("__size") - 1) / SPAN))))
-    hit = (F.col("__r") >= F.col("__rank")) & (F.col("__r") < F.col("__rank") + F.col("__size"))
-    joined = ranked.withColumn("__s", span).join(spread.join(firsts, "__w"), ["__w", "length", "__s"]).filter(hit)
+    ranked = number_within(pieces, ["__w", "length"], [id_col, "piece", "start", "ids_crc32"], "__r", pieces.count())
+    joined = _looked_up(ranked, placed.join(firsts, "__w"), ["__w", "length"], small=False)
     names = [c for c in pieces.columns if c != "__w"]
     return joined.select(*names, (F.col("__first") + F.col("__bin") + F.col("__r") - F.col("__rank")).alias("sequence_id"), "offset")
