@@ -1,4 +1,4 @@
-"""``corpus_pipeline.run`` against the definition of each stage in plain Python, and the packing's numbering."""
+"""``corpus_pipeline.run`` against the definition of each stage in plain Python, odd tables through all stages, and the packing's numbering."""
 
 import bisect
 import hashlib
@@ -208,6 +208,20 @@ def test_run_is_what_the_stages_say(spark, tmp_path, monkeypatch):
     assert len(by) == sum(sequences_needed(x) for x in lengths.values())
 
 
+def test_odd_tables_through_all_stages(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(40))
+    odd = {
+        "rejected": [(None, None, None, None, None, None, None, None, None)] * 2 + [(1, "", "en", "s", 0, 1, 2, "g", 3)],
+        "repeated": [(1, text, "en", "s", 0, 1, 2, "g", 3)] * 5 + [(None, text, None, None, None, 1, 2, "g", 3)],
+    }
+    found = {}
+    for name, rows in odd.items():
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found[name] = sorted((r.doc_id is None, r.piece, r.offset > 0) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
+    assert found["rejected"] == []
+    assert found["repeated"] == [(False, 0, found["repeated"][0][2]), (True, 0, found["repeated"][1][2])]
+
+
 def test_splits_follow_from_the_rows(spark):
     from preftable.llm import packing
 
