@@ -109,8 +109,9 @@ def token_pieces(
 def place(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tuple[int, int, int, int, int]]:
     """Placements ``(length, rank, n, bin, offset)`` of ``counts[length]`` pieces of each length.
 
-    Sequences that are alike are one entry with the ranges of their numbers, so the work depends on
-    the number of lengths and not on the number of pieces. Raises if a piece fits no empty sequence.
+    The same sequences come out as if one piece after the other took the best sequence with room (ties:
+    the least residual). Sequences that are alike are one entry with the ranges of their numbers, so the
+    work depends on the number of lengths and not on the number of pieces. Raises if a piece fits no empty sequence.
     """
     limits, w = cap.limits, cap.weights
     open_: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
@@ -123,6 +124,9 @@ def place(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tuple[int,
             return -sum(a * (r / c) * (d / c) for a, r, d, c in zip(w, residual, demand, limits))
         return sum(a * ((r - d) / c) ** 2 for a, r, d, c in zip(w, residual, demand, limits))
 
+    def most(residual, demand) -> int:
+        return min(a // d for a, d in zip(residual, demand))
+
     for length in sorted((x for x in counts if counts[x]), reverse=True):
         demand = (length, 1, length * length)
         if any(d > c for d, c in zip(demand, limits)):
@@ -135,38 +139,35 @@ def place(counts: dict[int, int], cap: Capacity = Capacity()) -> list[tuple[int,
                 _, residual = heapq.heappop(queue)
                 if residual not in open_:  # queued twice and used up since
                     continue
-                ranges = open_[residual]
-            else:  # new sequences: as many of this length in each as fit, as one after the other would
-                per = min(c // d for c, d in zip(limits, demand))
-                n = -(-left // per)
-                residual, ranges = limits, [(made, n)]
-                open_[limits] = ranges
+                ranges = open_.pop(residual)
+                by_tokens.pop(bisect.bisect_left(by_tokens, residual))
+                # what a piece leaves has a smaller norm, so the next piece follows it; its product is smaller too
+                each = most(residual, demand) if cap.rule == "residual_norm" else 1
+            else:  # nothing open has room: a new sequence takes pieces until it is full, then the next
+                residual, each = limits, most(limits, demand)
+                n = -(-left // each)
+                ranges = [(made, n)]
                 made += n
-            after = tuple(a - d for a, d in zip(residual, demand))
-            taken: list[tuple[int, int]] = []
+            taken: dict[int, list[tuple[int, int]]] = {}
             while left and ranges:
                 first, n = ranges.pop()
-                use = min(n, left)
-                out.append((length, rank, use, first, cap.max_tokens - residual[0]))
-                taken.append((first, use))
+                use, own = (min(n, left // each), each) if left >= each else (1, left)
+                for k in range(own):
+                    out.append((length, rank, use, first, cap.max_tokens - residual[0] + k * length))
+                    rank += use
+                left -= use * own
+                taken.setdefault(own, []).append((first, use))
                 if use < n:
                     ranges.append((first + use, n - use))
-                rank, left = rank + use, left - use
-            if not ranges:
-                del open_[residual]
-                if (i := bisect.bisect_left(by_tokens, residual)) < len(by_tokens) and by_tokens[i] == residual:
-                    by_tokens.pop(i)
-            elif residual == limits:  # empty sequences that nothing took are numbered last: give them back
-                made -= sum(n for _, n in ranges)
-                del open_[residual]
-            if all(after[k] > 0 for k in range(3)):
-                if after in open_:
-                    open_[after] += taken
-                else:
-                    open_[after] = taken
-                    bisect.insort(by_tokens, after)
-                if left and all(a >= d for a, d in zip(after, demand)):
-                    heapq.heappush(queue, (score(after, demand), after))
+            after = {tuple(a - own * d for a, d in zip(residual, demand)): firsts for own, firsts in taken.items()}
+            for rest, firsts in [*after.items(), (residual, ranges)]:
+                if not firsts or min(rest) <= 0:
+                    continue
+                if rest not in open_:
+                    bisect.insort(by_tokens, rest)
+                open_.setdefault(rest, []).extend(firsts)
+                if left and all(a >= d for a, d in zip(rest, demand)):
+                    heapq.heappush(queue, (score(rest, demand), rest))
     return out
 
 

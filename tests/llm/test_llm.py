@@ -4,6 +4,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -114,6 +115,42 @@ def test_every_capacity_holds(rule):
         assert sum(n for _, n in own) <= 1024 and len(own) <= 4 and sum(n * n for _, n in own) <= 1024 * 1024
 
 
+@pytest.mark.parametrize("rule", ["residual_norm", "dot_product"])
+@pytest.mark.parametrize("weights", [(1.0, 0.0, 0.0), (1.0, 0.1, 0.1), (0.2, 0.5, 1.0)])
+@pytest.mark.parametrize("docs, cost", [(None, None), (5, 500_000)])
+def test_placements_are_one_by_one_best_fit(rule, weights, docs, cost):
+    rng = random.Random(7)
+    cap = packing.Capacity(max_docs=docs, max_cost=cost, weights=weights, rule=rule)
+    top = 1024 if cost is None else 700
+    for lengths in ([rng.randint(1, top) for _ in range(400)], [rng.choice((5, 90, 100, 300)) for _ in range(300)], []):
+        bins = []
+        for n in sorted(lengths, reverse=True):
+            need = (n, 1, n * n)
+            best = None
+            for i, room in enumerate(bins):
+                if all(a >= d for a, d in zip(room, need)):
+                    if rule == "dot_product":
+                        s = -sum(w * (a / c) * (d / c) for w, a, d, c in zip(weights, room, need, cap.limits))
+                    else:
+                        s = sum(w * ((a - d) / c) ** 2 for w, a, d, c in zip(weights, room, need, cap.limits))
+                    best = min(best or (s, room, i), (s, room, i))
+            if best is None:
+                bins.append(cap.limits)
+            i = len(bins) - 1 if best is None else best[2]
+            bins[i] = tuple(a - d for a, d in zip(bins[i], need))
+        own = {}
+        for length, _, n, first, offset in packing.place(dict(Counter(lengths)), cap):
+            for b in range(first, first + n):
+                own.setdefault(b, []).append((offset, length))
+        left = []
+        for placed in own.values():
+            placed.sort()
+            assert [o for o, _ in placed] == [sum(n for _, n in placed[:i]) for i in range(len(placed))]
+            used = (sum(n for _, n in placed), len(placed), sum(n * n for _, n in placed))
+            left.append(tuple(c - u for c, u in zip(cap.limits, used)))
+        assert sorted(left) == sorted(bins) and sorted(own) == list(range(len(own)))
+
+
 def test_token_counts(odd, empty):
     scores, byte = tokencount.read_pieces(tokencount.default_pieces())
 
