@@ -18,7 +18,7 @@ from preftable.operators.encode import encode_rows, inline_vocabulary
 from preftable.operators.normalise import split_quarantine, to_sft_text
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
-from preftable.plans.catalog import _PAIR_ENC, _SFT_ENC, IDS, MAX_PROMPT, MAX_RESPONSE, ORACLES, TEMPLATE, register
+from preftable.plans.catalog import _PAIR_ENC, _SFT_ENC, BLOCK, IDS, MAX_PROMPT, MAX_RESPONSE, ORACLES, TEMPLATE, register
 from preftable.session import scratch_table_path
 from preftable.sources.readers import RAW_SCHEMA, read_json_dir, read_text_dir
 from preftable.sources.sinks import materialise
@@ -182,6 +182,49 @@ def prepare_pairs_end_to_end(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select("example_id", "split", ids_text(F.col("input_ids")).alias("input_ids"), ids_text(F.col("label_ids")).alias("label_ids"))
 
 
+FILE_DOCS = 1000  # documents in each text file
+BATCH_LINES = 100  # lines of a file that are packed together
+
+
+@register(
+    "prepare_pretrain_end_to_end",
+    f"""WITH {Q.VOCAB_CTE},
+ln AS (
+  SELECT row_number() OVER (ORDER BY doc_id, k) AS lid, doc_id // {FILE_DOCS} AS file_no,
+         row_number() OVER (PARTITION BY doc_id // {FILE_DOCS} ORDER BY doc_id, k) - 1 AS line_no, line
+  FROM (SELECT doc_id, l.line, l.k
+        FROM documents, unnest(string_split(coalesce(text, ''), chr(10))) WITH ORDINALITY AS l(line, k)) x),
+{Q.encode_cte('enc', 'ln', 'lid', 'line')},
+g AS (
+  SELECT file_no, line_no // {BATCH_LINES} AS group_id, u.id,
+         row_number() OVER (PARTITION BY file_no, line_no // {BATCH_LINES} ORDER BY line_no, u.k) - 1 AS gpos,
+         count(*) OVER (PARTITION BY file_no, line_no // {BATCH_LINES}) AS tot
+  FROM ln JOIN enc USING (lid), unnest(list_concat([1], enc.ids)) WITH ORDINALITY AS u(id, k)),
+kept AS (
+  SELECT file_no, group_id, gpos // {BLOCK} AS block_id, gpos, id FROM g
+  WHERE tot < {BLOCK} OR gpos < (tot // {BLOCK}) * {BLOCK})
+SELECT file_no, group_id, block_id, count(*) AS n_ids, array_to_string(list(id ORDER BY gpos), ' ') AS input_ids
+FROM kept GROUP BY file_no, group_id, block_id""",
+)
+def prepare_pretrain_end_to_end(spark: SparkSession, base: str) -> DataFrame:
+    """Text files of up to a thousand documents each, numbered by line and packed in runs of lines."""
+    from preftable.config import SequenceConfig
+    from preftable.prepare import prepare_pretrain
+
+    src = _scratch(spark, "pretrain-text")
+    docs = V.table(spark, base, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / FILE_DOCS).cast("long").alias("file_no"))
+    docs = docs.repartition("file_no").sortWithinPartitions("file_no", "doc_id").drop("doc_id")
+    docs.write.partitionBy("file_no").text(src)
+    blocks = prepare_pretrain(spark, V.document_vocab(spark, base), f"{src}/file_no=*", SequenceConfig(block_size=BLOCK), BATCH_LINES)
+    return blocks.select(
+        F.regexp_extract("file", "file_no=([0-9]+)/", 1).cast("long").alias("file_no"),
+        "group_id",
+        "block_id",
+        F.size("input_ids").cast("long").alias("n_ids"),
+        ids_text(F.col("input_ids")).alias("input_ids"),
+    )
+
+
 _EXTRA_SIZE = 3
 
 
