@@ -7,6 +7,8 @@ compiles into the surrounding whole-stage-codegen stage and never shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,18 +116,27 @@ def whiten(x: Column, mean: Column, var: Column, shift_mean: bool = True, eps: f
     return F.transform(x, lambda v: (v - mean) * scale + mean)
 
 
+def _by_log_sum_exp(logits: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the log-sum-exp of one position, which is computed once, not again for each logit."""
+
+    def by_max(m: Column) -> Column:
+        return let(m + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))), use)
+
+    return let(F.array_max(logits), by_max)
+
+
 def log_softmax_at(logits: Column, label: Column) -> Column:
     """Log-probability of ``label`` under ``softmax(logits)`` for one position."""
-    m = F.array_max(logits)
-    lse = m + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
-    return F.get(logits, label) - lse
+    return _by_log_sum_exp(logits, lambda lse: F.get(logits, label) - lse)
 
 
 def entropy(logits: Column) -> Column:
     """``-Σ p·log p`` of ``softmax(logits)`` for one position."""
-    m = F.array_max(logits)
-    lse = m + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
-    return -F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - lse) * (v - lse))
+
+    def by_lse(lse: Column) -> Column:
+        return -F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - lse) * (v - lse))
+
+    return _by_log_sum_exp(logits, by_lse)
 
 
 def token_logprobs(logits: Column, ids: Column) -> Column:
