@@ -2,16 +2,17 @@
 
 ``encode`` explodes each text into ``(key, field, position, token)`` rows, looks tokens up with an
 equi-join on the vocabulary and folds the ids back into one array per row. The fold is a
-``collect_list`` grouped by the row key: all tokens of a row are produced in the same task, so the
-partial (map-side) aggregate already holds the whole list and the shuffle moves one array per row,
-not one record per token.
+``collect_list`` grouped by the row key, of one number per token (``packed``): all tokens of a row are
+produced in the same task, so the partial (map-side) aggregate already holds the whole list and the
+shuffle moves one array per row, not one record per token.
 
 Join strategy is chosen from a measured size: a vocabulary of at most ``broadcast_limit`` entries
 (and at most ``BROADCAST_BYTES_LIMIT`` bytes of tokens) is broadcast. A larger one is split: its ``broadcast_limit`` most frequent entries (the lowest ids
 of a frequency-ranked vocabulary such as ``build_vocab``'s) are broadcast, and the rest of the
 vocabulary is joined to the distinct tokens that missed alone. That dictionary of the tokens really
-needed is written once and broadcast in turn; only one that is too large for it is joined by shuffle,
-with the missed tokens' rows salted, so no token, known or not, piles up in one shuffle partition.
+needed is written once, with each one's rows, and broadcast in turn. Of one that is too large for it the
+tokens with very many rows are broadcast and the others joined by shuffle, so no token, known or not,
+piles up in one shuffle partition and the dictionary is never copied.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def build_vocab(
 BROADCAST_BYTES_LIMIT = 512 * 1024 * 1024
 
 
-SALTS = 32  # parts of a missed token's rows where the dictionary of missed tokens is too large to broadcast
+HEAVY_ROWS = 100_000  # rows from which a missed token is looked up by broadcast, so that it is no shuffle key
 
 
 def _fits(table: DataFrame, broadcast_limit: int) -> tuple[bool, int, int]:
@@ -71,7 +72,7 @@ def _fits(table: DataFrame, broadcast_limit: int) -> tuple[bool, int, int]:
     return size <= broadcast_limit and nbytes <= BROADCAST_BYTES_LIMIT, size, nbytes
 
 
-def _lookup(exploded: DataFrame, vocab: DataFrame, broadcast_limit: int) -> DataFrame:
+def _lookup(exploded: DataFrame, vocab: DataFrame, broadcast_limit: int, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     v = vocab.select("token", F.col("id").cast("int").alias("__pt_id"))
     fits, size, nbytes = _fits(v, broadcast_limit)
     if fits:
@@ -83,26 +84,74 @@ def _lookup(exploded: DataFrame, vocab: DataFrame, broadcast_limit: int) -> Data
     cold = v.filter(F.col("__pt_id") >= F.lit(floor + hot_rows))
     first = exploded.join(F.broadcast(hot), "token", "left")
     missed = F.col("__pt_id").isNull() & F.col("token").isNotNull() & (F.col("token") != "")
-    # The vocabulary meets each missed token once, however often texts have it, and unknown ones end here.
-    found = first.filter(missed).select("token").distinct().join(cold, "token").withColumnRenamed("__pt_id", "__pt_cold")
+    # The vocabulary meets each missed token once, however often texts have it; of the unknown ones those
+    # with many rows stay, without an id.
+    found = first.filter(missed).groupBy("token").agg(F.count(F.lit(1)).alias("__pt_n"))
+    found = found.join(cold.withColumnRenamed("__pt_id", "__pt_cold"), "token", "left")
+    found = found.filter(F.col("__pt_cold").isNotNull() | (F.col("__pt_n") >= heavy_rows))
     spark = exploded.sparkSession
     path = scratch_table_path(spark, f"missed-tokens-{uuid.uuid4().hex}")
     found.write.parquet(path)
     found = spark.read.schema(found.schema).parquet(path)
+    known = found.filter(F.col("__pt_cold").isNotNull()).drop("__pt_n")
     both = F.coalesce("__pt_id", "__pt_cold")
-    if _fits(found, broadcast_limit)[0]:
-        return first.join(F.broadcast(found), "token", "left").withColumn("__pt_id", both).drop("__pt_cold")
-    # Rows of one token are dealt by their other columns, so a frequent one is no single key.
-    others = [c for c in exploded.columns if c != "token"]
-    salted = first.filter(missed).withColumn("__pt_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)))
-    found = found.withColumn("__pt_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    got = salted.join(found, ["token", "__pt_salt"], "left").withColumn("__pt_id", both).drop("__pt_cold", "__pt_salt")
-    return first.filter(~missed).unionByName(got)
+    if _fits(known, broadcast_limit)[0]:
+        return first.join(F.broadcast(known), "token", "left").withColumn("__pt_id", both).drop("__pt_cold")
+    # The few tokens with very many rows, known or not, are broadcast: there are at most rows / heavy_rows of
+    # them. Each other known one has a bounded number of rows, and only their rows are shuffled by token.
+    heavy = found.filter(F.col("__pt_n") >= heavy_rows).select("token", "__pt_cold", F.lit(True).alias("__pt_heavy"))
+    light = known.join(heavy.select("token"), "token", "left_anti")
+    first = first.join(F.broadcast(heavy), "token", "left").withColumn("__pt_id", both).drop("__pt_cold")
+    missed = missed & F.col("__pt_heavy").isNull()
+    got = first.filter(missed).drop("__pt_heavy").join(light, "token", "left").withColumn("__pt_id", both).drop("__pt_cold")
+    return first.filter(~missed).drop("__pt_heavy").unionByName(got)
 
 
-def _field_filter(i: int):
-    # A one-argument lambda: PySpark reads a second parameter as the element index.
-    return lambda x: (x["f"] == F.lit(i)) & x["id"].isNotNull()
+# A token's place and id as one number: shuffles and sorts move eight bytes for a token, not a struct.
+_ID_SHIFT = 1 << 31
+
+
+def packed(place: Column, token_id: Column) -> Column:
+    """``place`` (0 to 2**31 - 1) and an int id in one long, ordered by place, then id; null if the id is."""
+    return F.shiftleft(place.cast("long"), 32) + (token_id.cast("long") + F.lit(_ID_SHIFT))
+
+
+def unpacked_ids(numbers: Column) -> Column:
+    """The ids of an array of ``packed`` numbers, in the numbers' order."""
+    return F.transform(F.sort_array(numbers), lambda x: (x.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(_ID_SHIFT)).cast("int"))
+
+
+def _pieces(df: DataFrame, cols: list[str], keys: list[str], pattern: str, max_ids: int | dict[str, int] | None) -> DataFrame:
+    """``(keys…, f, pos, token)``: a row for each piece of each text, at least one for each text."""
+    fields = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("string").alias("t")) for i, c in enumerate(cols)])
+    exploded = (
+        df.select(*keys, F.inline(fields))
+        .select(*keys, "f", tokens(F.col("t"), pattern).alias("__pieces"))
+        .select(
+            *keys,
+            "f",
+            (F.get(F.col("__pieces"), 0) == F.lit("")).cast("int").alias("__lead"),
+            F.posexplode_outer("__pieces").alias("pos", "token"),
+        )
+    )
+    if max_ids is not None:
+        limits = max_ids if isinstance(max_ids, dict) else {c: max_ids for c in cols}
+        limit = F.lit(None).cast("long")
+        for i, c in enumerate(cols):
+            if c in limits:
+                limit = F.when(F.col("f") == i, F.lit(int(limits[c]))).otherwise(limit)
+        # Empty pieces (first/last only) stay so every row survives; real tokens past the limit go.
+        dense = F.col("pos") - F.coalesce(F.col("__lead"), F.lit(0))
+        exploded = exploded.filter(
+            limit.isNull() | F.col("token").isNull() | (F.col("token") == "") | (dense < limit)
+        )
+    return exploded.drop("__lead")
+
+
+def _piece_id(ids: SpecialIds) -> Column:
+    """A looked-up piece's id: the unknown token's without an entry, null for an empty piece."""
+    empty = F.col("token").isNull() | (F.col("token") == "")
+    return F.when(empty, F.lit(None).cast("int")).otherwise(F.coalesce(F.col("__pt_id"), F.lit(ids.unk)))
 
 
 def encode(
@@ -130,41 +179,14 @@ def encode(
     """
     cols = [text_cols] if isinstance(text_cols, str) else list(text_cols)
     keys = list(key_cols) + list(passthrough)
-    fields = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("string").alias("t")) for i, c in enumerate(cols)])
-    exploded = (
-        df.select(*keys, F.inline(fields))
-        .select(*keys, "f", tokens(F.col("t"), pattern).alias("__pieces"))
-        .select(
-            *keys,
-            "f",
-            (F.get(F.col("__pieces"), 0) == F.lit("")).cast("int").alias("__lead"),
-            F.posexplode_outer("__pieces").alias("pos", "token"),
-        )
-    )
-    if max_ids is not None:
-        limits = max_ids if isinstance(max_ids, dict) else {c: max_ids for c in cols}
-        limit = F.lit(None).cast("long")
-        for i, c in enumerate(cols):
-            if c in limits:
-                limit = F.when(F.col("f") == i, F.lit(int(limits[c]))).otherwise(limit)
-        # Empty pieces (first/last only) stay so every row survives; real tokens past the limit go.
-        dense = F.col("pos") - F.coalesce(F.col("__lead"), F.lit(0))
-        exploded = exploded.filter(
-            limit.isNull() | F.col("token").isNull() | (F.col("token") == "") | (dense < limit)
-        )
-    exploded = exploded.drop("__lead")
+    exploded = _pieces(df, cols, keys, pattern, max_ids)
     joined = _lookup(exploded, vocab, broadcast_limit)
-    tok_id = F.when(F.col("token").isNull() | (F.col("token") == ""), F.lit(None).cast("int")).otherwise(
-        F.coalesce(F.col("__pt_id"), F.lit(ids.unk))
-    )
-    grouped = joined.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("f"), F.col("pos"), tok_id.alias("id")))).alias("__pt_toks")
-    )
-    out = [
-        F.transform(F.filter(F.col("__pt_toks"), _field_filter(i)), lambda x: x["id"]).alias(f"{c}{out_suffix}")
-        for i, c in enumerate(cols)
-    ]
-    return grouped.select(*keys, *out)
+    # Only keys and numbers reach the fold, so its sorts hold no token text. An empty piece's number is
+    # null: lists leave it out, its row stays.
+    numbers = joined.select(*keys, "f", packed(F.col("pos"), _piece_id(ids)).alias("__pt_tok"))
+    of_field = [F.col("__pt_tok") if len(cols) == 1 else F.when(F.col("f") == i, F.col("__pt_tok")) for i in range(len(cols))]
+    grouped = numbers.groupBy(*keys).agg(*[F.collect_list(x).alias(f"__pt_toks_{i}") for i, x in enumerate(of_field)])
+    return grouped.select(*keys, *[unpacked_ids(F.col(f"__pt_toks_{i}")).alias(f"{c}{out_suffix}") for i, c in enumerate(cols)])
 
 
 # Upper bound on the vocabulary bytes that are written into a plan.
