@@ -16,6 +16,7 @@ from preftable.functions.arrays import (
     truncate_ids,
     unflatten_pair,
 )
+from preftable.operators.encode import packed, unpacked_ids
 
 
 def build_sft_sequences(
@@ -171,6 +172,19 @@ def build_ppo_prompt(df: DataFrame, source: str = "prompt_ids", target: str = "r
     return build_ppo_prompts(df, source, target, ids, **kw)
 
 
+def row_starts(lengths: DataFrame, group_cols: Sequence[str], order_col: str, length_col: str = "n_ids") -> DataFrame:
+    """Each row's first position in its group's stream and the group's number of ids (``__st``, ``__tot``),
+    from row lengths: prefix sums over the rows of a pack group (a bounded map batch)."""
+    g = list(group_cols)
+    before = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    return lengths.select(
+        *g,
+        order_col,
+        F.coalesce(F.sum(length_col).over(before), F.lit(0)).cast("long").alias("__st"),
+        F.sum(length_col).over(Window.partitionBy(*g)).cast("long").alias("__tot"),
+    )
+
+
 def pack_blocks_long(
     tokens: DataFrame,
     group_cols: Sequence[str],
@@ -186,33 +200,27 @@ def pack_blocks_long(
     each group's last, short block as well.
 
     ``lengths`` (``group…, order, n_ids``), when the caller can compute row lengths cheaply from
-    the source (``encode.token_count``), saves counting them from the token table.
+    the source (``encode.token_count``), saves counting them from the token table. A caller that has
+    the texts' rows joins ``row_starts`` to them and hands tokens with ``__st`` and ``__tot`` in: then
+    tokens are shuffled once, by block, and not joined at all.
 
-    Row lengths are a per-row count (map-side combined); row starts are prefix sums over the
-    rows of a pack group (a bounded map batch); each token gets its position in the group's
-    stream by a join on the row key and is regrouped by block. No task ever holds a whole row, so
-    a single huge text is spread over its blocks.
+    Row lengths are a per-row count (map-side combined); each token gets its position in the group's
+    stream from its row's start and is regrouped by block as one number (``encode.packed``). No task
+    ever holds a whole row's ids, so a single huge text is spread over its blocks.
     """
     b = int(block_size)
     if b < 1:
         raise ValueError("block_size must be positive")
     g = list(group_cols)
-    if lengths is None:
-        lens = tokens.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias("__n"))
+    if {"__st", "__tot"} <= set(tokens.columns):
+        t = tokens
     else:
-        lens = lengths.select(*g, order_col, F.col(length_col).alias("__n"))
-    before = Window.partitionBy(*g).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    starts = lens.select(
-        *g,
-        order_col,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__st"),
-        F.sum("__n").over(Window.partitionBy(*g)).cast("long").alias("__tot"),
-    )
-    t = tokens.join(starts, [*g, order_col]).withColumn("__g", F.col("__st") + F.col(pos_col))
+        if lengths is None:
+            lengths = tokens.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias(length_col))
+        t = tokens.join(row_starts(lengths, g, order_col, length_col), [*g, order_col])
+    at = F.col("__st") + F.col(pos_col)
     if not keep_rest:
-        t = t.filter((F.col("__tot") < b) | (F.col("__g") < F.floor(F.col("__tot") / b) * b))
-    blocks = t.groupBy(*g, F.floor(F.col("__g") / b).cast("long").alias("block_id")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__g"), F.col(id_col)))).alias("__p")
-    )
-    ids = F.transform(F.col("__p"), lambda x: x[id_col])
-    return blocks.select(*g, "block_id", ids.alias("input_ids"), ids.alias("label_ids"))
+        t = t.filter((F.col("__tot") < b) | (at < F.floor(F.col("__tot") / b) * b))
+    numbers = t.select(*g, F.floor(at / b).cast("long").alias("block_id"), packed(F.pmod(at, F.lit(b)), F.col(id_col)).alias("__tok"))
+    blocks = numbers.groupBy(*g, "block_id").agg(unpacked_ids(F.collect_list("__tok")).alias("input_ids"))
+    return blocks.select(*g, "block_id", "input_ids", F.col("input_ids").alias("label_ids"))

@@ -302,9 +302,10 @@ def pt_blocks(spark: SparkSession, base: str) -> DataFrame:
 def pt_blocks_long(spark: SparkSession, base: str) -> DataFrame:
     docs = V.table(spark, base, "documents", spread=True).select("doc_id", "text")
     docs = docs.withColumn("group_id", F.floor(F.col("doc_id") / PACK_GROUP).cast("long"))
-    toks = encode_long(docs, "text", V.document_vocab(spark, base), ["doc_id", "group_id"], IDS, with_bos=True)
     lengths = docs.select("group_id", "doc_id", token_count(F.col("text"), with_bos=True).alias("n_ids"))
-    blocks = S.pack_blocks_long(toks, ["group_id"], "doc_id", "pos", "id", BLOCK, lengths=lengths)
+    docs = docs.join(S.row_starts(lengths, ["group_id"], "doc_id"), ["group_id", "doc_id"])
+    toks = encode_long(docs, "text", V.document_vocab(spark, base), ["doc_id", "group_id", "__st", "__tot"], IDS, with_bos=True)
+    blocks = S.pack_blocks_long(toks, ["group_id"], "doc_id", "pos", "id", BLOCK)
     return blocks.select(
         "group_id", "block_id", F.size("input_ids").cast("long").alias("n_ids"), ids_text(F.col("input_ids")).alias("input_ids")
     )

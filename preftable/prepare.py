@@ -201,6 +201,7 @@ def prepare_pretrain(
     """
     lines = read_text_dir(spark, text_dir)
     lines = lines.withColumn("group_id", F.floor(F.col("line_no") / batch_rows).cast("long"))
-    toks = encode_long(lines, "text", vocab, ["file", "line_no", "group_id"], cfg.ids, with_bos=True)
     lengths = lines.select("file", "group_id", "line_no", token_count(F.col("text"), with_bos=True).alias("n_ids"))
-    return S.pack_blocks_long(toks, ["file", "group_id"], "line_no", "pos", "id", cfg.block_size, lengths=lengths)
+    lines = lines.join(S.row_starts(lengths, ["file", "group_id"], "line_no"), ["file", "group_id", "line_no"])
+    toks = encode_long(lines, "text", vocab, ["file", "line_no", "group_id", "__st", "__tot"], cfg.ids, with_bos=True)
+    return S.pack_blocks_long(toks, ["file", "group_id"], "line_no", "pos", "id", cfg.block_size)

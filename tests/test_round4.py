@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from preftable.operators.encode import _lookup, encode
+from preftable.operators import sequences as S
+from preftable.operators.encode import _lookup, build_vocab, encode, encode_long, token_count
 
 
 @pytest.mark.parametrize("heavy", [1, 30, 10_000])
@@ -32,6 +33,23 @@ def test_encode_folds_numbers(spark):
     assert "collect_list(struct" not in enc._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pack_blocks_long_by_known_starts(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(d, d // 4, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(30)))) for d in range(20)], "d long, g long, t string")
+    vocab = build_vocab(df, "t")
+    lengths = df.select("g", "d", token_count(F.col("t"), with_bos=True).alias("n_ids"))
+    plain = encode_long(df, "t", vocab, ["d", "g"], with_bos=True)
+    starts = df.join(S.row_starts(lengths, ["g"], "d"), ["g", "d"])
+    known = encode_long(starts, "t", vocab, ["d", "g", "__st", "__tot"], with_bos=True)
+    for keep_rest in (False, True):
+        want = S.pack_blocks_long(plain, ["g"], "d", block_size=7, keep_rest=keep_rest)
+        got = S.pack_blocks_long(known, ["g"], "d", block_size=7, keep_rest=keep_rest)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    stored = spark.createDataFrame(known.collect(), known.schema)
+    plan = S.pack_blocks_long(stored, ["g"], "d", block_size=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list(struct" not in plan
+
+
 def test_log_sum_exp_is_computed_once(spark):
     from preftable.functions import rollout as R
 
