@@ -290,7 +290,7 @@ def collate_blocks(spark: SparkSession, base: str) -> DataFrame:
     enc = encode_with_specials(docs, "text", V.document_vocab(spark, base), ["doc_id"], IDS, out="input_ids")
     enc = enc.withColumn("group_id", F.floor(F.col("doc_id") / PACK_GROUP).cast("long"))
     blocks = S.pack_blocks(enc, ["group_id"], "doc_id", "input_ids", BLOCK)
-    b = B.assign_batches(blocks, ["group_id", "block_id"], BATCH)
+    b = B.assign_batches(blocks.drop("label_ids"), ["group_id", "block_id"], BATCH)
     return C.collate_blocks(b, "batch_id").select("group_id", "block_id", "batch_id", "uniform_length")
 
 
@@ -312,7 +312,7 @@ def collate_blocks_ids(spark: SparkSession, base: str) -> DataFrame:
     lengths = docs.select("group_id", "doc_id", token_count(F.col("text"), with_bos=True).alias("n_ids"))
     docs = docs.join(S.row_starts(lengths, ["group_id"], "doc_id"), ["group_id", "doc_id"])
     toks = encode_long(docs, "text", V.document_vocab(spark, base), ["doc_id", "group_id", "__st", "__tot"], IDS, with_bos=True)
-    blocks = S.pack_blocks_long(toks, ["group_id"], "doc_id", "pos", "id", BLOCK, keep_rest=True)
+    blocks = S.pack_blocks_long(toks, ["group_id"], "doc_id", "pos", "id", BLOCK, keep_rest=True).drop("label_ids")
     c = C.collate_blocks(B.assign_batches(blocks, ["group_id", "block_id"], BATCH), "batch_id")
     return c.select("group_id", "block_id", "batch_id", ids_text(F.col("input_ids")).alias("input_ids"), "uniform_length")
 

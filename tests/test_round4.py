@@ -50,6 +50,19 @@ def test_pack_blocks_long_by_known_starts(spark):
     assert "Join" not in plan and "collect_list(struct" not in plan
 
 
+@pytest.mark.parametrize("name", ["collate_blocks", "collate_blocks_ids"])
+def test_blocks_are_numbered_without_labels(spark, tmp_path, monkeypatch, name):
+    from preftable.operators import batching
+    from preftable.plans import registry
+
+    seen = []
+    whole = batching.assign_batches
+    monkeypatch.setattr(batching, "assign_batches", lambda df, *a, **k: seen.append(df.columns) or whole(df, *a, **k))
+    spark.createDataFrame([(d, "a b c " * 50) for d in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert len(got) == 9 * 151 // 256 + (name == "collate_blocks_ids") and seen == [["group_id", "block_id", "input_ids"]]
+
+
 def test_log_sum_exp_is_computed_once(spark):
     from preftable.functions import rollout as R
 
