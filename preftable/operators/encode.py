@@ -20,8 +20,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from preftable.config import TOKEN_PATTERN, SpecialIds
 from preftable.operators.indexing import with_row_index
@@ -237,6 +241,54 @@ def encode_rows(
     return out
 
 
+def encode_stream(
+    stream: DataFrame,
+    text_cols: str | Sequence[str],
+    vocab: DataFrame,
+    passthrough: Sequence[str],
+    ids: SpecialIds = SpecialIds(),
+    out_suffix: str = "_ids",
+    broadcast_limit: int = DEFAULT_BROADCAST_LIMIT,
+    pattern: str = TOKEN_PATTERN,
+    max_ids: int | dict[str, int] | None = None,
+) -> DataFrame:
+    """``encode`` on a stream, for a vocabulary of any size: ``passthrough`` and the encoded columns of each row.
+
+    Tokens meet the vocabulary table in stream-static joins: up to ``broadcast_limit`` entries (and
+    ``BROADCAST_BYTES_LIMIT`` bytes) are broadcast, the rest is joined by shuffle, so the vocabulary is
+    neither a constant of the plan nor collected. Each row gets a name of its own and its ids are folded
+    under it inside the micro-batch, without state; rows that share an id stay apart.
+    """
+    cols = [text_cols] if isinstance(text_cols, str) else list(text_cols)
+    keys = ["__pt_row", *passthrough]
+    rows = _pieces(stream.withColumn("__pt_row", F.uuid()), cols, keys, pattern, max_ids)
+    v = vocab.select("token", F.col("id").cast("int").alias("__pt_id"))
+    fits, size, nbytes = _fits(v, broadcast_limit)
+    if fits:
+        joined = rows.join(F.broadcast(v), "token", "left")
+    else:
+        last = vocab.agg(F.min("id")).first()[0] + min(broadcast_limit, int(size * BROADCAST_BYTES_LIMIT / max(nbytes, 1)))
+        first = rows.join(F.broadcast(v.filter(F.col("__pt_id") < last)), "token", "left")
+        # Tokens that were found are dealt evenly, under keys that no token has (none holds a line break).
+        spread = F.concat(F.lit("\n"), F.pmod(F.xxhash64("__pt_row", "pos"), F.lit(4096)).cast("string"))
+        key = F.when(F.col("__pt_id").isNull() & (F.col("token") != ""), F.col("token")).otherwise(spread)
+        cold = v.filter(F.col("__pt_id") >= last).select(F.col("token").alias("__pt_key"), F.col("__pt_id").alias("__pt_cold"))
+        joined = first.withColumn("__pt_key", key).join(cold, "__pt_key", "left")
+        joined = joined.withColumn("__pt_id", F.coalesce("__pt_id", "__pt_cold"))
+    numbers = joined.select(*keys, "f", packed(F.col("pos"), _piece_id(ids)).alias("__pt_tok"))
+    names = [f"{c}{out_suffix}" for c in cols]
+    schema = StructType([rows.schema[c] for c in passthrough] + [StructField(n, ArrayType(IntegerType())) for n in names])
+
+    def fold(part: pa.Table) -> pa.Table:
+        known = part.filter(pc.is_valid(part["__pt_tok"]))
+        field, token = known["f"].to_numpy(), known["__pt_tok"].to_numpy()
+        lists = [(np.sort(token[field == i]) & ((1 << 32) - 1)) - _ID_SHIFT for i in range(len(names))]
+        out = {c: part[c].slice(0, 1) for c in passthrough}
+        return pa.table(out | {n: pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for n, x in zip(names, lists, strict=True)})
+
+    return numbers.groupBy("__pt_row").applyInArrow(fold, schema)
+
+
 def encode_with_specials(
     df: DataFrame,
     text_col: str,

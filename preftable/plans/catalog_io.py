@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from preftable.functions.arrays import ids_text
 from preftable.operators import sequences as S
-from preftable.operators.encode import encode_rows, inline_vocabulary
+from preftable.operators.encode import encode_stream
 from preftable.operators.normalise import split_quarantine, to_sft_text
 from preftable.plans import oracle as Q
 from preftable.plans import views as V
@@ -75,12 +75,12 @@ def stream_prepare_q(spark: SparkSession, base: str) -> DataFrame:
     out = _scratch(spark, "stream-out")
     ckpt = _scratch(spark, "stream-ckpt")
     V.instruction_rows(spark, base).select("example_id", "instruction", "input", "output").write.mode("overwrite").json(src)
-    lookup = inline_vocabulary(materialise(V.document_vocab(spark, base), _scratch(spark, "vocab")))
+    vocab = materialise(V.document_vocab(spark, base).select("token", "id"), _scratch(spark, "vocab"))
     limits = {"prompt": MAX_PROMPT - 1, "response": MAX_RESPONSE - 1}
 
     def prepare(batch: DataFrame) -> DataFrame:
         text, _ = split_quarantine(to_sft_text(batch, template=TEMPLATE))
-        enc = encode_rows(text, ["prompt", "response"], lookup, IDS, max_ids=limits)
+        enc = encode_stream(text, ["prompt", "response"], vocab, ["example_id"], IDS, max_ids=limits)
         seqs = S.build_sft_sequences(enc, "prompt_ids", "response_ids", IDS, MAX_PROMPT, MAX_RESPONSE)
         return seqs.select(
             "example_id",
