@@ -1,9 +1,10 @@
 """Structured Streaming operators (§2.10).
 
 ``stream_prepare`` runs the preparation transforms as one stateless streaming plan into one Parquet
-sink: normalising, rendering, encoding (``operators.encode.encode_rows``: the vocabulary is a constant
-of the plan) and the sequence builders all work inside a row, so nothing is regrouped and records that
-share an id stay apart. The file sink's log commits each micro-batch once, also when it is retried.
+sink: normalising, rendering and the sequence builders work inside a row; encoding
+(``operators.encode.encode_stream``) joins the tokens to the vocabulary table and folds them under a name
+of each row's own inside the micro-batch, so records that share an id stay apart. The file sink's log
+commits each micro-batch once, also when it is retried.
 
 ``stream_step_metrics`` averages step-log rows over tumbling event-time windows with a watermark,
 in append mode: a window is emitted once the watermark passes its end.
